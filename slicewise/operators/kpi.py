@@ -70,6 +70,7 @@ def kpi_formulas(buckets: DataFrame, width: float = 1.0, noise: float = 0.0,
     ok = (F.col("lat") <= F.col("lat_max")) & (F.col("loss") <= F.col("loss_max"))
     return b.withColumn("sla_ok", ok).select(
         *RUN_KEYS, "tick", "thr", "lat", "lat_source", "mean_jitter_ms", "loss", "load",
+        "packets_received",
         "thr_min", "lat_max", "loss_max", "sla_ok")
 
 
@@ -82,7 +83,7 @@ def fill_jitter(kpi: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     placed = with_positions(kpi, RUN_KEYS, chunk=chunk)
     return (over_frames(placed, RUN_KEYS, "pos", cols, before=4, chunk=chunk)
-            .drop("mean_jitter_ms", "pos", "series_len"))
+            .drop("mean_jitter_ms", "packets_received", "pos", "series_len"))
 
 
 def label_ahead(kpi: DataFrame, ticks: int = dims.LOOKAHEAD, chunk: int = CHUNK) -> DataFrame:

@@ -2,6 +2,6 @@
 
 
 def all_oracles() -> dict[str, str]:
-    from slicewise.oracle import batch  # noqa: F401
+    from slicewise.oracle import batch, windowing  # noqa: F401
     from slicewise.oracle.core import ORACLES
     return dict(ORACLES)
