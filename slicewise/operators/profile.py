@@ -27,6 +27,11 @@ def share(cond: Column) -> Column:
     return r6(F.avg(cond.cast("double")) * 100)
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation, null where one side has no spread."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def quality_counts(kpi: DataFrame) -> DataFrame:
     """Out-of-range and missing values in one pass."""
     def bad(cond: Column, name: str) -> Column:
@@ -111,7 +116,7 @@ def correlations(kpi: DataFrame) -> DataFrame:
     """Correlation of log latency, throughput and loss per slice, as rows."""
     v = {"log_latency": F.log1p("lat"), "throughput": F.col("thr"), "loss": F.col("loss")}
     pairs = list(combinations_with_replacement(v, 2))
-    one = kpi.groupBy("slice").agg(*[F.corr(v[a], v[b]).alias(f"{a}|{b}") for a, b in pairs])
+    one = kpi.groupBy("slice").agg(*[correlation(v[a], v[b]).alias(f"{a}|{b}") for a, b in pairs])
     return one.select("slice", F.explode(F.array(*[
         F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"),
                  r6(F.col(f"`{a}|{b}`")).alias("r")) for a, b in pairs])).alias("p")

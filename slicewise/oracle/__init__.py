@@ -2,6 +2,6 @@
 
 
 def all_oracles() -> dict[str, str]:
-    from slicewise.oracle import batch, windowing  # noqa: F401
-    from slicewise.oracle.core import ORACLES
-    return dict(ORACLES)
+    from slicewise.oracle import batch, control, windowing  # noqa: F401
+    from slicewise.oracle.core import ORACLES, sql
+    return {name: sql(body) for name, body in ORACLES.items()}

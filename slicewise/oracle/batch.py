@@ -60,7 +60,7 @@ FROM (SELECT slice, CASE WHEN loss < 2 THEN '0_zero (<2%)' WHEN loss < 15 THEN '
         ELSE '4_extreme (>80%)' END AS loss_class FROM kpi_rows)
 GROUP BY slice, loss_class""")
 oracle("kpi_correlation", " UNION ALL ".join(
-    f"SELECT slice, '{x}' AS x, '{y}' AS y, round(corr({a}, {b}), 6) AS r FROM kpi_rows GROUP BY slice"
+    f"SELECT slice, '{x}' AS x, '{y}' AS y, CASE WHEN NOT isnan(corr({a}, {b})) THEN round(corr({a}, {b}), 6) END AS r FROM kpi_rows GROUP BY slice"
     for x, a, y, b in [
         ("log_latency", "ln(1 + lat)", "log_latency", "ln(1 + lat)"),
         ("log_latency", "ln(1 + lat)", "throughput", "thr"),

@@ -50,7 +50,7 @@ def sql(body: str) -> str:
 
 
 def oracle(name: str, body: str) -> None:
-    ORACLES[name] = sql(body)
+    ORACLES[name] = body
 
 
 _budget = dict(dims.BUDGETS)

@@ -93,12 +93,14 @@ FROM li_len WHERE series_len >= 75 GROUP BY scenario, gnb HAVING count(DISTINCT
 cte("li_windows", """
 SELECT scenario, gnb, t0 + 15 * w AS t
 FROM (SELECT *, unnest(range((common_len - t0) // 15)) AS w FROM li_aligned)""")
-oracle("eval_windows", """
+cte("li_seen", """
 SELECT scenario, gnb, slice, t, count(*) AS n_rows,
-       round(avg(CASE WHEN lat > lat_max THEN 1.0 ELSE 0.0 END), 6) AS p_real
+       avg(CASE WHEN lat > CASE WHEN slice = 'mMTC' THEN 300 ELSE lat_max END THEN 1.0 ELSE 0.0 END) AS p_real
 FROM li_pos JOIN li_windows USING (scenario, gnb)
-JOIN (SELECT slice, lat_max FROM dim_limits WHERE profile = 'control') USING (slice)
+JOIN (SELECT slice, lat_max FROM dim_limits WHERE profile = 'detect') USING (slice)
 WHERE pos >= t AND pos < t + 15 GROUP BY ALL""")
+oracle("eval_windows", """
+SELECT scenario, gnb, slice, t, n_rows, round(p_real, 6) AS p_real FROM li_seen""")
 oracle("last_n_per_key", """
 SELECT scenario, gnb, slice, tick, rows_back, rows_back <= 5 AS in_last_5
 FROM (SELECT *, row_number() OVER (PARTITION BY scenario, gnb, slice ORDER BY tick DESC) AS rows_back

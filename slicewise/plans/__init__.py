@@ -2,6 +2,6 @@
 
 
 def all_queries() -> dict:
-    from slicewise.plans import etl, profiling, windowing  # noqa: F401
+    from slicewise.plans import control, etl, profiling, windowing  # noqa: F401
     from slicewise.plans.registry import QUERIES
     return dict(QUERIES)

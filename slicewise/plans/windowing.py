@@ -9,6 +9,7 @@ from slicewise import dims
 from slicewise.operators import features as FE
 from slicewise.operators import kpi as K
 from slicewise.operators import windows as W
+from slicewise.operators.closed_loop import eval_rows
 from slicewise.operators.profile import r6
 from slicewise.operators.series import last_rows
 from slicewise.plans.etl import SERIES, full_series, kpi_base, kpi_series, long_series
@@ -134,13 +135,9 @@ def aligned_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def eval_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed late share of each complete evaluation window."""
-    s = long_series(spark, sf_dir)
-    lim = dims.limit_dim(spark, "control").select("slice", "lat_max")
-    rows = (W.with_eval_windows(s, W.aligned_cells(W.series_lengths(s, SERIES)))
-            .filter("h >= 0").join(lim, "slice"))
-    late = (F.col("lat") > F.col("lat_max")).cast("double")
+    rows = eval_rows(long_series(spark, sf_dir)).filter("h >= 0")
     return rows.groupBy(*SERIES, "t").agg(F.count("*").alias("n_rows"),
-                                          r6(F.avg(late)).alias("p_real"))
+                                          r6(F.avg("late")).alias("p_real"))
 
 
 @query
