@@ -11,9 +11,12 @@ from slicewise.functions import scalars as S
 # fixed values: bounds of the loss curve
 K_MIN, K_MAX, RHO_MIN, RHO_MAX = 0.5, 50.0, 0.05, 3.0
 
-# grid: candidates, candidates per row, first step, step of k, step of rho_c
-GRID = (6000, 60, 1, 0.5, 0.05)
-REFINED = [(441, 21, -10, 0.05, 0.005), (441, 21, -10, 0.005, 0.0005)]
+# Candidates are whole numbers, k in steps of 1/200 and rho_c in steps of 1/2000, so that no
+# rounding is needed per evaluation.
+K_UNIT, RHO_UNIT = 200, 2000
+# grid: candidates, candidates per row, first step, step width
+GRID = (6000, 60, 1, 100)
+REFINED = [(441, 21, -10, 10), (441, 21, -10, 1)]
 MAX_TASKS = 256
 
 
@@ -50,37 +53,32 @@ def calibrate(points: DataFrame) -> DataFrame:
     spread = min(points.sparkSession.sparkContext.defaultParallelism, MAX_TASKS)
     pts = pts.repartition(spread, "rho", "p")
 
-    best = _best(pts.withColumns({"_k0": F.lit(0.0), "_r0": F.lit(0.0)}), GRID)
+    best = _best(pts.withColumns({"_k0": F.lit(0), "_r0": F.lit(0)}), GRID)
     for grid in REFINED:
-        start = best.select("gnb", "slice", F.col("curve_k").alias("_k0"),
-                            F.col("curve_rho").alias("_r0"))
+        start = best.select("gnb", "slice", F.col("_k").alias("_k0"), F.col("_r").alias("_r0"))
+        # at most one row per pair of the unit table, which load_points joined
         best = _best(pts.join(F.broadcast(start), ["gnb", "slice"]), grid)
 
     fits = F.col("n_points") >= 2
     return best.join(enough, ["gnb", "slice"]).select(
         "gnb", "slice",
-        F.when(fits, F.col("curve_k")).otherwise(dims.DEFAULT_CURVE[0]).alias("curve_k"),
-        F.when(fits, F.col("curve_rho")).otherwise(dims.DEFAULT_CURVE[1]).alias("curve_rho"),
+        F.when(fits, F.col("_k") / K_UNIT).otherwise(dims.DEFAULT_CURVE[0]).alias("curve_k"),
+        F.when(fits, F.col("_r") / RHO_UNIT).otherwise(dims.DEFAULT_CURVE[1]).alias("curve_rho"),
         "sse")
 
 
-def _best(pts: DataFrame, grid: tuple[int, int, int, float, float]) -> DataFrame:
-    """Best candidate per (gnb, slice). A candidate is the number ``i`` of a grid point; its
-    curve is a formula of ``i`` and of the centre ``_k0``, ``_r0``."""
-    n, per_row, first, step_k, step_r = grid
-
-    def curve(i: Column) -> tuple[Column, Column]:
-        k = F.col("_k0") + (F.floor(i / per_row) + first) * step_k
-        rho = F.col("_r0") + (i % per_row + first) * step_r
-        return F.round(k, 6), F.round(rho, 6)
-
-    k, rho_c = curve(F.col("i"))
-    err = S.logistic(F.col("rho"), k, rho_c) - F.col("p")
+def _best(pts: DataFrame, grid: tuple[int, int, int, int]) -> DataFrame:
+    """Best candidate per (gnb, slice) on a grid around the centre ``_k0``, ``_r0``."""
+    n, per_row, first, step = grid
+    i = F.col("i")
+    k = F.col("_k0") + ((i / per_row).cast("int") + first) * step
+    rho_c = F.col("_r0") + (i % per_row + first) * step
+    err = S.logistic(F.col("rho"), F.col("_k") / K_UNIT, F.col("_r") / RHO_UNIT) - F.col("p")
     sse = (pts.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-           .groupBy("gnb", "slice", "_k0", "_r0", "i")
+           .withColumns({"_k": k, "_r": rho_c})
+           .filter(F.col("_k").between(int(K_MIN * K_UNIT), int(K_MAX * K_UNIT))
+                   & F.col("_r").between(int(RHO_MIN * RHO_UNIT), int(RHO_MAX * RHO_UNIT)))
+           .groupBy("gnb", "slice", "_k", "_r")
            .agg(F.round(F.sum(F.col("weight") * err * err), 9).alias("sse")))
-    sse = (sse.withColumns({"_k": k, "_r": rho_c})
-           .filter(F.col("_k").between(K_MIN, K_MAX) & F.col("_r").between(RHO_MIN, RHO_MAX)))
     top = sse.groupBy("gnb", "slice").agg(F.min(F.struct("sse", "_k", "_r")).alias("b"))
-    return top.select("gnb", "slice", F.col("b._k").alias("curve_k"),
-                      F.col("b._r").alias("curve_rho"), F.col("b.sse").alias("sse"))
+    return top.select("gnb", "slice", "b._k", "b._r", "b.sse")

@@ -52,23 +52,22 @@ SELECT scenario, gnb, slice, round(fraction_lost, 6) AS fraction_lost,
 def curve_ctes(prefix: str, points: str) -> None:
     def best(src: str) -> str:
         return f"""
-SELECT gnb, slice, curve_k, curve_rho, sse, n_points FROM (
-  SELECT gnb, slice, curve_k, curve_rho, round(sum(({LOGISTIC.format(x='rho')} - p) ** 2), 9) AS sse,
+SELECT gnb, slice, ki, ri, ki / 200 AS curve_k, ri / 2000 AS curve_rho, sse, n_points FROM (
+  SELECT gnb, slice, ki, ri, round(sum((1.0 / (1.0 + exp(-(ki / 200) * (rho - ri / 2000))) - p) ** 2), 9) AS sse,
          max(n_points) AS n_points
-  FROM ({src}) GROUP BY gnb, slice, curve_k, curve_rho)
-QUALIFY row_number() OVER (PARTITION BY gnb, slice ORDER BY sse, curve_k, curve_rho) = 1"""
+  FROM ({src}) WHERE ki BETWEEN 100 AND 10000 AND ri BETWEEN 100 AND 6000 GROUP BY gnb, slice, ki, ri)
+QUALIFY row_number() OVER (PARTITION BY gnb, slice ORDER BY sse, ki, ri) = 1"""
 
     cte(f"{prefix}_pts", f"""
 SELECT *, count(DISTINCT (rho, p)) OVER (PARTITION BY gnb, slice) AS n_points
 FROM (SELECT gnb, slice, round(rho, 9) AS rho, fraction_lost AS p FROM {points})""")
-    cte(f"{prefix}_g1", best(f"""SELECT p.*, round((i // 60 + 1) * 0.5, 6) AS curve_k,
-        round((i % 60 + 1) * 0.05, 6) AS curve_rho FROM {prefix}_pts p, range(6000) t(i)"""))
-    for g, (sk, sr) in ((2, ("0.05", "0.005")), (3, ("0.005", "0.0005"))):
-        cte(f"{prefix}_g{g}", best(f"""SELECT * FROM (
-        SELECT p.*, round(b.curve_k + (i // 21 - 10) * {sk}, 6) AS curve_k,
-               round(b.curve_rho + (i % 21 - 10) * {sr}, 6) AS curve_rho
-        FROM {prefix}_pts p JOIN {prefix}_g{g - 1} b USING (gnb, slice), range(441) t(i))
-        WHERE curve_k BETWEEN 0.5 AND 50 AND curve_rho BETWEEN 0.05 AND 3"""))
+    cte(f"{prefix}_g1", best(f"""SELECT p.*, (i // 60 + 1) * 100 AS ki, (i % 60 + 1) * 100 AS ri
+        FROM {prefix}_pts p, range(6000) t(i)"""))
+    for g, step in ((2, 10), (3, 1)):
+        cte(f"{prefix}_g{g}", best(f"""
+        SELECT p.*, b.ki + (i // 21 - 10) * {step} AS ki, b.ri + (i % 21 - 10) * {step} AS ri
+        FROM {prefix}_pts p JOIN (SELECT gnb, slice, ki, ri FROM {prefix}_g{g - 1}) b USING (gnb, slice),
+             range(441) t(i)"""))
     cte(f"{prefix}_curve", f"""
 SELECT gnb, slice, CASE WHEN n_points >= 2 THEN curve_k ELSE CAST(5 AS DOUBLE) END AS curve_k,
        CASE WHEN n_points >= 2 THEN curve_rho ELSE CAST(1 AS DOUBLE) END AS curve_rho, sse
