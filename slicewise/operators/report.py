@@ -34,8 +34,8 @@ def mode_gain(kpis: DataFrame, baseline: str = "baseline") -> DataFrame:
     base = kpis.filter(F.col("mode") == baseline).select(
         "slice", F.col("viol_rate_pct").alias("b_viol"), F.col("mean_lat_ms").alias("b_lat"))
     return kpis.filter(F.col("mode") != baseline).join(base, "slice").select(
-        "mode", "slice", F.round(F.col("b_viol") - F.col("viol_rate_pct"), 5).alias("gain_viol_pp"),
-        F.round(F.col("b_lat") - F.col("mean_lat_ms"), 5).alias("gain_lat_ms"))
+        "mode", "slice", F.round(F.col("b_viol") - F.col("viol_rate_pct"), 6).alias("gain_viol_pp"),
+        F.round(F.col("b_lat") - F.col("mean_lat_ms"), 6).alias("gain_lat_ms"))
 
 
 def cumulative_violation(kpi: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -88,9 +88,9 @@ def rolling_quality(loop: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Trailing means of ten (error, gain) and five (objective) windows per cell."""
     def cols(w: WindowSpec) -> dict[str, Column]:
         ten, five = w.rowsBetween(-9, 0), w.rowsBetween(-4, 0)
-        return {"mae_10": F.round(F.avg("mae_pred").over(ten), 5),
-                "gain_10": F.round(F.avg("gain_pct").over(ten), 5),
-                "objective_5": F.round(F.avg("F_optimal").over(five), 5)}
+        return {"mae_10": F.round(F.avg("mae_pred").over(ten), 8),
+                "gain_10": F.round(F.avg("gain_pct").over(ten), 8),
+                "objective_5": F.round(F.avg("F_optimal").over(five), 8)}
     o = with_global_order(loop, ("gnb",)).withColumn("row_no", F.col("row_no").cast("bigint"))
     out = over_frames(o, ["gnb"], "row_no", cols, before=9, chunk=chunk)
     return out.select("gnb", "scenario", "t", "row_no", "mae_10", "gain_10", "objective_5")

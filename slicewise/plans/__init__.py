@@ -2,6 +2,7 @@
 
 
 def all_queries() -> dict:
-    from slicewise.plans import control, etl, profiling, windowing  # noqa: F401
+    from slicewise.plans import (control, etl, ingest, profiling,  # noqa: F401
+                                 reports, windowing)
     from slicewise.plans.registry import QUERIES
     return dict(QUERIES)

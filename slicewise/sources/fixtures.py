@@ -89,10 +89,10 @@ def model_params(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("pair.final").cast("double").alias("final"))
 
 
-def live_rows(kpi: DataFrame) -> DataFrame:
+def live_rows(kpi: DataFrame, *more: str) -> DataFrame:
     """KPI rows in the shape of the live metric stream; one tick is one second."""
     return kpi.select(
-        "scenario", F.col("tick").cast("double").alias("simtime_s"), "gnb", "slice",
+        *more, "scenario", F.col("tick").cast("double").alias("simtime_s"), "gnb", "slice",
         F.col("lat").alias("avg_latency_ms"), F.col("thr").alias("throughput_mbps"),
         F.col("packets_received").cast("bigint").alias("pkt_count"),
         F.col("loss").alias("pkt_loss_pct"))
