@@ -142,5 +142,5 @@ def huber_fit(train: DataFrame, test: DataFrame, features: list[str], target: st
     from pyspark.ml.regression import LinearRegression
     va = VectorAssembler(inputCols=features, outputCol="fv")
     lr = LinearRegression(loss="huber", featuresCol="fv", labelCol=target, predictionCol="pred",
-                          maxIter=25, epsilon=1.35, regParam=1e-4)
+                          maxIter=20, tol=1e-4, epsilon=1.35, regParam=1e-4)
     return lr.fit(va.transform(train)).transform(va.transform(test)).drop("fv")

@@ -51,11 +51,11 @@ FROM kpi_rows JOIN kpi_buckets b USING (run, scenario, slice, gnb, tick) GROUP B
 oracle("stream_tumbling_kpi", """
 SELECT scenario, gnb, slice, (tick // 15) * 15 AS period_start, count(*) AS n_rows,
        round(avg(lat), 6) AS lat, round(avg(thr), 6) AS thr
-FROM kpi_rows GROUP BY ALL
+FROM kpi_rows GROUP BY scenario, gnb, slice, tick // 15
 HAVING (tick // 15) * 15 + 15 <= (SELECT max(tick) FROM kpi_rows) - 30""")
 oracle("stream_history_ready", """
 SELECT scenario, gnb, slice, max(tick) AS last_tick, count(*) AS n_rows, count(*) >= 60 AS ready,
-       round(avg(lat), 6) AS lat_history
+       round(avg(lat), 9) AS lat_history
 FROM (SELECT *, row_number() OVER (PARTITION BY scenario, gnb, slice, cut ORDER BY tick DESC) AS back
       FROM kpi_rows, (VALUES (40), (80), (1000000000)) c(cut) WHERE tick < cut)
 WHERE back <= 60 GROUP BY scenario, gnb, slice, cut
@@ -91,7 +91,7 @@ oracle("stream_replay_buffer", """
 SELECT scenario, gnb, slice, period, least(rank - 1, 64) AS n_buffer, rank - 1 >= 8 AS ready,
        round(CASE WHEN rank > 1 THEN avg(CASE WHEN rank > 1 THEN y END) OVER (PARTITION BY scenario, gnb, slice ORDER BY period
              ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) END, 6) AS batch_lat_log
-FROM (SELECT scenario, gnb, slice, tick // 15 AS period, avg(ln(1 + lat)) AS y,
-             row_number() OVER (PARTITION BY scenario, gnb, slice ORDER BY tick // 15) AS rank,
+FROM (SELECT *, row_number() OVER (PARTITION BY scenario, gnb, slice ORDER BY period) AS rank,
              count(*) OVER (PARTITION BY scenario, gnb, slice) AS n
-      FROM li_kpi GROUP BY ALL) WHERE rank < n""")
+      FROM (SELECT scenario, gnb, slice, tick // 15 AS period, avg(ln(1 + lat)) AS y
+            FROM li_kpi GROUP BY scenario, gnb, slice, tick // 15)) WHERE rank < n""")

@@ -78,7 +78,7 @@ def stream_history_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = RP.replay(spark, arrivals(live(spark, sf_dir), CUTS),
                     lambda s, o: RP.to_files(SL.history(s), o))
     return spark.read.parquet(out).select(*SERIES, "last_tick", "n_rows", "ready",
-                                          r6(F.col("lat_history")).alias("lat_history"))
+                                          F.round("lat_history", 9).alias("lat_history"))
 
 
 @query

@@ -158,8 +158,9 @@ def online_learning(stream: DataFrame, rate: float = RATE) -> DataFrame:
         ids = sorted(open_)
         state.update((ids, [float(v) for i in ids for v in open_[i]], x.ravel().tolist(),
                       y.tolist(), prev.tolist(), w.tolist(), n_steps))
-        yield pd.DataFrame(out, columns=[*KEYS, "period", "n_buffer", "ready", "step", "loss",
-                                         "batch_lat_log", "w"])
+        if out:
+            yield pd.DataFrame(out, columns=[*KEYS, "period", "n_buffer", "ready", "step",
+                                             "loss", "batch_lat_log", "w"])
 
     return (stream.select(*KEYS, "simtime_s", "avg_latency_ms", "throughput_mbps").groupBy(*KEYS)
             .applyInPandasWithState(
