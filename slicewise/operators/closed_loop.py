@@ -15,12 +15,13 @@ from slicewise.operators.windows import aligned_cells, series_lengths, with_eval
 SERIES = ["scenario", "gnb", "slice"]
 
 
-def eval_rows(series: DataFrame) -> DataFrame:
+def eval_rows(series: DataFrame, kpi: DataFrame | None = None) -> DataFrame:
     """Rows of all evaluation windows with the late flag under the relaxed detection limit.
-    ``series`` carries positions."""
+    ``series`` carries positions; the lengths are counted on ``kpi``, the same rows without
+    positions, where that is at hand."""
     s = base_features(series)
     lim = dims.limit_dim(s.sparkSession, "detect").select("slice", F.col("lat_max").alias("_m"))
-    rows = with_eval_windows(s, aligned_cells(series_lengths(s, SERIES))).join(lim, "slice")
+    rows = with_eval_windows(s, aligned_cells(series_lengths(s if kpi is None else kpi, SERIES))).join(lim, "slice")
     late = F.col("lat") > S.relaxed_latency_limit(F.col("slice"), F.col("_m"))
     return rows.withColumn("late", late.cast("double")).drop("_m")
 

@@ -1,4 +1,4 @@
-"""Exact quantiles (linear interpolation) of groups of any size.
+"""Exact quantiles (linear interpolation) of groups of any size, and joins with small sides.
 
 The built-in exact aggregate keeps every distinct value of a group in one task. Here a sketch
 brackets each wanted rank, one pass counts the rows below each bracket, and only the rows
@@ -28,49 +28,42 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column,
     stats = vals.groupBy(*keys).agg(
         F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         sketch(-MARGIN).alias("_lo"), sketch(MARGIN).alias("_hi"))
-    targets = stats.select(*keys, "_n", "_min", "_max", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("_q"),
-                 F.lit(float(probs[n])).alias("_p"),
-                 F.col("_lo")[i].alias("_lo"), F.col("_hi")[i].alias("_hi"))
-        for i, n in enumerate(names)])).alias("_t")).select(*keys, "_n", "_min", "_max", "_t.*")
 
-    # rows below and inside each bracket, one pass with map-side combine
-    bounds = targets.groupBy(*keys).agg(F.collect_list(F.struct("_q", "_lo", "_hi")).alias("_b"))
-    per_bracket = (join_groups(vals, bounds, keys)
-                   .select(*keys, "_v", F.explode("_b").alias("_b"))
-                   .select(*keys, "_v", "_b._q", "_b._lo", "_b._hi"))
-    below = per_bracket.groupBy(*keys, "_q").agg(
-        F.sum((F.col("_v") < F.col("_lo")).cast("bigint")).alias("_below"),
-        F.sum((F.col("_v") <= F.col("_hi")).cast("bigint")).alias("_upto"))
+    # rows below and up to the end of each bracket, one pass with map-side combine
+    counts = join_groups(vals, stats, keys).groupBy(*keys, "_n", "_min", "_max", "_lo", "_hi").agg(
+        *[F.sum((F.col("_v") < F.col("_lo")[i]).cast("bigint")).alias(f"_b{i}")
+          for i in range(len(names))],
+        *[F.sum((F.col("_v") <= F.col("_hi")[i]).cast("bigint")).alias(f"_u{i}")
+          for i in range(len(names))])
 
-    rank = F.col("_p") * (F.col("_n") - 1)
-    first = F.floor(rank).cast("bigint")
-    held = (F.col("_below") <= first) & (F.least(first + 1, F.col("_n") - 1) < F.col("_upto"))
-    plan = (join_groups(targets, below, keys + ["_q"])
-            .select(*keys, "_q", first.alias("_r"), (rank - first).alias("_f"), "_n",
-                    F.when(held, F.col("_lo")).otherwise(F.col("_min")).alias("_lo"),
-                    F.when(held, F.col("_hi")).otherwise(F.col("_max")).alias("_hi"),
-                    F.when(held, F.col("_below")).otherwise(F.lit(0)).alias("_below")))
-    per_key = plan.groupBy(*keys).agg(F.collect_list(
-        F.struct("_q", "_r", "_f", "_n", "_lo", "_hi", "_below")).alias("_b"))
+    def bracket(i: int, n: str) -> Column:
+        rank = F.lit(float(probs[n])) * (F.col("_n") - 1)
+        first = F.floor(rank).cast("bigint")
+        second = F.least(first + 1, F.col("_n") - 1)
+        held = (F.col(f"_b{i}") <= first) & (second < F.col(f"_u{i}"))
+        return F.struct(
+            F.lit(n).alias("q"), first.alias("first"), second.alias("second"),
+            (rank - first).alias("part"),
+            F.when(held, F.col("_lo")[i]).otherwise(F.col("_min")).alias("lo"),
+            F.when(held, F.col("_hi")[i]).otherwise(F.col("_max")).alias("hi"),
+            F.when(held, F.col(f"_b{i}")).otherwise(F.lit(0)).cast("bigint").alias("below"))
 
-    inside = (join_groups(vals, per_key, keys)
+    brackets = counts.select(*keys, F.array(*[bracket(i, n) for i, n in enumerate(names)])
+                             .alias("_b"))
+    inside = (join_groups(vals, brackets, keys)
               .select(*keys, "_v", F.explode(F.filter(
-                  "_b", lambda b: (b["_lo"] <= F.col("_v")) & (F.col("_v") <= b["_hi"])))
+                  "_b", lambda b: (b["lo"] <= F.col("_v")) & (F.col("_v") <= b["hi"])))
                   .alias("_b"))
-              .groupBy(*keys, "_b", "_v").agg(F.count("_v").alias("_c"))
-              .select(*keys, "_v", "_c", "_b.*"))
-    w = (Window.partitionBy(*keys, "_q").orderBy("_v")
+              .groupBy(*keys, "_b", "_v").agg(F.count("_v").alias("_c")))
+    w = (Window.partitionBy(*keys, "_b").orderBy("_v")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    upto = inside.withColumn("_cum", F.sum("_c").over(w) + F.col("_below"))
-    picked = upto.groupBy(*keys, "_q").agg(
-        F.min(F.when(F.col("_cum") > F.col("_r"), F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_cum") > F.least(F.col("_r") + 1, F.col("_n") - 1),
-                     F.col("_v"))).alias("_z"),
-        F.first("_f").alias("_f"))
-    value_at = F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")
+    upto = inside.withColumn("_cum", F.sum("_c").over(w) + F.col("_b.below"))
+    picked = upto.groupBy(*keys, "_b").agg(
+        F.min(F.when(F.col("_cum") > F.col("_b.first"), F.col("_v"))).alias("_a"),
+        F.min(F.when(F.col("_cum") > F.col("_b.second"), F.col("_v"))).alias("_z"))
+    value_at = F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_b.part")
     return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_q") == n, value_at)).alias(n) for n in names])
+        *[F.max(F.when(F.col("_b.q") == n, value_at)).alias(n) for n in names])
 
 
 def join_groups(left: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,4 +71,13 @@ def join_groups(left: DataFrame, groups: DataFrame, keys: list[str]) -> DataFram
     if keys:
         return left.join(groups, keys)
     one = F.lit(1).alias("_one")
-    return (left.select("*", one).join(groups.select("*", one), "_one").drop("_one"))
+    return left.select("*", one).join(groups.select("*", one), "_one").drop("_one")
+
+
+def join_small(left: DataFrame, right: DataFrame, on: list[str],
+               max_rows: int = 5_000_000) -> DataFrame:
+    """Join with a side that is usually small: broadcast only after counting its rows (the
+    count stops at the bound), otherwise an ordinary join, whose skew Spark splits at run
+    time."""
+    fits = right.limit(max_rows + 1).count() <= max_rows
+    return left.join(F.broadcast(right) if fits else right, on)

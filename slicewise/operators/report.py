@@ -38,8 +38,9 @@ def mode_gain(kpis: DataFrame, baseline: str = "baseline") -> DataFrame:
         F.round(F.col("b_lat") - F.col("mean_lat_ms"), 6).alias("gain_lat_ms"))
 
 
-def cumulative_violation(kpi: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Expanding share of late rows per mode and slice."""
+def cumulative_violation(kpi: DataFrame, chunk: int = 60) -> DataFrame:
+    """Expanding share of late rows per mode and slice. A tick holds the rows of all runs and
+    cells of a mode, so the chunks are short."""
     late = (F.col("lat") > F.col("c_lat")).cast("bigint")
     out = running_sums(with_control_limits(kpi), ["mode", "slice"], "tick",
                        {"late_so_far": late, "rows_so_far": F.lit(1).cast("bigint")},

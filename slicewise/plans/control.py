@@ -12,7 +12,8 @@ from slicewise.operators import forecast as FC
 from slicewise.operators import load as L
 from slicewise.operators.features import base_features
 from slicewise.operators.profile import r6
-from slicewise.plans.etl import SERIES, kpi_base, kpi_series, long_series
+from slicewise.operators.series import with_positions
+from slicewise.plans.etl import SERIES, kpi_base, kpi_series, long_kpi
 from slicewise.plans.profiling import block_scenario
 from slicewise.plans.registry import query
 from slicewise.sinks.tables import landed
@@ -36,7 +37,8 @@ def allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loop_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = CL.eval_rows(long_series(spark, sf_dir))
+    k = long_kpi(spark, sf_dir)
+    rows = CL.eval_rows(with_positions(k, SERIES), k)
     return rows, FC.window_fits(rows, SERIES)
 
 
@@ -161,12 +163,13 @@ def closed_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def closed_loop_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The loop with loss curves fitted to the same series in blocks of 15 rows."""
-    s = landed(long_series(spark, sf_dir), "series")
+    k = long_kpi(spark, sf_dir)
+    s = landed(with_positions(k, SERIES), "series")
     lim = dims.limit_dim(spark, "detect").select("slice", "lat_max")
     blocks = s.join(lim, "slice").withColumn("block", F.floor(F.col("pos") / 15))
     curves = landed(L.calibrate(landed(
         L.load_points(blocks, ("scenario", "gnb", "slice", "block")), "points")), "curves")
-    fits = FC.window_fits(CL.eval_rows(s), SERIES)
+    fits = FC.window_fits(CL.eval_rows(s, k), SERIES)
     return CL.run_loop(CL.forecast_loads(fits, curves), curves)
 
 

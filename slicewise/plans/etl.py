@@ -45,9 +45,14 @@ def full_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_positions(landed(kpi_full(spark, sf_dir), "kpi"), SERIES)
 
 
+def long_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long KPI series, landed."""
+    return landed(X.lineitem_kpi(spark, sf_dir), "long_kpi")
+
+
 def long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long KPI series with positions."""
-    return with_positions(landed(X.lineitem_kpi(spark, sf_dir), "long_kpi"), SERIES)
+    return with_positions(long_kpi(spark, sf_dir), SERIES)
 
 
 @query

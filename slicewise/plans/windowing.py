@@ -11,8 +11,8 @@ from slicewise.operators import kpi as K
 from slicewise.operators import windows as W
 from slicewise.operators.closed_loop import eval_rows
 from slicewise.operators.profile import r6
-from slicewise.operators.series import last_rows
-from slicewise.plans.etl import SERIES, full_series, kpi_base, kpi_series, long_series
+from slicewise.operators.series import last_rows, with_positions
+from slicewise.plans.etl import SERIES, full_series, kpi_base, kpi_series, long_kpi, long_series
 from slicewise.plans.registry import query
 from slicewise.sources import fixtures as X
 
@@ -74,7 +74,7 @@ def scaler_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def scaler_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standardised targets and what the inverse gives back."""
-    k = FE.base_features(long_series(spark, sf_dir)).select(*SERIES, "tick", *FE.TARGETS)
+    k = FE.base_features(long_kpi(spark, sf_dir)).select(*SERIES, "tick", *FE.TARGETS)
     sc = FE.fit_scaler(k, FE.TARGETS)
     z = FE.apply_scaler(k, sc, FE.TARGETS)
     back = FE.apply_scaler(z.withColumns({f"z_{c}": F.col(c) for c in FE.TARGETS}), sc,
@@ -110,14 +110,14 @@ def window_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def window_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows per slice with their weights, the split sizes and the share of lossy rows."""
-    s = long_series(spark, sf_dir)
-    weights = W.window_weights(s, SERIES).groupBy("slice").agg(
+    k = long_kpi(spark, sf_dir)
+    weights = W.window_weights(with_positions(k, SERIES), SERIES).groupBy("slice").agg(
         F.count("*").alias("n_windows"), r6(F.avg("weight")).alias("mean_weight"),
         r6(F.max("weight")).alias("max_weight"))
-    parts = W.temporal_split(W.series_lengths(s, SERIES)).groupBy("slice").agg(
+    parts = W.temporal_split(W.series_lengths(k, SERIES)).groupBy("slice").agg(
         F.count(F.when(F.col("part") != "test", 1)).alias("n_train"),
         F.count(F.when(F.col("part") == "test", 1)).alias("n_test"))
-    lossy = s.groupBy("slice").agg(
+    lossy = k.groupBy("slice").agg(
         r6(F.avg((F.col("loss") > 0).cast("double")) * 100).alias("lossy_pct"))
     return weights.join(parts, "slice").join(lossy, "slice")
 
@@ -135,7 +135,8 @@ def aligned_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def eval_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed late share of each complete evaluation window."""
-    rows = eval_rows(long_series(spark, sf_dir)).filter("h >= 0")
+    k = long_kpi(spark, sf_dir)
+    rows = eval_rows(with_positions(k, SERIES), k).filter("h >= 0")
     return rows.groupBy(*SERIES, "t").agg(F.count("*").alias("n_rows"),
                                           r6(F.avg("late")).alias("p_real"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicewise.functions import naming
+from slicewise.operators.quantiles import join_small
 from slicewise.sinks.tables import landed
 
 
@@ -24,19 +25,27 @@ def scan_signal_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     at least four tab-separated fields that starts with a digit. Lines and values that do not
     parse are left out.
     """
-    lines = _lines(spark, path, "vec")
-    words = F.split(F.trim("value"), r"\s+")
-    decl = (lines.filter(F.col("value").startswith("vector ")).withColumn("w", words)
-            .filter(F.size("w") >= 4)
-            .select("run", F.col("w")[1].alias("vec_id"), F.col("w")[2].alias("module"),
-                    F.substring_index(F.col("w")[3], ":", 1).alias("signal")))
-    fields = F.split("value", "\t")
-    samples = (lines.filter(F.substring("value", 1, 1).between("0", "9")).withColumn("f", fields)
-               .filter(F.size("f") >= 4)
-               .select("run", F.col("f")[0].alias("vec_id"), _number(F.col("f")[2]).alias("t"),
-                       _number(F.col("f")[3]).alias("v"))
-               .filter(F.col("t").isNotNull() & F.col("v").isNotNull()))
-    return decl, samples
+    return split_parts(_parsed(spark, path))
+
+
+def _parsed(spark: SparkSession, path: str) -> DataFrame:
+    """Declarations and samples of the log in one table, told apart by ``kind``."""
+    text = F.col("value")
+    w, f = F.split(F.trim("value"), r"\s+"), F.split("value", "\t")
+    t, v = _number(F.get(f, F.lit(2))), _number(F.get(f, F.lit(3)))
+    is_decl = text.startswith("vector ") & (F.size(w) >= 4)
+    is_sample = text.substr(1, 1).between("0", "9") & t.isNotNull() & v.isNotNull()
+    kind = F.when(is_decl, "declaration").when(is_sample, "sample")
+    return (_lines(spark, path, "vec").withColumn("kind", kind).filter("kind IS NOT NULL").select(
+        "run", "kind", F.when(is_decl, F.get(w, F.lit(1))).otherwise(f[0]).alias("vec_id"),
+        F.when(is_decl, F.get(w, F.lit(2))).alias("module"),
+        F.when(is_decl, F.substring_index(F.get(w, F.lit(3)), ":", 1)).alias("signal"),
+        F.when(is_sample, t).alias("t"), F.when(is_sample, v).alias("v")))
+
+
+def split_parts(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (parsed.filter("kind = 'declaration'").select("run", "vec_id", "module", "signal"),
+            parsed.filter("kind = 'sample'").select("run", "vec_id", "t", "v"))
 
 
 def _number(text: Column) -> Column:
@@ -53,15 +62,15 @@ def relevant_vectors(declarations: DataFrame) -> DataFrame:
 
 def attach_keys(samples: DataFrame, vectors: DataFrame) -> DataFrame:
     """Samples of the relevant vectors. Ids are local to a run, so the run is part of the key.
-    The declarations are few; Spark broadcasts them when their size allows it and otherwise
-    shuffles both sides by (run, vec_id)."""
-    return samples.join(vectors, ["run", "vec_id"])
+    The declarations are few beside the samples; counted first, they are broadcast so that the
+    samples are not shuffled before they are aggregated."""
+    return join_small(samples, vectors, ["run", "vec_id"])
 
 
 def land_signal_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Scan the text once, keep both parts as Parquet partitioned by run for later scans."""
-    decl, samples = scan_signal_log(spark, path)
-    return landed(decl, "declarations", "run"), landed(samples, "samples", "run")
+    """Scan the text once and keep it as Parquet by kind and run: later scans of either part
+    read only its own folders and columns."""
+    return split_parts(landed(_parsed(spark, path), "signals", "kind", "run"))
 
 
 def scan_scalar_log(spark: SparkSession, path: str) -> DataFrame:

@@ -76,7 +76,8 @@ if __name__ == "__main__":
     from slicewise.session import build_session
 
     sf = sys.argv[1]
-    spark = build_session("local[8]", 8, spark__driver__memory="8g")
+    spark = build_session("local[8]", 8, spark__driver__memory="8g",
+                          spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf)
     qs, os_ = E.queries(), E.oracle_sql()
