@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from slicewise.session import work_dir
 
@@ -23,11 +23,18 @@ def stream_session(spark: SparkSession) -> SparkSession:
     return s
 
 
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark, over the recent micro-batches of a query."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress
+               for op in p["stateOperators"])
+
+
 def replay(spark: SparkSession, parts: Iterable[DataFrame], sink: Sink,
-           fmt: str = "parquet", label: str = "stream") -> str:
+           fmt: str = "parquet", label: str = "stream",
+           done: Callable[[StreamingQuery], None] | None = None) -> str:
     """Lets files arrive part by part and runs the query to the end of each part, always from
     the same checkpoint, as a scheduled job would. ``sink(stream, out)`` describes the query;
-    the folder ``out`` is returned."""
+    ``done`` sees it after each part; the folder ``out`` is returned."""
     base = work_dir(spark, label)
     src, out, checkpoint = f"{base}/in", f"{base}/out", f"{base}/checkpoint"
     s = stream_session(spark)
@@ -43,6 +50,8 @@ def replay(spark: SparkSession, parts: Iterable[DataFrame], sink: Sink,
                  .option("checkpointLocation", checkpoint)
                  .trigger(availableNow=True).start())
         query.awaitTermination()
+        if done:
+            done(query)
     return out
 
 
