@@ -43,9 +43,12 @@ def is_relevant(module: Column, signal: Column) -> Column:
 
 
 def run_of(path: Column, extension: str) -> Column:
-    """Run name: the path element carrying the extension, without folder or column prefix.
-    The element may be one file or a folder of part files."""
-    return F.regexp_extract(path, rf"([^/=]+)\.{extension}(?:/|$)", 1)
+    """Run name: the path element with the extension, without folder or column prefix; null
+    where there is none. The element may be one file or a folder of part files. Evaluated for
+    every line of a log, hence plain string functions and no pattern."""
+    full, mark = F.concat(path, F.lit("/")), f".{extension}/"
+    name = F.substring_index(F.substring_index(full, mark, 1), "/", -1)
+    return F.when(full.contains(mark), F.substring_index(name, "=", -1))
 
 
 def scenario_of(run: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from slicewise import dims
 from slicewise.functions import scalars as S
-from slicewise.operators.quantiles import join_groups
+from slicewise.operators.joins import join_groups
 from slicewise.operators.series import CHUNK, over_frames
 
 # The features are addressed by name everywhere, never by position.

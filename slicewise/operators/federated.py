@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slicewise.operators.joins import join_groups
+
 PROXIMAL_MU = 0.01
 
 
@@ -99,7 +101,7 @@ def weighted_sample(windows: DataFrame, seed: int = 42) -> DataFrame:
     repeated a Poisson number of times with mean n * weight / sum of weights, so rows are
     drawn where they lie and nothing is sorted or collected."""
     total = windows.groupBy("slice").agg(F.count("*").alias("_n"), F.sum("weight").alias("_s"))
-    w = windows.join(total, "slice").withColumns({
+    w = join_groups(windows, total, ["slice"]).withColumns({
         "_lam": F.col("_n") * F.col("weight") / F.col("_s"), "_u": F.rand(seed)})
     return (w.withColumn("copies", F.when(F.col("_lam") > 500, F.greatest(F.lit(0), F.round(
         F.col("_lam") + F.sqrt("_lam") * F.randn(seed)).cast("int"))).otherwise(_poisson()))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slicewise import dims
 from slicewise.functions import naming, scalars as S
+from slicewise.operators.joins import join_groups
 from slicewise.operators.quantiles import exact_quantiles
 
 MEASURES = ["lat", "thr", "loss"]
@@ -130,7 +131,7 @@ def histogram(kpi: DataFrame, value: Column, bins: int) -> DataFrame:
     width = (F.col("hi") - F.col("lo")) / bins
     bin_no = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1)))
-    return (vals.join(ends, "slice")
+    return (join_groups(vals, ends, ["slice"])
             .groupBy("slice", bin_no.cast("bigint").alias("bin"))
             .agg(F.count("*").alias("n"), r6(F.min("lo")).alias("lo"),
                  r6(F.min("hi")).alias("hi")))

@@ -1,4 +1,4 @@
-"""Exact quantiles (linear interpolation) of groups of any size, and joins with small sides.
+"""Exact quantiles (linear interpolation) of groups of any size.
 
 The built-in exact aggregate keeps every distinct value of a group in one task. Here a sketch
 brackets each wanted rank, one pass counts the rows below each bracket, and only the rows
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slicewise.operators.joins import join_groups
+
 SKETCH = 10000
 MARGIN = 0.0005
 
@@ -64,20 +66,3 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column,
     value_at = F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_b.part")
     return picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_b.q") == n, value_at)).alias(n) for n in names])
-
-
-def join_groups(left: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach one row per group to the rows; without keys there is exactly one group."""
-    if keys:
-        return left.join(groups, keys)
-    one = F.lit(1).alias("_one")
-    return left.select("*", one).join(groups.select("*", one), "_one").drop("_one")
-
-
-def join_small(left: DataFrame, right: DataFrame, on: list[str],
-               max_rows: int = 5_000_000) -> DataFrame:
-    """Join with a side that is usually small: broadcast only after counting its rows (the
-    count stops at the bound), otherwise an ordinary join, whose skew Spark splits at run
-    time."""
-    fits = right.limit(max_rows + 1).count() <= max_rows
-    return left.join(F.broadcast(right) if fits else right, on)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from slicewise import dims
+from slicewise.operators.joins import join_groups
 from slicewise.operators.series import CHUNK, over_frames
 
 X_ROWS, Y_ROWS = dims.HISTORY, dims.HORIZON
@@ -103,7 +104,7 @@ def with_eval_windows(series: DataFrame, aligned: DataFrame) -> DataFrame:
     later steps are aggregations by (series, t).
     """
     a = aligned.withColumn("t0", first_window(F.col("common_len")))
-    j = series.join(a, ["scenario", "gnb"])
+    j = join_groups(series, a, ["scenario", "gnb"])
     # windows t = t0 + 15 w with t - 60 <= pos < t + 15 and t + 15 <= common length
     first = F.greatest(F.lit(0), F.floor((F.col("pos") - F.col("t0")) / Y_ROWS))
     last = F.least(F.floor((F.col("pos") + X_ROWS - F.col("t0")) / Y_ROWS),

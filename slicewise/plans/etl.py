@@ -40,9 +40,14 @@ def kpi_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_positions(landed(kpi_base(spark, sf_dir), "kpi"), SERIES)
 
 
-def full_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All KPI columns with their position in the series."""
-    return with_positions(landed(kpi_full(spark, sf_dir), "kpi"), SERIES)
+def full_series(spark: SparkSession, sf_dir: str, labelled: bool = False) -> DataFrame:
+    """All measures with their position in the series; the look-ahead label where asked."""
+    if labelled:
+        kpi = kpi_full(spark, sf_dir)
+    else:
+        b = landed(buckets(spark, sf_dir), "buckets")
+        kpi = K.rounded(K.fill_jitter(K.kpi_formulas(b)))
+    return with_positions(landed(kpi, "kpi"), SERIES)
 
 
 def long_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,9 +19,9 @@ from slicewise.sources import kpi_files as KF
 from slicewise.sources import signal_log as SL
 
 
-def write_logs(spark: SparkSession, sf_dir: str) -> str:
-    """Signal and scalar logs of every run, one folder of part files per run and kind. Vector
-    ids repeat between runs."""
+def write_signal_logs(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """Signal logs of every run, one folder of part files per run. Vector ids repeat between
+    runs."""
     s = X.raw_samples(spark, sf_dir)
     number = sum(F.when(F.col("signal") == name, i).otherwise(0) for i, name in enumerate(
         ["cbrSentPkt", "cbrRcvdPkt", "cbrReceivedBytes", "cbrFrameDelay", "cbrJitter"]))
@@ -34,20 +34,26 @@ def write_logs(spark: SparkSession, sf_dir: str) -> str:
     data = s.select("run", F.concat_ws("\t", "vec_id", F.col("event_id").cast("string"),
                                        F.col("t").cast("string"), F.col("v").cast("string"))
                     .alias("line"))
-    path = work_dir(spark, "logs")
     lines = decl.unionByName(data).select("line", F.concat("run", F.lit(".vec")).alias("log"))
-    lines.write.partitionBy("log").text(path + "/signals")
-    sums = s.groupBy("run", "module", "signal").agg(F.count("*").alias("n"))
-    scalars = sums.select(F.concat("run", F.lit(".sca")).alias("log"), F.concat(
+    lines.write.partitionBy("log").text(f"{path}/signals")
+    return f"{path}/signals"
+
+
+def write_scalar_logs(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """Scalar logs of the first scenario's runs; some values are not numbers."""
+    sums = X.raw_samples(spark, sf_dir).groupBy("run", "module", "signal").agg(
+        F.count("*").alias("n"))
+    lines = sums.select(F.concat("run", F.lit(".sca")).alias("log"), F.concat(
         F.lit("scalar "), "module", F.lit(" "), "signal", F.lit(":count "),
         F.when(F.col("n") == 3, "nan").otherwise(F.col("n").cast("string"))).alias("line"))
-    scalars.filter(~F.col("log").startswith("S1")).write.partitionBy("log").text(path + "/scalars")
-    return path
+    lines.filter(~F.col("log").startswith("S1")).write.partitionBy("log").text(f"{path}/scalars")
+    return f"{path}/scalars"
 
 
 @query
 def scan_signal_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decl, samples = SL.land_signal_log(spark, write_logs(spark, sf_dir) + "/signals")
+    logs = write_signal_logs(spark, sf_dir, work_dir(spark, "logs"))
+    decl, samples = SL.land_signal_log(spark, logs)
     d = decl.groupBy("run", "signal").agg(F.count("*").alias("n_vectors"))
     v = SL.attach_keys(samples, decl).groupBy("run", "signal").agg(
         F.count("*").alias("n_samples"), F.round(F.sum("v"), 2).alias("v_sum"),
@@ -57,7 +63,8 @@ def scan_signal_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def relevant_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decl, _ = SL.scan_signal_log(spark, write_logs(spark, sf_dir) + "/signals")
+    logs = write_signal_logs(spark, sf_dir, work_dir(spark, "logs"))
+    decl, _ = SL.scan_signal_log(spark, logs)
     return SL.relevant_vectors(decl).groupBy("scenario", "slice", "gnb", "signal").agg(
         F.count("*").alias("n_vectors"))
 
@@ -65,7 +72,8 @@ def relevant_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def samples_with_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain from text to buckets: scan, filter, join, aggregate."""
-    decl, samples = SL.land_signal_log(spark, write_logs(spark, sf_dir) + "/signals")
+    logs = write_signal_logs(spark, sf_dir, work_dir(spark, "logs"))
+    decl, samples = SL.land_signal_log(spark, logs)
     keyed = SL.attach_keys(samples, SL.relevant_vectors(decl))
     b = K.kpi_buckets(keyed, delay_scale=1.0)
     return b.select(*K.RUN_KEYS, "tick", "mean_delay_ms", "mean_jitter_ms", "bytes_received",
@@ -74,12 +82,16 @@ def samples_with_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scan_scalar_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SL.scalar_totals(SL.scan_scalar_log(spark, write_logs(spark, sf_dir) + "/scalars"))
+    logs = write_scalar_logs(spark, sf_dir, work_dir(spark, "logs"))
+    return SL.scalar_totals(SL.scan_scalar_log(spark, logs))
 
 
 @query
 def run_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = SL.run_catalog(spark, write_logs(spark, sf_dir))
+    path = work_dir(spark, "logs")
+    write_signal_logs(spark, sf_dir, path)
+    write_scalar_logs(spark, sf_dir, path)
+    c = SL.run_catalog(spark, path)
     return c.select("run", "scenario", "has_scalars")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +12,10 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    """Register a query under its function name."""
-    QUERIES[fn.__name__] = fn
-    return fn
+    """Register a query under its function name. Registered queries read times as UTC."""
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+    QUERIES[fn.__name__] = run
+    return run

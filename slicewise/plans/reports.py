@@ -121,7 +121,7 @@ def scenario_violation_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def combined_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Original and generated rows together, reported per scenario and slice."""
-    s = landed(full_series(spark, sf_dir), "series")
+    s = landed(full_series(spark, sf_dir, labelled=True), "series")
     both = SC.combined(s.drop("series_len"), generated(spark, sf_dir, s))
     return both.groupBy("scenario", "slice").agg(
         F.count("*").alias("n_rows"), F.countDistinct("gnb").alias("n_cells"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicewise.functions import naming
-from slicewise.operators.quantiles import join_small
+from slicewise.operators.joins import join_small
 from slicewise.sinks.tables import landed
 
 
@@ -15,7 +15,7 @@ def _lines(spark: SparkSession, path: str, extension: str) -> DataFrame:
     named ``<run>.<extension>``."""
     return (spark.read.option("recursiveFileLookup", "true").text(path)
             .select("value", naming.run_of(F.col("_metadata.file_path"), extension).alias("run"))
-            .filter(F.col("run") != ""))
+            .filter("run IS NOT NULL"))
 
 
 def scan_signal_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -31,16 +31,17 @@ def scan_signal_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 def _parsed(spark: SparkSession, path: str) -> DataFrame:
     """Declarations and samples of the log in one table, told apart by ``kind``."""
     text = F.col("value")
-    w, f = F.split(F.trim("value"), r"\s+"), F.split("value", "\t")
+    cut = _lines(spark, path, "vec").select(
+        "run", F.when(text.startswith("vector "), F.split(F.trim(text), r"\s+")).alias("w"),
+        F.when(text.substr(1, 1).between("0", "9"), F.split(text, "\t")).alias("f"))
+    w, f = F.col("w"), F.col("f")
     t, v = _number(F.get(f, F.lit(2))), _number(F.get(f, F.lit(3)))
-    is_decl = text.startswith("vector ") & (F.size(w) >= 4)
-    is_sample = text.substr(1, 1).between("0", "9") & t.isNotNull() & v.isNotNull()
-    kind = F.when(is_decl, "declaration").when(is_sample, "sample")
-    return (_lines(spark, path, "vec").withColumn("kind", kind).filter("kind IS NOT NULL").select(
-        "run", "kind", F.when(is_decl, F.get(w, F.lit(1))).otherwise(f[0]).alias("vec_id"),
-        F.when(is_decl, F.get(w, F.lit(2))).alias("module"),
-        F.when(is_decl, F.substring_index(F.get(w, F.lit(3)), ":", 1)).alias("signal"),
-        F.when(is_sample, t).alias("t"), F.when(is_sample, v).alias("v")))
+    kind = F.when(F.size(w) >= 4, "declaration").when(t.isNotNull() & v.isNotNull(), "sample")
+    return cut.select(
+        "run", kind.alias("kind"), F.coalesce(F.get(w, F.lit(1)), F.get(f, F.lit(0))).alias("vec_id"),
+        F.get(w, F.lit(2)).alias("module"),
+        F.substring_index(F.get(w, F.lit(3)), ":", 1).alias("signal"),
+        t.alias("t"), v.alias("v")).filter("kind IS NOT NULL")
 
 
 def split_parts(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -106,11 +107,11 @@ def run_catalog(spark: SparkSession, path: str, prefix: str | None = None) -> Da
     files only: the content column of the listing is never read."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
              .select("path"))
-    runs = files.select(naming.run_of(F.col("path"), "vec").alias("run")).filter("run <> ''")
+    runs = files.select(naming.run_of(F.col("path"), "vec").alias("run")).filter("run IS NOT NULL")
     if prefix:
         runs = runs.filter(F.col("run").startswith(prefix))
     runs = runs.groupBy("run").agg(F.count("*").alias("n_files"))
-    sca = (files.select(naming.run_of(F.col("path"), "sca").alias("run")).filter("run <> ''")
+    sca = (files.select(naming.run_of(F.col("path"), "sca").alias("run")).filter("run IS NOT NULL")
            .distinct().withColumn("has_scalars", F.lit(True)))
     return (runs.join(sca, "run", "left")
             .select("run", naming.scenario_of(F.col("run")).alias("scenario"), "n_files",

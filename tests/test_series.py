@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from slicewise.operators import kpi as K
 from slicewise.operators import features as FE
-from slicewise.operators.quantiles import exact_quantiles, join_small
+from slicewise.operators.joins import join_small
+from slicewise.operators.quantiles import exact_quantiles
 from slicewise.operators.series import last_rows, over_frames, running_sums, with_positions
 
 KEYS = ["run", "scenario", "slice", "gnb"]
