@@ -60,10 +60,10 @@ def dataset_profile(kpi: DataFrame) -> DataFrame:
         .alias("slices"))
 
 
-def describe(kpi: DataFrame, keys: list[str]) -> DataFrame:
+def describe(kpi: DataFrame, keys: list[str], measures: list[str] | None = None) -> DataFrame:
     """Count, mean, spread, extremes and quartiles of each measure, per group and overall."""
     long = kpi.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in MEASURES]))
+        F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in measures or MEASURES]))
         .alias("m")).select(*keys, "m.*")
     # the overall rows are one more group level beside each group
     both = long.withColumn("level", F.explode(F.array(F.lit("group"), F.lit("all"))))
@@ -97,6 +97,11 @@ def label_pivot(kpi: DataFrame, value: Column, name: str = "value") -> DataFrame
             .groupBy("scenario").pivot("label", labels).agg(value.alias(name)))
 
 
+def slice_pivot(kpi: DataFrame, by: str, value: Column) -> DataFrame:
+    """One column per slice."""
+    return kpi.groupBy(by).pivot("slice", dims.SLICES).agg(value)
+
+
 def loss_class(loss: Column) -> Column:
     out = F
     for bound, name in LOSS_CLASSES:
@@ -113,6 +118,15 @@ def loss_classes(kpi: DataFrame) -> DataFrame:
         "slice", "loss_class", "n", r6(F.col("n") / F.col("all_n") * 100).alias("pct"))
 
 
+def loss_class_table(kpi: DataFrame) -> DataFrame:
+    """Rows per slice with one column per loss class, 0 where a class is empty."""
+    names = [n for _, n in LOSS_CLASSES]
+    codes = [n.split(" ")[0] for n in names]
+    t = (kpi.withColumn("c", F.substring_index(loss_class(F.col("loss")), " ", 1))
+         .groupBy("slice").pivot("c", codes).agg(F.count(F.lit(1))))
+    return t.select("slice", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in codes])
+
+
 def correlations(kpi: DataFrame) -> DataFrame:
     """Correlation of log latency, throughput and loss per slice, as rows."""
     v = {"log_latency": F.log1p("lat"), "throughput": F.col("thr"), "loss": F.col("loss")}

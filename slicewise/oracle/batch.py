@@ -135,3 +135,18 @@ SELECT pos, tick, lat, loss FROM kpi_pos
 WHERE slice = 'URLLC' AND gnb = 'Commerce' AND scenario = 'S1'""")
 oracle("series_min_length", """
 SELECT scenario, gnb, slice, count(*) AS n_ticks FROM kpi_rows GROUP BY ALL HAVING count(*) >= 75""")
+
+oracle("loss_class_table", "SELECT slice, " + ", ".join(
+    f"count(*) FILTER (loss >= {a} AND loss < {b}) AS \"{n}\"" for a, b, n in [
+        (-1e9, 2, "0_zero"), (2, 15, "1_low"), (15, 50, "2_moderate"), (50, 80, "3_high"),
+        (80, 1e9, "4_extreme")]) + " FROM kpi_rows GROUP BY slice")
+oracle("latency_violation_heatmap", "SELECT scenario, " + ", ".join(
+    f"round(avg(CASE WHEN gnb = '{g}' AND slice = '{s}' THEN CASE WHEN lat > lat_max THEN 1.0 ELSE 0.0 END END) * 100, 6)"
+    f" AS \"{g}_{s}\"" for g in ("Macro", "Commerce", "Industrie") for s in ("eMBB", "URLLC", "mMTC"))
+    + " FROM kpi_rows GROUP BY scenario")
+oracle("latency_max_table", "SELECT scenario, " + ", ".join(
+    f"max(CASE WHEN slice = '{s}' THEN lat END) AS \"{s}\"" for s in ("eMBB", "URLLC", "mMTC"))
+    + " FROM kpi_rows GROUP BY scenario")
+oracle("mean_loss_table", "SELECT gnb, " + ", ".join(
+    f"round(avg(CASE WHEN slice = '{s}' THEN loss END), 6) AS \"{s}\"" for s in ("eMBB", "URLLC", "mMTC"))
+    + " FROM kpi_rows GROUP BY gnb")

@@ -269,3 +269,14 @@ SELECT slice, n, CASE WHEN n > 10 AND sd > 0 AND NOT isnan(r) THEN round(r, 6) E
        CASE WHEN n > 10 AND sd > 0 THEN round(mae, 6) END AS mae
 FROM (SELECT slice, count(*) AS n, corr(p_real, p_pred) AS r, avg(abs(p_pred - p_real)) AS mae,
              stddev_pop(p_real) AS sd FROM loop_long GROUP BY slice)""")
+oracle("describe_load", """
+SELECT s AS slice, 'rho' AS measure, count(rho) AS n, round(avg(rho), 6) AS mean,
+       round(stddev_samp(rho), 6) AS std, min(rho) AS min, max(rho) AS max,
+       round(quantile_cont(rho, 0.25), 6) AS q25, round(quantile_cont(rho, 0.5), 6) AS q50,
+       round(quantile_cont(rho, 0.75), 6) AS q75
+FROM loads_block, unnest([slice, '*']) u(s) GROUP BY s""")
+oracle("load_by_scenario", "SELECT scenario, " + ", ".join(
+    f"round(avg(rho_{s}), 6) AS \"{s}\"" for s in SLICES) + " FROM loop_wide GROUP BY scenario")
+oracle("reduction_matrix", "SELECT slice, " + ", ".join(
+    f"max(CASE WHEN gnb = '{g}' THEN reduction_pct END) AS \"{g}\""
+    for g in ("Macro", "Commerce", "Industrie")) + f" FROM ({reduction(False)}) GROUP BY slice")

@@ -95,3 +95,53 @@ FROM (SELECT *, row_number() OVER (PARTITION BY scenario, gnb, slice ORDER BY pe
              count(*) OVER (PARTITION BY scenario, gnb, slice) AS n
       FROM (SELECT scenario, gnb, slice, tick // 15 AS period, avg(ln(1 + lat)) AS y
             FROM li_kpi GROUP BY scenario, gnb, slice, tick // 15)) WHERE rank < n""")
+
+# The learner as a recursion over steps: the newest eight samples enter through their sums.
+cte("learn_periods", """
+SELECT *, row_number() OVER w AS rank, count(*) OVER (PARTITION BY scenario, gnb, slice) AS n,
+       lag(y) OVER w AS l, lag(t) OVER w AS tp
+FROM (SELECT scenario, gnb, slice, tick // 15 AS period, avg(ln(1 + lat)) AS y, avg(thr) / 10 AS t
+      FROM li_kpi GROUP BY scenario, gnb, slice, tick // 15)
+WINDOW w AS (PARTITION BY scenario, gnb, slice ORDER BY period)""")
+_terms = {"sl": "l", "st": "tp", "sy": "y", "sll": "l * l", "slt": "l * tp", "stt": "tp * tp",
+          "sly": "l * y", "sty": "tp * y", "syy": "y * y"}
+cte("learn_sums", "SELECT scenario, gnb, slice, period, rank - 8 AS step, rank, n, " + ", ".join(
+    f"sum({e}) OVER w AS {k}" for k, e in _terms.items()) + """
+FROM learn_periods WHERE rank > 1
+WINDOW w AS (PARTITION BY scenario, gnb, slice ORDER BY period ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)""")
+LEARN = """
+WITH RECURSIVE run AS (
+  SELECT scenario, gnb, slice, CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS period,
+         CAST(NULL AS DOUBLE) AS loss, CAST(0 AS DOUBLE) AS w0, CAST(0 AS DOUBLE) AS w1, CAST(0 AS DOUBLE) AS w2
+  FROM (SELECT DISTINCT scenario, gnb, slice FROM learn_sums)
+  UNION ALL
+  SELECT scenario, gnb, slice, step, period, loss, w0 - 1e-5 * g0 / greatest(norm, 1),
+         w1 - 1e-5 * g1 / greatest(norm, 1), w2 - 1e-5 * g2 / greatest(norm, 1)
+  FROM (SELECT *, sqrt(g0 * g0 + g1 * g1 + g2 * g2) AS norm
+        FROM (SELECT s.scenario, s.gnb, s.slice, s.step, s.period, w0, w1, w2,
+               (8 * w0 + sl * w1 + st * w2 - sy) / 4 AS g0,
+               (sl * w0 + sll * w1 + slt * w2 - sly) / 4 AS g1,
+               (st * w0 + slt * w1 + stt * w2 - sty) / 4 AS g2,
+               (syy - 2 * (w0 * sy + w1 * sly + w2 * sty) + 8 * w0 * w0 + sll * w1 * w1 + stt * w2 * w2
+                + 2 * (sl * w0 * w1 + st * w0 * w2 + slt * w1 * w2)) / 8 AS loss
+              FROM run JOIN learn_sums s ON s.scenario = run.scenario AND s.gnb = run.gnb
+                AND s.slice = run.slice AND s.step = run.step + 1 AND s.rank > 8 AND s.rank < s.n)))
+SELECT * FROM run WHERE step > 0"""
+cte("learned_steps", LEARN)
+oracle("stream_online_update", """
+SELECT scenario, gnb, slice, period, step, round(loss, 9) AS loss, round(w0, 12) AS w0,
+       round(w1, 12) AS w1, round(w2, 12) AS w2 FROM learned_steps""")
+oracle("stream_federated_round", """
+SELECT scenario, slice, step, CAST(i AS BIGINT) AS idx,
+       round(avg(CASE i WHEN 0 THEN w0 WHEN 1 THEN w1 ELSE w2 END), 12) AS value, count(*) AS n_cells
+FROM learned_steps, range(3) t(i) WHERE slice = 'eMBB' AND step % 5 = 0 GROUP BY ALL""")
+oracle("online_loss_trend", """
+SELECT scenario, gnb, slice, step, round(avg(loss) OVER (PARTITION BY scenario, gnb, slice ORDER BY step
+       ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 9) AS loss_5 FROM learned_steps""")
+oracle("online_loss_halves", """
+SELECT scenario, gnb, slice, n_steps, round(avg(loss) FILTER (step <= n_steps // 2), 9) AS first_half,
+       round(avg(loss) FILTER (step > n_steps // 2), 9) AS second_half,
+       round(avg(loss) FILTER (step <= 20), 9) AS first_20,
+       round(avg(loss) FILTER (step > n_steps - 20), 9) AS last_20
+FROM (SELECT *, max(step) OVER (PARTITION BY scenario, gnb, slice) AS n_steps FROM learned_steps)
+GROUP BY scenario, gnb, slice, n_steps""")

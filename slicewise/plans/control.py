@@ -11,7 +11,7 @@ from slicewise.operators import closed_loop as CL
 from slicewise.operators import forecast as FC
 from slicewise.operators import load as L
 from slicewise.operators.features import base_features
-from slicewise.operators.profile import r6
+from slicewise.operators.profile import describe, r6, slice_pivot
 from slicewise.operators.series import with_positions
 from slicewise.plans.etl import SERIES, kpi_base, kpi_series, long_kpi
 from slicewise.plans.profiling import block_scenario
@@ -69,6 +69,12 @@ def load_points(spark: SparkSession, sf_dir: str) -> DataFrame:
                    ("fraction_lost", "throughput_mean", "capacity", "rho", "offered")])
 
 
+@query
+def describe_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distribution of the loads per slice and overall."""
+    return describe(landed(block_loads(spark, sf_dir), "points"), ["slice"], ["rho"])
+
+
 @query
 def calibrate_loss_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = landed(block_loads(spark, sf_dir), "points")
@@ -183,6 +189,20 @@ def sla_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CL.sla_reduction(loop_results(spark, sf_dir))
 
 
+@query
+def load_by_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean predicted load per scenario, one column per slice."""
+    loads = CL.by_slice(loop_results(spark, sf_dir), "rho")
+    return slice_pivot(loads, "scenario", r6(F.avg("rho")))
+
+
+@query
+def reduction_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reduction of the violation share, slices by cells."""
+    red = CL.sla_reduction(loop_results(spark, sf_dir))
+    return red.groupBy("slice").pivot("gnb", dims.CELLS).agg(F.max("reduction_pct"))
+
+
 @query
 def sla_reduction_online(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CL.sla_reduction(loop_results(spark, sf_dir), online=True)

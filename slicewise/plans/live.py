@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
 from slicewise import dims
 from slicewise.operators import live as L
+from slicewise.operators.joins import join_groups
 from slicewise.operators.profile import r6
+from slicewise.operators.series import over_frames
 from slicewise.plans.etl import SERIES, kpi_base
 from slicewise.plans.profiling import block_scenario
 from slicewise.plans.registry import query
@@ -125,6 +127,34 @@ def stream_replay_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
         r6(F.when(~F.isnan("batch_lat_log"), F.col("batch_lat_log"))).alias("batch_lat_log"))
 
 
+def online_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(learned(spark, sf_dir)).filter("step > 0")
+
+
+@query
+def online_loss_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trailing mean of the last five training losses per series."""
+    def cols(w: WindowSpec) -> dict[str, Column]:
+        return {"loss_5": F.round(F.avg("loss").over(w.rowsBetween(-4, 0)), 9)}
+    out = over_frames(online_steps(spark, sf_dir), SERIES, "step", cols, before=4)
+    return out.select(*SERIES, "step", "loss_5")
+
+
+@query
+def online_loss_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean training loss of the first and second half and of the first and last 20 steps."""
+    u = online_steps(spark, sf_dir)
+    n = u.groupBy(*SERIES).agg(F.max("step").alias("n_steps"))
+    s, last = F.col("step"), F.col("n_steps")
+    mid = F.floor(last / 2)
+
+    def mean(cond: Column, name: str) -> Column:
+        return F.round(F.avg(F.when(cond, F.col("loss"))), 9).alias(name)
+    return join_groups(u, n, SERIES).groupBy(*SERIES, "n_steps").agg(
+        mean(s <= mid, "first_half"), mean(s > mid, "second_half"),
+        mean(s <= 20, "first_20"), mean(s > last - 20, "last_20"))
+
+
 @query
 def stream_online_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = spark.read.parquet(learned(spark, sf_dir)).filter("ready")

@@ -57,6 +57,27 @@ def loss_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.loss_classes(kpi_base(spark, sf_dir))
 
 
+@query
+def loss_class_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.loss_class_table(kpi_base(spark, sf_dir))
+
+
+@query
+def latency_violation_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late = F.round(F.avg((F.col("lat") > F.col("lat_max")).cast("double")) * 100, 6)
+    return P.label_pivot(kpi_base(spark, sf_dir), late)
+
+
+@query
+def latency_max_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.slice_pivot(kpi_base(spark, sf_dir), "scenario", F.max("lat"))
+
+
+@query
+def mean_loss_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.slice_pivot(kpi_base(spark, sf_dir), "gnb", P.r6(F.avg("loss")))
+
+
 @query
 def kpi_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.correlations(kpi_base(spark, sf_dir))

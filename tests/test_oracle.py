@@ -31,8 +31,7 @@ def test_query_equals_sql(spark, con, name):
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     no_sql = set(entry.queries()) - set(entry.oracle_sql())
-    assert no_sql == {"federated_fit", "forecast_huber", "random_split", "stream_federated_round",
-                      "stream_online_update", "weighted_sample"}
+    assert no_sql == {"federated_fit", "forecast_huber", "random_split", "weighted_sample"}
 
 
 def test_entry(spark):

@@ -131,3 +131,16 @@ def test_noise_follows_the_value(spark):
     out = SC.blend(z, F.lit(0.5), noise=0.02, chunk=256).toPandas()
     assert out["lat"].std() == pytest.approx(1.0, rel=0.1)
     assert out["loss"].between(0, 100).all() and out["lat"].mean() == pytest.approx(50, abs=0.1)
+
+
+def test_throughput_falls_back_to_the_reported_rate(spark):
+    s = spark.createDataFrame(
+        [("r", "r", "eMBB", "Macro", 0.1, sig, v) for sig, v in
+         (("cbrReceivedThroughput", 4e6), ("cbrGeneratedThroughput", 8e6))]
+        + [("r", "r", "eMBB", "Macro", 2.1, "cbrReceivedBytes", 250000.0)],
+        "run string, scenario string, slice string, gnb string, t double, signal string, v double")
+    k = {r["tick"]: r["thr"] for r in K.kpi_formulas(K.kpi_buckets(s)).collect()}
+    assert k == {0: 6.0, 2: 2.0}
+    # a bucket twice as wide halves the rate of the same bytes
+    k = {r["tick"]: r["thr"] for r in K.kpi_formulas(K.kpi_buckets(s, 2.0), 2.0).collect()}
+    assert k == {0: 6.0, 1: 1.0}

@@ -127,3 +127,14 @@ def test_weighted_sample_follows_the_weights(spark):
     rep = FD.split_parts(w, ["slice", "start"])
     assert rep.filter("part = 'train'").count() / 4000 == pytest.approx(0.85, abs=0.03)
     assert rep.exceptAll(FD.split_parts(w.repartition(7), ["slice", "start"])).count() == 0
+
+
+def test_huber_ignores_outliers(spark):
+    from slicewise.operators.forecast import huber_fit
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"a": rng.normal(size=400), "b": rng.normal(size=400)})
+    pdf["y"] = 1 + 2 * pdf["a"] - pdf["b"] + rng.normal(size=400) * 0.05
+    dirty = pdf.copy()
+    dirty.loc[::20, "y"] += 500.0
+    out = huber_fit(spark.createDataFrame(dirty), spark.createDataFrame(pdf), ["a", "b"], "y")
+    assert out.select(F.avg(F.abs(F.col("pred") - F.col("y")))).collect()[0][0] < 0.2
