@@ -46,7 +46,7 @@ FROM (SELECT DISTINCT scenario FROM predictive_fits) k CROSS JOIN facts g
 LEFT JOIN predictive_p f ON f.scenario = k.scenario AND f.gnb = g.gnb AND f.slice = g.slice""")
 oracle("live_stream_scan", """
 SELECT scenario, gnb, slice, count(*) AS n_rows, CAST(max(tick) AS DOUBLE) AS last_time,
-       round(avg(lat), 6) AS mean_lat, CAST(sum(b.packets_received) AS BIGINT) AS packets
+       round(avg(lat), 9) AS mean_lat, CAST(sum(b.packets_received) AS BIGINT) AS packets
 FROM kpi_rows JOIN kpi_buckets b USING (run, scenario, slice, gnb, tick) GROUP BY scenario, gnb, slice""")
 oracle("stream_tumbling_kpi", """
 SELECT scenario, gnb, slice, (tick // 15) * 15 AS period_start, count(*) AS n_rows,

@@ -40,15 +40,15 @@ oracle("scaler_fit", "SELECT slice, feature, round(avg(v), 6) AS mean, "
                             for c in ALL) + ") GROUP BY slice, feature")
 oracle("scaler_transform", """
 SELECT scenario, gnb, slice, tick, """ + ", ".join(
-    f"round(({c} - avg({c}) OVER s) / stddev_pop({c}) OVER s, 5) AS z_{c}, round({c}, 5) AS back_{c}"
+    f"round(({c} - avg({c}) OVER s) / stddev_pop({c}) OVER s, 5) AS z_{c}, round({c}, 6) AS back_{c}"
     for c in ("thr", "lat_log", "loss")) + """
 FROM (SELECT *, ln(1 + least(greatest(lat, 0), 600000)) AS lat_log FROM li_kpi)
 WINDOW s AS (PARTITION BY slice)""")
 oracle("sequence_windows", """
 SELECT scenario, gnb, slice, pos - 59 AS start, xn AS x_rows, yn AS y_rows,
        round(x0, 6) AS x_first_lat_log, round(lat_log, 6) AS x_last_lat_log,
-       round(xt, 5) AS x_thr, round(xv, 5) AS x_lat_vol, round(yt, 5) AS y_thr,
-       round(yl, 5) AS y_lat_log, round(yloss, 5) AS y_loss
+       round(xt, 6) AS x_thr, round(xv, 6) AS x_lat_vol, round(yt, 6) AS y_thr,
+       round(yl, 6) AS y_lat_log, round(yloss, 6) AS y_loss
 FROM (SELECT *, count(*) OVER x AS xn, count(*) OVER y AS yn, first_value(lat_log) OVER x AS x0,
              sum(thr) OVER x AS xt, sum(lat_log_vol) OVER x AS xv, sum(thr) OVER y AS yt,
              sum(lat_log) OVER y AS yl, sum(loss) OVER y AS yloss

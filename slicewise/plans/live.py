@@ -60,7 +60,7 @@ def live_stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = RP.replay(spark, arrivals(live(spark, sf_dir), CUTS), RP.to_files, fmt="csv")
     return spark.read.parquet(out).groupBy(*SERIES).agg(
         F.count("*").alias("n_rows"), F.max("simtime_s").alias("last_time"),
-        r6(F.avg("avg_latency_ms")).alias("mean_lat"), F.sum("pkt_count").alias("packets"))
+        F.round(F.avg("avg_latency_ms"), 9).alias("mean_lat"), F.sum("pkt_count").alias("packets"))
 
 
 @query

@@ -81,7 +81,7 @@ def scaler_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
                            FE.TARGETS, inverse=True)
     return back.select(*SERIES, "tick", *[F.round(f"z_{c}", 5).alias(f"z_{c}")
                                           for c in FE.TARGETS],
-                       *[F.round(c, 5).alias(f"back_{c}") for c in FE.TARGETS])
+                       *[r6(F.col(c)).alias(f"back_{c}") for c in FE.TARGETS])
 
 
 @query
@@ -90,7 +90,7 @@ def sequence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.sequence_windows(featured(spark, sf_dir), SERIES, FE.ALL, FE.TARGETS)
 
     def total(arr: str, field: str):
-        return F.round(F.aggregate(arr, F.lit(0.0), lambda a, e: a + e[field]), 5)
+        return r6(F.aggregate(arr, F.lit(0.0), lambda a, e: a + e[field]))
     return w.select(
         *SERIES, "start", F.size("x").cast("bigint").alias("x_rows"),
         F.size("y").cast("bigint").alias("y_rows"),
