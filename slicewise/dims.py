@@ -91,10 +91,6 @@ def unit_dim(spark: SparkSession) -> DataFrame:
             .withColumn("capacity", F.col("units_default") * F.col("unit_rate")))
 
 
-def curve_dim(spark: SparkSession) -> DataFrame:
-    return unit_dim(spark).select("gnb", "slice", "curve_k", "curve_rho")
-
-
 def limit_dim(spark: SparkSession, profile: str) -> DataFrame:
     rows = [r[1:] for r in LIMITS if r[0] == profile]
     return inline_table(spark, ["slice", "thr_min", "lat_max", "loss_max"], rows)

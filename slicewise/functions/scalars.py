@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from slicewise import dims
 
 
-def num(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(float(x))
-
-
 def clip(x: Column, lo: float, hi: float | None = None) -> Column:
     low = F.greatest(x, F.lit(float(lo)))
     return low if hi is None else F.least(low, F.lit(float(hi)))

@@ -21,7 +21,8 @@ def eval_rows(series: DataFrame, kpi: DataFrame | None = None) -> DataFrame:
     positions, where that is at hand."""
     s = base_features(series)
     lim = dims.limit_dim(s.sparkSession, "detect").select("slice", F.col("lat_max").alias("_m"))
-    rows = with_eval_windows(s, aligned_cells(series_lengths(s if kpi is None else kpi, SERIES))).join(lim, "slice")
+    lengths = series_lengths(s if kpi is None else kpi, SERIES)
+    rows = with_eval_windows(s, aligned_cells(lengths)).join(lim, "slice")
     late = F.col("lat") > S.relaxed_latency_limit(F.col("slice"), F.col("_m"))
     return rows.withColumn("late", late.cast("double")).drop("_m")
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from slicewise import dims
 from slicewise.functions import scalars as S
 from slicewise.operators.joins import join_groups
 from slicewise.operators.series import CHUNK, over_frames
@@ -81,5 +80,3 @@ def apply_scaler(rows: DataFrame, scaler: DataFrame, columns: list[str],
     out = {c: (F.col(c) * F.col(f"s_{c}") + F.col(f"m_{c}")) if inverse
            else (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") for c in columns}
     return j.withColumns(out).drop(*[f"{p}_{c}" for c in columns for p in "ms"])
-
-

@@ -58,7 +58,8 @@ def dim_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = kpi_base(spark, sf_dir).groupBy("gnb", "slice").agg(F.count("*").alias("n_rows"))
     return n.join(d, ["gnb", "slice"]).join(total, "gnb").select(
         "gnb", "slice", "n_rows", F.col("units_default").cast("bigint").alias("units_default"),
-        F.col("budget").cast("bigint").alias("budget"), "unit_rate", r6(F.col("capacity")).alias("capacity"),
+        F.col("budget").cast("bigint").alias("budget"), "unit_rate",
+        r6(F.col("capacity")).alias("capacity"),
         (F.col("units_all") == F.col("budget")).alias("budget_met"))
 
 
@@ -78,7 +79,8 @@ def describe_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def calibrate_loss_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = landed(block_loads(spark, sf_dir), "points")
-    return L.calibrate(pts).select("gnb", "slice", "curve_k", "curve_rho", r6(F.col("sse")).alias("sse"))
+    return L.calibrate(pts).select("gnb", "slice", "curve_k", "curve_rho",
+                                   r6(F.col("sse")).alias("sse"))
 
 
 @query
@@ -89,7 +91,8 @@ def cost_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cost_table_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = A.cost_rows(block_loads(spark, sf_dir), live=True).filter(F.col("n") >= F.col("units_floor"))
+    c = A.cost_rows(block_loads(spark, sf_dir), live=True)
+    c = c.filter(F.col("n") >= F.col("units_floor"))
     return c.select(*SERIES, F.col("n").cast("bigint").alias("n"), r6(F.col("cost")).alias("cost"))
 
 
@@ -147,8 +150,8 @@ def forecast_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def forecast_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = loop_loads(spark, sf_dir)
-    return f.select(*SERIES, "t", r6(F.col("rho")).alias("rho"), r6(F.col("p_pred")).alias("p_pred"),
-                    F.round("lat_pred", 4).alias("lat_pred"))
+    return f.select(*SERIES, "t", r6(F.col("rho")).alias("rho"),
+                    r6(F.col("p_pred")).alias("p_pred"), F.round("lat_pred", 4).alias("lat_pred"))
 
 
 @query

@@ -97,8 +97,9 @@ def generated(spark: SparkSession, sf_dir: str, series: DataFrame | None = None)
 
 
 def _published(b: DataFrame) -> DataFrame:
-    return b.select("scenario", "gnb", "slice", "pos", *[F.round(c, 6).alias(c) for c in SC.BLENDED],
-                    "sla_ok", "ok_ahead", "violated_ahead")
+    values = [F.round(c, 6).alias(c) for c in SC.BLENDED]
+    return b.select("scenario", "gnb", "slice", "pos", *values, "sla_ok", "ok_ahead",
+                    "violated_ahead")
 
 
 @query

@@ -33,7 +33,8 @@ def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     v = F.when(kind == "purchase", F.round(F.col("value") * 100000)).otherwise(F.col("value"))
     return table(spark, sf_dir, "events").select(
-        "event_id", "user_id", scenario.alias("scenario"), F.concat(scenario, F.lit("-0")).alias("run"),
+        "event_id", "user_id", scenario.alias("scenario"),
+        F.concat(scenario, F.lit("-0")).alias("run"),
         _choose(cell, ["Macro", "Commerce", "Industrie"]).alias("gnb"),
         _choose(user % 3, ["eMBB", "URLLC", "mMTC"]).alias("slice"),
         F.when(kind == "click", client).otherwise(server).alias("module"),

@@ -38,7 +38,8 @@ def _parsed(spark: SparkSession, path: str) -> DataFrame:
     t, v = _number(F.get(f, F.lit(2))), _number(F.get(f, F.lit(3)))
     kind = F.when(F.size(w) >= 4, "declaration").when(t.isNotNull() & v.isNotNull(), "sample")
     return cut.select(
-        "run", kind.alias("kind"), F.coalesce(F.get(w, F.lit(1)), F.get(f, F.lit(0))).alias("vec_id"),
+        "run", kind.alias("kind"),
+        F.coalesce(F.get(w, F.lit(1)), F.get(f, F.lit(0))).alias("vec_id"),
         F.get(w, F.lit(2)).alias("module"),
         F.substring_index(F.get(w, F.lit(3)), ":", 1).alias("signal"),
         t.alias("t"), v.alias("v")).filter("kind IS NOT NULL")
