@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from slicewise.llm.common import ORACLES
+from slicewise.llm.license import KEYWORDS, RULES, SENTENCES
 
 ORACLES["op10_pii"] = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
@@ -58,3 +59,92 @@ SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGIN
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN per USING (rid)
 """
+
+_WORDS = r"""list_filter(string_split(trim(regexp_replace(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' '), lambda x: x <> '')"""
+
+ORACLES["op4_decontam"] = f"""
+WITH b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, m, array_to_string(w[s:s + m - 1], ' ') AS win FROM (
+         SELECT item, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM (
+           SELECT *, least(len(w), 10) AS m FROM b WHERE len(w) > 0))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+dw AS (SELECT rid, m, s, array_to_string(w[s:s + m - 1], ' ') AS win FROM (
+         SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS s
+         FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)),
+h AS (SELECT rid, item, dw.m, s FROM dw JOIN bw USING (m, win)),
+p AS (SELECT rid, count(DISTINCT x) AS n_hit FROM (
+        SELECT rid, unnest(range(s, s + m)) AS x FROM h) GROUP BY rid),
+i AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (rid) LEFT JOIN i USING (rid)
+"""
+
+
+def _license_sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    cases = " ".join(f"WHEN regexp_matches(s, {quote(p)}) THEN {quote(n)}" for n, p in SENTENCES)
+    steps, last = [], "r0"
+    for k, (name, pattern) in enumerate(RULES, 1):
+        hit = f"regexp_matches(seq, {quote(pattern)})"
+        steps.append(f"""r{k} AS MATERIALIZED (SELECT rid,
+  CASE WHEN {hit} THEN regexp_replace(seq, {quote(pattern)}, '|', 'g') ELSE seq END AS seq,
+  CASE WHEN {hit} THEN list_append(names, {quote(name)}) ELSE names END AS names FROM {last})""")
+        last = f"r{k}"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+s AS (SELECT rid, i, trim(regexp_replace(p, '[^\x{{80}}-\x{{10FFFF}}0-9a-z]+', ' ', 'g'), ' ') AS s FROM (
+    SELECT rid, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS p FROM (
+      SELECT rid, string_split(regexp_replace(t, '[.!?;][ \t\r]*\n|[.!?;][ \t\r]+', chr(10), 'g'),
+                               chr(10)) AS parts FROM d))),
+n AS (SELECT rid, i, CASE {cases} ELSE '?' END AS id FROM s
+      WHERE regexp_matches(s, {quote(KEYWORDS)})),
+g AS (SELECT rid, list(id ORDER BY i) AS ids FROM n GROUP BY rid),
+r0 AS (SELECT rid, '|' || array_to_string(ids, '|') || '|' AS seq, []::VARCHAR[] AS names FROM g),
+{", ".join(steps)}
+SELECT doc_id, coalesce(len(list_filter(ids, lambda x: x <> '?')), 0)::BIGINT AS n_known,
+       coalesce(len(list_filter(ids, lambda x: x = '?')), 0)::BIGINT AS n_unknown,
+       coalesce(array_to_string(ids, ','), '') AS sentence_ids,
+       coalesce(array_to_string(names, ','), '') AS licenses
+FROM d LEFT JOIN g USING (rid) LEFT JOIN {last} USING (rid)
+"""
+
+
+ORACLES["op5_license"] = _license_sql()
+
+ORACLES["op3_topk"] = """
+WITH e AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, x.vec_id,
+        CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * x.v[i])) AS BIGINT) AS score
+      FROM e q JOIN e x ON q.vec_id <> x.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLES["op2_chat"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL
+  SELECT -7, x, CASE x WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok'
+  FROM range(2) t(x)),
+p AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS last,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(length(text)) FILTER (role = 'assistant') AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(regexp_replace(text, '[\\#<]', '__', 'g')) + 8
+      + CASE WHEN role IN ('user', 'system', 'assistant') THEN length(role) + 6
+             ELSE length(regexp_replace(coalesce(role, ''), '[\\#<:]', '__', 'g')) + 7 END) AS formatted_chars,
+  bool_and(coalesce(CASE WHEN n = 1 THEN role IN ('system', 'user') WHEN last = 'user' THEN role = 'assistant'
+                         WHEN last IN ('system', 'assistant') THEN role = 'user' ELSE false END, false)) AS valid
+  FROM p GROUP BY conv_id)
+SELECT conv_id, n_turns::BIGINT AS n_turns, turns_sha256, coalesce(loss_chars, 0)::BIGINT AS loss_chars, loss_sha256,
+       formatted_chars::BIGINT AS formatted_chars, valid FROM g
+"""
