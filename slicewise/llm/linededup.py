@@ -66,7 +66,7 @@ def _banded(a: Column, b: Column, k: int) -> Column:
             d0 = word((x.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(x).bitwiseOR(vn)
 
             def after_diagonal(d0: Column) -> Column:
-                hp = vn.bitwiseOR(word(~(d0.bitwiseOR(vp))))
+                hp = vn.bitwiseOR(word(d0.bitwiseOR(vp)).bitwiseXOR(F.lit(full).cast("long")))
                 hn = d0.bitwiseAND(vp)
 
                 def after_rows(h: Column) -> Column:
@@ -76,7 +76,7 @@ def _banded(a: Column, b: Column, k: int) -> Column:
                     along = bit(h["hp"], last) - bit(h["hn"], last)
                     grown = F.when(i + k < m, lowest).when(last >= 0, along).otherwise(F.lit(0).cast("long"))
                     return F.struct(
-                        h["hn"].bitwiseOR(word(~(down.bitwiseOR(h["hp"])))).alias("vp"),
+                        h["hn"].bitwiseOR(word(down.bitwiseOR(h["hp"])).bitwiseXOR(F.lit(full).cast("long"))).alias("vp"),
                         down.bitwiseAND(h["hp"]).alias("vn"),
                         (acc["score"] + grown).alias("score"))
 
