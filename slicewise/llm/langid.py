@@ -55,8 +55,9 @@ def folded(text: str | None) -> np.ndarray:
     blank = c == 32
     if blank.all():
         return np.zeros(0, np.uint64)
-    c = np.concatenate([c[:0], c[~(blank & np.append(True, blank[:-1]))]])
-    return np.concatenate([[np.uint64(32)], c, [np.uint64(32)]]).astype(np.uint64)
+    c = c[~(blank & np.append(True, blank[:-1]))]
+    space = np.full(1, 32, np.uint64)
+    return np.concatenate([space, c, space])
 
 
 def grams(c: np.ndarray) -> Iterator[np.ndarray]:
@@ -234,7 +235,7 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
               .withColumn("r", rank).filter(F.col("r") <= per_lang)
               .select("lang", "key", "text")
               .mapInPandas(_sparse, "lang string, key string, feats array<int>, counts array<float>"))
-    got = sample.groupBy(F.lit(0)).applyInPandas(
+    got = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(
         _fit(langs, idf), "weights binary, bias binary, temperature double").first()
     if got is None:
         return Model()

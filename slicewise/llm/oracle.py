@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from slicewise.llm import mixing
 from slicewise.llm.common import ORACLES
 from slicewise.llm.license import KEYWORDS, RULES, SENTENCES
 
@@ -148,3 +149,39 @@ g AS (SELECT conv_id, count(*) AS n_turns,
 SELECT conv_id, n_turns::BIGINT AS n_turns, turns_sha256, coalesce(loss_chars, 0)::BIGINT AS loss_chars, loss_sha256,
        formatted_chars::BIGINT AS formatted_chars, valid FROM g
 """
+
+
+def mixing_sql(docs: str = "documents", columns: str | None = None) -> str:
+    """Raking as a chain of window sums. ``columns``: return those of the sampled rows."""
+    marks = " ".join("WHEN " + " OR ".join(f"contains(t, '{m}')" for m in ms) + f" THEN '{n}'"
+                     for n, ms in mixing.TOPIC_MARKS)
+    steps, last = [], "c"
+    for d in mixing.DIMS:
+        steps.append(f"""t_{d} AS (SELECT {d}, pow(s, {mixing.TEMPER[d]}) / sum(pow(s, {mixing.TEMPER[d]})) OVER () AS t
+  FROM (SELECT {d}, CAST(sum(tokens) AS DOUBLE) AS s FROM c GROUP BY {d}))""")
+    for r in range(mixing.ROUNDS):
+        for d in mixing.DIMS:
+            steps.append(f"""w{r}_{d} AS MATERIALIZED (SELECT {", ".join("l." + x for x in mixing.DIMS)}, tokens,
+  w * t / sum(w) OVER (PARTITION BY {d}) AS w FROM {last} l JOIN t_{d} USING ({d}))""")
+            last = f"w{r}_{d}"
+    final = "doc_id, source, lang, topic, n_tokens, ratio, p, u < p AS sampled"
+    return f"""
+WITH d AS (SELECT *, coalesce(text, '') AS t FROM {docs}),
+p AS (SELECT d.* EXCLUDE (source, lang, t), d.source AS source0, d.lang AS lang0, coalesce(source, '{mixing.NONE}') AS source,
+  coalesce(lang, '{mixing.NONE}') AS lang,
+  CASE {marks} WHEN length(t) >= {mixing.LONG_CHARS} THEN 'long' ELSE 'short' END AS topic,
+  CAST(len(regexp_extract_all(t, '[^\\x09-\\x0D\\x20]+')) AS BIGINT) AS n_tokens,
+  CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '-')), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
+  FROM d),
+c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) AS DOUBLE) AS w
+  FROM p WHERE n_tokens > 0 GROUP BY ALL),
+{", ".join(steps)},
+r AS (SELECT source, lang, topic, (w / sum(w) OVER ()) / (tokens / sum(tokens) OVER ()) AS x FROM {last}),
+o AS (SELECT p.*, CASE WHEN n_tokens > 0 THEN coalesce(round(x, 9), 0) ELSE 0.0::DOUBLE END AS ratio,
+  CASE WHEN n_tokens > 0 THEN coalesce(round(least(1.0, x * {mixing.SHARE}), 9), 0) ELSE 0.0::DOUBLE END AS p
+  FROM p LEFT JOIN r USING (source, lang, topic))
+SELECT {columns or final} FROM o {"WHERE u < p" if columns else ""}
+"""
+
+
+ORACLES["op1_mixing"] = mixing_sql()

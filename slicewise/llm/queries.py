@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicewise.llm import chat, decontam, knn, license, pii
+from slicewise.llm import chat, decontam, knn, langid, license, linededup, mixing, pii, simhash
 from slicewise.llm.common import read, register
 
 
@@ -37,3 +37,23 @@ def op5_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = knn.integer_vectors(read(spark, sf_dir, "embeddings"))
     return knn.top_k(vectors.filter(F.col("vec_id") % 100 == 0), vectors)
+
+
+@register
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(read(spark, sf_dir, "documents"))
+
+
+@register
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(read(spark, sf_dir, "documents"))
+
+
+@register
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(read(spark, sf_dir, "documents"))
+
+
+@register
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(read(spark, sf_dir, "documents"))

@@ -44,7 +44,7 @@ def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
         size = min(1 << 16, n - lo)
         runs = zip(*(words[lo + k:lo + k + size] for k in range(shingle)))
         h = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, runs), repeat(SEED)), np.uint64, size)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
 
 
