@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicewise.llm import chat, decontam, knn, langid, license, linededup, mixing, pii, simhash
+from slicewise.llm import chat, decontam, knn, langid, license, linededup, mixing, pii, quality, simhash
 from slicewise.llm.common import read, register
 
 
@@ -57,3 +57,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(read(spark, sf_dir, "documents"))
+
+
+@register
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
