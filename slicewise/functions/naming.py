@@ -11,6 +11,7 @@ SLICE_TOKENS = [("eMBB", "ueembb", "serverembb"),
                 ("mMTC", "uemmtc", "servermmtc")]
 CELL_SUFFIXES = [("Macro", "_a["), ("Commerce", "_b["), ("Industrie", "_c[")]
 CELL_PATHS = [("Macro", "gnbmacro"), ("Commerce", "gnbcommerce"), ("Industrie", "gnbindustrie")]
+PART_PREFIX = "log="
 SERVER_APPS = [("Macro", 0), ("Commerce", 1), ("Industrie", 2)]
 
 
@@ -43,12 +44,21 @@ def is_relevant(module: Column, signal: Column) -> Column:
 
 
 def run_of(path: Column, extension: str) -> Column:
-    """Run name: the path element with the extension, without folder or column prefix; null
-    where there is none. The element may be one file or a folder of part files. Evaluated for
-    every line of a log, hence plain string functions and no pattern."""
+    """Run name: the path element with the extension, without folder; null where there is none.
+    The element may be one file or a folder of part files, which the writer of logs names
+    ``log=<run>.<extension>`` with its own escapes. Any other "=" belongs to the name.
+    Evaluated for every line of a log, hence plain string functions and no pattern."""
     full, mark = F.concat(path, F.lit("/")), f".{extension}/"
     name = F.substring_index(F.substring_index(full, mark, 1), "/", -1)
-    return F.when(full.contains(mark), F.substring_index(name, "=", -1))
+    own = name.startswith(PART_PREFIX)
+    return F.when(full.contains(mark), F.when(
+        own, decoded(F.substring(name, F.lit(len(PART_PREFIX) + 1), F.length(name)))).otherwise(name))
+
+
+def decoded(path: Column) -> Column:
+    """Percent escapes of a path resolved; paths without any are left alone."""
+    plain = F.replace(path, F.lit("+"), F.lit("%2B"))
+    return F.when(F.contains(path, F.lit("%")), F.url_decode(plain)).otherwise(path)
 
 
 def scenario_of(run: Column) -> Column:

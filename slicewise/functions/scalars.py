@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,8 +82,22 @@ def gain_pct(f_default: Column, f_optimal: Column) -> Column:
     return F.round((f_default - f_optimal) / F.greatest(f_default, F.lit(1e-9)) * 100.0, 1)
 
 
-def relative_noise(x: Column, noise: float, seed: int) -> Column:
-    """Gaussian noise whose spread follows the size of the value; none when noise is 0."""
+def uniform(seed: str, *keys: str) -> Column:
+    """A number in [0, 1) from 52 bits of a hash of seed and key: a row draws the same number in
+    every run, retry and partitioning."""
+    text = F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def normal(seed: str, *keys: str) -> Column:
+    """A standard normal number from two uniform ones (Box and Muller)."""
+    radius = F.sqrt(-2.0 * F.log(1.0 - uniform(f"{seed}a", *keys)))
+    return radius * F.cos(2.0 * math.pi * uniform(f"{seed}b", *keys))
+
+
+def relative_noise(x: Column, noise: float, seed: int, *keys: str) -> Column:
+    """Gaussian noise whose spread follows the size of the value; none when noise is 0. ``keys``
+    name the row."""
     if noise == 0:
         return x
-    return x + F.randn(seed) * (F.abs(x) * noise + 1e-6)
+    return x + normal(str(seed), *keys) * (F.abs(x) * noise + 1e-6)

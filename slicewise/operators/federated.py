@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from slicewise.operators.joins import join_groups
 
 PROXIMAL_MU = 0.01
+PART = 500
 
 
 def federated_average(params: DataFrame, by: tuple[str, ...] = ("slice", "param", "idx"),
@@ -40,29 +39,22 @@ def divergence(params: DataFrame, value: str = "final") -> DataFrame:
 
 def normal_sums(rows: DataFrame, features: list[str], target: str,
                 keys: tuple[str, ...] = ("slice", "gnb")) -> DataFrame:
-    """Entries of X'X and X'y per key, long form (key, i, j, value); column ``d`` of X is the
+    """Entries of X'X and X'y per key, long form (key, i, j, value, n); column ``d`` of X is the
     constant and j = d + 1 holds X'y.
 
-    Every batch of rows is reduced to one small matrix per key where it lies; only those
-    matrices are shuffled and added, so a cell with most of the rows costs no more than others.
+    One aggregate with a sum per entry: every map task sends one row per key, so a cell with most
+    of the rows costs no more than others. A null key is a key like others.
     """
     d = len(features)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        i, j = np.meshgrid(np.arange(d + 1), np.arange(d + 2), indexing="ij")
-        for pdf in batches:
-            out = []
-            for key, g in pdf.groupby(list(keys), sort=False):
-                x = np.column_stack([g[features].to_numpy(float), np.ones(len(g))])
-                m = np.column_stack([x.T @ x, x.T @ g[target].to_numpy(float)])
-                out.append(pd.DataFrame({**dict(zip(keys, key)), "i": i.ravel(), "j": j.ravel(),
-                                         "value": m.ravel(), "n": len(g)}))
-            if out:
-                yield pd.concat(out)
-
-    schema = ", ".join(f"{k} string" for k in keys) + ", i int, j int, value double, n bigint"
-    part = rows.select(*keys, *features, target).mapInPandas(partial, schema)
-    return part.groupBy(*keys, "i", "j").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
+    x = [F.col(f).cast("double") for f in features] + [F.lit(1.0)]
+    y = F.col(target).cast("double")
+    half = {(i, j): F.sum(x[i] * x[j]).alias(f"x{i}_{j}") for i in range(d + 1) for j in range(i, d + 1)}
+    ends = [F.sum(x[i] * y).alias(f"y{i}") for i in range(d + 1)]
+    wide = rows.groupBy(*keys).agg(F.count("*").alias("n"), *half.values(), *ends)
+    entries = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
+                        F.col(f"y{i}" if j == d + 1 else f"x{min(i, j)}_{max(i, j)}").alias("value"))
+               for i in range(d + 1) for j in range(d + 2)]
+    return wide.select(*keys, "n", F.explode(F.array(*entries)).alias("e")).select(*keys, "e.*", "n")
 
 
 def solve(sums: DataFrame, d: int, keys: tuple[str, ...] = ("slice", "gnb"),
@@ -96,35 +88,49 @@ def federated_fit(sums: DataFrame, d: int, mu: float = PROXIMAL_MU) -> DataFrame
             .join(avg.withColumnRenamed("centre", "average"), ["slice", "idx"]))
 
 
-def weighted_sample(windows: DataFrame, seed: int = 42) -> DataFrame:
+def weighted_sample(windows: DataFrame, seed: int = 42,
+                    keys: tuple[str, ...] = ("slice", "scenario", "gnb", "start")) -> DataFrame:
     """Sampling with replacement in proportion to ``weight`` within each slice: each window is
     repeated a Poisson number of times with mean n * weight / sum of weights, so rows are
-    drawn where they lie and nothing is sorted or collected."""
+    drawn where they lie and nothing is sorted or collected. The draws are hashes of seed and
+    window, so they repeat in every run and retry."""
     total = windows.groupBy("slice").agg(F.count("*").alias("_n"), F.sum("weight").alias("_s"))
-    w = join_groups(windows, total, ["slice"]).withColumns({
-        "_lam": F.col("_n") * F.col("weight") / F.col("_s"), "_u": F.rand(seed)})
-    return (w.withColumn("copies", F.when(F.col("_lam") > 500, F.greatest(F.lit(0), F.round(
-        F.col("_lam") + F.sqrt("_lam") * F.randn(seed)).cast("int"))).otherwise(_poisson()))
+    w = join_groups(windows, total, ["slice"]).withColumn(
+        "_lam", F.col("_n") * F.col("weight") / F.col("_s"))
+    named = [F.col(k).cast("string") for k in keys if k in windows.columns]
+    # the sum of Poisson numbers is one: a large mean is drawn in equal parts of at most PART
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_lam") / PART)).cast("int")
+    mean = F.col("_lam") / F.col("_m")
+    draws = F.aggregate(F.sequence(F.lit(1), F.col("_m")), F.lit(0), lambda n, k: n + _poisson(
+        mean, _uniform_of(F.concat_ws("|", F.lit(str(seed)), *named, k.cast("string")))))
+    return (w.withColumn("_m", parts).withColumn("copies", draws)
             .filter(F.col("copies") > 0)
             .withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-            .drop("_n", "_s", "_lam", "_u"))
+            .drop("_n", "_s", "_lam", "_m"))
+
+
+def _uniform_of(text: Column) -> Column:
+    """In (0, 1), from 52 bits of a hash."""
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def _poisson() -> Column:
-    """Poisson count of mean ``_lam`` from the uniform number ``_u``: the largest i with
-    u > P(N < i). Terms reach far enough that the tail left out is below 1e-12."""
-    terms = F.sequence(F.lit(1), (F.col("_lam") + 12 * F.sqrt("_lam") + 20).cast("int"))
-    zero = F.exp(-F.col("_lam"))
+def _poisson(mean: Column, u: Column) -> Column:
+    """Poisson count of a mean of at most PART from a uniform number: the largest i with
+    u > P(N < i). Terms run 12 deviations and 20 beyond the mean; what lies past them has a
+    probability under 1e-20, less than the grain of the uniform number."""
+    terms = F.sequence(F.lit(1), (mean + 12 * F.sqrt(mean) + 20).cast("int"))
+    zero = F.exp(-mean)
 
     def step(s: Column, i: Column) -> Column:
-        p = s["p"] * F.col("_lam") / i
+        p = s["p"] * mean / i
         return F.struct(p.alias("p"), (s["below"] + p).alias("below"),
-                        F.when(F.col("_u") > s["below"], i).otherwise(s["k"]).alias("k"))
+                        F.when(u > s["below"], i).otherwise(s["k"]).alias("k"))
     start = F.struct(zero.alias("p"), zero.alias("below"), F.lit(0).alias("k"))
     return F.aggregate(terms, start, step, lambda s: s["k"])
 
 
 def split_parts(rows: DataFrame, keys: list[str], train_pct: int = 85) -> DataFrame:
     """Random but repeatable train/validation part, from a hash of the row's key."""
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(100))
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    bucket = F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.lit(100))
     return rows.withColumn("part", F.when(bucket < train_pct, "train").otherwise("val"))

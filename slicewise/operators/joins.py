@@ -23,9 +23,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFram
 
 
 def join_small(rows: DataFrame, other: DataFrame, on: list[str],
-               max_rows: int = 5_000_000) -> DataFrame:
-    """Join with a side that may exceed the broadcast threshold and still be worth sending:
-    broadcast only after counting its rows (the count stops at the bound), otherwise an
-    ordinary join, whose skew Spark splits at run time."""
-    fits = other.limit(max_rows + 1).count() <= max_rows
-    return rows.join(F.broadcast(other) if fits else other, on)
+               max_bytes: int = 64 << 20) -> DataFrame:
+    """Join with a side that may exceed the broadcast threshold and still be worth sending.
+
+    The side is landed, so its rows are counted where they lie and its row width is known from
+    its values: the bytes decide, and beyond them it is an ordinary join, whose skew Spark splits
+    at run time."""
+    other = landed(other, "side")
+    width = sum((F.coalesce(F.length(F.col(c)), F.lit(0)) + 16) if t == "string" else F.lit(16)
+                for c, t in other.dtypes)
+    size = other.agg(F.sum(width)).first()[0] or 0
+    return rows.join(F.broadcast(other) if size <= max_bytes else other, on)

@@ -44,7 +44,12 @@ def predictive_loads(rows: DataFrame, keys: list[str], axis: str = "tick") -> Da
     for t in ("thr", "lat_log"):
         aggs += [F.round(F.avg(t), 9).alias(f"mean_{t}"),
                  F.round(F.when(F.count("*") > 1, F.regr_slope(t, "h")), 9).alias(f"slope_{t}")]
-    f = with_facts(hist.groupBy(*keys, "gnb", "slice").agg(*aggs))
+    return predicted_loads(hist.groupBy(*keys, "gnb", "slice").agg(*aggs), keys)
+
+
+def predicted_loads(fits: DataFrame, keys: list[str]) -> DataFrame:
+    """The ladder of ``predictive_loads`` on means and slopes of the newest rows."""
+    f = with_facts(fits)
     f = f.withColumn("lat_pred", FC.mean_latency_ahead())
     shift = F.col("lat_pred") > F.col("lat_recent") * SHIFT_FACTOR
     p = F.when(shift, (F.col("lat_recent") > F.col("control_lat_max")).cast("double")).otherwise(

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from slicewise import dims
 from slicewise.functions import scalars as S
+from slicewise.operators.joins import join_small
+from slicewise.sinks.tables import landed
 
 # fixed values: bounds of the loss curve
 K_MIN, K_MAX, RHO_MIN, RHO_MAX = 0.5, 50.0, 0.05, 3.0
@@ -17,7 +19,6 @@ K_UNIT, RHO_UNIT = 200, 2000
 # grid: candidates, candidates per row, first step, step width
 GRID = (6000, 60, 1, 100)
 REFINED = [(441, 21, -10, 10), (441, 21, -10, 1)]
-MAX_TASKS = 256
 
 
 def load_points(kpi: DataFrame, keys: tuple[str, ...] = ("scenario", "gnb", "slice")
@@ -50,14 +51,12 @@ def calibrate(points: DataFrame) -> DataFrame:
     enough = pts.groupBy("gnb", "slice").agg(F.count("*").alias("n_points"))
     # few bytes but thousands of evaluations per point: spread over the cores, whatever the
     # size of the table
-    spread = min(points.sparkSession.sparkContext.defaultParallelism, MAX_TASKS)
-    pts = pts.repartition(spread, "rho", "p")
+    pts = pts.repartition(points.sparkSession.sparkContext.defaultParallelism, "rho", "p")
 
     best = _best(pts.withColumns({"_k0": F.lit(0), "_r0": F.lit(0)}), GRID)
     for grid in REFINED:
         start = best.select("gnb", "slice", F.col("_k").alias("_k0"), F.col("_r").alias("_r0"))
-        # at most one row per pair of the unit table, which load_points joined
-        best = _best(pts.join(F.broadcast(start), ["gnb", "slice"]), grid)
+        best = _best(join_small(pts, landed(start, "curves"), ["gnb", "slice"]), grid)
 
     fits = F.col("n_points") >= 2
     return best.join(enough, ["gnb", "slice"]).select(

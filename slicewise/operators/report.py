@@ -113,6 +113,12 @@ def gain_by_group(report: DataFrame) -> DataFrame:
     return m.join(q.withColumn("median_gain", F.round("median_gain", 5)), by)
 
 
+def nearly_free(report: DataFrame, below: float = 0.1) -> DataFrame:
+    """The (scenario, cell) pairs whose objective ends below ``below``."""
+    return report.filter(F.col("F_optimal") < below).select(
+        "scenario", "gnb", "F_default", "F_optimal", "gain_pct")
+
+
 def top_scenarios(report: DataFrame, n: int = 10) -> DataFrame:
     """The scenarios with the largest mean gain."""
     return (report.groupBy("scenario").agg(F.round(F.avg("gain_pct"), 5).alias("mean_gain"))

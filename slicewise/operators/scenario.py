@@ -80,7 +80,8 @@ def blend(zipped: DataFrame, weight: Column, noise: float = NOISE, seed: int = 4
     vals = {}
     for i, c in enumerate(BLENDED):
         mixed = (1.0 - F.col("_a")) * F.col(f"low_{c}") + F.col("_a") * F.col(f"high_{c}")
-        vals[c] = S.clip(S.relative_noise(mixed, noise, seed + i), 0.0, top.get(c))
+        vals[c] = S.clip(S.relative_noise(mixed, noise, seed + i, "name", "gnb", "slice",
+                                       "pos"), 0.0, top.get(c))
     lim = dims.limit_dim(z.sparkSession, "detect")
     b = z.withColumns(vals).join(lim, "slice")
     ok = (F.col("lat") <= F.col("lat_max")) & (F.col("loss") <= F.col("loss_max"))

@@ -60,7 +60,7 @@ def over_frames(df: DataFrame, keys: list[str], axis: str,
 
     All columns of one call share one exchange and one sort.
     """
-    lo = F.greatest(F.floor((F.col(axis) - after) / F.lit(chunk)), F.lit(0)).cast("bigint")
+    lo = F.floor((F.col(axis) - after) / F.lit(chunk)).cast("bigint")
     hi = F.floor((F.col(axis) + before) / F.lit(chunk)).cast("bigint")
     spread = df.withColumn("_c", F.explode(F.sequence(lo, hi)))
     w = Window.partitionBy(*keys, "_c").orderBy(axis)

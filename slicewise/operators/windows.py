@@ -67,19 +67,26 @@ def temporal_split(lengths: DataFrame, ratio: float = dims.TRAIN_RATIO,
         "all_train": F.sum("n_train").over(Window.partitionBy("slice"))})
     n_val = F.greatest(F.lit(1), F.floor(F.col("all_train") * F.lit(val_share))).cast("bigint")
 
-    def starts(n: str, first: Column) -> Column:
-        seq = F.sequence(first, first + F.col(n) - 1)
-        return F.when(F.col(n) > 0, seq).otherwise(F.array().cast("array<bigint>"))
-
     keys = ["slice", "scenario", "gnb"]
-    train = (s.withColumn("n_val", n_val)
-             .select(*keys, "ahead", "all_train", "n_val",
-                     F.explode(starts("n_train", F.lit(0).cast("bigint"))).alias("start"))
+
+    def starts(rows: DataFrame, n: str, first: Column, *more: str) -> DataFrame:
+        """Starts ``first`` to ``first + n - 1``: the pieces of a long series are dealt to all
+        tasks before they are written out, so no row holds more than one chunk."""
+        pieces = (rows.filter(F.col(n) > 0)
+                  .select(*keys, *more, first.alias("_from"), (first + F.col(n)).alias("_to"),
+                          F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(n) - 1) / CHUNK))
+                                    ).alias("_c"))
+                  .repartition(*keys, "_c"))
+        low = F.col("_from") + F.col("_c") * CHUNK
+        return pieces.select(*keys, *more, F.explode(F.sequence(
+            low, F.least(low + CHUNK, F.col("_to")) - 1)).alias("start"))
+
+    train = (starts(s.withColumn("n_val", n_val), "n_train", F.lit(0).cast("bigint"),
+                    "ahead", "all_train", "n_val")
              .select(*keys, "start",
                      F.when(F.col("ahead") + F.col("start") >= F.col("all_train") - F.col("n_val"),
                             "val").otherwise("train").alias("part")))
-    test = s.select(*keys, F.explode(starts("n_test", F.col("test_from"))).alias("start"),
-                    F.lit("test").alias("part"))
+    test = starts(s, "n_test", F.col("test_from")).withColumn("part", F.lit("test"))
     return train.unionByName(test)
 
 

@@ -26,8 +26,8 @@ oracle("scan_scalar_totals", """
 SELECT slice, gnb, CAST(coalesce(sum(CASE WHEN signal = 'cbrSentPkt' THEN n END), 0) AS DOUBLE) AS sent,
        CAST(coalesce(sum(CASE WHEN signal = 'cbrRcvdPkt' THEN n END), 0) AS DOUBLE) AS received,
        CAST(0 AS DOUBLE) AS bytes, CAST(0 AS DOUBLE) AS lost
-FROM (SELECT slice, gnb, signal, module, count(*) AS n FROM named_modules WHERE run LIKE 'S0%' GROUP BY ALL)
-WHERE n <> 3 GROUP BY slice, gnb""")
+FROM (SELECT slice, gnb, signal, module, count(*) AS n FROM named_modules GROUP BY ALL)
+GROUP BY slice, gnb""")
 oracle("run_catalog", """
 SELECT DISTINCT run, scenario, run LIKE 'S0%' AS has_scalars FROM raw_samples""")
 oracle("kpi_csv_roundtrip", """

@@ -14,6 +14,22 @@ FROM (SELECT *, unnest(range(len(a))) AS i FROM model_ends)""")
 oracle("federated_average", """
 SELECT slice, param, idx, round(avg(final), 6) AS value, count(*) AS n_cells
 FROM model_rows GROUP BY slice, param, idx""")
+oracle("random_split", """
+SELECT slice, CASE WHEN h % 100 < 85 THEN 'train' ELSE 'val' END AS part, count(*) AS n
+FROM (SELECT slice, CAST('0x' || substr(md5(concat_ws('|', scenario, gnb, slice, start)), 1, 8) AS BIGINT) AS h
+      FROM li_weights) GROUP BY ALL""")
+oracle("weighted_sample", """
+SELECT scenario, gnb, slice, count(*) AS n_windows, round(sum(weight), 6) AS weight_sum,
+       CAST(sum(copies) AS BIGINT) AS n_drawn, count(*) FILTER (copies > 0) AS n_distinct
+FROM (SELECT *, len(list_filter(range(1, CAST(floor(lam + 12 * sqrt(lam) + 20) AS BIGINT) + 1),
+                                lambda i: u > list_sum(p[1:i]))) AS copies
+      FROM (SELECT *, list_transform(range(CAST(floor(lam + 12 * sqrt(lam) + 20) AS BIGINT) + 1),
+                                     lambda i: exp(i * ln(lam) - lam - lgamma(i + 1))) AS p,
+                   (CAST('0x' || substr(md5(concat_ws('|', '42', slice, scenario, gnb, start, 1)), 1, 13) AS BIGINT)
+                    + 0.5) / CAST(4503599627370496 AS DOUBLE) AS u
+            FROM (SELECT *, count(*) OVER (PARTITION BY slice) * weight / sum(weight) OVER (PARTITION BY slice) AS lam
+                  FROM li_weights)))
+GROUP BY scenario, gnb, slice HAVING sum(copies) > 0""")
 oracle("parameter_drift", """
 SELECT slice, gnb, round(sqrt(sum((final - initial) ** 2)), 6) AS l2, max(divergence) AS divergence
 FROM model_rows LEFT JOIN (

@@ -60,23 +60,48 @@ FROM (SELECT *, row_number() OVER (PARTITION BY scenario, gnb, slice, cut ORDER
       FROM kpi_rows, (VALUES (40), (80), (1000000000)) c(cut) WHERE tick < cut)
 WHERE back <= 60 GROUP BY scenario, gnb, slice, cut
 HAVING max(tick) >= CASE cut WHEN 40 THEN 0 WHEN 80 THEN 40 ELSE 80 END""")
-cte("stream_costs", f"""
+cte("period_ends", """
+SELECT scenario, unnest(range((min(tick) // 15 + 1) * 15, (max(tick) // 15) * 15 + 1, 15)) AS cut
+FROM kpi_rows GROUP BY scenario""")
+cte("period_fits", """
+SELECT scenario, gnb, slice, cut, count(*) AS n_rows, max(CASE WHEN back = 1 THEN thr END) AS thr_last,
+       round(avg(CASE WHEN back <= 5 THEN lat END), 9) AS lat_recent,
+       round(avg(CASE WHEN back <= 5 THEN thr END), 9) AS thr_recent,
+       round(avg(thr), 9) AS m_thr, round(regr_slope(thr, -back), 9) AS s_thr,
+       round(avg(ln(1 + lat)), 9) AS m_lat, round(regr_slope(ln(1 + lat), -back), 9) AS s_lat
+FROM (SELECT r.*, cut, row_number() OVER (PARTITION BY scenario, gnb, slice, cut ORDER BY tick DESC) AS back
+      FROM kpi_rows r JOIN period_ends USING (scenario) WHERE tick < cut) WHERE back <= 60 GROUP BY ALL""")
+cte("period_p", f"""
+SELECT *, CASE WHEN shift THEN CAST(lat_recent > control_lat_max AS DOUBLE)
+               ELSE len(list_filter(range(15), lambda h: {LAT_AHEAD} > control_lat_max)) / 15 END AS p
+FROM (SELECT *, list_sum(list_transform(range(15), lambda h: {LAT_AHEAD})) / 15 > lat_recent * 5 AS shift
+      FROM period_fits JOIN facts USING (gnb, slice))""")
+PERIOD_LOADS = {
+    "reactive": """round(CASE WHEN r.lat_recent > r.control_lat_max THEN 2.0
+        ELSE least(greatest(r.thr_recent / greatest(r.capacity, 1e-6), 0), 2) END, 9)""",
+    "predictive": """round(CASE
+        WHEN r.n_rows < 60 THEN least(greatest(r.thr_last / greatest(r.capacity, 1e-6), 0), 2)
+        WHEN r.p >= 0.99 THEN 2.0
+        WHEN r.p <= 0.01 THEN least(greatest((r.m_thr + r.s_thr * 37.5) / greatest(r.capacity, 1e-6), 0), 1.5)
+        ELSE least(greatest(r.curve_rho - ln(1.0 / greatest(r.p, 1e-6) - 1) / greatest(r.curve_k, 0.01), 0), 2) END, 9)"""}
+for _kind, _rho in PERIOD_LOADS.items():
+    cte(f"{_kind}_costs", f"""
 SELECT scenario, gnb, cut, slice, n, budget, units_floor, {LIVE_COST} AS live_cost
-FROM (SELECT k.scenario, k.cut, f.*, coalesce(r.rho, 0.1) AS rho
-      FROM (SELECT DISTINCT scenario, cut FROM reactive) k CROSS JOIN facts f
-      LEFT JOIN reactive r ON r.scenario = k.scenario AND r.cut = k.cut AND r.gnb = f.gnb AND r.slice = f.slice),
+FROM (SELECT k.scenario, k.cut, f.*, CASE WHEN r.gnb IS NULL THEN 0.1 ELSE {_rho} END AS rho
+      FROM period_ends k CROSS JOIN facts f
+      LEFT JOIN period_p r ON r.scenario = k.scenario AND r.cut = k.cut AND r.gnb = f.gnb AND r.slice = f.slice),
      range(1, 51) t(n) WHERE n <= budget""")
-cte("stream_alloc", best_split(
-    "stream_costs", "scenario, gnb, cut", "a.n >= a.units_floor AND b.n >= b.units_floor "
-    "AND c.n >= c.units_floor AND a.n + b.n + c.n <= a.budget", "live_cost"))
+    cte(f"{_kind}_alloc", best_split(
+        f"{_kind}_costs", "scenario, gnb, cut", "a.n >= a.units_floor AND b.n >= b.units_floor "
+        "AND c.n >= c.units_floor AND a.n + b.n + c.n <= a.budget", "live_cost"))
 DOC = """'{' || string_agg('"' || gnb || '":{"URLLC":' || n2 || ',"eMBB":' || n1 || ',"mMTC":' || n3
        || '}', ',' ORDER BY gnb) || '}' AS document"""
+oracle("stream_predictive_allocation", f"""
+SELECT scenario, {DOC}, CAST(cut AS BIGINT) AS period_end FROM predictive_alloc GROUP BY scenario, cut""")
 oracle("stream_allocation", f"""
-SELECT scenario, {DOC}, max(last_tick) AS last_tick
-FROM stream_alloc JOIN (SELECT scenario, cut, max(last_tick) AS last_tick FROM reactive GROUP BY ALL)
-  USING (scenario, cut) GROUP BY scenario, cut
+SELECT scenario, {DOC}, CAST(cut AS BIGINT) AS period_end FROM reactive_alloc GROUP BY scenario, cut
 UNION ALL
-SELECT scenario, {DOC}, -1 AS last_tick FROM (SELECT DISTINCT scenario FROM kpi_rows), (
+SELECT scenario, {DOC}, -1 AS period_end FROM (SELECT DISTINCT scenario FROM kpi_rows), (
   SELECT gnb, max(CASE WHEN slice = 'eMBB' THEN units_default END) AS n1,
          max(CASE WHEN slice = 'URLLC' THEN units_default END) AS n2,
          max(CASE WHEN slice = 'mMTC' THEN units_default END) AS n3 FROM dim_units GROUP BY gnb)

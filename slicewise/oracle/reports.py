@@ -43,6 +43,8 @@ SELECT level, name, count(*) AS n, round(avg(gain_pct), 5) AS mean_gain,
 FROM (SELECT 'all' AS level, '*' AS name, gain_pct, F_optimal FROM alloc_report
       UNION ALL SELECT 'gnb', gnb, gain_pct, F_optimal FROM alloc_report
       UNION ALL SELECT 'scenario', scenario, gain_pct, F_optimal FROM alloc_report) GROUP BY level, name""")
+oracle("nearly_free_cells", """
+SELECT scenario, gnb, F_default, F_optimal, gain_pct FROM alloc_report WHERE F_optimal < 0.1""")
 oracle("top_scenarios", """
 SELECT scenario, round(avg(gain_pct), 5) AS mean_gain FROM alloc_report GROUP BY scenario
 ORDER BY mean_gain DESC, scenario LIMIT 10""")

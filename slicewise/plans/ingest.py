@@ -39,14 +39,16 @@ def write_signal_logs(spark: SparkSession, sf_dir: str, path: str) -> str:
     return f"{path}/signals"
 
 
-def write_scalar_logs(spark: SparkSession, sf_dir: str, path: str) -> str:
-    """Scalar logs of the first scenario's runs; some values are not numbers."""
+def write_scalar_logs(spark: SparkSession, sf_dir: str, path: str, only: str | None = None) -> str:
+    """Scalar logs of all runs, or of those whose name starts with ``only``."""
     sums = X.raw_samples(spark, sf_dir).groupBy("run", "module", "signal").agg(
         F.count("*").alias("n"))
     lines = sums.select(F.concat("run", F.lit(".sca")).alias("log"), F.concat(
         F.lit("scalar "), "module", F.lit(" "), "signal", F.lit(":count "),
-        F.when(F.col("n") == 3, "nan").otherwise(F.col("n").cast("string"))).alias("line"))
-    lines.filter(~F.col("log").startswith("S1")).write.partitionBy("log").text(f"{path}/scalars")
+        F.col("n").cast("string")).alias("line"))
+    if only:
+        lines = lines.filter(F.col("log").startswith(only))
+    lines.write.partitionBy("log").text(f"{path}/scalars")
     return f"{path}/scalars"
 
 
@@ -73,7 +75,7 @@ def relevant_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def samples_with_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain from text to buckets: scan, filter, join, aggregate."""
     logs = write_signal_logs(spark, sf_dir, work_dir(spark, "logs"))
-    decl, samples = SL.land_signal_log(spark, logs)
+    decl, samples = SL.land_signal_log(spark, logs, only_relevant=True)
     keyed = SL.attach_keys(samples, SL.relevant_vectors(decl))
     b = K.kpi_buckets(keyed, delay_scale=1.0)
     return b.select(*K.RUN_KEYS, "tick", "mean_delay_ms", "mean_jitter_ms", "bytes_received",
@@ -90,7 +92,7 @@ def scan_scalar_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "logs")
     write_signal_logs(spark, sf_dir, path)
-    write_scalar_logs(spark, sf_dir, path)
+    write_scalar_logs(spark, sf_dir, path, "S0")      # S1 runs lack their companion file
     c = SL.run_catalog(spark, path)
     return c.select("run", "scenario", "has_scalars")
 

@@ -60,7 +60,7 @@ def forecast_huber(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One forecaster per slice and target; error on the last fifth of every series. The fits
     of the fixed list of slices and targets are submitted side by side, each is a distributed
     job."""
-    t = training_table(spark, sf_dir).cache()
+    t = training_table(spark, sf_dir)
 
     def fit(pair: tuple[str, str]) -> DataFrame:
         s, y = pair
@@ -70,13 +70,10 @@ def forecast_huber(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pred.agg(F.lit(s).alias("slice"), F.lit(y).alias("target"),
                         F.count("*").alias("n_test"),
                         r6(F.avg(F.abs(F.col("pred") - F.col(f"y_{y}")))).alias("mae"))
-    try:
-        pairs = [(s, y) for s in dims.SLICES for y in FE.TARGETS]
-        with ThreadPoolExecutor(len(pairs)) as pool:
-            scores = list(pool.map(fit, pairs))
-        return landed(reduce(DataFrame.unionByName, scores), "huber")
-    finally:
-        t.unpersist()
+    pairs = [(s, y) for s in dims.SLICES for y in FE.TARGETS]
+    with ThreadPoolExecutor(len(pairs)) as pool:
+        scores = list(pool.map(fit, pairs))
+    return landed(reduce(DataFrame.unionByName, scores), "huber")
 
 
 @query

@@ -19,7 +19,7 @@ from slicewise.sources import fixtures as X
 from slicewise.streaming import live as SL
 from slicewise.streaming import replay as RP
 
-CUTS = [0, 40, 80]              # ticks at which a new set of files arrives
+CUTS = [0, 40, 80]              # a new set of files arrives at every tick but the first
 LONG_CUTS = [0, 800, 1600]
 
 
@@ -29,10 +29,10 @@ def live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def arrivals(rows: DataFrame, cuts: list[int]) -> list[DataFrame]:
     """The rows in the order of their arrival, one DataFrame per set of files."""
-    ends = [*cuts[1:], None]
     t = F.col("simtime_s")
-    return [rows.filter((t >= a) if b is None else (t >= a) & (t < b))
-            for a, b in zip(cuts, ends)]
+    ends = [None, *cuts[1:], None]
+    return [rows.filter((F.lit(True) if a is None else t >= a) & (F.lit(True) if b is None else t < b))
+            for a, b in zip(ends, ends[1:])]
 
 
 def long_live(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,21 +90,32 @@ def stream_reactive_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select(*SERIES, "last_tick", r6(F.col("rho")).alias("rho"))
 
 
+def published(spark: SparkSession, rows: DataFrame, allocate, cuts: list[int] = CUTS) -> DataFrame:
+    """One document per scenario and finished period."""
+    out = RP.replay(spark, arrivals(rows, cuts), lambda s, o: RP.to_batches(
+        SL.periodic_fits(s), o, allocate))
+    return spark.read.parquet(out).select("scenario", "document", "period_end")
+
+
 @query
 def stream_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents published after each set of files, and the default one before them."""
+    """Documents of the reactive controller, and the default one before them."""
     rows = live(spark, sf_dir)
-    out = RP.replay(spark, arrivals(rows, CUTS), lambda s, o: RP.to_batches(
-        SL.history(s), o, SL.allocate_batch))
     first = allocation_document(default_units(rows, ["scenario"]), ["scenario"])
-    return (spark.read.parquet(out).select("scenario", "document", "last_tick")
-            .unionByName(first.withColumn("last_tick", F.lit(-1).cast("bigint"))))
+    return published(spark, rows, SL.allocate_reactive).unionByName(
+        first.withColumn("period_end", F.lit(-1).cast("bigint")))
+
+
+@query
+def stream_predictive_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the predictive controller."""
+    return published(spark, live(spark, sf_dir), SL.allocate_predictive)
 
 
 @query
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = RP.replay(spark, arrivals(live(spark, sf_dir), CUTS), lambda s, o: RP.to_batches(
-        SL.latest(s), o, mode="update"))
+        SL.latest(s), o))
     lim = dims.limit_dim(spark, "control").select("slice", "lat_max")
     newest = spark.read.parquet(out).groupBy(*SERIES).agg(F.max_by(
         F.struct("avg_latency_ms", "throughput_mbps", "pkt_count"), "simtime_s").alias("r"),

@@ -57,6 +57,11 @@ def gain_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.gain_by_group(landed(allocation(spark, sf_dir), "allocation"))
 
 
+@query
+def nearly_free_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.nearly_free(allocation(spark, sf_dir))
+
+
 @query
 def top_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_scenarios(allocation(spark, sf_dir))

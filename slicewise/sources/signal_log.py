@@ -12,9 +12,9 @@ from slicewise.sinks.tables import landed
 
 def _lines(spark: SparkSession, path: str, extension: str) -> DataFrame:
     """Text lines with the run they belong to. A run is one file or one folder of part files
-    named ``<run>.<extension>``."""
+    named ``<run>.<extension>``. The metadata column escapes paths, listings do not."""
     return (spark.read.option("recursiveFileLookup", "true").text(path)
-            .select("value", naming.run_of(F.col("_metadata.file_path"), extension).alias("run"))
+            .select("value", naming.run_of(naming.decoded(F.col("_metadata.file_path")), extension).alias("run"))
             .filter("run IS NOT NULL"))
 
 
@@ -69,10 +69,20 @@ def attach_keys(samples: DataFrame, vectors: DataFrame) -> DataFrame:
     return join_small(samples, vectors, ["run", "vec_id"])
 
 
-def land_signal_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Scan the text once and keep it as Parquet by kind and run: later scans of either part
-    read only its own folders and columns."""
-    return split_parts(landed(_parsed(spark, path), "signals", "kind", "run"))
+def land_signal_log(spark: SparkSession, path: str, only_relevant: bool = False
+                    ) -> tuple[DataFrame, DataFrame]:
+    """Keep the parsed log as Parquet by run: later scans read only the columns they need.
+
+    With ``only_relevant`` the declarations are landed first and of the samples only those of
+    vectors that count, at the price of a second pass over the text; without it everything is
+    kept in one pass.
+    """
+    if not only_relevant:
+        return split_parts(landed(_parsed(spark, path), "signals", "kind", "run"))
+    declarations, samples = split_parts(_parsed(spark, path))
+    declarations = landed(declarations, "declarations", "run")
+    wanted = landed(relevant_vectors(declarations).select("run", "vec_id"), "relevant")
+    return declarations, landed(join_small(samples, wanted, ["run", "vec_id"]), "samples", "run")
 
 
 def scan_scalar_log(spark: SparkSession, path: str) -> DataFrame:

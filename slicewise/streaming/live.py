@@ -22,6 +22,11 @@ from slicewise.operators.federated import federated_average
 from slicewise.sinks.documents import allocation_document
 
 KEYS = ["scenario", "gnb", "slice"]
+EPOCH = 1704067200
+#: Watermark, and the seconds of event time after which the state of an ended series goes.
+LATENESS, IDLE = "30 seconds", 3600
+NEVER = -(1 << 62)
+# fixed values of the learner
 BUFFER = 64
 BATCH = 8
 PERIOD = 15
@@ -32,24 +37,50 @@ ROUND_EVERY = 5
 
 def event_time(stream: DataFrame) -> DataFrame:
     """One simulated second is one second after 2024-01-01."""
-    return stream.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("simtime_s")))
+    return stream.withColumn("ts", F.timestamp_seconds(F.lit(EPOCH) + F.col("simtime_s")))
 
 
-def tumbling_kpi(stream: DataFrame, lateness: str = "30 seconds") -> DataFrame:
+def tumbling_kpi(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Per period and series: means and row count. Rows later than two periods are dropped."""
     agg = (event_time(stream).withWatermark("ts", lateness)
            .groupBy(F.window("ts", f"{PERIOD} seconds").alias("w"), *KEYS)
            .agg(F.avg("avg_latency_ms").alias("lat"), F.avg("throughput_mbps").alias("thr"),
                 F.count("*").alias("n_rows")))
-    return agg.select(*KEYS, (F.unix_timestamp("w.start") - 1704067200).alias("period_start"),
+    return agg.select(*KEYS, (F.unix_timestamp("w.start") - EPOCH).alias("period_start"),
                       "lat", "thr", "n_rows")
 
 
+def _timed(stream: DataFrame, *columns: str) -> DataFrame:
+    """Rows with their event time and a watermark, which ends the state of series that stopped."""
+    return event_time(stream).withWatermark("ts", LATENESS).select(*KEYS, "ts", *columns)
+
+
+def _keep(state: GroupState, value: tuple, last_second: float) -> None:
+    """Stores the state until ``IDLE`` seconds of event time after its newest row."""
+    state.update(value)
+    due = int((EPOCH + last_second + IDLE) * 1000)
+    state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1000))
+
+
 def latest(stream: DataFrame) -> DataFrame:
-    """Newest row per series."""
-    row = F.struct("simtime_s", "avg_latency_ms", "throughput_mbps", "pkt_count")
-    return event_time(stream).groupBy(*KEYS).agg(F.max_by(row, "ts").alias("r")).select(
-        *KEYS, "r.*")
+    """After every micro-batch, the newest row of each series with new rows."""
+    cols = ["simtime_s", "avg_latency_ms", "throughput_mbps", "pkt_count"]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        old = pd.DataFrame([state.get] if state.exists else [], columns=cols).astype(
+            {"pkt_count": "int64", **{c: float for c in cols[:3]}})
+        row = _newest(batches, old, 1).iloc[0]
+        value = tuple(float(row[c]) for c in cols[:3]) + (int(row["pkt_count"]),)
+        _keep(state, value, value[0])
+        yield pd.DataFrame([[*key, *value]], columns=[*KEYS, *cols])
+
+    schema = "simtime_s double, avg_latency_ms double, throughput_mbps double, pkt_count bigint"
+    return _timed(stream, *cols).groupBy(*KEYS).applyInPandasWithState(
+        step, f"scenario string, gnb string, slice string, {schema}", schema,
+        "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _newest(batches: Iterator[pd.DataFrame], old: pd.DataFrame, n: int) -> pd.DataFrame:
@@ -68,9 +99,12 @@ def history(stream: DataFrame, n: int = dims.HISTORY, recent: int = L.RECENT) ->
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
              ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         old = dict(zip(cols, state.get)) if state.exists else {c: [] for c in cols}
         kept = _newest(batches, pd.DataFrame(old, dtype=float), n)
-        state.update(tuple(kept[c].tolist() for c in cols))
+        _keep(state, tuple(kept[c].tolist() for c in cols), float(kept["simtime_s"].iloc[-1]))
         last = kept.tail(recent)
         yield pd.DataFrame({**{k: [v] for k, v in zip(KEYS, key)},
                             "last_tick": [int(kept["simtime_s"].iloc[-1])],
@@ -79,12 +113,12 @@ def history(stream: DataFrame, n: int = dims.HISTORY, recent: int = L.RECENT) ->
                             "thr": [last["throughput_mbps"].mean()],
                             "lat_history": [kept["avg_latency_ms"].mean()]})
 
-    return stream.select(*KEYS, *cols).groupBy(*KEYS).applyInPandasWithState(
+    return _timed(stream, *cols).groupBy(*KEYS).applyInPandasWithState(
         step,
         "scenario string, gnb string, slice string, last_tick bigint, n_rows bigint, "
         "ready boolean, lat double, thr double, lat_history double",
         "t array<double>, lat array<double>, thr array<double>",
-        "append", GroupStateTimeout.NoTimeout)
+        "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def with_reactive_load(hist: DataFrame) -> DataFrame:
@@ -94,25 +128,110 @@ def with_reactive_load(hist: DataFrame) -> DataFrame:
         *KEYS, "last_tick", "rho")
 
 
-def allocate_batch(hist: DataFrame) -> DataFrame:
-    """Allocation document of every scenario seen in a micro-batch."""
-    loads = L.fill_missing(with_reactive_load(hist), ["scenario"])
-    period = hist.groupBy("scenario").agg(F.max("last_tick").alias("last_tick"))
-    chosen = A.choose_fold(A.problems(loads, ["scenario"], live=True), exact=False)
-    doc = allocation_document(A.live_allocation(chosen, ["scenario"]), ["scenario"])
-    return doc.join(period, "scenario")
+# ---- controller ---------------------------------------------------------------------
+
+FITS = ["n_rows", "thr_last", "lat_recent", "thr_recent", "mean_thr", "slope_thr", "mean_lat_log",
+        "slope_lat_log"]
+
+
+def _fits(h: pd.DataFrame, recent: int) -> list[float]:
+    """Newest values, means and slopes of one history (time, latency, throughput in order)."""
+    n, last = len(h), h.tail(recent)
+    back = np.arange(-n, 0) - np.arange(-n, 0).mean()
+    out = [n, h["thr"].iloc[-1], last["lat"].mean(), last["thr"].mean()]
+    for v in (h["thr"].to_numpy(), np.log1p(h["lat"].clip(0, 600000.0)).to_numpy()):
+        out += [v.mean(), float(back @ v / (back @ back)) if n > 1 else np.nan]
+    return out
+
+
+def periodic_fits(stream: DataFrame, n: int = dims.HISTORY, recent: int = L.RECENT) -> DataFrame:
+    """For every finished period of a scenario, the fits of all its series, with or without new
+    rows: (scenario, period_end, gnb, slice) and ``FITS``.
+
+    The state of a scenario holds the newest ``n`` rows of each of its series (a fixed number)
+    and the end of the last finished period. A period is finished once the scenario has a row at
+    or after its end; what arrives for a finished period is late and dropped. So the results
+    follow from event time alone and not from how rows were cut into files."""
+    cols = ["gnb", "slice", "t", "lat", "thr"]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if state.exists:
+            *kept, done = state.get
+            rows = pd.DataFrame(dict(zip(cols, kept)))
+        else:
+            rows, done = pd.DataFrame({c: [] for c in cols}), None
+        new = [b.rename(columns={"simtime_s": "t", "avg_latency_ms": "lat", "throughput_mbps": "thr"})[cols]
+               for b in batches]
+        fresh = pd.concat(new)
+        if done is not None:
+            fresh = fresh[fresh["t"] >= done]
+        rows = (pd.concat([rows, fresh]) if len(rows) else fresh).sort_values("t", kind="stable")
+        if len(rows) == 0:
+            return
+        end = int(rows["t"].iloc[-1] // PERIOD) * PERIOD
+        first = done if done is not None else int(rows["t"].iloc[0] // PERIOD) * PERIOD
+        out = []
+        for e in range(first + PERIOD, end + 1, PERIOD):
+            for (gnb, slice_), h in rows[rows["t"] < e].groupby(["gnb", "slice"]):
+                out.append([key[0], e, gnb, slice_, *_fits(h.tail(n), recent)])
+        old, open_ = rows[rows["t"] < end], rows[rows["t"] >= end]
+        rows = pd.concat([old.groupby(["gnb", "slice"]).tail(n), open_])
+        _keep(state, (*(rows[c].tolist() for c in cols), max(end, first)), float(rows["t"].max()))
+        if out:
+            yield pd.DataFrame(out, columns=["scenario", "period_end", "gnb", "slice", *FITS])
+
+    return _timed(stream, "simtime_s", "avg_latency_ms", "throughput_mbps").groupBy(
+        "scenario").applyInPandasWithState(
+        step, "scenario string, period_end bigint, gnb string, slice string, n_rows bigint, "
+        + ", ".join(f"{c} double" for c in FITS[1:]),
+        "gnb array<string>, slice array<string>, t array<double>, lat array<double>, "
+        "thr array<double>, done bigint",
+        "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _documents(loads: DataFrame) -> DataFrame:
+    keys = ["scenario", "period_end"]
+    full = L.fill_missing(loads, keys)
+    chosen = A.choose_fold(A.problems(full, keys, live=True), exact=False)
+    return allocation_document(A.live_allocation(chosen, keys), keys)
+
+
+def _nine(fits: DataFrame) -> DataFrame:
+    return fits.withColumns({c: F.round(F.when(~F.isnan(c), F.col(c)), 9) for c in FITS[1:] if c != "thr_last"})
+
+
+def allocate_reactive(fits: DataFrame) -> DataFrame:
+    """Allocation documents of the finished periods in a micro-batch, from the newest rows."""
+    f = A.with_facts(_nine(fits))
+    rho = F.round(L.observed_load(F.col("lat_recent"), F.col("thr_recent")), 9)
+    return _documents(f.select("scenario", "period_end", "gnb", "slice", rho.alias("rho")))
+
+
+def allocate_predictive(fits: DataFrame) -> DataFrame:
+    """The same from the forecast of the newest 60 rows and its fallbacks."""
+    loads = L.predicted_loads(_nine(fits), ["scenario", "period_end"])
+    return _documents(loads.select("scenario", "period_end", "gnb", "slice", "rho"))
 
 
 # ---- online learning --------------------------------------------------------------
 
-def _periods(batches: Iterator[pd.DataFrame], open_: dict[int, np.ndarray]) -> None:
-    """Adds rows to the sums (rows, log latency, throughput) of their period."""
+def _periods(batches: Iterator[pd.DataFrame], open_: dict[int, np.ndarray], closed: int) -> int:
+    """Adds rows to the sums (rows, log latency, throughput) of their period. Rows of a period
+    up to ``closed`` come too late: they are left out, and their number is returned."""
+    late = 0
     for pdf in batches:
+        old = pdf["simtime_s"] // PERIOD <= closed
+        late += int(old.sum())
+        pdf = pdf[~old]
         lat = np.log1p(pdf["avg_latency_ms"].clip(0, 600000.0))
         g = pd.DataFrame({"p": (pdf["simtime_s"] // PERIOD).astype(int), "n": 1.0, "lat": lat,
                           "thr": pdf["throughput_mbps"]}).groupby("p").sum()
         for p, row in zip(g.index, g.to_numpy()):
             open_[int(p)] = open_.get(int(p), np.zeros(3)) + row
+    return late
 
 
 def gradient_step(w: np.ndarray, x: np.ndarray, y: np.ndarray, rate: float = RATE,
@@ -129,18 +248,22 @@ def gradient_step(w: np.ndarray, x: np.ndarray, y: np.ndarray, rate: float = RAT
 def online_learning(stream: DataFrame, rate: float = RATE) -> DataFrame:
     """Per series and finished period: the bounded replay buffer grows by one sample (means of
     a period, log latency of the next) and, once eight are there, the linear forecaster takes
-    one step on the newest eight. A period is finished when a later one has begun."""
+    one step on the newest eight. A period is finished when a later one has begun; rows for a
+    finished one are dropped and counted in ``n_late``."""
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
              ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         if state.exists:
-            ids, sums, xs, ys, prev, w, n_steps = state.get
+            ids, sums, xs, ys, prev, w, n_steps, closed, n_late = state.get
             open_ = {int(i): np.array(sums[3 * k:3 * k + 3]) for k, i in enumerate(ids)}
             x, y, w = np.array(xs).reshape(-1, 3), np.array(ys), np.array(w)
             prev = np.array(prev)
         else:
             open_, x, y, w, n_steps = {}, np.zeros((0, 3)), np.zeros(0), np.zeros(3), 0
-            prev = np.zeros(0)
-        _periods(batches, open_)
+            prev, closed, n_late = np.zeros(0), NEVER, 0
+        n_late += _periods(batches, open_, closed)
         out = []
         for p in sorted(open_)[:-1]:
             n, lat, thr = open_.pop(p)
@@ -152,24 +275,26 @@ def online_learning(stream: DataFrame, rate: float = RATE) -> DataFrame:
                 if len(y) >= BATCH:
                     w, loss = gradient_step(w, x[-BATCH:], y[-BATCH:], rate)
                     n_steps += 1
-            prev = now
+            prev, closed = now, p
             out.append([*key, p, len(y), len(y) >= BATCH, n_steps, loss,
-                        y[-BATCH:].mean() if len(y) else np.nan, w.tolist()])
+                        y[-BATCH:].mean() if len(y) else np.nan, w.tolist(), n_late])
         ids = sorted(open_)
-        state.update((ids, [float(v) for i in ids for v in open_[i]], x.ravel().tolist(),
-                      y.tolist(), prev.tolist(), w.tolist(), n_steps))
+        _keep(state, (ids, [float(v) for i in ids for v in open_[i]], x.ravel().tolist(),
+                      y.tolist(), prev.tolist(), w.tolist(), n_steps, closed, n_late),
+              (max(ids + [closed]) + 1) * PERIOD)
         if out:
             yield pd.DataFrame(out, columns=[*KEYS, "period", "n_buffer", "ready", "step",
-                                             "loss", "batch_lat_log", "w"])
+                                             "loss", "batch_lat_log", "w", "n_late"])
 
-    return (stream.select(*KEYS, "simtime_s", "avg_latency_ms", "throughput_mbps").groupBy(*KEYS)
+    return (_timed(stream, "simtime_s", "avg_latency_ms", "throughput_mbps").groupBy(*KEYS)
             .applyInPandasWithState(
         step,
         "scenario string, gnb string, slice string, period bigint, n_buffer bigint, "
-        "ready boolean, step bigint, loss double, batch_lat_log double, w array<double>",
+        "ready boolean, step bigint, loss double, batch_lat_log double, w array<double>, "
+        "n_late bigint",
         "ids array<bigint>, sums array<double>, xs array<double>, ys array<double>, "
-        "prev array<double>, w array<double>, n_steps bigint",
-        "append", GroupStateTimeout.NoTimeout))
+        "prev array<double>, w array<double>, n_steps bigint, closed bigint, n_late bigint",
+        "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def federated_rounds(updates: DataFrame, every: int = ROUND_EVERY, slice_: str = "eMBB"

@@ -12,19 +12,26 @@ from slicewise.session import work_dir
 Sink = Callable[[DataFrame, str], DataStreamWriter]
 
 
-def stream_session(spark: SparkSession) -> SparkSession:
-    """A session of its own for streams: the number of state partitions is fixed at the first
-    run of a query, so it is set to the cores of the cluster and not to the batch default."""
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Micro-batches whose progress a query keeps, so that counts over a run are whole.
+PROGRESS = 1_000_000
+
+
+def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session of its own for streams. The number of state partitions is fixed for ever at the
+    first run of a query: ``state_partitions``, by default the cluster's shuffle partitions.
+    State lies in RocksDB, on disk and not in the heap."""
     s = spark.newSession()
     s.conf.set("spark.sql.session.timeZone", "UTC")
-    batch = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cores = spark.sparkContext.defaultParallelism
-    s.conf.set("spark.sql.shuffle.partitions", str(min(batch, cores)))
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    s.conf.set("spark.sql.streaming.numRecentProgressUpdates", str(PROGRESS))
+    s.conf.set("spark.sql.shuffle.partitions",
+               str(state_partitions or spark.conf.get("spark.sql.shuffle.partitions")))
     return s
 
 
 def dropped_rows(query: StreamingQuery) -> int:
-    """Rows that came after the watermark, over the recent micro-batches of a query."""
+    """Rows that came after the watermark, over all micro-batches of a run."""
     return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress
                for op in p["stateOperators"])
 
