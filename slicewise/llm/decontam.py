@@ -18,6 +18,8 @@ from slicewise.sinks.tables import landed
 
 #: Fixed value. Characters that end a word.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before lower-casing: A-Z are letters of words there.
+RAW_SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 WINDOW = 10
 
 
@@ -142,9 +144,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Data
     found = hits(docs, benchmark, n).filter(F.size("hit") > 0).select("key", "hit")
     held = docs.select(F.struct("*").alias("row"),
                        row_key(F.col("doc_id"), F.col("text")).alias("key"))
-    word = SEPARATOR.removesuffix("+")
-    pieces = F.regexp_extract_all("row.text", F.lit(f"[^{word[1:-1]}]++{word}*+"), F.lit(0))
-    head = F.regexp_extract("row.text", f"^{word}*+", 0)
+    between, letter = RAW_SEPARATOR, f"[^{RAW_SEPARATOR[1:-1]}]"
+    pieces = F.regexp_extract_all("row.text", F.lit(f"{letter}++{between}*+"), F.lit(0))
+    head = F.regexp_extract("row.text", f"^{between}*+", 0)
     left = F.array_except(F.sequence(F.lit(1), F.size(pieces)), F.transform("hit", lambda i: i + 1))
     cut = F.concat(head, F.array_join(F.transform(left, lambda i: F.get(pieces, i - 1)), ""))
     text = F.when(F.col("hit").isNull(), F.col("row.text")).otherwise(cut)

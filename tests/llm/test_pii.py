@@ -1,0 +1,72 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from slicewise.llm import pii as P
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+            "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
+            "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum(int(c) * (1 + i % 2) - 9 * (int(c) * (1 + i % 2) > 9) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base(text):
+    out = []
+    for kind, p in PATTERNS.items():
+        for m in re.finditer(p, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == "card" and not (16 <= len(d) <= 19 and luhn(d)):
+                continue
+            if kind == "phone" and not 8 <= len(d) <= 15:
+                continue
+            out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+HARD = ["a@b.c_d@e.f", "a@b.c.", "x" * 40_000 + "@", "a@b" + ".c" * 9000, "1.2.3.4.5.6.7.8", "1" * 40_000,
+        "+1 " + "(" * 9000, "4111 1111 1111 1111 +49 (030) 123456", "é" * 10 + "a@b.co 𝒳 4111111111111111",
+        "1.2.3 4.5.6.7", "a@@b.c d@e.fg@h.ij", "1 " * 9000 + "+", "@" * 9000, None, "", "256.1.1.1 1.1.1.1.",
+        "GB82 WEST 1234 5698 7654 32", "card 378282246310005", "order 378282246310005", "0001.02.3.255 +1-2-3"]
+
+
+def check(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in P.digest(df).collect():
+        want = base(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), texts[r.doc_id]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [
+            sum(w.startswith(k + ":") for w in want) for k in PATTERNS]
+        assert [s for s in r.spans.split(",") if s.split(":")[0] in PATTERNS] == want
+
+
+def test_hard_and_long_texts(spark):
+    check(spark, HARD)
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.text("a1@.+- ()25é", max_size=40), min_size=200, max_size=200))
+def test_any_text(spark, texts):
+    check(spark, texts)
+
+
+def test_added_kinds_need_their_checksum_and_context(spark):
+    rows = [(1, HARD[16]), (2, HARD[16].replace("32", "33")), (3, HARD[17]), (4, HARD[18]), (5, "378282246310005")]
+    got = {r.doc_id: r.spans for r in P.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "iban:0:27", 2: "", 3: "short_card:5:20", 4: "", 5: ""}
+
+
+def test_spans_and_redaction_keep_rows_and_columns(spark):
+    rows = [(1, "mail a@b.co or call +1 555 123 4567", "x"), (1, "mail a@b.co or call +1 555 123 4567", "x"), (None, None, None), (2, "", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pii string")
+    assert len(P.pii_spans(df).filter("size(pii) = 2").collect()) == 2 and P.pii_spans(df).count() == 4
+    out = P.redact(df)
+    assert out.columns == df.columns
+    assert sorted((r.text or "") for r in out.collect()) == ["", ""] + ["mail <email> or call <phone>"] * 2
+    assert P.digest(df.limit(0)).collect() == []

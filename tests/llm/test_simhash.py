@@ -62,7 +62,7 @@ def docs(seed=3):
     return rows + [(900, None), (901, ""), (902, " \n"), (903, "One"), (904, "one two"), (905, "É é\x0bx y z")]
 
 
-@pytest.mark.parametrize("bucket", [8192, 8])
+@pytest.mark.parametrize("bucket", [32768, 8])
 def test_components_equal_brute_force(spark, bucket):
     rows = docs()
     df = spark.createDataFrame(rows, "doc_id long, text string")
