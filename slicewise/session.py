@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+_FOLDERS: dict[str, str] = {}       # application to its folder
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "slicewise", **conf: str) -> SparkSession:
@@ -29,17 +35,43 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in conf.items():
         b = b.config(key.replace("__", "."), value)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the workers this package, wherever the driver was started. Spark serves the
+    archive from the driver; it is made once per application."""
+    name = f"slicewise-{spark.sparkContext.applicationId}"
+    if name in _SHIPPED:
+        return
+    folder = tempfile.mkdtemp(prefix="slicewise-ship-")
+    root = Path(__file__).resolve().parents[1]
+    try:
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{name}", "zip", root, "slicewise"))
+    finally:
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    _SHIPPED.add(name)
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh sub-folder of the shared folder named in ``spark.checkpoint.dir``.
+    """A fresh sub-folder of the application's folder in ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of the machine.
+    The application's folder is removed when its JVM ends, so nothing is left in the shared
+    store. Only a local session may fall back to a temporary folder of the machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="slicewise-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+            base = tempfile.gettempdir()
+        _FOLDERS[app] = f"{base.rstrip('/')}/slicewise-{app}-{uuid.uuid4().hex[:8]}"
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(_FOLDERS[app])
+        store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(folder)
+        store.deleteOnExit(folder)
+    return f"{_FOLDERS[app]}/{label}-{uuid.uuid4().hex}"
