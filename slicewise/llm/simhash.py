@@ -26,7 +26,10 @@ from slicewise.sinks.tables import landed
 
 SHINGLE, BITS, SEED = 3, 3, 42
 #: Distinct fingerprints in a bucket (about); a fuller bucket is split into chunks of this size.
-BUCKET = 8192
+#: A fingerprint goes to every bucket within reach, and that number grows with the levels above
+#: the buckets, so buckets are as large as a task can well hold. At least ``TOP`` levels, so that
+#: small inputs too are spread over tasks.
+BUCKET, TOP = 32768, 3
 #: Pairs of trie nodes, and of leaves, that are held at a time.
 FRONTIER, LEAVES = 1 << 20, 1 << 21
 
@@ -203,7 +206,7 @@ def links(distinct: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFr
         F.sum(F.shiftright("fp", k).bitwiseAND(F.lit(1))).alias(f"b{k}") for k in range(64)]).first()
     n = ones["n"]
     order = sorted(range(64), key=lambda k: (abs((ones[f"b{k}"] or 0) * 2 - n), k))
-    depth = min(18, max(0, math.ceil(math.log2(max(n, 1) / bucket))))
+    depth = min(18, max(TOP, math.ceil(math.log2(max(n, 1) / bucket))))
     top = F.lit(0).cast("long")
     for k in range(depth):
         top = top.bitwiseOR(F.shiftleft(F.shiftright("fp", order[k]).bitwiseAND(F.lit(1)), depth - 1 - k))
