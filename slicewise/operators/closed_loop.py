@@ -10,6 +10,8 @@ from slicewise.functions import scalars as S
 from slicewise.operators import allocate as A
 from slicewise.operators import forecast as FC
 from slicewise.operators.features import base_features
+from slicewise.operators.joins import join_groups
+from slicewise.operators.series import over_frames
 from slicewise.operators.windows import aligned_cells, series_lengths, with_eval_windows
 
 SERIES = ["scenario", "gnb", "slice"]
@@ -37,6 +39,66 @@ def forecast_loads(fits: DataFrame, curves: DataFrame | None = None) -> DataFram
                     FC.mean_latency_ahead().alias("lat_pred"))
 
 
+PERIOD = dims.HORIZON
+NEAR = 64           # periods in a bucket of the join by time
+FEDERATE_EVERY, FEDERATE_SLICE = 5, "eMBB"
+
+
+def online_windows(rows: DataFrame) -> DataFrame:
+    """Fits of the evaluation windows with what the online learner sees of each: means of the
+    newest period of the history (log latency, tenth of the throughput), and the period in
+    which the window starts."""
+    newest = F.col("h").between(-PERIOD, -1)
+    return FC.window_fits(rows, SERIES, (
+        F.round(F.avg(F.when(newest, F.col("lat_log"))), 9).alias("x_lat"),
+        (F.round(F.avg(F.when(newest, F.col("thr"))), 9) / 10).alias("x_thr"),
+        F.floor(F.max(F.when(F.col("h") == 0, F.col("tick"))) / PERIOD).cast("bigint").alias("starts")))
+
+
+def with_last_step(windows: DataFrame, steps: DataFrame) -> DataFrame:
+    """Each window with the newest learning step of its series that ended before it starts
+    (``step``, ``loss``, ``w``; step 0 and zero weights if there is none yet).
+
+    A step holds from the period after its own to the period of the next step. Steps and windows
+    meet in buckets of periods, so neither a series' steps nor its windows are gathered."""
+    last = windows.groupBy(*SERIES).agg(F.max("starts").alias("_end"))
+    held = over_frames(steps.select(*SERIES, "period", "step", "loss", "w"), SERIES, "step",
+                       lambda w: {"_next": F.lead("period").over(w)}, after=1)
+    held = join_groups(held, last, SERIES).withColumn("_next", F.coalesce("_next", "_end"))
+    bucket = lambda c: F.floor(c / NEAR)
+    held = (held.filter(F.col("_next") > F.col("period"))
+            .withColumn("_b", F.explode(F.sequence(bucket(F.col("period") + 1), bucket(F.col("_next")))))
+            .drop("_end"))
+    on = [*SERIES, "_b"]
+    met = (windows.withColumn("_b", bucket(F.col("starts"))).alias("a").join(held.alias("b"), [
+        *[F.col(f"a.{k}") == F.col(f"b.{k}") for k in on], F.col("b.period") < F.col("a.starts"),
+        F.col("a.starts") <= F.col("b._next")], "left"))
+    none = F.array(*[F.lit(0.0)] * 3)
+    return met.select("a.*", F.coalesce("b.step", F.lit(0)).cast("bigint").alias("step"), F.col("b.loss").alias("loss"),
+                      F.coalesce("b.w", none).alias("w")).drop("_b")
+
+
+def online_loads(windows: DataFrame) -> DataFrame:
+    """Predicted late share and load from the weights each window was given."""
+    f = A.with_facts(windows)
+    w = F.col("w")
+    lat = F.expm1(w[0] + w[1] * F.col("x_lat") + w[2] * F.col("x_thr"))
+    f = f.withColumn("p_pred", (lat > F.col("control_lat_max")).cast("double"))
+    rho = S.predicted_load(F.col("p_pred"), FC.mean_over_steps("thr"), F.col("capacity"),
+                           F.col("curve_k"), F.col("curve_rho"))
+    return f.select(*SERIES, "t", F.round(rho, 9).alias("rho"), "p_pred", "p_real", "step", "loss")
+
+
+def run_online_loop(loads: DataFrame) -> DataFrame:
+    """The loop with the learner's state: newest step of the cell's slices, their mean training
+    loss, and whether an averaging of the slices' cells was due at that step."""
+    due = (F.col("slice") == FEDERATE_SLICE) & (F.col("step") > 0) & (F.col("step") % FEDERATE_EVERY == 0)
+    state = loads.groupBy("scenario", "gnb", "t").agg(
+        F.max("step").alias("step"), F.round(F.avg("loss"), 6).alias("train_loss"),
+        F.bool_or(due).alias("fedavg"))
+    return run_loop(loads.drop("step", "loss")).join(state, ["scenario", "gnb", "t"])
+
+
 def run_loop(loads: DataFrame, curves: DataFrame | None = None) -> DataFrame:
     """One row per (scenario, cell, window): objective, gain, loads, predicted, observed and
     estimated late shares, chosen units."""

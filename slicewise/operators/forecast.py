@@ -40,16 +40,17 @@ def trend_forecast(series: DataFrame, keys: list[str], chunk: int = CHUNK) -> Da
                        ahead("loss", F.col("h")).alias("loss_pred"))
 
 
-def window_fits(eval_rows: DataFrame, keys: list[str]) -> DataFrame:
+def window_fits(eval_rows: DataFrame, keys: list[str], more: tuple[Column, ...] = ()) -> DataFrame:
     """Line fits of each evaluation window's history and the late share of its observation,
-    by one aggregation with map-side combine. ``eval_rows`` carries ``late`` and the targets."""
+    by one aggregation with map-side combine. ``eval_rows`` carries ``late`` and the targets;
+    ``more`` are further aggregates of a window's rows."""
     past, seen = F.col("h") < 0, F.col("h") >= 0
     aggs = [F.round(F.avg(F.when(seen, F.col("late"))), 9).alias("p_real")]
     for t in TARGETS:
         y = F.when(past, F.col(t))
         aggs.append(F.round(F.avg(y), 9).alias(f"mean_{t}"))
         aggs.append(F.round(F.regr_slope(y, "h"), 9).alias(f"slope_{t}"))
-    return eval_rows.groupBy(*keys, "t").agg(*aggs)
+    return eval_rows.groupBy(*keys, "t").agg(*aggs, *more)
 
 
 def late_share(limit: Column) -> Column:

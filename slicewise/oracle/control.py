@@ -160,8 +160,8 @@ FROM li_logs JOIN li_windows USING (scenario, gnb) WHERE pos >= t - 60 AND pos <
 LAT_AHEAD = "exp(m_lat + s_lat * (h + 30.5)) - 1"
 
 
-def loop_ctes(prefix: str, curve: str) -> None:
-    cte(f"{prefix}_loads", f"""
+def loop_ctes(prefix: str, curve: str, loads: str = "") -> None:
+    cte(f"{prefix}_loads", loads or f"""
 SELECT *, round(CASE WHEN p_pred >= 0.99 THEN CAST(2 AS DOUBLE)
     WHEN p_pred > 0.01 THEN least(greatest(curve_rho - ln(1.0 / p_pred - 1) / curve_k, 0.01), 3)
     ELSE least(greatest(greatest(m_thr + s_thr * 37.5, 0) / greatest(capacity, 1e-6), 0.01), 3) END, 9) AS rho
@@ -218,7 +218,7 @@ loop_ctes("fitted", "long_curve")
 oracle("closed_loop_calibrated", "SELECT * FROM fitted_wide")
 
 
-def reduction(online: bool) -> str:
+def reduction(online: bool, loop: str = "loop") -> str:
     some = "true" if online else "d >= 0.1"
     red = "(d - o) / greatest(d, 1e-6) * 100" if online else "CASE WHEN d >= 0.1 THEN (d - o) / d * 100 END"
     return f"""
@@ -229,11 +229,10 @@ SELECT gnb, slice, round(d, 2) AS viol_static_pct, round(o, 2) AS viol_opt_pct,
 FROM (SELECT gnb, slice, avg(p_real) * 100 AS d, avg(p_sla_opt) * 100 AS o,
              avg(CASE WHEN p_real > 0 THEN 1.0 ELSE 0.0 END) * 100 AS wd,
              avg(CASE WHEN p_sla_opt > 0.05 THEN 1.0 ELSE 0.0 END) * 100 AS wo
-      FROM loop_long GROUP BY gnb, slice)"""
+      FROM {loop}_long GROUP BY gnb, slice)"""
 
 
 oracle("sla_reduction", reduction(False))
-oracle("sla_reduction_online", reduction(True))
 oracle("sla_reduction_rollup", " UNION ALL ".join(f"""
 SELECT slice, gnb, round(avg(viol_static_pct), 4) AS viol_static_pct,
        round(avg(viol_opt_pct), 4) AS viol_opt_pct, round(avg(reduction_pct), 4) AS reduction_pct,

@@ -1,6 +1,6 @@
 """SQL of the live queries: what the stream must have published."""
 
-from slicewise.oracle.control import LAT_AHEAD, best_split, LIVE_COST
+from slicewise.oracle.control import LAT_AHEAD, LIVE_COST, best_split, loop_ctes, reduction
 from slicewise.oracle.core import cte, oracle
 
 cte("reactive", """
@@ -140,8 +140,8 @@ WITH RECURSIVE run AS (
          CAST(NULL AS DOUBLE) AS loss, CAST(0 AS DOUBLE) AS w0, CAST(0 AS DOUBLE) AS w1, CAST(0 AS DOUBLE) AS w2
   FROM (SELECT DISTINCT scenario, gnb, slice FROM learn_sums)
   UNION ALL
-  SELECT scenario, gnb, slice, step, period, loss, w0 - 1e-5 * g0 / greatest(norm, 1),
-         w1 - 1e-5 * g1 / greatest(norm, 1), w2 - 1e-5 * g2 / greatest(norm, 1)
+  SELECT scenario, gnb, slice, step, period, loss, w0 - {rate} * g0 / greatest(norm, 1),
+         w1 - {rate} * g1 / greatest(norm, 1), w2 - {rate} * g2 / greatest(norm, 1)
   FROM (SELECT *, sqrt(g0 * g0 + g1 * g1 + g2 * g2) AS norm
         FROM (SELECT s.scenario, s.gnb, s.slice, s.step, s.period, w0, w1, w2,
                (8 * w0 + sl * w1 + st * w2 - sy) / 4 AS g0,
@@ -152,7 +152,7 @@ WITH RECURSIVE run AS (
               FROM run JOIN learn_sums s ON s.scenario = run.scenario AND s.gnb = run.gnb
                 AND s.slice = run.slice AND s.step = run.step + 1 AND s.rank > 8 AND s.rank < s.n)))
 SELECT * FROM run WHERE step > 0"""
-cte("learned_steps", LEARN)
+cte("learned_steps", LEARN.replace("{rate}", "1e-5"))
 oracle("stream_online_update", """
 SELECT scenario, gnb, slice, period, step, round(loss, 9) AS loss, round(w0, 12) AS w0,
        round(w1, 12) AS w1, round(w2, 12) AS w2 FROM learned_steps""")
@@ -170,3 +170,42 @@ SELECT scenario, gnb, slice, n_steps, round(avg(loss) FILTER (step <= n_steps //
        round(avg(loss) FILTER (step > n_steps - 20), 9) AS last_20
 FROM (SELECT *, max(step) OVER (PARTITION BY scenario, gnb, slice) AS n_steps FROM learned_steps)
 GROUP BY scenario, gnb, slice, n_steps""")
+
+# The online loop: every window takes the weights of the last step before it.
+cte("online_steps", LEARN.replace("{rate}", "0.01"))
+cte("online_seen", """
+SELECT scenario, gnb, slice, t, round(avg(lat_log) FILTER (pos < t), 9) AS x_lat,
+       round(avg(thr) FILTER (pos < t), 9) / 10 AS x_thr, max(tick) FILTER (pos = t) // 15 AS starts
+FROM li_logs JOIN li_windows USING (scenario, gnb) WHERE pos >= t - 15 AND pos <= t GROUP BY ALL""")
+cte("online_given", """
+SELECT w.*, coalesce(s.step, 0) AS step, loss, coalesce(w0, 0) AS w0, coalesce(w1, 0) AS w1, coalesce(w2, 0) AS w2
+FROM online_seen w LEFT JOIN online_steps s ON s.scenario = w.scenario AND s.gnb = w.gnb AND s.slice = w.slice
+  AND s.period < w.starts
+QUALIFY row_number() OVER (PARTITION BY w.scenario, w.gnb, w.slice, w.t ORDER BY s.period DESC NULLS LAST) = 1""")
+loop_ctes("online", "", """
+SELECT *, round(CASE WHEN p_pred >= 0.99 THEN CAST(2 AS DOUBLE)
+    ELSE least(greatest(greatest(m_thr + s_thr * 37.5, 0) / greatest(capacity, 1e-6), 0.01), 3) END, 9) AS rho
+FROM (SELECT f.*, d.* EXCLUDE (gnb, slice), g.step, g.loss, round(s.p_real, 9) AS p_real,
+             CASE WHEN exp(w0 + w1 * x_lat + w2 * x_thr) - 1 > control_lat_max THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS p_pred
+      FROM li_fits f JOIN facts d USING (gnb, slice) JOIN li_seen s USING (scenario, gnb, slice, t)
+      JOIN online_given g USING (scenario, gnb, slice, t))""")
+cte("online_rows", """
+SELECT * FROM online_wide JOIN (
+  SELECT scenario, gnb, t, CAST(max(step) AS BIGINT) AS step, round(avg(loss), 6) AS train_loss,
+         bool_or(slice = 'eMBB' AND step > 0 AND step % 5 = 0) AS fedavg
+  FROM online_loads GROUP BY scenario, gnb, t) USING (scenario, gnb, t)""")
+oracle("closed_loop_online", "SELECT * FROM online_rows")
+oracle("sla_reduction_online", reduction(True, "online"))
+cte("online_numbered", """
+SELECT *, row_number() OVER (ORDER BY scenario, gnb, t) - 1 AS row_no, count(*) OVER () AS n_all FROM online_rows""")
+oracle("half_comparison", " UNION ALL ".join(
+    f"SELECT '{p}' AS part, round(avg(mae_pred), 5) AS mae_pred, round(avg(gain_pct), 5) AS gain_pct, "
+    f"round(avg(train_loss), 5) AS train_loss FROM online_numbered WHERE {c}" for p, c in [
+        ("first_half", "row_no < n_all // 2"), ("second_half", "row_no >= n_all // 2"),
+        ("first_rows", "row_no < 20"), ("last_rows", "row_no >= n_all - 20")]))
+oracle("rolling_quality", """
+SELECT gnb, scenario, t, row_number() OVER w - 1 AS row_no,
+       round(avg(mae_pred) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 8) AS mae_10,
+       round(avg(gain_pct) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 8) AS gain_10,
+       round(avg(F_optimal) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 8) AS objective_5
+FROM online_rows WINDOW w AS (PARTITION BY gnb ORDER BY scenario, t)""")

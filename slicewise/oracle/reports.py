@@ -23,20 +23,6 @@ SELECT run AS mode, slice, tick, scenario, gnb,
          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 100, 6) AS cum_viol_pct
 FROM mode_rows r JOIN (SELECT slice, lat_max FROM dim_limits WHERE profile = 'control') l USING (slice)""")
 
-cte("loop_numbered", """
-SELECT *, row_number() OVER (ORDER BY scenario, gnb, t) - 1 AS row_no, count(*) OVER () AS n_all FROM loop_wide""")
-oracle("half_comparison", " UNION ALL ".join(
-    f"SELECT '{p}' AS part, round(avg(mae_pred), 5) AS mae_pred, round(avg(gain_pct), 5) AS gain_pct "
-    f"FROM loop_numbered WHERE {c}" for p, c in [
-        ("first_half", "row_no < n_all // 2"), ("second_half", "row_no >= n_all // 2"),
-        ("first_rows", "row_no < 20"), ("last_rows", "row_no >= n_all - 20")]))
-oracle("rolling_quality", """
-SELECT gnb, scenario, t, row_number() OVER w - 1 AS row_no,
-       round(avg(mae_pred) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 8) AS mae_10,
-       round(avg(gain_pct) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 8) AS gain_10,
-       round(avg(F_optimal) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 8) AS objective_5
-FROM loop_wide WINDOW w AS (PARTITION BY gnb ORDER BY scenario, t)""")
-
 oracle("gain_by_group", """
 SELECT level, name, count(*) AS n, round(avg(gain_pct), 5) AS mean_gain,
        count(*) FILTER (F_optimal < 0.1) AS n_below_0_1, round(median(gain_pct), 5) AS median_gain

@@ -206,11 +206,6 @@ def reduction_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return red.groupBy("slice").pivot("gnb", dims.CELLS).agg(F.max("reduction_pct"))
 
 
-@query
-def sla_reduction_online(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CL.sla_reduction(loop_results(spark, sf_dir), online=True)
-
-
 @query
 def sla_reduction_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roll-ups of the offline report (without mMTC) and of the online one."""

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
 from slicewise import dims
+from slicewise.operators import closed_loop as CL
 from slicewise.operators import live as L
+from slicewise.operators import report as R
 from slicewise.operators.joins import join_groups
 from slicewise.operators.profile import r6
-from slicewise.operators.series import over_frames
-from slicewise.plans.etl import SERIES, kpi_base
+from slicewise.operators.series import over_frames, with_positions
+from slicewise.plans.etl import SERIES, kpi_base, long_kpi
 from slicewise.plans.profiling import block_scenario
 from slicewise.plans.registry import query
 from slicewise.sinks.documents import allocation_document, default_units
@@ -125,9 +127,42 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("sla_ok"))
 
 
-def learned(spark: SparkSession, sf_dir: str) -> str:
+def learned(spark: SparkSession, sf_dir: str, rate: float = SL.RATE) -> str:
     return RP.replay(spark, arrivals(long_live(spark, sf_dir), LONG_CUTS),
-                     lambda s, o: RP.to_files(SL.online_learning(s), o))
+                     lambda s, o: RP.to_files(SL.online_learning(s, rate), o))
+
+
+LOOP_RATE = 0.01        # the loop's learner starts from zero and not from a trained network
+
+
+def online_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed loop whose forecasts come from the weights the stream had learned by then."""
+    k = long_kpi(spark, sf_dir)
+    steps = spark.read.parquet(learned(spark, sf_dir, LOOP_RATE)).filter("step > 0")
+    windows = landed(CL.online_windows(CL.eval_rows(with_positions(k, SERIES), k)), "windows")
+    loads = landed(CL.online_loads(CL.with_last_step(windows, steps)), "online")
+    return CL.run_online_loop(loads)
+
+
+@query
+def closed_loop_online(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online_loop(spark, sf_dir)
+
+
+@query
+def sla_reduction_online(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CL.sla_reduction(online_loop(spark, sf_dir), online=True)
+
+
+@query
+def half_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error, gain and training loss of the online loop by halves."""
+    return R.half_comparison(landed(online_loop(spark, sf_dir), "loop"), ("mae_pred", "gain_pct", "train_loss"))
+
+
+@query
+def rolling_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.rolling_quality(landed(online_loop(spark, sf_dir), "loop"))
 
 
 @query

@@ -42,16 +42,6 @@ def cumulative_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.cumulative_violation(landed(mode_kpi(spark, sf_dir), "modes"))
 
 
-@query
-def half_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.half_comparison(landed(loop_results(spark, sf_dir), "loop"))
-
-
-@query
-def rolling_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.rolling_quality(landed(loop_results(spark, sf_dir), "loop"))
-
-
 @query
 def gain_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.gain_by_group(landed(allocation(spark, sf_dir), "allocation"))
