@@ -143,29 +143,40 @@ def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
 
 
 def signatures(line: Column, length: Column, k: int, min_chars: int) -> Column:
-    """Array of (sig, role): role 1 for index, 2 for probe."""
-    def sig(start: Column, size: Column, i: int, of: Column, role: int) -> Column:
-        return F.struct(F.xxhash64(F.substring(line, start, size), F.lit(i), of).alias("sig"),
-                        F.lit(role).alias("role"))
+    """Array of 63-bit hashes with a role in the last bit: 1 for the line's own segments, 0 for
+    other probes (null where a probe does not fit). An own segment is also the probe of its
+    length at its place, so that one is not listed again."""
+    def sig(start: Column, size: Column, i: int, of: Column) -> Column:
+        return F.xxhash64(F.substring(line, start, size), F.lit(i), of)
 
     out = []
     for i in range(k + 1):
         start, size = _segment(length, i, k)
-        out.append(sig(start, size, i, length, 1))
+        out.append(sig(start, size, i, length).bitwiseOR(F.lit(1).cast("long")))
         for delta in range(k + 1):
             of = length - delta
             start, size = _segment(of, i, k)
             for off in range(max(-i, delta - (k - i)), min(i, delta + (k - i)) + 1):
+                if (delta, off) == (0, 0):
+                    continue
                 at = start + off
                 fits = (of >= min_chars) & (at >= 1) & (at + size - 1 <= length)
-                out.append(F.when(fits, sig(at, size, i, of, 2)))
-    return F.filter(F.array(*out), lambda s: s.isNotNull())
+                out.append(F.when(fits, sig(at, size, i, of).bitwiseAND(F.lit(-2).cast("long"))))
+    return F.array(*out)
+
+
+def _signed(able: DataFrame, k: int, min_chars: int) -> DataFrame:
+    """``line, sig, own`` for every signature of every line."""
+    return (able.select("line", F.explode(signatures(F.col("line"), F.col("n"), k, min_chars)).alias("x"))
+            .filter(F.col("x").isNotNull())
+            .select("line", F.shiftright("x", 1).alias("sig"), F.col("x").bitwiseAND(F.lit(1).cast("long")).alias("own")))
 
 
 def _lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text)).alias("key"),
-                       F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line")
-                       ).withColumn("n", F.length("line"))
+    # the key is made before lines are cut, so that no text travels along with its lines
+    parts = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text)).alias("key"),
+                        F.split(F.col(text), "\n").alias("parts"))
+    return parts.select("id", "key", F.posexplode("parts").alias("line_no", "line")).withColumn("n", F.length("line"))
 
 
 def line_links(lines: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS,
@@ -173,11 +184,10 @@ def line_links(lines: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS,
     """``a, b``: digests of every two different texts of ``lines`` (columns ``line``, ``n``) with
     at least ``min_chars`` characters and at most ``k`` edits apart, each pair once."""
     able = lines.filter(F.col("n") >= min_chars).select("line", "n")
-    signed = able.select("line", F.explode(signatures(F.col("line"), F.col("n"), k, min_chars)).alias("s")
-                         ).select("line", "s.sig", "s.role")
-    shared = (signed.select("sig", "role", F.xxhash64("line").alias("id"))
-              .groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_or("role").alias("roles"))
-              .filter((F.col("lo") != F.col("hi")) & (F.col("roles") == 3)).select("sig"))
+    signed = _signed(able, k, min_chars)
+    shared = (signed.select("sig", "own", F.xxhash64("line").alias("id"))
+              .groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("own").alias("own"))
+              .filter((F.col("lo") != F.col("hi")) & (F.col("own") == 1)).select("sig"))
     shared = landed(shared, "lines-shared")
     n = shared.count()
     if n > broadcast_rows:
@@ -186,15 +196,14 @@ def line_links(lines: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS,
         narrow = signed.select("sig", F.xxhash64("line").alias("id")).join(shared, "sig", "left_semi")
         ids = landed(narrow.select("id").distinct(), "lines-ids")
         able = able.withColumn("id", F.xxhash64("line")).join(ids, "id", "left_semi").drop("id")
-        able = landed(able.distinct(), "lines-able")
-        signed = able.select("line", F.explode(signatures(F.col("line"), F.col("n"), k, min_chars)).alias("s")
-                             ).select("line", "s.sig", "s.role")
+        signed = _signed(landed(able.distinct(), "lines-able"), k, min_chars)
     held = landed(signed.join(small(shared, n, broadcast_rows), "sig", "left_semi").distinct(), "lines-held")
-    left = held.filter("role = 1").select("sig", F.col("line").alias("x"))
-    right = held.filter("role = 2").select("sig", F.col("line").alias("y"))
-    ordered = (F.length("x") < F.length("y")) | (F.col("x") < F.col("y"))
+    left = held.filter("own = 1").select("sig", F.col("line").alias("x"))
+    right = held.select("sig", F.col("line").alias("y")).distinct()
+    # of two lines of one length either may be the one that probes
+    ordered = (F.length("x") < F.length("y")) | ((F.length("x") == F.length("y")) & (F.col("x") != F.col("y")))
     return (left.join(right, (left.sig == right.sig) & ordered & within_edits(F.col("x"), F.col("y"), k))
-            .select(F.md5("x").alias("a"), F.md5("y").alias("b")).distinct())
+            .select(F.md5(F.least("x", "y")).alias("a"), F.md5(F.greatest("x", "y")).alias("b")).distinct())
 
 
 def line_classes(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS,
