@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slicewise.operators import federated as FD
 from slicewise.operators import live as L
+from slicewise.plans import live as PL
 from slicewise.streaming import live as SL
 from slicewise.streaming import replay as RP
 
@@ -138,3 +139,40 @@ def test_huber_ignores_outliers(spark):
     dirty.loc[::20, "y"] += 500.0
     out = huber_fit(spark.createDataFrame(dirty), spark.createDataFrame(pdf), ["a", "b"], "y")
     assert out.select(F.avg(F.abs(F.col("pred") - F.col("y")))).collect()[0][0] < 0.2
+
+
+def live_rows(spark, n=130, series=(("Macro", "eMBB"), ("Macro", "URLLC"), ("Commerce", "mMTC"))):
+    rows = [("S", g, s, float(t), 5.0 + (t * (k + 2)) % 40, 1.0 + t % 3, 1)
+            for k, (g, s) in enumerate(series) for t in range(n) if not (s == "URLLC" and t > 70)]
+    return spark.createDataFrame(rows, "scenario string, gnb string, slice string, simtime_s double, "
+                                 "avg_latency_ms double, throughput_mbps double, pkt_count bigint")
+
+
+def test_documents_do_not_depend_on_the_cut_into_files(spark):
+    """One document per 15 s, also where a series has no new rows and whatever arrives together."""
+    rows, got = live_rows(spark), []
+    for cuts in ([0], [0, 33, 100], [0, 15, 16, 90, 91]):
+        for allocate in (SL.allocate_reactive, SL.allocate_predictive):
+            got.append(sorted(map(tuple, PL.published(spark, rows, allocate, cuts).collect())))
+    assert sorted(r[2] for r in got[0]) == list(range(15, 121, 15))
+    assert got[0] == got[2] == got[4] and got[1] == got[3] == got[5]
+
+
+def test_late_rows_change_no_published_step(spark):
+    rows = live_rows(spark, 400, (("Macro", "eMBB"),))
+    late = rows.filter("simtime_s < 5").withColumn("avg_latency_ms", F.lit(9000.0))
+    plain, mixed = (spark.read.parquet(RP.replay(spark, parts, lambda s, o: RP.to_files(SL.online_learning(s), o))).collect()
+                    for parts in ([rows], [rows.filter("simtime_s < 200"), late, rows.filter("simtime_s >= 200")]))
+    key = lambda r: (r.period, r.step, r.n_buffer, r.w)
+    assert sorted(map(key, plain)) == sorted(map(key, mixed))
+    assert len({r.period for r in mixed}) == len(mixed)
+
+
+def test_state_of_an_ended_series_goes(spark):
+    rows = live_rows(spark, 60, (("Macro", "eMBB"),))
+    later = live_rows(spark, 20, (("Macro", "URLLC"),)).withColumn("simtime_s", F.col("simtime_s") + 2 * SL.IDLE)
+    last = later.withColumn("simtime_s", F.col("simtime_s") + 60)
+    left = []
+    RP.replay(spark, [rows, later, last], lambda s, o: RP.to_files(SL.history(s), o),
+              done=lambda q: left.append(q.lastProgress["stateOperators"][0]["numRowsTotal"]))
+    assert left[0] == 1 and left[-1] == 1
