@@ -25,6 +25,15 @@ def parameter_drift(params: DataFrame) -> DataFrame:
     return params.groupBy("slice", "gnb").agg(F.sqrt(F.sum(d * d)).alias("l2"))
 
 
+def drift_of_all(vectors: DataFrame) -> DataFrame:
+    """Mean distance of all vectors of a (slice, cell) from its first one, each taken in its row."""
+    first = vectors.groupBy("slice", "gnb").agg(F.min_by("embedding", "vec_id").alias("_first"))
+    gap = F.zip_with("embedding", "_first", lambda a, b: F.pow(a.cast("double") - b.cast("double"), F.lit(2.0)))
+    length = F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x))
+    return (join_groups(vectors, first, ["slice", "gnb"]).groupBy("slice", "gnb")
+            .agg(F.count("*").alias("n_vectors"), F.avg(length).alias("l2_mean")))
+
+
 def divergence(params: DataFrame, value: str = "final") -> DataFrame:
     """Sum over tensors of the distance of every other cell to a slice's first cell."""
     first = params.groupBy("slice").agg(F.min("gnb").alias("ref_gnb"))

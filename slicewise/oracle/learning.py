@@ -12,8 +12,10 @@ SELECT slice, gnb, i AS idx, 'p' || (i // 16) AS param, CAST(a[i + 1] AS DOUBLE)
        CAST(b[i + 1] AS DOUBLE) AS final
 FROM (SELECT *, unnest(range(len(a))) AS i FROM model_ends)""")
 oracle("federated_average", """
-SELECT slice, param, idx, round(avg(final), 6) AS value, count(*) AS n_cells
-FROM model_rows GROUP BY slice, param, idx""")
+SELECT slice, 'p' || (i // 16) AS param, i AS idx, round(avg(CAST(embedding[i + 1] AS DOUBLE)), 6) AS value,
+       count(*) AS n_vectors
+FROM (SELECT CASE label % 3 WHEN 0 THEN 'eMBB' WHEN 1 THEN 'URLLC' ELSE 'mMTC' END AS slice, embedding,
+             unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL""")
 oracle("random_split", """
 SELECT slice, CASE WHEN h % 100 < 85 THEN 'train' ELSE 'val' END AS part, count(*) AS n
 FROM (SELECT slice, CAST('0x' || substr(md5(concat_ws('|', scenario, gnb, slice, start)), 1, 8) AS BIGINT) AS h
@@ -31,6 +33,14 @@ FROM (SELECT *, len(list_filter(range(1, CAST(floor(lam + 12 * sqrt(lam) + 20) A
                   FROM li_weights)))
 GROUP BY scenario, gnb, slice HAVING sum(copies) > 0""")
 oracle("parameter_drift", """
+SELECT slice, gnb, l2, divergence, n_vectors, l2_mean FROM (
+  SELECT slice, gnb, count(*) AS n_vectors, round(avg(d), 6) AS l2_mean
+  FROM (SELECT slice, gnb, sqrt(list_sum(list_transform(range(len(e)), lambda i:
+               (CAST(e[i + 1] AS DOUBLE) - CAST(a[i + 1] AS DOUBLE)) ** 2))) AS d
+        FROM (SELECT CASE label % 3 WHEN 0 THEN 'eMBB' WHEN 1 THEN 'URLLC' ELSE 'mMTC' END AS slice,
+                     CASE vec_id % 3 WHEN 0 THEN 'Macro' WHEN 1 THEN 'Commerce' ELSE 'Industrie' END AS gnb,
+                     embedding AS e FROM embeddings) JOIN model_ends USING (slice, gnb))
+  GROUP BY slice, gnb) JOIN (
 SELECT slice, gnb, round(sqrt(sum((final - initial) ** 2)), 6) AS l2, max(divergence) AS divergence
 FROM model_rows LEFT JOIN (
   SELECT slice, round(sum(norm), 6) AS divergence FROM (
@@ -39,4 +49,4 @@ FROM model_rows LEFT JOIN (
     JOIN (SELECT * FROM model_rows QUALIFY gnb = min(gnb) OVER (PARTITION BY slice)) r
       ON r.slice = m.slice AND r.idx = m.idx AND r.gnb <> m.gnb
     GROUP BY m.slice, m.gnb, m.param) GROUP BY slice) USING (slice)
-GROUP BY slice, gnb""")
+GROUP BY slice, gnb) USING (slice, gnb)""")

@@ -33,17 +33,24 @@ def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def federated_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = X.model_params(spark, sf_dir).withColumnRenamed("final", "value")
-    a = FD.federated_average(p)
-    return a.select("slice", "param", "idx", r6(F.col("value")).alias("value"), "n_cells")
+    """Mean of every parameter over all vectors of a slice."""
+    v = X.param_vectors(spark, sf_dir).select("slice", F.posexplode("embedding").alias("idx", "value"))
+    a = FD.federated_average(v.select("slice", X.param_name(F.col("idx")).alias("param"),
+                                      F.col("idx").cast("bigint").alias("idx"), F.col("value").cast("double")))
+    return a.select("slice", "param", "idx", r6(F.col("value")).alias("value"),
+                    F.col("n_cells").alias("n_vectors"))
 
 
 @query
 def parameter_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of the last vector of a cell from its first, mean distance of all its vectors from
+    it, and the divergence of the cells of a slice."""
     p = landed(X.model_params(spark, sf_dir), "params")
     d = FD.parameter_drift(p).join(FD.divergence(p), "slice", "left")
-    return d.select("slice", "gnb", r6(F.col("l2")).alias("l2"),
-                    r6(F.col("divergence")).alias("divergence"))
+    every = FD.drift_of_all(X.param_vectors(spark, sf_dir))
+    return d.join(every, ["slice", "gnb"]).select(
+        "slice", "gnb", r6(F.col("l2")).alias("l2"), r6(F.col("divergence")).alias("divergence"),
+        "n_vectors", r6(F.col("l2_mean")).alias("l2_mean"))
 
 
 @query

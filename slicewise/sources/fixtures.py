@@ -71,20 +71,28 @@ def lineitem_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.avg("lost"), 6).alias("loss"))
 
 
-def model_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First and last parameter vector per (slice, cell), long form."""
-    e = table(spark, sf_dir, "embeddings").select(
+def param_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every parameter vector with its slice and cell, in the order of ``vec_id``."""
+    return table(spark, sf_dir, "embeddings").select(
         _choose(F.col("label") % 3, ["eMBB", "URLLC", "mMTC"]).alias("slice"),
         _choose(F.col("vec_id") % 3, ["Macro", "Commerce", "Industrie"]).alias("gnb"),
         "vec_id", "embedding")
-    ends = e.groupBy("slice", "gnb").agg(
+
+
+def param_name(idx: Column) -> Column:
+    return F.concat(F.lit("p"), F.floor(idx / 16).cast("string"))
+
+
+def model_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last parameter vector per (slice, cell), long form."""
+    ends = param_vectors(spark, sf_dir).groupBy("slice", "gnb").agg(
         F.min_by("embedding", "vec_id").alias("initial"),
         F.max_by("embedding", "vec_id").alias("final"))
     rows = ends.select("slice", "gnb", F.posexplode(F.arrays_zip("initial", "final"))
                        .alias("idx", "pair"))
     return rows.select(
         "slice", "gnb",
-        F.concat(F.lit("p"), F.floor(F.col("idx") / 16).cast("string")).alias("param"),
+        param_name(F.col("idx")).alias("param"),
         F.col("idx").cast("bigint").alias("idx"),
         F.col("pair.initial").cast("double").alias("initial"),
         F.col("pair.final").cast("double").alias("final"))

@@ -13,7 +13,8 @@ PART = ["sla_summary", "kpi_table", "samples_with_keys", "describe_kpi", "mean_l
         "feature_matrix", "feature_vol_serve", "temporal_split", "window_weight", "allocate_exact",
         "allocate_fold", "allocate_priority", "calibrate_loss_curve", "closed_loop",
         "forecast_metrics", "scenario_linear", "mode_kpis", "kpi_csv_roundtrip",
-        "predictive_load"]
+        "predictive_load", "closed_loop_online", "stream_allocation", "weighted_sample",
+        "random_split", "federated_average", "parameter_drift", "scan_scalar_totals"]
 TEXT_ONLY = {n for n in entry.queries() if n == "pipeline" or n in (
     "op6_quality", "op7_linededup", "op8_simhash", "op9_langid")}
 NAMES = sorted(entry.queries()) if os.environ.get("SLICEWISE_ALL") else PART
