@@ -41,7 +41,6 @@ def forecast_loads(fits: DataFrame, curves: DataFrame | None = None) -> DataFram
 
 PERIOD = dims.HORIZON
 NEAR = 64           # periods in a bucket of the join by time
-FEDERATE_EVERY, FEDERATE_SLICE = 5, "eMBB"
 
 
 def online_windows(rows: DataFrame) -> DataFrame:
@@ -57,12 +56,12 @@ def online_windows(rows: DataFrame) -> DataFrame:
 
 def with_last_step(windows: DataFrame, steps: DataFrame) -> DataFrame:
     """Each window with the newest learning step of its series that ended before it starts
-    (``step``, ``loss``, ``w``; step 0 and zero weights if there is none yet).
+    (``step``, ``loss``, ``w``, ``fedavg``; step 0 and zero weights if there is none yet).
 
     A step holds from the period after its own to the period of the next step. Steps and windows
     meet in buckets of periods, so neither a series' steps nor its windows are gathered."""
     last = windows.groupBy(*SERIES).agg(F.max("starts").alias("_end"))
-    held = over_frames(steps.select(*SERIES, "period", "step", "loss", "w"), SERIES, "step",
+    held = over_frames(steps.select(*SERIES, "period", "step", "loss", "w", "fedavg"), SERIES, "step",
                        lambda w: {"_next": F.lead("period").over(w)}, after=1)
     held = join_groups(held, last, SERIES).withColumn("_next", F.coalesce("_next", "_end"))
     bucket = lambda c: F.floor(c / NEAR)
@@ -75,7 +74,7 @@ def with_last_step(windows: DataFrame, steps: DataFrame) -> DataFrame:
         F.col("a.starts") <= F.col("b._next")], "left"))
     none = F.array(*[F.lit(0.0)] * 3)
     return met.select("a.*", F.coalesce("b.step", F.lit(0)).cast("bigint").alias("step"), F.col("b.loss").alias("loss"),
-                      F.coalesce("b.w", none).alias("w")).drop("_b")
+                      F.coalesce("b.w", none).alias("w"), F.coalesce("b.fedavg", F.lit(False)).alias("fedavg")).drop("_b")
 
 
 def online_loads(windows: DataFrame) -> DataFrame:
@@ -86,17 +85,16 @@ def online_loads(windows: DataFrame) -> DataFrame:
     f = f.withColumn("p_pred", (lat > F.col("control_lat_max")).cast("double"))
     rho = S.predicted_load(F.col("p_pred"), FC.mean_over_steps("thr"), F.col("capacity"),
                            F.col("curve_k"), F.col("curve_rho"))
-    return f.select(*SERIES, "t", F.round(rho, 9).alias("rho"), "p_pred", "p_real", "step", "loss")
+    return f.select(*SERIES, "t", F.round(rho, 9).alias("rho"), "p_pred", "p_real", "step", "loss", "fedavg")
 
 
 def run_online_loop(loads: DataFrame) -> DataFrame:
     """The loop with the learner's state: newest step of the cell's slices, their mean training
-    loss, and whether an averaging of the slices' cells was due at that step."""
-    due = (F.col("slice") == FEDERATE_SLICE) & (F.col("step") > 0) & (F.col("step") % FEDERATE_EVERY == 0)
+    loss, and whether a slice's weights come straight from an averaging over the cells."""
     state = loads.groupBy("scenario", "gnb", "t").agg(
         F.max("step").alias("step"), F.round(F.avg("loss"), 6).alias("train_loss"),
-        F.bool_or(due).alias("fedavg"))
-    return run_loop(loads.drop("step", "loss")).join(state, ["scenario", "gnb", "t"])
+        F.bool_or("fedavg").alias("fedavg"))
+    return run_loop(loads.drop("step", "loss", "fedavg")).join(state, ["scenario", "gnb", "t"])
 
 
 def run_loop(loads: DataFrame, curves: DataFrame | None = None) -> DataFrame:

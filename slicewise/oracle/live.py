@@ -172,27 +172,27 @@ FROM (SELECT *, max(step) OVER (PARTITION BY scenario, gnb, slice) AS n_steps FR
 GROUP BY scenario, gnb, slice, n_steps""")
 
 # The online loop: every window takes the weights of the last step before it.
-cte("online_steps", LEARN.replace("{rate}", "0.01"))
+cte("online_steps", "SELECT * FROM feed_long")
 cte("online_seen", """
 SELECT scenario, gnb, slice, t, round(avg(lat_log) FILTER (pos < t), 9) AS x_lat,
        round(avg(thr) FILTER (pos < t), 9) / 10 AS x_thr, max(tick) FILTER (pos = t) // 15 AS starts
 FROM li_logs JOIN li_windows USING (scenario, gnb) WHERE pos >= t - 15 AND pos <= t GROUP BY ALL""")
 cte("online_given", """
-SELECT w.*, coalesce(s.step, 0) AS step, loss, coalesce(w0, 0) AS w0, coalesce(w1, 0) AS w1, coalesce(w2, 0) AS w2
+SELECT w.*, coalesce(s.step, 0) AS step, loss, coalesce(fedavg, false) AS fedavg, coalesce(w0, 0) AS w0, coalesce(w1, 0) AS w1, coalesce(w2, 0) AS w2
 FROM online_seen w LEFT JOIN online_steps s ON s.scenario = w.scenario AND s.gnb = w.gnb AND s.slice = w.slice
   AND s.period < w.starts
 QUALIFY row_number() OVER (PARTITION BY w.scenario, w.gnb, w.slice, w.t ORDER BY s.period DESC NULLS LAST) = 1""")
 loop_ctes("online", "", """
 SELECT *, round(CASE WHEN p_pred >= 0.99 THEN CAST(2 AS DOUBLE)
     ELSE least(greatest(greatest(m_thr + s_thr * 37.5, 0) / greatest(capacity, 1e-6), 0.01), 3) END, 9) AS rho
-FROM (SELECT f.*, d.* EXCLUDE (gnb, slice), g.step, g.loss, round(s.p_real, 9) AS p_real,
+FROM (SELECT f.*, d.* EXCLUDE (gnb, slice), g.step, g.loss, g.fedavg, round(s.p_real, 9) AS p_real,
              CASE WHEN exp(w0 + w1 * x_lat + w2 * x_thr) - 1 > control_lat_max THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS p_pred
       FROM li_fits f JOIN facts d USING (gnb, slice) JOIN li_seen s USING (scenario, gnb, slice, t)
       JOIN online_given g USING (scenario, gnb, slice, t))""")
 cte("online_rows", """
 SELECT * FROM online_wide JOIN (
   SELECT scenario, gnb, t, CAST(max(step) AS BIGINT) AS step, round(avg(loss), 6) AS train_loss,
-         bool_or(slice = 'eMBB' AND step > 0 AND step % 5 = 0) AS fedavg
+         bool_or(fedavg) AS fedavg
   FROM online_loads GROUP BY scenario, gnb, t) USING (scenario, gnb, t)""")
 oracle("closed_loop_online", "SELECT * FROM online_rows")
 oracle("sla_reduction_online", reduction(True, "online"))
@@ -209,3 +209,61 @@ SELECT gnb, scenario, t, row_number() OVER w - 1 AS row_no,
        round(avg(gain_pct) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 8) AS gain_10,
        round(avg(F_optimal) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 8) AS objective_5
 FROM online_rows WINDOW w AS (PARTITION BY gnb ORDER BY scenario, t)""")
+
+# Learning with feedback: a recursion over the periods of a (scenario, slice), all cells in one row.
+_CELLS = ["Commerce", "Industrie", "Macro"]
+_SUMS = [*_terms]
+cte("feed_sums", "SELECT scenario, gnb, slice, period, rank - 8 AS step, " + ", ".join(
+    f"sum({e}) OVER w AS {k}" for k, e in _terms.items()) + """
+FROM (SELECT *, max(period) OVER (PARTITION BY scenario, slice) AS last FROM learn_periods)
+WHERE rank > 1 AND period < last
+WINDOW w AS (PARTITION BY scenario, gnb, slice ORDER BY period ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)""")
+cte("feed_wide", "SELECT scenario, slice, period, row_number() OVER (PARTITION BY scenario, slice ORDER BY period) AS k, "
+    + ", ".join(f"{c} AS {c}" for i in range(3) for c in [f"step{i}", *[f"{x}{i}" for x in _SUMS]])
+    + ", " + ", ".join(f"coalesce(max(step{i}) OVER (PARTITION BY scenario, slice ORDER BY period), 0) AS upto{i}" for i in range(3))
+    + " FROM (SELECT scenario, slice, period, " + ", ".join(
+        f"max(CASE WHEN gnb = '{c}' THEN {x} END) AS {x}{i}" for i, c in enumerate(_CELLS) for x in ["step", *_SUMS])
+    + " FROM feed_sums WHERE step > 0 GROUP BY ALL)")
+
+
+def _fed_step(i: int) -> str:
+    """Gradient and loss of cell ``i`` of one row."""
+    a, b, c = f"a{i}", f"b{i}", f"c{i}"
+    s = {x: f"{x}{i}" for x in _SUMS}
+    return f"""(8 * {a} + {s['sl']} * {b} + {s['st']} * {c} - {s['sy']}) / 4 AS g{i}0,
+  ({s['sl']} * {a} + {s['sll']} * {b} + {s['slt']} * {c} - {s['sly']}) / 4 AS g{i}1,
+  ({s['st']} * {a} + {s['slt']} * {b} + {s['stt']} * {c} - {s['sty']}) / 4 AS g{i}2,
+  ({s['syy']} - 2 * ({a} * {s['sy']} + {b} * {s['sly']} + {c} * {s['sty']}) + 8 * {a} * {a} + {s['sll']} * {b} * {b}
+   + {s['stt']} * {c} * {c} + 2 * ({s['sl']} * {a} * {b} + {s['st']} * {a} * {c} + {s['slt']} * {b} * {c})) / 8 AS newloss{i}"""
+
+
+def _feed() -> str:
+    cols = [f"{v}{i}" for i in range(3) for v in "abc"]
+    moved = ", ".join(
+        f"CASE WHEN step{i} IS NULL THEN {v}{i} ELSE {v}{i} - 0.01 * g{i}{j} / greatest(sqrt(g{i}0 ** 2 + g{i}1 ** 2 + g{i}2 ** 2), 1) END AS n{v}{i}"
+        for i in range(3) for j, v in enumerate("abc"))
+    able = " + ".join(f"CASE WHEN upto{i} > 0 THEN 1 ELSE 0 END" for i in range(3))
+    due = "slice = 'eMBB' AND greatest(upto0, upto1, upto2) % 5 = 0"
+    mean = {v: "(" + " + ".join(f"CASE WHEN upto{i} > 0 THEN n{v}{i} ELSE 0 END" for i in range(3)) + f") / ({able})" for v in "abc"}
+    final = ", ".join(f"CASE WHEN {due} AND upto{i} > 0 THEN {mean[v]} ELSE n{v}{i} END AS {v}{i}" for i in range(3) for v in "abc")
+    return f"""
+WITH RECURSIVE run AS (
+  SELECT scenario, slice, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS period, false AS due,
+         {", ".join(f"CAST(NULL AS BIGINT) AS step{i}, CAST(NULL AS DOUBLE) AS newloss{i}" for i in range(3))},
+         {", ".join(f"CAST(0 AS DOUBLE) AS {c}" for c in cols)}
+  FROM (SELECT DISTINCT scenario, slice FROM feed_wide)
+  UNION ALL
+  SELECT scenario, slice, k, period, {due} AS due, {", ".join(f"step{i}, newloss{i}" for i in range(3))}, {final}
+  FROM (SELECT *, {moved} FROM (
+    SELECT f.*, {", ".join(f"r.{c}" for c in cols)}, {", ".join(_fed_step(i) for i in range(3))}
+    FROM run r JOIN feed_wide f ON f.scenario = r.scenario AND f.slice = r.slice AND f.k = r.k + 1)))
+SELECT * FROM run WHERE k > 0"""
+
+
+cte("feed_steps", _feed())
+cte("feed_long", " UNION ALL ".join(
+    f"SELECT scenario, '{c}' AS gnb, slice, period, step{i} AS step, due AS fedavg, newloss{i} AS loss, "
+    f"a{i} AS w0, b{i} AS w1, c{i} AS w2 FROM feed_steps WHERE step{i} IS NOT NULL" for i, c in enumerate(_CELLS)))
+oracle("stream_federated_learning", """
+SELECT scenario, gnb, slice, period, step, fedavg, round(loss, 6) AS loss, round(w0, 8) AS w0,
+       round(w1, 8) AS w1, round(w2, 8) AS w2 FROM feed_long""")

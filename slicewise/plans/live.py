@@ -127,18 +127,24 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("sla_ok"))
 
 
-def learned(spark: SparkSession, sf_dir: str, rate: float = SL.RATE) -> str:
+def learned(spark: SparkSession, sf_dir: str) -> str:
     return RP.replay(spark, arrivals(long_live(spark, sf_dir), LONG_CUTS),
-                     lambda s, o: RP.to_files(SL.online_learning(s, rate), o))
+                     lambda s, o: RP.to_files(SL.online_learning(s), o))
 
 
 LOOP_RATE = 0.01        # the loop's learner starts from zero and not from a trained network
 
 
+def learned_together(spark: SparkSession, sf_dir: str) -> str:
+    return RP.replay(spark, arrivals(long_live(spark, sf_dir), LONG_CUTS),
+                     lambda s, o: RP.to_files(SL.federated_learning(s, LOOP_RATE), o))
+
+
 def online_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed loop whose forecasts come from the weights the stream had learned by then."""
+    """Closed loop whose forecasts come from the weights the stream had learned by then, with the
+    averages over the cells flowing back into the learners."""
     k = long_kpi(spark, sf_dir)
-    steps = spark.read.parquet(learned(spark, sf_dir, LOOP_RATE)).filter("step > 0")
+    steps = spark.read.parquet(learned_together(spark, sf_dir))
     windows = landed(CL.online_windows(CL.eval_rows(with_positions(k, SERIES), k)), "windows")
     loads = landed(CL.online_loads(CL.with_last_step(windows, steps)), "online")
     return CL.run_online_loop(loads)
@@ -217,3 +223,11 @@ def stream_federated_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SL.federated_rounds(spark.read.parquet(out)).select(
         "scenario", "slice", "step", F.col("idx").cast("bigint").alias("idx"),
         F.round("value", 12).alias("value"), "n_cells")
+
+
+@query
+def stream_federated_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learning steps of all cells where the averages flow back into the learners."""
+    return spark.read.parquet(learned_together(spark, sf_dir)).select(
+        *SERIES, "period", "step", "fedavg", F.round("loss", 6).alias("loss"),
+        *[F.round(F.col("w")[i], 8).alias(f"w{i}") for i in range(3)])

@@ -297,6 +297,92 @@ def online_learning(stream: DataFrame, rate: float = RATE) -> DataFrame:
         "append", GroupStateTimeout.EventTimeTimeout))
 
 
+class _Learner:
+    """Replay buffer, weights and steps of one series, as lists in the state."""
+
+    def __init__(self, x=(), y=(), prev=(), w=(0.0, 0.0, 0.0), steps: int = 0):
+        self.x, self.y = np.array(x, float).reshape(-1, 3), np.array(y, float)
+        self.prev, self.w, self.steps = np.array(prev, float), np.array(w, float), steps
+
+    def learn(self, sums: np.ndarray, rate: float) -> float:
+        """Takes a finished period in; the loss of the step it led to, nan if there was none."""
+        n, lat, thr = sums
+        now, loss = np.array([1.0, lat / n, thr / n / 10.0]), np.nan
+        if len(self.prev):
+            self.x = np.vstack([self.x, self.prev])[-BUFFER:]
+            self.y = np.append(self.y, now[1])[-BUFFER:]
+            if len(self.y) >= BATCH:
+                self.w, loss = gradient_step(self.w, self.x[-BATCH:], self.y[-BATCH:], rate)
+                self.steps += 1
+        self.prev = now
+        return loss
+
+    def state(self) -> list[float]:
+        parts = [[self.steps, len(self.y), len(self.prev)], self.w, self.x.ravel(), self.y, self.prev]
+        return [float(v) for part in parts for v in part]
+
+    @classmethod
+    def of(cls, v: list[float]) -> _Learner:
+        steps, n, m = int(v[0]), int(v[1]), int(v[2])
+        w, rest = v[3:6], v[6:]
+        return cls(rest[:3 * n], rest[3 * n:4 * n], rest[4 * n:4 * n + m], w, steps)
+
+
+def federated_learning(stream: DataFrame, rate: float = RATE, every: int = ROUND_EVERY,
+                       slice_: str = "eMBB") -> DataFrame:
+    """Online learning of the cells of a slice together: whenever the cells' largest step number
+    is a multiple of ``every``, the cells of ``slice_`` that have learned take on the mean of their
+    weights and go on from there.
+
+    State is kept per (scenario, slice) and holds the learner of each cell. A period is finished
+    when any of the cells has a row of a later one; rows for a finished period are dropped."""
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        cells, open_, closed = {}, {}, NEVER
+        if state.exists:
+            names, learners, ids, owners, sums, closed = state.get
+            cells = {c: _Learner.of(v) for c, v in zip(names, learners)}
+            for k, (i, c) in enumerate(zip(ids, owners)):
+                open_.setdefault(c, {})[int(i)] = np.array(sums[3 * k:3 * k + 3])
+        for pdf in batches:
+            for cell, part in pdf.groupby("gnb"):
+                _periods(iter([part]), open_.setdefault(cell, {}), closed)
+        last = max((p for o in open_.values() for p in o), default=closed)
+        out = []
+        for p in sorted({p for o in open_.values() for p in o if p < last}):
+            rows = []
+            for cell in sorted(c for c in open_ if p in open_[c]):
+                learner = cells.setdefault(cell, _Learner())
+                before = learner.steps
+                loss = learner.learn(open_[cell].pop(p), rate)
+                if learner.steps > before:
+                    rows.append((cell, learner, loss))
+            able = [c for c in cells.values() if c.steps]
+            due = bool(rows) and key[1] == slice_ and max(c.steps for c in able) % every == 0
+            if due:
+                mean = np.mean([c.w for c in able], axis=0)
+                for c in able:
+                    c.w = mean
+            out += [[key[0], cell, key[1], p, c.steps, loss, due, c.w.tolist()] for cell, c, loss in rows]
+            closed = p
+        left = [(p, c, v) for c, o in open_.items() for p, v in o.items()]
+        _keep(state, (list(cells), [cells[c].state() for c in cells], [p for p, _, _ in left],
+                      [c for _, c, _ in left], [float(x) for _, _, v in left for x in v], closed),
+              (last + 1) * PERIOD)
+        if out:
+            yield pd.DataFrame(out, columns=["scenario", "gnb", "slice", "period", "step", "loss", "fedavg", "w"])
+
+    return _timed(stream, "simtime_s", "avg_latency_ms", "throughput_mbps").groupBy(
+        "scenario", "slice").applyInPandasWithState(
+        step, "scenario string, gnb string, slice string, period bigint, step bigint, loss double, "
+        "fedavg boolean, w array<double>",
+        "cells array<string>, learners array<array<double>>, ids array<bigint>, owners array<string>, "
+        "sums array<double>, closed bigint",
+        "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def federated_rounds(updates: DataFrame, every: int = ROUND_EVERY, slice_: str = "eMBB"
                      ) -> DataFrame:
     """Average of the cells' parameters after every fifth step of one slice."""
