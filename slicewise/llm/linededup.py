@@ -133,43 +133,34 @@ def within_edits(a: Column, b: Column, k: int = MAX_EDITS) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= k) & _let(ordered, ends_cut)
 
 
-def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
-    """First position (from 1) and size of segment ``i`` (from 0) of a line of ``length``: the
-    last ``length mod (k + 1)`` segments are one longer than the others."""
-    size = F.floor(length / (k + 1)).cast("int")
-    short = k + 1 - length % (k + 1)
-    return (i * size + F.greatest(F.lit(i) - short, F.lit(0)) + 1,
-            size + F.when(F.lit(i) >= short, 1).otherwise(0))
-
-
-def signatures(line: Column, length: Column, k: int, min_chars: int) -> Column:
-    """Array of 63-bit hashes with a role in the last bit: 1 for the line's own segments, 0 for
-    other probes (null where a probe does not fit). An own segment is also the probe of its
-    length at its place, so that one is not listed again."""
-    def sig(start: Column, size: Column, i: int, of: Column) -> Column:
-        return F.xxhash64(F.substring(line, start, size), F.lit(i), of)
-
-    out = []
-    for i in range(k + 1):
-        start, size = _segment(length, i, k)
-        out.append(sig(start, size, i, length).bitwiseOR(F.lit(1).cast("long")))
-        for delta in range(k + 1):
-            of = length - delta
-            start, size = _segment(of, i, k)
-            for off in range(max(-i, delta - (k - i)), min(i, delta + (k - i)) + 1):
-                if (delta, off) == (0, 0):
-                    continue
-                at = start + off
-                fits = (of >= min_chars) & (at >= 1) & (at + size - 1 <= length)
-                out.append(F.when(fits, sig(at, size, i, of).bitwiseAND(F.lit(-2).cast("long"))))
-    return F.array(*out)
+def _places(k: int) -> list[tuple[int, int, int]]:
+    """(segment, length less by, shift) of every signature of a line. For a segment ``i`` of a line
+    shorter by ``delta``, edits before it move it by at most ``i`` and edits after it by at most
+    ``k - i``, seen from the other end. (i, 0, 0) is the line's own segment."""
+    return [(i, delta, off) for i in range(k + 1) for delta in range(k + 1)
+            for off in range(max(-i, delta - (k - i)), min(i, delta + (k - i)) + 1)]
 
 
 def _signed(able: DataFrame, k: int, min_chars: int) -> DataFrame:
-    """``line, sig, own`` for every signature of every line."""
-    return (able.select("line", F.explode(signatures(F.col("line"), F.col("n"), k, min_chars)).alias("x"))
-            .filter(F.col("x").isNotNull())
-            .select("line", F.shiftright("x", 1).alias("sig"), F.col("x").bitwiseAND(F.lit(1).cast("long")).alias("own")))
+    """``line, sig, own`` for every signature of every line: the hash of a piece of the line with
+    the number of the segment and the length it is looked for at.
+
+    The places are rows first and one expression works on each: one small loop, where an array
+    of a dozen long expressions would be code too large to be compiled."""
+    place = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("d"), F.lit(o).alias("o"))
+                                for i, d, o in _places(k)])).alias("at")
+    # the last (length mod (k + 1)) of the k + 1 segments are one longer than the others
+    # four bytes a character, so that a piece is found without counting through the line
+    wide = able.select("line", "n", F.encode("line", "UTF-32").alias("wide"))
+    cut = (wide.select("line", "n", "wide", place).select("line", "n", "wide", "at.i", "at.d", "at.o")
+           .withColumn("of", F.col("n") - F.col("d")).filter(F.col("of") >= min_chars)
+           .withColumn("size", F.expr(f"CAST(of DIV {k + 1} AS INT)"))
+           .withColumn("extra", F.greatest(F.col("i") - (k + 1) + F.pmod("of", F.lit(k + 1)), F.lit(-1)))
+           .withColumn("start", F.col("i") * F.col("size") + F.greatest("extra", F.lit(0)) + 1 + F.col("o"))
+           .withColumn("size", F.col("size") + (F.col("extra") >= 0).cast("int")))
+    fits = cut.filter((F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("n")))
+    sig = F.xxhash64(F.substring("wide", F.col("start") * 4 - 3, F.col("size") * 4), "i", "of")
+    return fits.select("line", sig.alias("sig"), ((F.col("d") == 0) & (F.col("o") == 0)).cast("int").alias("own"))
 
 
 def _lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
