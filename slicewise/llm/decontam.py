@@ -132,7 +132,8 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
 def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """``docs`` without rows whose text holds a window. All columns stay, whatever their names;
     rows with null or empty text stay."""
-    bad = hits(docs, benchmark, n).filter(F.size("hit") > 0).select("key")
+    bad = landed(hits(docs, benchmark, n).filter(F.size("hit") > 0).select("key"), "decontam-bad")
+    bad = small(bad, bad.count() * 4)          # within the bound no text has to move
     held = docs.select(F.struct("*").alias("row"),
                        row_key(F.col("doc_id"), F.col("text")).alias("key"))
     return held.join(bad, "key", "left_anti").select("row.*")
@@ -141,7 +142,7 @@ def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Da
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """``docs`` with the hit words, and the separators after them, cut out of their texts. Other
     words and separators stay as they are; null texts stay null."""
-    found = hits(docs, benchmark, n).filter(F.size("hit") > 0).select("key", "hit")
+    found = landed(hits(docs, benchmark, n).filter(F.size("hit") > 0).select("key", "hit"), "decontam-hits")
     held = docs.select(F.struct("*").alias("row"),
                        row_key(F.col("doc_id"), F.col("text")).alias("key"))
     between, letter = RAW_SEPARATOR, f"[^{RAW_SEPARATOR[1:-1]}]"

@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slicewise.llm.common import row_key
+from slicewise.llm.common import row_key, small
+from slicewise.sinks.tables import landed
 
 DIM_BITS = 17
 DIM = 1 << DIM_BITS
@@ -269,7 +270,8 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_known(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose language is undetermined or predicted with a score below
     ``min_score``. All columns stay."""
-    bad = predict(docs, fit(docs)).filter((F.col("lang_pred") == UNDETERMINED)
-                                          | (F.col("score") < min_score)).select("key").distinct()
+    bad = landed(predict(docs, fit(docs)).filter((F.col("lang_pred") == UNDETERMINED)
+                                                 | (F.col("score") < min_score)).select("key").distinct(), "lang-bad")
+    bad = small(bad, bad.count() * 4)          # within the bound no text has to move
     held = docs.select(F.struct("*").alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("key"))
     return held.join(bad, "key", "left_anti").select("row.*")
