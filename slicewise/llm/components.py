@@ -11,11 +11,12 @@ from slicewise.sinks.tables import landed
 def _contract(links: DataFrame, large: bool) -> DataFrame:
     """One star step. ``large``: every larger neighbour of u is linked to the least of u and its
     neighbours; else u and its smaller neighbours are linked to the least of them. The least is
-    an aggregate joined back, so a hub's links are never gathered in one place."""
+    an aggregate, stored and joined back: no hub's links are gathered, and Spark can split the
+    side that holds them."""
     both = links.select("a", "b")
     if large:
         both = both.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    least = landed(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "link-least")
     joined = both.join(least, "a")
     if large:
         out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))

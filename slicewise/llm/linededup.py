@@ -223,6 +223,7 @@ def line_classes(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS
     first = (own.filter(F.col("class_id").isNotNull()).groupBy("class_id")
              .agg(F.min(place).alias("first"), F.count("*").alias("n"))
              .filter(F.col("n") > 1).select("class_id", "first"))
+    first = landed(first, "line-first")        # stored, so that Spark can split a hot class
     return (own.join(first, "class_id", "left")
             .select("id", "key", "line_no", "class_id", "n_links",
                     (F.col("first").isNull() | (place == F.col("first"))

@@ -242,7 +242,7 @@ def classes(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFr
     roots = components(links(distinct, bits))
     rooted = landed(distinct.join(roots, distinct.fp == roots.node, "left")
                     .select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = landed(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-named")
     return prints.join(rooted.join(named, "root").select("fp", "component_id"), "fp")
 
 
