@@ -1,0 +1,59 @@
+import random
+
+from slicewise.llm import simhash as S
+
+import corpus_pipeline as P
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {" ".join(w[i:i + 5]) for i in range(len(w) - 4)} or {" ".join(w)}
+
+
+def test_planted_edits_are_found(spark):
+    rng, rows, far = random.Random(11), [], []
+    for g in range(120):
+        words = [f"w{rng.randrange(10 ** 6)}" for _ in range(rng.choice([100, 120, 160, 200]))]
+        for e in (0, 1, 2, 3):
+            new = list(words)
+            for at in rng.sample(range(len(words)), e):
+                new[at] = "Edited"
+            rows.append((g * 10 + e, " ".join(new)))
+            a, b = shingles(" ".join(words)), shingles(" ".join(new))
+            far += [g * 10 + e] if len(a & b) / len(a | b) < 0.8 else []
+        half = " ".join(words[:50] + [f"x{rng.randrange(10 ** 6)}" for _ in range(50)])
+        rows.append((g * 10 + 9, half))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stage = dict(P.STAGES)["simhash_dedup"]
+    left = {r.doc_id for r in stage(spark, docs, None).collect()}
+    must = {g * 10 + e for g in range(120) for e in (1, 2, 3)} - set(far)
+    assert len(must) > 250 and not left & must
+    assert {g * 10 for g in range(120)} | {g * 10 + 9 for g in range(120)} <= left
+
+
+def test_classes_equal_brute_force_with_small_chunks(spark):
+    rng, rows = random.Random(5), []
+    base = [f"b{i}" for i in range(90)]
+    for i in range(60):
+        new = list(base)
+        for at in rng.sample(range(90), rng.randrange(0, 4)):
+            new[at] = f"e{i}"
+        rows.append((i, " ".join(new)))
+    rows += [(100, None), (101, ""), (102, "one two"), (103, "One  two"), (104, "one")]
+    sets = [shingles(t or "") for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.similar_classes(docs, chunk=7).collect()}
+    assert got == {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
+    assert S.keep_similar_one(docs.limit(0)).collect() == []
