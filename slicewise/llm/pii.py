@@ -18,6 +18,12 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+#: Fixed values. Characters of an IBAN by country; of other countries the whole match counts.
+IBAN_CHARS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "short_card")
 
@@ -84,6 +90,36 @@ def iban_ok(value: Column) -> Column:
             & (F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1))
 
 
+def _iban_part(hit: Column) -> Column:
+    """The start of a match that is as long as IBANs of its country are; empty if it is shorter."""
+    chars = F.create_map(*[F.lit(x) for n, names in IBAN_CHARS.items() for c in names.split() for x in (c, n)])
+    n = F.get(F.map_values(F.map_filter(chars, lambda c, _: c == F.substring(hit, 1, 2))), F.lit(0))
+    part = F.call_function("regexp_extract", hit, F.concat(F.lit("^(?: ?[A-Z0-9]){"), n.cast("string"), F.lit("}")), F.lit(0))
+    return F.when(n.isNull(), hit).otherwise(part)
+
+
+def _ibans(text: Column) -> Column:
+    """IBANs that pass their checksum, leftmost first and not overlapping. Every place where one
+    can begin is tried, so a match that fails takes nothing from the next one."""
+    spaced = F.lit(rf"(?s)\G(.*?)(?=({IBAN}))[A-Z]")
+    pairs = F.arrays_zip(F.regexp_extract_all(text, spaced, F.lit(0)).alias("whole"),
+                         F.regexp_extract_all(text, spaced, F.lit(2)).alias("hit"))
+    parts = F.transform(pairs, lambda x: F.struct(F.length(x["whole"]).alias("step"), _iban_part(x["hit"]).alias("hit")))
+    empty = F.array().cast(f"array<{SPAN}>")
+
+    def step(acc: Column, x: Column) -> Column:
+        pos = acc["pos"] + x["step"]
+        end = pos - 1 + F.length(x["hit"])
+        span = F.struct(F.lit("iban").alias("kind"), (pos - 1).alias("start"), end.alias("end"),
+                        x["hit"].alias("value"), F.lit(BASE_SCORE["iban"]).alias("score"))
+        good = (pos - 1 >= acc["stop"]) & iban_ok(x["hit"])
+        return F.struct(pos.alias("pos"), F.when(good, end).otherwise(acc["stop"]).alias("stop"),
+                        F.when(good, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("stop"), empty.alias("out"))
+    return F.when(text.rlike("[A-Z]{2}[0-9]{2}"), F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(empty)
+
+
 def _ip_ok(value: Column) -> Column:
     return F.forall(F.split(value, r"\."), lambda p: p.cast("double") <= 255)
 
@@ -120,8 +156,7 @@ def find_spans(text: Column) -> Column:
         "card": F.filter(runs, lambda s: n(s).between(16, 19) & luhn_ok(digits_of(s["value"]))),
         "phone": F.filter(_proposed(text, PHONE, "phone", F.contains(text, F.lit("+"))),
                           lambda s: n(s).between(8, 15)),
-        "iban": F.filter(_proposed(text, IBAN, "iban", text.rlike("[A-Z]{2}[0-9]{2}")),
-                         lambda s: iban_ok(s["value"])),
+        "iban": _ibans(text),
         "short_card": F.transform(
             F.filter(runs, lambda s: n(s).between(13, 15) & luhn_ok(digits_of(s["value"]))),
             lambda s: s.withField("kind", F.lit("short_card"))

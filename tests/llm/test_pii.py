@@ -70,3 +70,15 @@ def test_spans_and_redaction_keep_rows_and_columns(spark):
     assert out.columns == df.columns
     assert sorted((r.text or "") for r in out.collect()) == ["", ""] + ["mail <email> or call <phone>"] * 2
     assert P.digest(df.limit(0)).collect() == []
+
+
+def test_ibans_end_where_their_country_says(spark):
+    ibans = ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "NO93 8601 1117 947",
+             "DE89 3704 0044 0532 0130 00", "SE4550000000058398257466"]
+    rows = [(i, f"é {x}{after}") for i, (x, after) in enumerate((x, a) for x in ibans for a in (" Please", " PLEASE pay 12", " 7 days", ""))]
+    rows += [(90, "AB12 3456 7890 ES91 2100 0418 4502 0005 1332 Please"), (91, "ES92 2100 0418 4502 0005 1332 Please"),
+             (92, "BE68 5390 0754 7034 AT61 1904 3002 3457 3201")]
+    got = {r.doc_id: r.spans for r in P.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {i: [s for s in v.split(",") if s.startswith("iban")] for i, v in got.items()}
+    assert {i: found[i] for i in range(24)} == {i: [f"iban:2:{2 + len(ibans[i // 4])}"] for i in range(24)}
+    assert (found[90], found[91], found[92]) == (["iban:15:44"], [], ["iban:0:19", "iban:20:44"])
