@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicewise.llm import chat, decontam, knn, langid, license, linededup, mixing, pii, quality, simhash
+from slicewise.llm import (chat, decontam, filteraudit, knn, langid, license, linededup, mixing, pii, quality,
+                           simhash)
 from slicewise.llm.common import read, register
 
 
@@ -62,3 +63,8 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@register
+def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
