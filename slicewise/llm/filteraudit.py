@@ -20,6 +20,8 @@ from slicewise.sinks.tables import landed
 
 #: The letter of the duplicate filter; the others are conditions on one text (see ``text_rules``).
 DUPLICATE = "E"
+#: Rows of one hash that are compared in one task (about).
+SLOT_ROWS = 1000
 
 
 def words(text: Column) -> Column:
@@ -37,17 +39,19 @@ def text_rules(text: Column, found: Column) -> dict[str, Column]:
             "D": text.rlike("[#$%&*|]")}
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """The rows of ``docs`` (``id``, ``h``, ``text``, others) whose text a smaller id has too.
 
     Only rows whose hash occurs with two ids take part in the comparison of texts, and of equal
-    texts only one, with the least id, stands on the right: it exists or it doesn't, so a text that
-    a third of all rows share meets one row, and Spark can split the left side."""
-    twice = (docs.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-             .filter("lo < hi").select("h"))
+    texts only one, with the least id, stands on the right: it exists or it doesn't. The rows of a
+    frequent hash are dealt to slots of about ``slot_rows``, and its texts stand in each of them."""
+    twice = (docs.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
+             .filter("lo < hi").select("h", F.ceil(F.col("n") / slot_rows).alias("slots")))
     able = join_small(docs, twice, ["h"])
-    first = able.groupBy(F.col("h").alias("eh"), F.col("text").alias("other")).agg(F.min("id").alias("least"))
-    return able.join(first, (F.col("h") == F.col("eh")) & (F.col("text") == F.col("other"))
+    first = (able.groupBy(F.col("h").alias("eh"), F.col("text").alias("other"), "slots").agg(F.min("id").alias("least"))
+             .select("eh", "other", "least", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("at")))
+    mine = able.withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")))
+    return mine.join(first, (F.col("h") == F.col("eh")) & (F.col("text") == F.col("other")) & (F.col("slot") == F.col("at"))
                      & (F.col("least") < F.col("id")), "left_semi")
 
 
