@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicewise.llm import (chat, decontam, filteraudit, knn, langid, license, linededup, mixing, pii, quality,
-                           simhash)
+                           simhash, whitening)
 from slicewise.llm.common import read, register
 
 
@@ -68,3 +68,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@register
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(whitening.integer_rows(read(spark, sf_dir, "embeddings")))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
