@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicewise.llm import (chat, decontam, filteraudit, knn, langid, license, linededup, mixing, pii, quality,
-                           simhash, whitening)
+from slicewise.llm import (chat, decontam, filteraudit, fingerprints, knn, langid, license, linededup, mixing, pii,
+                           quality, simhash, whitening)
 from slicewise.llm.common import read, register
 
 
@@ -74,3 +74,8 @@ def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = whitening.whiten(whitening.integer_rows(read(spark, sf_dir, "embeddings")))
     return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@register
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(read(spark, sf_dir, "documents"))
