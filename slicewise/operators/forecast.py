@@ -68,21 +68,29 @@ def mean_latency_ahead() -> Column:
     return total / dims.HORIZON
 
 
-def window_scores(fits: DataFrame, eval_rows: DataFrame, keys: list[str],
-                  limits: DataFrame) -> DataFrame:
-    """Errors and violation decisions of each window: mean latency or mean loss over limit."""
-    future = eval_rows.filter("h >= 0").select(*keys, "t", "h", "thr", "lat_log", "loss")
-    cols = [f"{k}_{t}" for t in TARGETS for k in ("mean", "slope")]
-    j = future.join(fits.select(*keys, "t", *cols), [*keys, "t"])
-    pred = {"p_thr": ahead("thr", F.col("h")), "p_lat": F.expm1(ahead("lat_log", F.col("h"))),
-            "p_loss": F.least(F.greatest(ahead("loss", F.col("h")), F.lit(0.0)), F.lit(100.0)),
-            "t_lat": F.expm1("lat_log"),
-            "t_loss": F.least(F.greatest("loss", F.lit(0.0)), F.lit(100.0))}
-    w = j.withColumns(pred).groupBy(*keys, "t").agg(
-        F.avg(F.abs(F.col("p_lat") - F.col("t_lat"))).alias("e_lat"),
-        F.avg(F.abs(F.col("p_loss") - F.col("t_loss"))).alias("e_loss"),
-        F.avg(F.abs(F.col("p_thr") - F.col("thr"))).alias("e_thr"),
-        *[F.round(F.avg(c), 9).alias(c) for c in ("p_lat", "p_loss", "t_lat", "t_loss")])
+def observed() -> Column:
+    """Aggregate of a window's rows: its observation, an array of the 15 steps in order."""
+    return F.sort_array(F.collect_list(F.when(F.col("h") >= 0, F.struct("h", "thr", "lat_log", "loss")))).alias("seen")
+
+
+def trend_steps() -> Column:
+    """The 15 steps of a window's line fits: h, thr, lat (ms), loss."""
+    return F.transform(steps(), lambda h: F.struct(
+        h.alias("h"), ahead("thr", h).alias("thr"), F.expm1(ahead("lat_log", h)).alias("lat"), ahead("loss", h).alias("loss")))
+
+
+def window_scores(windows: DataFrame, pred: Column, keys: list[str], limits: DataFrame) -> DataFrame:
+    """Errors and violation decisions of each window: mean latency or mean loss over limit. The
+    forecast ``pred`` and the observation ``seen`` are arrays of the window's row."""
+    percent = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(100.0))
+    both = F.zip_with(pred, "seen", lambda p, s: F.struct(
+        p["lat"].alias("p_lat"), percent(p["loss"]).alias("p_loss"), F.expm1(s["lat_log"]).alias("t_lat"),
+        percent(s["loss"]).alias("t_loss"), F.abs(p["thr"] - s["thr"]).alias("e_thr")))
+    mean = lambda f: F.aggregate("_both", F.lit(0.0), lambda a, x: a + f(x)) / F.size("_both")
+    w = windows.withColumn("_both", both).select(
+        *keys, "t", mean(lambda x: F.abs(x["p_lat"] - x["t_lat"])).alias("e_lat"),
+        mean(lambda x: F.abs(x["p_loss"] - x["t_loss"])).alias("e_loss"), mean(lambda x: x["e_thr"]).alias("e_thr"),
+        *[F.round(mean(lambda x, c=c: x[c]), 9).alias(c) for c in ("p_lat", "p_loss", "t_lat", "t_loss")])
     w = w.join(limits.select("slice", "lat_max", "loss_max"), "slice")
     return w.withColumns({
         f"{who}_viol": (F.col(f"{who}_lat") > F.col("lat_max"))

@@ -221,8 +221,9 @@ def forecast_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, fits = loop_parts(spark, sf_dir)
-    return FC.window_scores(fits, rows, SERIES, dims.limit_dim(spark, "detect"))
+    k = long_kpi(spark, sf_dir)
+    fits = FC.window_fits(CL.eval_rows(with_positions(k, SERIES), k), SERIES, (FC.observed(),))
+    return FC.window_scores(fits, FC.trend_steps(), SERIES, dims.limit_dim(spark, "detect"))
 
 
 @query
