@@ -29,7 +29,7 @@ BITS, RADIUS = 64, 3
 #: highest lane has the sign.
 WEIGHT, WORDS = 15, 2048
 #: Characters in a range of documents (about) that are put in order by one task.
-RANGE_CHARS = 1 << 25
+RANGE_CHARS = 1 << 24
 #: Fingerprints of a table's key that are compared in one task (about).
 SLOT_ROWS = 2000
 _SPREAD, _LANES = 0x0000200040008001, 0x0001000100010001
