@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicewise.operators.joins import join_groups
+from slicewise.operators.robust import solve_system
 
 PROXIMAL_MU = 0.01
 PART = 500
@@ -68,22 +67,23 @@ def normal_sums(rows: DataFrame, features: list[str], target: str,
 
 def solve(sums: DataFrame, d: int, keys: tuple[str, ...] = ("slice", "gnb"),
           mu: float = 0.0) -> DataFrame:
-    """Parameters (key, idx, value) from the sums. A group is one matrix of (d+1)(d+2)
-    entries. With ``mu`` the rows also carry ``centre`` (the average parameters by i) and the
-    fit is drawn toward it. Sums are taken per row so that ``mu`` does not depend on the number
-    of rows."""
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((d + 1, d + 2))
-        m[g["i"], g["j"]] = g["value"] / max(int(g["n"].max()), 1)
-        a, b = m[:, : d + 1], m[:, d + 1]
-        if mu:
-            c = g[g["j"] == 0].sort_values("i")["centre"].to_numpy(float)
-            a, b = a + mu * np.eye(d + 1), b + mu * c
-        w = np.linalg.lstsq(a, b, rcond=None)[0]
-        return pd.DataFrame({**dict(zip(keys, key)), "idx": np.arange(d + 1), "value": w})
-
-    schema = ", ".join(f"{k} string" for k in keys) + ", idx bigint, value double"
-    return sums.groupBy(*keys).applyInPandas(one, schema)
+    """Parameters (key, idx, value) from the sums, by elimination in expressions. A group is one
+    matrix of (d+1)(d+2) entries. With ``mu`` the rows also carry ``centre`` (the average
+    parameters by i) and the fit is drawn toward it. Sums are taken per row so that ``mu`` does
+    not depend on the number of rows. A feature that others determine gets 0."""
+    centre = F.col("centre") if mu else F.lit(0.0)
+    wide = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "j", "value", centre.alias("centre")))).alias("e"),
+                                   F.greatest(F.max("n"), F.lit(1)).alias("n"))
+
+    def entry(i: Column, j: Column) -> Column:
+        at = F.get("e", i * (d + 2) + j)
+        drawn = F.when(j == d + 1, at["centre"] * mu).when(i == j, mu).otherwise(0.0)
+        return at["value"] / F.col("n") + drawn
+
+    count = lambda n: F.sequence(F.lit(0), F.lit(n))
+    matrix = F.transform(count(d), lambda i: F.transform(count(d + 1), lambda j: entry(i, j)))
+    return wide.select(*keys, F.posexplode(solve_system(matrix, d + 1)).alias("idx", "value")).withColumn(
+        "idx", F.col("idx").cast("bigint"))
 
 
 def federated_fit(sums: DataFrame, d: int, mu: float = PROXIMAL_MU) -> DataFrame:

@@ -142,14 +142,3 @@ def supervised(series: DataFrame, keys: list[str], chunk: int = CHUNK) -> DataFr
         return {f"y_{t}": F.avg(t).over(future) for t in TARGETS}
     out = over_frames(series, keys, "pos", cols, after=dims.HORIZON, chunk=chunk)
     return out.filter(F.col("pos") < F.col("series_len") - dims.HORIZON)
-
-
-def huber_fit(train: DataFrame, test: DataFrame, features: list[str], target: str) -> DataFrame:
-    """Linear forecaster of one target with the Huber loss, fitted by the distributed solver;
-    returns the test rows with ``pred``."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    va = VectorAssembler(inputCols=features, outputCol="fv")
-    lr = LinearRegression(loss="huber", featuresCol="fv", labelCol=target, predictionCol="pred",
-                          maxIter=20, tol=1e-4, epsilon=1.35, regParam=1e-4)
-    return lr.fit(va.transform(train)).transform(va.transform(test)).drop("fv")

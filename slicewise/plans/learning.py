@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +9,9 @@ from slicewise import dims
 from slicewise.operators import features as FE
 from slicewise.operators import federated as FD
 from slicewise.operators import forecast as FC
+from slicewise.operators import robust as R
 from slicewise.operators import windows as W
+from slicewise.operators.joins import join_groups
 from slicewise.operators.profile import r6
 from slicewise.plans.etl import SERIES, long_series
 from slicewise.plans.registry import query
@@ -64,23 +63,19 @@ def federated_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def forecast_huber(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One forecaster per slice and target; error on the last fifth of every series. The fits
-    of the fixed list of slices and targets are submitted side by side, each is a distributed
-    job."""
-    t = training_table(spark, sf_dir)
-
-    def fit(pair: tuple[str, str]) -> DataFrame:
-        s, y = pair
-        part = t.filter(F.col("slice") == s)
-        pred = FC.huber_fit(part.filter("is_train"), part.filter("NOT is_train"), FEATURES,
-                            f"y_{y}")
-        return pred.agg(F.lit(s).alias("slice"), F.lit(y).alias("target"),
-                        F.count("*").alias("n_test"),
-                        r6(F.avg(F.abs(F.col("pred") - F.col(f"y_{y}")))).alias("mae"))
-    pairs = [(s, y) for s in dims.SLICES for y in FE.TARGETS]
-    with ThreadPoolExecutor(len(pairs)) as pool:
-        scores = list(pool.map(fit, pairs))
-    return landed(reduce(DataFrame.unionByName, scores), "huber")
+    """One forecaster per slice and target of the mean over the horizon; error on the last fifth of
+    every series, and whether the gradient of the loss is nil."""
+    targets = [f"y_{t}" for t in FE.TARGETS]
+    z, scale = R.standardised(training_table(spark, sf_dir), FEATURES + targets, F.col("is_train"), ["slice"])
+    z = landed(z, "standardised")
+    fits = landed(R.huber_fit(z.filter("is_train"), FEATURES, targets, ["slice"]), "huber-fits")
+    test = join_groups(R.predict(z.filter("NOT is_train"), fits, FEATURES, targets, ["slice"]), scale, ["slice"])
+    scores = test.groupBy("slice").agg(F.count("*").alias("n_test"), *[
+        F.avg(F.abs(F.col(f"p_{y}") - F.col(y)) * F.col(f"s_{y}")).alias(y) for y in targets])
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"y_{t}").alias("mae")) for t in FE.TARGETS]))
+    return (scores.join(fits, "slice").select("slice", F.col("n").alias("n_train"), "n_test",
+                                              (F.col("gradient") < 1e-7).alias("solved"), each.alias("e"))
+            .select("slice", "e.target", "n_train", "n_test", "solved", F.round("e.mae", 5).alias("mae")))
 
 
 @query

@@ -131,14 +131,15 @@ def test_weighted_sample_follows_the_weights(spark):
 
 
 def test_huber_ignores_outliers(spark):
-    from slicewise.operators.forecast import huber_fit
+    from slicewise.operators import robust as R
     rng = np.random.default_rng(5)
-    pdf = pd.DataFrame({"a": rng.normal(size=400), "b": rng.normal(size=400)})
+    pdf = pd.DataFrame({"slice": "eMBB", "a": rng.normal(size=400), "b": rng.normal(size=400)})
     pdf["y"] = 1 + 2 * pdf["a"] - pdf["b"] + rng.normal(size=400) * 0.05
     dirty = pdf.copy()
     dirty.loc[::20, "y"] += 500.0
-    out = huber_fit(spark.createDataFrame(dirty), spark.createDataFrame(pdf), ["a", "b"], "y")
-    assert out.select(F.avg(F.abs(F.col("pred") - F.col("y")))).collect()[0][0] < 0.2
+    fits = R.huber_fit(spark.createDataFrame(dirty), ["a", "b"], ["y"], ["slice"])
+    out = R.predict(spark.createDataFrame(pdf), fits, ["a", "b"], ["y"], ["slice"])
+    assert out.select(F.avg(F.abs(F.col("p_y") - F.col("y")))).collect()[0][0] < 0.2
 
 
 def live_rows(spark, n=130, series=(("Macro", "eMBB"), ("Macro", "URLLC"), ("Commerce", "mMTC"))):
