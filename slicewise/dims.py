@@ -25,6 +25,13 @@ UNITS = [
     ("Industrie", "mMTC", 7, 0.050, 1, 11.88, 1.444),
 ]
 
+# cell, slice, units of a start that is too small for eMBB
+DEMO_UNITS = [
+    ("Macro", "eMBB", 15), ("Macro", "URLLC", 22), ("Macro", "mMTC", 13),
+    ("Commerce", "eMBB", 15), ("Commerce", "URLLC", 14), ("Commerce", "mMTC", 6),
+    ("Industrie", "eMBB", 4), ("Industrie", "URLLC", 14), ("Industrie", "mMTC", 7),
+]
+
 # profile, slice, minimum Mbps, maximum ms, maximum loss %
 LIMITS = [
     ("detect", "eMBB", 10.0, 50.0, 1.0),

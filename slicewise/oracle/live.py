@@ -61,8 +61,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY scenario, gnb, slice, cut ORDER
 WHERE back <= 60 GROUP BY scenario, gnb, slice, cut
 HAVING max(tick) >= CASE cut WHEN 40 THEN 0 WHEN 80 THEN 40 ELSE 80 END""")
 cte("period_ends", """
-SELECT scenario, unnest(range((min(tick) // 15 + 1) * 15, (max(tick) // 15) * 15 + 1, 15)) AS cut
-FROM kpi_rows GROUP BY scenario""")
+SELECT * FROM (
+  SELECT scenario, gnb, unnest(range((min(tick) // 15 + 1) * 15, (max(tick) // 15 + 1) * 15 + 1, 15)) AS cut
+  FROM kpi_rows GROUP BY scenario, gnb)
+WHERE cut <= (SELECT max(tick) FROM kpi_rows) - 30""")
 cte("period_fits", """
 SELECT scenario, gnb, slice, cut, count(*) AS n_rows, max(CASE WHEN back = 1 THEN thr END) AS thr_last,
        round(avg(CASE WHEN back <= 5 THEN lat END), 9) AS lat_recent,
@@ -70,7 +72,7 @@ SELECT scenario, gnb, slice, cut, count(*) AS n_rows, max(CASE WHEN back = 1 THE
        round(avg(thr), 9) AS m_thr, round(regr_slope(thr, -back), 9) AS s_thr,
        round(avg(ln(1 + lat)), 9) AS m_lat, round(regr_slope(ln(1 + lat), -back), 9) AS s_lat
 FROM (SELECT r.*, cut, row_number() OVER (PARTITION BY scenario, gnb, slice, cut ORDER BY tick DESC) AS back
-      FROM kpi_rows r JOIN period_ends USING (scenario) WHERE tick < cut) WHERE back <= 60 GROUP BY ALL""")
+      FROM kpi_rows r JOIN period_ends USING (scenario, gnb) WHERE tick < cut) WHERE back <= 60 GROUP BY ALL""")
 cte("period_p", f"""
 SELECT *, CASE WHEN shift THEN CAST(lat_recent > control_lat_max AS DOUBLE)
                ELSE len(list_filter(range(15), lambda h: {LAT_AHEAD} > control_lat_max)) / 15 END AS p
@@ -88,7 +90,7 @@ for _kind, _rho in PERIOD_LOADS.items():
     cte(f"{_kind}_costs", f"""
 SELECT scenario, gnb, cut, slice, n, budget, units_floor, {LIVE_COST} AS live_cost
 FROM (SELECT k.scenario, k.cut, f.*, CASE WHEN r.gnb IS NULL THEN 0.1 ELSE {_rho} END AS rho
-      FROM period_ends k CROSS JOIN facts f
+      FROM period_ends k JOIN facts f ON f.gnb = k.gnb
       LEFT JOIN period_p r ON r.scenario = k.scenario AND r.cut = k.cut AND r.gnb = f.gnb AND r.slice = f.slice),
      range(1, 51) t(n) WHERE n <= budget""")
     cte(f"{_kind}_alloc", best_split(
@@ -97,11 +99,11 @@ FROM (SELECT k.scenario, k.cut, f.*, CASE WHEN r.gnb IS NULL THEN 0.1 ELSE {_rho
 DOC = """'{' || string_agg('"' || gnb || '":{"URLLC":' || n2 || ',"eMBB":' || n1 || ',"mMTC":' || n3
        || '}', ',' ORDER BY gnb) || '}' AS document"""
 oracle("stream_predictive_allocation", f"""
-SELECT scenario, {DOC}, CAST(cut AS BIGINT) AS period_end FROM predictive_alloc GROUP BY scenario, cut""")
+SELECT scenario, gnb, {DOC}, CAST(cut AS BIGINT) AS period_end FROM predictive_alloc GROUP BY scenario, gnb, cut""")
 oracle("stream_allocation", f"""
-SELECT scenario, {DOC}, CAST(cut AS BIGINT) AS period_end FROM reactive_alloc GROUP BY scenario, cut
+SELECT scenario, gnb, {DOC}, CAST(cut AS BIGINT) AS period_end FROM reactive_alloc GROUP BY scenario, gnb, cut
 UNION ALL
-SELECT scenario, {DOC}, -1 AS period_end FROM (SELECT DISTINCT scenario FROM kpi_rows), (
+SELECT scenario, '*' AS gnb, {DOC}, -1 AS period_end FROM (SELECT DISTINCT scenario FROM kpi_rows), (
   SELECT gnb, max(CASE WHEN slice = 'eMBB' THEN units_default END) AS n1,
          max(CASE WHEN slice = 'URLLC' THEN units_default END) AS n2,
          max(CASE WHEN slice = 'mMTC' THEN units_default END) AS n3 FROM dim_units GROUP BY gnb)
@@ -119,18 +121,19 @@ SELECT scenario, gnb, slice, period, least(rank - 1, 64) AS n_buffer, rank - 1 >
 FROM (SELECT *, row_number() OVER (PARTITION BY scenario, gnb, slice ORDER BY period) AS rank,
              count(*) OVER (PARTITION BY scenario, gnb, slice) AS n
       FROM (SELECT scenario, gnb, slice, tick // 15 AS period, avg(ln(1 + lat)) AS y
-            FROM li_kpi GROUP BY scenario, gnb, slice, tick // 15)) WHERE rank < n""")
+            FROM li_kpi GROUP BY scenario, gnb, slice, tick // 15))
+WHERE (period + 1) * 15 <= (SELECT max(tick) FROM li_kpi) - 30""")
 
 # The learner as a recursion over steps: the newest eight samples enter through their sums.
 cte("learn_periods", """
 SELECT *, row_number() OVER w AS rank, count(*) OVER (PARTITION BY scenario, gnb, slice) AS n,
-       lag(y) OVER w AS l, lag(t) OVER w AS tp
+       lag(y) OVER w AS l, lag(t) OVER w AS tp, (period + 1) * 15 <= (SELECT max(tick) FROM li_kpi) - 30 AS done
 FROM (SELECT scenario, gnb, slice, tick // 15 AS period, avg(ln(1 + lat)) AS y, avg(thr) / 10 AS t
       FROM li_kpi GROUP BY scenario, gnb, slice, tick // 15)
 WINDOW w AS (PARTITION BY scenario, gnb, slice ORDER BY period)""")
 _terms = {"sl": "l", "st": "tp", "sy": "y", "sll": "l * l", "slt": "l * tp", "stt": "tp * tp",
           "sly": "l * y", "sty": "tp * y", "syy": "y * y"}
-cte("learn_sums", "SELECT scenario, gnb, slice, period, rank - 8 AS step, rank, n, " + ", ".join(
+cte("learn_sums", "SELECT scenario, gnb, slice, period, rank - 8 AS step, rank, done, " + ", ".join(
     f"sum({e}) OVER w AS {k}" for k, e in _terms.items()) + """
 FROM learn_periods WHERE rank > 1
 WINDOW w AS (PARTITION BY scenario, gnb, slice ORDER BY period ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)""")
@@ -150,7 +153,7 @@ WITH RECURSIVE run AS (
                (syy - 2 * (w0 * sy + w1 * sly + w2 * sty) + 8 * w0 * w0 + sll * w1 * w1 + stt * w2 * w2
                 + 2 * (sl * w0 * w1 + st * w0 * w2 + slt * w1 * w2)) / 8 AS loss
               FROM run JOIN learn_sums s ON s.scenario = run.scenario AND s.gnb = run.gnb
-                AND s.slice = run.slice AND s.step = run.step + 1 AND s.rank > 8 AND s.rank < s.n)))
+                AND s.slice = run.slice AND s.step = run.step + 1 AND s.rank > 8 AND s.done)))
 SELECT * FROM run WHERE step > 0"""
 cte("learned_steps", LEARN.replace("{rate}", "1e-5"))
 oracle("stream_online_update", """
@@ -213,11 +216,16 @@ FROM online_rows WINDOW w AS (PARTITION BY gnb ORDER BY scenario, t)""")
 # Learning with feedback: a recursion over the periods of a (scenario, slice), all cells in one row.
 _CELLS = ["Commerce", "Industrie", "Macro"]
 _SUMS = [*_terms]
-cte("feed_sums", "SELECT scenario, gnb, slice, period, rank - 8 AS step, " + ", ".join(
-    f"sum({e}) OVER w AS {k}" for k, e in _terms.items()) + """
-FROM (SELECT *, max(period) OVER (PARTITION BY scenario, slice) AS last FROM learn_periods)
-WHERE rank > 1 AND period < last
-WINDOW w AS (PARTITION BY scenario, gnb, slice ORDER BY period ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)""")
+# a random eight of the newest 64 samples: those whose hash with the series and the period is least
+cte("feed_drawn", """
+SELECT p.scenario, p.gnb, p.slice, p.period, p.rank - 8 AS step, s.l, s.tp, s.y
+FROM learn_periods p JOIN learn_periods s ON s.scenario = p.scenario AND s.gnb = p.gnb AND s.slice = p.slice
+  AND s.rank BETWEEN greatest(2, p.rank - 63) AND p.rank
+WHERE p.rank > 8 AND p.done
+QUALIFY row_number() OVER (PARTITION BY p.scenario, p.gnb, p.slice, p.period
+  ORDER BY md5(concat_ws('|', p.scenario, p.gnb, p.slice, p.period, s.period))) <= 8""")
+cte("feed_sums", "SELECT scenario, gnb, slice, period, step, " + ", ".join(
+    f"sum({e}) AS {k}" for k, e in _terms.items()) + " FROM feed_drawn GROUP BY ALL")
 cte("feed_wide", "SELECT scenario, slice, period, row_number() OVER (PARTITION BY scenario, slice ORDER BY period) AS k, "
     + ", ".join(f"{c} AS {c}" for i in range(3) for c in [f"step{i}", *[f"{x}{i}" for x in _SUMS]])
     + ", " + ", ".join(f"coalesce(max(step{i}) OVER (PARTITION BY scenario, slice ORDER BY period), 0) AS upto{i}" for i in range(3))

@@ -93,19 +93,19 @@ def stream_reactive_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def published(spark: SparkSession, rows: DataFrame, allocate, cuts: list[int] = CUTS) -> DataFrame:
-    """One document per scenario and finished period."""
+    """One document per cell and finished period."""
     out = RP.replay(spark, arrivals(rows, cuts), lambda s, o: RP.to_batches(
         SL.periodic_fits(s), o, allocate))
-    return spark.read.parquet(out).select("scenario", "document", "period_end")
+    return spark.read.parquet(out).select("scenario", "gnb", "document", "period_end")
 
 
 @query
 def stream_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of the reactive controller, and the default one before them."""
+    """Documents of the reactive controller, and the default one of all cells before them."""
     rows = live(spark, sf_dir)
     first = allocation_document(default_units(rows, ["scenario"]), ["scenario"])
-    return published(spark, rows, SL.allocate_reactive).unionByName(
-        first.withColumn("period_end", F.lit(-1).cast("bigint")))
+    return published(spark, rows, SL.allocate_reactive).unionByName(first.select(
+        "scenario", F.lit("*").alias("gnb"), "document", F.lit(-1).cast("bigint").alias("period_end")))
 
 
 @query

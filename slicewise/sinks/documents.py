@@ -21,9 +21,12 @@ def allocation_document(units: DataFrame, keys: list[str]) -> DataFrame:
         F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}")).alias("document"))
 
 
-def default_units(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The document published before any period has passed: default units everywhere."""
-    d = dims.unit_dim(df.sparkSession).select("gnb", "slice", "units_default")
+def default_units(df: DataFrame, keys: list[str], demo: bool = False) -> DataFrame:
+    """The document published before any period has passed: default units everywhere, or with
+    ``demo`` a start that gives eMBB too little, so that the controller has something to mend."""
+    spark = df.sparkSession
+    d = (dims.inline_table(spark, ["gnb", "slice", "units_default"], dims.DEMO_UNITS) if demo
+         else dims.unit_dim(spark).select("gnb", "slice", "units_default"))
     rows = df.select(*keys).distinct().withColumn("_g", F.explode(dims.unit_grid()))
     return (rows.select(*keys, "_g.*").join(d, ["gnb", "slice"])
             .select(*keys, "gnb", "slice", F.col("units_default").cast("bigint").alias("units")))

@@ -1,18 +1,21 @@
 """Streaming operators over the live metric stream.
 
-State is kept per (scenario, cell, slice) and bounded: 60 rows of history, 64 samples in the
-replay buffer, one parameter vector. The functions below run inside Spark's state operator on
-the rows of one key of one micro-batch.
+State is kept per (scenario, cell, slice), or per cell, and bounded: 60 rows of history, 64 samples
+in the replay buffer, one parameter vector. What reports after every micro-batch runs on the rows
+of one key of that batch; controllers and learners work on whole periods of event time.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from slicewise import dims
@@ -144,59 +147,123 @@ def _fits(h: pd.DataFrame, recent: int) -> list[float]:
     return out
 
 
-def periodic_fits(stream: DataFrame, n: int = dims.HISTORY, recent: int = L.RECENT) -> DataFrame:
-    """For every finished period of a scenario, the fits of all its series, with or without new
-    rows: (scenario, period_end, gnb, slice) and ``FITS``.
-
-    The state of a scenario holds the newest ``n`` rows of each of its series (a fixed number)
-    and the end of the last finished period. A period is finished once the scenario has a row at
-    or after its end; what arrives for a finished period is late and dropped. So the results
-    follow from event time alone and not from how rows were cut into files."""
-    cols = ["gnb", "slice", "t", "lat", "thr"]
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+class _ByPeriod(StatefulProcessor):
+    """Work on whole periods of event time, once the watermark has passed their end.
+
+    Arriving rows are added to the open periods of their key, one state entry each, in whatever order
+    they come within the watermark's grace; Spark drops and counts later ones. An event-time
+    timer at a period's end takes up its rows. So results follow from event time alone, and the
+    worker holds one period and the bounded state ``own`` of a key, however long a backlog is.
+    ``own`` goes ``IDLE`` seconds of event time after the last row, and a key that starts again after
+    a longer gap starts afresh."""
+
+    columns = ["simtime_s", "avg_latency_ms", "throughput_mbps"]
+
+    def __init__(self, rows: str, own: str):
+        self.schemas = rows, own
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        rows, own = self.schemas
+        self.open = handle.getMapState("open", "period bigint", rows)
+        # the bounded state, newest second, last finished period, timer at which the state goes
+        self.own = handle.getValueState("own", f"{own}, last double, closed bigint, due bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        closed = self.own.get()[-2] if self.own.exists() else NEVER
+        for pdf in rows:
+            pdf = pdf.assign(p=(pdf["simtime_s"] // PERIOD).astype("int64"))
+            for p, part in pdf[pdf["p"] > closed].groupby("p"):
+                self.handle.registerTimer(_millis((p + 1) * PERIOD))
+                self.add(int(p), part)
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        # a key's timers come in the order of their time, so periods do too
+        now = expiredTimerInfo.getExpiryTimeInMs() / 1000 - EPOCH
+        p = round(now / PERIOD) - 1
+        *own, last, closed, due = self.own.get() if self.own.exists() else (None, NEVER, NEVER, 0)
+        own = own if self.own.exists() else None
+        if (p + 1) * PERIOD != now or not self.open.containsKey((p,)):
+            if own is not None and _millis(now) >= due:
+                self.own.clear()
             return
-        if state.exists:
-            *kept, done = state.get
-            rows = pd.DataFrame(dict(zip(cols, kept)))
-        else:
-            rows, done = pd.DataFrame({c: [] for c in cols}), None
-        new = [b.rename(columns={"simtime_s": "t", "avg_latency_ms": "lat", "throughput_mbps": "thr"})[cols]
-               for b in batches]
-        fresh = pd.concat(new)
-        if done is not None:
-            fresh = fresh[fresh["t"] >= done]
-        rows = (pd.concat([rows, fresh]) if len(rows) else fresh).sort_values("t", kind="stable")
-        if len(rows) == 0:
-            return
-        end = int(rows["t"].iloc[-1] // PERIOD) * PERIOD
-        first = done if done is not None else int(rows["t"].iloc[0] // PERIOD) * PERIOD
+        rows = self.open.getValue((p,))
+        self.open.removeKey((p,))
+        first, newest = self.span(rows)
+        if own is not None and first - last > IDLE:
+            own = None
+        own, out = self.finish(key, p, rows, closed if own is not None else p - 1, own)
+        if due:
+            self.handle.deleteTimer(due)
+        # after the end of the last period that could still follow without too long a gap
+        due = _millis(((newest + IDLE) // PERIOD + 1) * PERIOD + 1)
+        self.handle.registerTimer(due)
+        self.own.update((*own, float(newest), p, due))
+        if out is not None and len(out):
+            yield out
+
+
+def _millis(second: float) -> int:
+    return int((EPOCH + second) * 1000)
+
+
+class _Fits(_ByPeriod):
+    """Newest rows of each slice of a cell; ``finish`` gives the fits of all its slices."""
+
+    def __init__(self, n: int, recent: int):
+        rows = "slice array<string>, t array<double>, lat array<double>, thr array<double>"
+        super().__init__(rows, rows)
+        self.n, self.recent = n, recent
+
+    def add(self, p: int, part: pd.DataFrame) -> None:
+        new = [part[c].tolist() for c in ("slice", *self.columns)]
+        old = self.open.getValue((p,)) if self.open.containsKey((p,)) else ([],) * 4
+        self.open.updateValue((p,), tuple([*a, *b] for a, b in zip(old, new)))
+
+    def span(self, rows: tuple) -> tuple[float, float]:
+        return min(rows[1]), max(rows[1])
+
+    def finish(self, key: tuple, p: int, rows: tuple, closed: int, own: list | None) -> tuple[tuple, pd.DataFrame]:
+        names = ["slice", "t", "lat", "thr"]
+        kept = pd.DataFrame(dict(zip(names, own or ([],) * 4)))
         out = []
-        for e in range(first + PERIOD, end + 1, PERIOD):
-            for (gnb, slice_), h in rows[rows["t"] < e].groupby(["gnb", "slice"]):
-                out.append([key[0], e, gnb, slice_, *_fits(h.tail(n), recent)])
-        old, open_ = rows[rows["t"] < end], rows[rows["t"] >= end]
-        rows = pd.concat([old.groupby(["gnb", "slice"]).tail(n), open_])
-        _keep(state, (*(rows[c].tolist() for c in cols), max(end, first)), float(rows["t"].max()))
-        if out:
-            yield pd.DataFrame(out, columns=["scenario", "period_end", "gnb", "slice", *FITS])
-
-    return _timed(stream, "simtime_s", "avg_latency_ms", "throughput_mbps").groupBy(
-        "scenario").applyInPandasWithState(
-        step, "scenario string, period_end bigint, gnb string, slice string, n_rows bigint, "
-        + ", ".join(f"{c} double" for c in FITS[1:]),
-        "gnb array<string>, slice array<string>, t array<double>, lat array<double>, "
-        "thr array<double>, done bigint",
-        "append", GroupStateTimeout.EventTimeTimeout)
+
+        def publish(q: int) -> None:
+            for slice_, h in kept.groupby("slice"):
+                out.append([*key, (q + 1) * PERIOD, slice_, *_fits(h, self.recent)])
+
+        for q in range(closed + 1, p):              # periods without rows, at most IDLE / PERIOD
+            publish(q)
+        new = pd.DataFrame(dict(zip(names, rows)))
+        kept = pd.concat([kept, new]) if len(kept) else new
+        kept = kept.sort_values(["t", "lat", "thr"]).groupby("slice").tail(self.n)
+        publish(p)
+        return (tuple(kept[c].tolist() for c in names),
+                pd.DataFrame(out, columns=["scenario", "gnb", "period_end", "slice", *FITS]))
+
+
+def periodic_fits(stream: DataFrame, n: int = dims.HISTORY, recent: int = L.RECENT) -> DataFrame:
+    """For every finished period of a cell, the fits of all its slices, with or without new rows:
+    (scenario, gnb, period_end, slice) and ``FITS``.
+
+    A period of a cell is published when the watermark has passed its end, up to the period of the
+    cell's newest row; periods without rows in between follow with the next that has some. Rows
+    within the grace of ``LATENESS`` count wherever they come, later ones are dropped and counted
+    by Spark (``replay.dropped_rows``). State of a cell: the newest ``n`` rows of each slice, and the
+    rows of its open periods. See ``_ByPeriod``."""
+    shape = ("scenario string, gnb string, period_end bigint, slice string, n_rows bigint, "
+             + ", ".join(f"{c} double" for c in FITS[1:]))
+    return _timed(stream, *_ByPeriod.columns).groupBy("scenario", "gnb").transformWithStateInPandas(
+        _Fits(n, recent), shape, "append", "eventtime")
 
 
 def _documents(loads: DataFrame) -> DataFrame:
-    keys = ["scenario", "period_end"]
-    full = L.fill_missing(loads, keys)
+    keys = ["scenario", "of_cell", "period_end"]
+    # a cell's budget is its own: only the units of the cell that finished a period are chosen
+    full = L.fill_missing(loads.withColumn("of_cell", F.col("gnb")), keys).filter(F.col("gnb") == F.col("of_cell"))
     chosen = A.choose_fold(A.problems(full, keys, live=True), exact=False)
-    return allocation_document(A.live_allocation(chosen, keys), keys)
+    return allocation_document(A.live_allocation(chosen, keys), keys).withColumnRenamed("of_cell", "gnb")
 
 
 def _nine(fits: DataFrame) -> DataFrame:
@@ -204,7 +271,7 @@ def _nine(fits: DataFrame) -> DataFrame:
 
 
 def allocate_reactive(fits: DataFrame) -> DataFrame:
-    """Allocation documents of the finished periods in a micro-batch, from the newest rows."""
+    """Allocation documents of the cells and periods finished in a micro-batch, from the newest rows."""
     f = A.with_facts(_nine(fits))
     rho = F.round(L.observed_load(F.col("lat_recent"), F.col("thr_recent")), 9)
     return _documents(f.select("scenario", "period_end", "gnb", "slice", rho.alias("rho")))
@@ -218,22 +285,6 @@ def allocate_predictive(fits: DataFrame) -> DataFrame:
 
 # ---- online learning --------------------------------------------------------------
 
-def _periods(batches: Iterator[pd.DataFrame], open_: dict[int, np.ndarray], closed: int) -> int:
-    """Adds rows to the sums (rows, log latency, throughput) of their period. Rows of a period
-    up to ``closed`` come too late: they are left out, and their number is returned."""
-    late = 0
-    for pdf in batches:
-        old = pdf["simtime_s"] // PERIOD <= closed
-        late += int(old.sum())
-        pdf = pdf[~old]
-        lat = np.log1p(pdf["avg_latency_ms"].clip(0, 600000.0))
-        g = pd.DataFrame({"p": (pdf["simtime_s"] // PERIOD).astype(int), "n": 1.0, "lat": lat,
-                          "thr": pdf["throughput_mbps"]}).groupby("p").sum()
-        for p, row in zip(g.index, g.to_numpy()):
-            open_[int(p)] = open_.get(int(p), np.zeros(3)) + row
-    return late
-
-
 def gradient_step(w: np.ndarray, x: np.ndarray, y: np.ndarray, rate: float = RATE,
                   clip: float = CLIP) -> tuple[np.ndarray, float]:
     """One step of squared error on a small batch, the gradient kept within ``clip``."""
@@ -245,142 +296,130 @@ def gradient_step(w: np.ndarray, x: np.ndarray, y: np.ndarray, rate: float = RAT
     return w - rate * grad, float(np.mean(err ** 2))
 
 
-def online_learning(stream: DataFrame, rate: float = RATE) -> DataFrame:
-    """Per series and finished period: the bounded replay buffer grows by one sample (means of
-    a period, log latency of the next) and, once eight are there, the linear forecaster takes
-    one step on the newest eight. A period is finished when a later one has begun; rows for a
-    finished one are dropped and counted in ``n_late``."""
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-             ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if state.exists:
-            ids, sums, xs, ys, prev, w, n_steps, closed, n_late = state.get
-            open_ = {int(i): np.array(sums[3 * k:3 * k + 3]) for k, i in enumerate(ids)}
-            x, y, w = np.array(xs).reshape(-1, 3), np.array(ys), np.array(w)
-            prev = np.array(prev)
-        else:
-            open_, x, y, w, n_steps = {}, np.zeros((0, 3)), np.zeros(0), np.zeros(3), 0
-            prev, closed, n_late = np.zeros(0), NEVER, 0
-        n_late += _periods(batches, open_, closed)
-        out = []
-        for p in sorted(open_)[:-1]:
-            n, lat, thr = open_.pop(p)
-            now = np.array([1.0, lat / n, thr / n / 10.0])
-            loss = np.nan
-            if len(prev):
-                x = np.vstack([x, prev])[-BUFFER:]
-                y = np.append(y, now[1])[-BUFFER:]
-                if len(y) >= BATCH:
-                    w, loss = gradient_step(w, x[-BATCH:], y[-BATCH:], rate)
-                    n_steps += 1
-            prev, closed = now, p
-            out.append([*key, p, len(y), len(y) >= BATCH, n_steps, loss,
-                        y[-BATCH:].mean() if len(y) else np.nan, w.tolist(), n_late])
-        ids = sorted(open_)
-        _keep(state, (ids, [float(v) for i in ids for v in open_[i]], x.ravel().tolist(),
-                      y.tolist(), prev.tolist(), w.tolist(), n_steps, closed, n_late),
-              (max(ids + [closed]) + 1) * PERIOD)
-        if out:
-            yield pd.DataFrame(out, columns=[*KEYS, "period", "n_buffer", "ready", "step",
-                                             "loss", "batch_lat_log", "w", "n_late"])
-
-    return (_timed(stream, "simtime_s", "avg_latency_ms", "throughput_mbps").groupBy(*KEYS)
-            .applyInPandasWithState(
-        step,
-        "scenario string, gnb string, slice string, period bigint, n_buffer bigint, "
-        "ready boolean, step bigint, loss double, batch_lat_log double, w array<double>, "
-        "n_late bigint",
-        "ids array<bigint>, sums array<double>, xs array<double>, ys array<double>, "
-        "prev array<double>, w array<double>, n_steps bigint, closed bigint, n_late bigint",
-        "append", GroupStateTimeout.EventTimeTimeout))
-
-
 class _Learner:
-    """Replay buffer, weights and steps of one series, as lists in the state."""
+    """Replay buffer, weights and steps of one series, as lists in the state. A sample is the means of a
+    period with the log latency of the next, and is named by its period."""
 
-    def __init__(self, x=(), y=(), prev=(), w=(0.0, 0.0, 0.0), steps: int = 0):
+    def __init__(self, x=(), y=(), at=(), prev=(), w=(0.0, 0.0, 0.0), steps: int = 0):
         self.x, self.y = np.array(x, float).reshape(-1, 3), np.array(y, float)
-        self.prev, self.w, self.steps = np.array(prev, float), np.array(w, float), steps
+        self.at, self.prev = np.array(at, np.int64), np.array(prev, float)
+        self.w, self.steps = np.array(w, float), steps
 
-    def learn(self, sums: np.ndarray, rate: float) -> float:
-        """Takes a finished period in; the loss of the step it led to, nan if there was none."""
+    def learn(self, p: int, sums: tuple, rate: float, name: str | None = None) -> float:
+        """Takes the finished period ``p`` in; the loss of the step it led to, nan if there was none.
+        The step is taken on the newest eight samples, or on a random eight for a series with ``name``."""
         n, lat, thr = sums
         now, loss = np.array([1.0, lat / n, thr / n / 10.0]), np.nan
         if len(self.prev):
             self.x = np.vstack([self.x, self.prev])[-BUFFER:]
             self.y = np.append(self.y, now[1])[-BUFFER:]
+            self.at = np.append(self.at, p)[-BUFFER:]
             if len(self.y) >= BATCH:
-                self.w, loss = gradient_step(self.w, self.x[-BATCH:], self.y[-BATCH:], rate)
+                some = drawn(name, p, self.at) if name else np.arange(len(self.y))[-BATCH:]
+                self.w, loss = gradient_step(self.w, self.x[some], self.y[some], rate)
                 self.steps += 1
         self.prev = now
         return loss
 
     def state(self) -> list[float]:
-        parts = [[self.steps, len(self.y), len(self.prev)], self.w, self.x.ravel(), self.y, self.prev]
+        parts = [[self.steps, len(self.y), len(self.prev)], self.w, self.x.ravel(), self.y, self.at, self.prev]
         return [float(v) for part in parts for v in part]
 
     @classmethod
     def of(cls, v: list[float]) -> _Learner:
         steps, n, m = int(v[0]), int(v[1]), int(v[2])
         w, rest = v[3:6], v[6:]
-        return cls(rest[:3 * n], rest[3 * n:4 * n], rest[4 * n:4 * n + m], w, steps)
+        return cls(rest[:3 * n], rest[3 * n:4 * n], rest[4 * n:5 * n], rest[5 * n:5 * n + m], w, steps)
+
+
+def drawn(name: str, p: int, at: np.ndarray) -> np.ndarray:
+    """Positions of a random ``BATCH`` of the samples ``at``: those whose hash with the series and the
+    period is least. The draw repeats in every run and retry, and every set is as likely."""
+    ranks = sorted(range(len(at)), key=lambda k: hashlib.md5(f"{name}|{p}|{int(at[k])}".encode()).hexdigest())
+    return np.sort(np.array(ranks[:BATCH]))
+
+
+class _Sums(_ByPeriod):
+    """Open periods as sums (rows, log latency, throughput) of each cell."""
+
+    def __init__(self, own: str, rate: float):
+        super().__init__("gnb array<string>, n array<double>, lat array<double>, thr array<double>, t array<double>", own)
+        self.rate = rate
+
+    def add(self, p: int, part: pd.DataFrame) -> None:
+        new = part.assign(n=1.0, lat=np.log1p(part["avg_latency_ms"].clip(0, 600000.0)))
+        sums = new.groupby("gnb")[["n", "lat", "throughput_mbps"]].sum()
+        cells = dict(zip(sums.index, sums.to_numpy()))
+        t = [float(part["simtime_s"].min()), float(part["simtime_s"].max())]
+        if self.open.containsKey((p,)):
+            names, *old, span = self.open.getValue((p,))
+            for k, name in enumerate(names):
+                cells[name] = cells.get(name, np.zeros(3)) + np.array([column[k] for column in old])
+            t = [min(t[0], span[0]), max(t[1], span[1])]
+        names = sorted(cells)
+        self.open.updateValue((p,), (names, *([float(cells[c][k]) for c in names] for k in range(3)), t))
+
+    def span(self, rows: tuple) -> tuple[float, float]:
+        return rows[4][0], rows[4][1]
+
+
+class _Online(_Sums):
+    def finish(self, key: tuple, p: int, rows: tuple, closed: int, own: list | None) -> tuple[tuple, pd.DataFrame]:
+        learner = _Learner.of(own[0]) if own else _Learner()
+        loss = learner.learn(p, [column[0] for column in rows[1:4]], self.rate)
+        y = learner.y
+        row = [*key, p, len(y), len(y) >= BATCH, learner.steps, loss, y[-BATCH:].mean() if len(y) else np.nan, learner.w.tolist()]
+        return (learner.state(),), pd.DataFrame([row], columns=[*KEYS, "period", "n_buffer", "ready", "step", "loss",
+                                                                "batch_lat_log", "w"])
+
+
+def online_learning(stream: DataFrame, rate: float = RATE) -> DataFrame:
+    """Per series and finished period: the bounded replay buffer grows by one sample and, once
+    eight are there, the linear forecaster takes one step on the newest eight. A period is
+    finished when the watermark has passed its end; see ``_ByPeriod``."""
+    shape = ("scenario string, gnb string, slice string, period bigint, n_buffer bigint, ready boolean, "
+             "step bigint, loss double, batch_lat_log double, w array<double>")
+    return _timed(stream, *_ByPeriod.columns).groupBy(*KEYS).transformWithStateInPandas(
+        _Online("learner array<double>", rate), shape, "append", "eventtime")
+
+
+class _Together(_Sums):
+    def __init__(self, rate: float, every: int, slice_: str):
+        super().__init__("cells array<string>, learners array<array<double>>", rate)
+        self.every, self.slice = every, slice_
+
+    def finish(self, key: tuple, p: int, rows: tuple, closed: int, own: list | None) -> tuple[tuple, pd.DataFrame]:
+        cells = {c: _Learner.of(v) for c, v in zip(*own)} if own else {}
+        names, sums, rows = rows[0], list(zip(*rows[1:4])), []
+        for cell, sums in zip(names, sums):
+            learner = cells.setdefault(cell, _Learner())
+            before = learner.steps
+            loss = learner.learn(p, sums, self.rate, "|".join([key[0], cell, key[1]]))
+            if learner.steps > before:
+                rows.append((cell, learner, loss))
+        able = [c for c in cells.values() if c.steps]
+        due = bool(rows) and key[1] == self.slice and max(c.steps for c in able) % self.every == 0
+        if due:
+            mean = np.mean([c.w for c in able], axis=0)
+            for c in able:
+                c.w = mean
+        out = [[key[0], cell, key[1], p, c.steps, loss, due, c.w.tolist()] for cell, c, loss in rows]
+        return ((list(cells), [c.state() for c in cells.values()]),
+                pd.DataFrame(out, columns=["scenario", "gnb", "slice", "period", "step", "loss", "fedavg", "w"]))
 
 
 def federated_learning(stream: DataFrame, rate: float = RATE, every: int = ROUND_EVERY,
                        slice_: str = "eMBB") -> DataFrame:
-    """Online learning of the cells of a slice together: whenever the cells' largest step number
-    is a multiple of ``every``, the cells of ``slice_`` that have learned take on the mean of their
-    weights and go on from there.
-
-    State is kept per (scenario, slice) and holds the learner of each cell. A period is finished
-    when any of the cells has a row of a later one; rows for a finished period are dropped."""
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        cells, open_, closed = {}, {}, NEVER
-        if state.exists:
-            names, learners, ids, owners, sums, closed = state.get
-            cells = {c: _Learner.of(v) for c, v in zip(names, learners)}
-            for k, (i, c) in enumerate(zip(ids, owners)):
-                open_.setdefault(c, {})[int(i)] = np.array(sums[3 * k:3 * k + 3])
-        for pdf in batches:
-            for cell, part in pdf.groupby("gnb"):
-                _periods(iter([part]), open_.setdefault(cell, {}), closed)
-        last = max((p for o in open_.values() for p in o), default=closed)
-        out = []
-        for p in sorted({p for o in open_.values() for p in o if p < last}):
-            rows = []
-            for cell in sorted(c for c in open_ if p in open_[c]):
-                learner = cells.setdefault(cell, _Learner())
-                before = learner.steps
-                loss = learner.learn(open_[cell].pop(p), rate)
-                if learner.steps > before:
-                    rows.append((cell, learner, loss))
-            able = [c for c in cells.values() if c.steps]
-            due = bool(rows) and key[1] == slice_ and max(c.steps for c in able) % every == 0
-            if due:
-                mean = np.mean([c.w for c in able], axis=0)
-                for c in able:
-                    c.w = mean
-            out += [[key[0], cell, key[1], p, c.steps, loss, due, c.w.tolist()] for cell, c, loss in rows]
-            closed = p
-        left = [(p, c, v) for c, o in open_.items() for p, v in o.items()]
-        _keep(state, (list(cells), [cells[c].state() for c in cells], [p for p, _, _ in left],
-                      [c for _, c, _ in left], [float(x) for _, _, v in left for x in v], closed),
-              (last + 1) * PERIOD)
-        if out:
-            yield pd.DataFrame(out, columns=["scenario", "gnb", "slice", "period", "step", "loss", "fedavg", "w"])
-
-    return _timed(stream, "simtime_s", "avg_latency_ms", "throughput_mbps").groupBy(
-        "scenario", "slice").applyInPandasWithState(
-        step, "scenario string, gnb string, slice string, period bigint, step bigint, loss double, "
-        "fedavg boolean, w array<double>",
-        "cells array<string>, learners array<array<double>>, ids array<bigint>, owners array<string>, "
-        "sums array<double>, closed bigint",
-        "append", GroupStateTimeout.EventTimeTimeout)
+    """Online learning of the cells of a slice together, each on random batches of its replay buffer:
+    whenever the cells' largest step number is a multiple of ``every``, the cells of ``slice_`` that
+    have learned take on the mean of their weights and go on from there.
+
+    State is kept per (scenario, slice) and holds the learner of each cell, a fixed number. A period is
+    finished for all cells when the watermark has passed its end; see ``_ByPeriod``."""
+    shape = ("scenario string, gnb string, slice string, period bigint, step bigint, loss double, "
+             "fedavg boolean, w array<double>")
+    return _timed(stream, *_ByPeriod.columns).groupBy("scenario", "slice").transformWithStateInPandas(
+        _Together(rate, every, slice_), shape, "append", "eventtime")
 
 
 def federated_rounds(updates: DataFrame, every: int = ROUND_EVERY, slice_: str = "eMBB"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from slicewise.session import work_dir
+from slicewise.sinks.tables import landed
 
 Sink = Callable[[DataFrame, str], DataStreamWriter]
 
@@ -19,14 +20,16 @@ PROGRESS = 1_000_000
 
 def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
     """A session of its own for streams. The number of state partitions is fixed for ever at the
-    first run of a query: ``state_partitions``, by default the cluster's shuffle partitions.
-    State lies in RocksDB, on disk and not in the heap."""
+    first run of a query: ``state_partitions``, by default the cluster's shuffle partitions, but no
+    more than its cores, as each has a Python worker to start in every micro-batch. State lies
+    in RocksDB, on disk and not in the heap."""
     s = spark.newSession()
     s.conf.set("spark.sql.session.timeZone", "UTC")
     s.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     s.conf.set("spark.sql.streaming.numRecentProgressUpdates", str(PROGRESS))
     s.conf.set("spark.sql.shuffle.partitions",
-               str(state_partitions or spark.conf.get("spark.sql.shuffle.partitions")))
+               str(state_partitions or min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                           max(spark.sparkContext.defaultParallelism, 1))))
     return s
 
 
@@ -69,8 +72,16 @@ def to_files(df: DataFrame, out: str, mode: str = "append") -> DataStreamWriter:
 def to_batches(df: DataFrame, out: str, work: Callable[[DataFrame], DataFrame] | None = None,
                mode: str = "append") -> DataStreamWriter:
     """Each micro-batch is worked on as a batch DataFrame and written to a folder of its own
-    number, so a repeated batch replaces itself."""
+    number, so a repeated batch replaces itself. It is landed first: work that reads it twice would
+    run the stream's operators twice."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        result = work(batch) if work else batch
-        result.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        target = f"{out}/batch={batch_id}"
+        if not work:
+            batch.write.mode("overwrite").parquet(target)
+            return
+        here = landed(batch, "batch")
+        result = work(here)
+        if here.isEmpty():
+            result = here.sparkSession.createDataFrame([], result.schema)
+        result.write.mode("overwrite").parquet(target)
     return df.writeStream.outputMode(mode).foreachBatch(write)

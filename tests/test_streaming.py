@@ -58,7 +58,7 @@ def plain_learning(lat, thr, rate):
     log = np.log1p(lat)[: n * SL.PERIOD].reshape(n, -1).mean(axis=1)
     t = thr[: n * SL.PERIOD].reshape(n, -1).mean(axis=1) / 10
     xs, ys, w, out = [], [], np.zeros(3), []
-    for p in range(n - 1):
+    for p in range((len(lat) - 1 - 30) // SL.PERIOD):
         if p > 0:
             xs.append([1.0, log[p - 1], t[p - 1]])
             ys.append(log[p])
@@ -149,14 +149,109 @@ def live_rows(spark, n=130, series=(("Macro", "eMBB"), ("Macro", "URLLC"), ("Com
                                  "avg_latency_ms double, throughput_mbps double, pkt_count bigint")
 
 
-def test_documents_do_not_depend_on_the_cut_into_files(spark):
-    """One document per 15 s, also where a series has no new rows and whatever arrives together."""
+def slabs(rows, seconds, by=None):
+    """Sets of files: slabs of event time, or one set per value of ``by`` within each slab."""
+    last = int(rows.agg(F.max("simtime_s")).first()[0])
+    out = [rows.filter((F.col("simtime_s") >= a) & (F.col("simtime_s") < a + seconds)) for a in range(0, last + 1, seconds)]
+    if by:
+        values = sorted(r[0] for r in rows.select(by).distinct().collect())
+        out = [part.filter(F.col(by) == v) for part in out for v in values]
+    return out
+
+
+def shuffled(rows, grace, size, seed=1):
+    """Rows in an order in which none comes more than ``grace`` seconds after a later one."""
+    pdf = rows.toPandas()
+    order = np.argsort(pdf["simtime_s"] + np.random.default_rng(seed).random(len(pdf)) * grace)
+    pdf = pdf.iloc[order]
+    return [rows.sparkSession.createDataFrame(pdf.iloc[i:i + size], rows.schema) for i in range(0, len(pdf), size)]
+
+
+def run(spark, arrivals, build):
+    lost = []
+    out = RP.replay(spark, arrivals, build, done=lambda q: lost.append(RP.dropped_rows(q)))
+    return spark.read.parquet(out), sum(lost)
+
+
+def test_documents_do_not_depend_on_arrival(spark):
+    """One document per cell and 15 s, whether rows come by time, by cell or shuffled within the grace."""
     rows, got = live_rows(spark), []
-    for cuts in ([0], [0, 33, 100], [0, 15, 16, 90, 91]):
-        for allocate in (SL.allocate_reactive, SL.allocate_predictive):
-            got.append(sorted(map(tuple, PL.published(spark, rows, allocate, cuts).collect())))
-    assert sorted(r[2] for r in got[0]) == list(range(15, 121, 15))
-    assert got[0] == got[2] == got[4] and got[1] == got[3] == got[5]
+    for arrivals in ([rows], slabs(rows, 28, "gnb"), shuffled(rows, 29, 130)):
+        fits, lost = run(spark, arrivals, lambda s, o: RP.to_files(SL.periodic_fits(s), o))
+        assert lost == 0
+        got.append(sorted((r.gnb, r.period_end, r.document) for r in SL.allocate_predictive(fits).collect()))
+    # the watermark ends at 129 - 30
+    assert [r[:2] for r in got[0]] == [(g, e) for g in ("Commerce", "Macro") for e in range(15, 100, 15)]
+    assert got[0] == got[1] == got[2]
+
+
+def test_reactive_documents_and_rows_past_the_grace(spark):
+    rows = live_rows(spark)
+    late = rows.filter("simtime_s < 40").withColumn("avg_latency_ms", F.lit(5000.0))
+    build = lambda s, o: RP.to_batches(SL.periodic_fits(s), o, SL.allocate_reactive)
+    key = lambda r: (r.gnb, r.period_end, r.document)
+    plain, _ = run(spark, [rows], build)
+    mixed, lost = run(spark, [rows.filter("simtime_s < 90"), late, rows.filter("simtime_s >= 90")], build)
+    assert sorted(map(key, plain.collect())) == sorted(map(key, mixed.collect()))
+    assert lost == late.count()
+
+
+def test_a_gap_is_published_and_a_long_one_starts_afresh(spark):
+    one = live_rows(spark, 40, (("Macro", "eMBB"),))
+    moved = lambda s: one.withColumn("simtime_s", F.col("simtime_s") + s)
+    pause, far = 105, 105 + 40 + SL.IDLE + 600
+    for arrivals in ([one.union(moved(pause)).union(moved(far))], [one, moved(pause), moved(far)]):
+        out, _ = run(spark, arrivals, lambda s, o: RP.to_files(SL.periodic_fits(s), o))
+        got = {r.period_end: r.n_rows for r in out.collect()}
+        want = {e: len([t for t in [*range(40), *range(pause, pause + 40)] if t < e][-60:]) for e in range(15, 151, 15)}
+        start = far // 15 * 15
+        want |= {e: e - far for e in range(start + 15, far + 39 - 30 + 1, 15)}
+        assert got == want
+
+
+def test_learning_does_not_depend_on_arrival(spark):
+    rows = live_rows(spark, 220, (("Macro", "eMBB"), ("Commerce", "eMBB"), ("Macro", "mMTC")))
+    for build in (lambda s, o: RP.to_files(SL.online_learning(s, 0.01), o), lambda s, o: RP.to_files(SL.federated_learning(s, 0.01), o)):
+        got = []
+        for arrivals in ([rows], shuffled(rows, 29, 200)):
+            out, lost = run(spark, arrivals, build)
+            assert lost == 0
+            got.append({(r.gnb, r.slice, r.period, r.step): [*r.w, np.nan if r.loss is None else r.loss] for r in out.collect()})
+        assert max(k[2] for k in got[0]) == (219 - 30) // 15 - 1
+        for other in got[1:]:
+            assert other.keys() == got[0].keys()
+            assert all(np.allclose(other[k], v, rtol=1e-9, equal_nan=True) for k, v in got[0].items())
+
+
+def test_random_batch_is_drawn_from_the_whole_buffer():
+    at = np.arange(100, 164)
+    sets = [SL.drawn("a|Macro|eMBB", p, at) for p in range(400)]
+    assert all(len(set(s)) == SL.BATCH for s in sets)
+    counts = np.bincount(np.concatenate(sets), minlength=64)
+    assert counts.min() > 25 and counts.max() < 80               # 50 each on average
+    assert (SL.drawn("a|Macro|eMBB", 7, at) == sets[7]).all()
+    few = SL.drawn("x", 1, np.arange(SL.BATCH))
+    assert few.tolist() == list(range(SL.BATCH))
+
+
+def test_learners_keep_their_state(spark):
+    a = SL._Learner()
+    for p in range(80):
+        a.learn(p, (2.0, p * 0.1, 3.0 + p), 0.01, "s")
+        b = SL._Learner.of(a.state())
+        assert b.steps == a.steps and (b.w == a.w).all() and (b.x == a.x).all() and (b.at == a.at).all()
+    assert len(a.y) == SL.BUFFER and a.at[-1] == 79
+
+
+def test_demo_start_meets_the_budget(spark):
+    from slicewise import dims
+    from slicewise.sinks.documents import default_units
+    keys = spark.createDataFrame([("a",)], "scenario string")
+    got = {(r.gnb, r.slice): r.units for r in default_units(keys, ["scenario"], demo=True).collect()}
+    for cell, budget in dims.BUDGETS:
+        assert sum(u for (g, _), u in got.items() if g == cell) == budget
+    usual = {(r.gnb, r.slice): r.units for r in default_units(keys, ["scenario"]).collect()}
+    assert all(got[c, "eMBB"] < usual[c, "eMBB"] for c in dims.CELLS)
 
 
 def test_late_rows_change_no_published_step(spark):
