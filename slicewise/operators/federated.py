@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slicewise.operators.joins import join_groups
 from slicewise.operators.robust import solve_system
+from slicewise.operators.series import running_sums
+from slicewise.sinks.tables import landed
 
 PROXIMAL_MU = 0.01
-PART = 500
+#: Draws that meet in one bucket, and rows of a group that one task may rank (about).
+BUCKET, NARROW = 500, 20000
 
 
 def federated_average(params: DataFrame, by: tuple[str, ...] = ("slice", "param", "idx"),
@@ -99,47 +102,63 @@ def federated_fit(sums: DataFrame, d: int, mu: float = PROXIMAL_MU) -> DataFrame
 
 def weighted_sample(windows: DataFrame, seed: int = 42,
                     keys: tuple[str, ...] = ("slice", "scenario", "gnb", "start")) -> DataFrame:
-    """Sampling with replacement in proportion to ``weight`` within each slice: each window is
-    repeated a Poisson number of times with mean n * weight / sum of weights, so rows are
-    drawn where they lie and nothing is sorted or collected. The draws are hashes of seed and
-    window, so they repeat in every run and retry."""
-    total = windows.groupBy("slice").agg(F.count("*").alias("_n"), F.sum("weight").alias("_s"))
-    w = join_groups(windows, total, ["slice"]).withColumn(
-        "_lam", F.col("_n") * F.col("weight") / F.col("_s"))
-    named = [F.col(k).cast("string") for k in keys if k in windows.columns]
-    # the sum of Poisson numbers is one: a large mean is drawn in equal parts of at most PART
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_lam") / PART)).cast("int")
-    mean = F.col("_lam") / F.col("_m")
-    draws = F.aggregate(F.sequence(F.lit(1), F.col("_m")), F.lit(0), lambda n, k: n + _poisson(
-        mean, _uniform_of(F.concat_ws("|", F.lit(str(seed)), *named, k.cast("string")))))
-    return (w.withColumn("_m", parts).withColumn("copies", draws)
-            .filter(F.col("copies") > 0)
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-            .drop("_n", "_s", "_lam", "_m"))
-
-
-def _uniform_of(text: Column) -> Column:
-    """In (0, 1), from 52 bits of a hash."""
-    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-
-
-def _poisson(mean: Column, u: Column) -> Column:
-    """Poisson count of a mean of at most PART from a uniform number: the largest i with
-    u > P(N < i). Terms run 12 deviations and 20 beyond the mean; what lies past them has a
-    probability under 1e-20, less than the grain of the uniform number."""
-    terms = F.sequence(F.lit(1), (mean + 12 * F.sqrt(mean) + 20).cast("int"))
-    zero = F.exp(-mean)
-
-    def step(s: Column, i: Column) -> Column:
-        p = s["p"] * mean / i
-        return F.struct(p.alias("p"), (s["below"] + p).alias("below"),
-                        F.when(u > s["below"], i).otherwise(s["k"]).alias("k"))
-    start = F.struct(zero.alias("p"), zero.alias("below"), F.lit(0).alias("k"))
-    return F.aggregate(terms, start, step, lambda s: s["k"])
-
-
-def split_parts(rows: DataFrame, keys: list[str], train_pct: int = 85) -> DataFrame:
-    """Random but repeatable train/validation part, from a hash of the row's key."""
-    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-    bucket = F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.lit(100))
-    return rows.withColumn("part", F.when(bucket < train_pct, "train").otherwise("val"))
+    """Sampling with replacement in proportion to ``weight`` within each slice: exactly as many draws
+    as the slice has windows, one row each, numbered ``draw``.
+
+    Weights are taken in millionths, so their running sums are exact. Draw i of a slice is a hash of
+    seed, slice and i, a number below the slice's sum, and takes the window in whose stretch it
+    falls. Stretches and draws meet in buckets of about ``BUCKET`` draws; a heavy window stands in
+    several. The draws repeat in every run and retry. Weights must not be negative."""
+    more = tuple(k for k in keys if k in windows.columns and k not in ("slice", "start"))
+    whole = windows.withColumn("_w", F.round(F.col("weight") * 1e6).cast("bigint"))
+    placed = landed(running_sums(whole, ["slice"], "start", {"_hi": F.col("_w"), "_i": F.lit(1).cast("bigint")}, more),
+                    "weights")
+    width = F.greatest(F.ceil(F.col("_hi_total") / F.ceil(F.col("_i_total") / BUCKET)), F.lit(1)).cast("bigint")
+    bucket = lambda c: F.floor(c / F.col("_width")).cast("bigint")
+    rows = placed.withColumns({"_width": width, "_lo": F.col("_hi") - F.col("_w")}).filter("_hi_total > 0")
+    drawn = F.pmod(_hash_number(F.concat_ws("|", F.lit(str(seed)), "slice", F.col("_i").cast("string"))), F.col("_hi_total"))
+    draws = rows.select("slice", F.col("_i").alias("draw"), drawn.alias("_v"), "_width").withColumn("_b", bucket(F.col("_v"))).drop("_width")
+    # the most draws of one bucket lie in one stretch at worst: those are rows to be made anyway
+    spread = (rows.filter("_w > 0").withColumn("_b", F.explode(F.sequence(bucket(F.col("_lo")), bucket(F.col("_hi") - 1))))
+              .drop("_i", "_i_total", "_hi_total", "_width", "_w"))
+    return (spread.join(draws, ["slice", "_b"]).filter((F.col("_lo") <= F.col("_v")) & (F.col("_v") < F.col("_hi")))
+            .drop("_b", "_lo", "_hi", "_v"))
+
+
+def _hash_number(text: Column) -> Column:
+    """52 bits of a hash."""
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+
+
+def split_parts(rows: DataFrame, keys: list[str], val_share: float = 0.15,
+                by: tuple[str, ...] = ("slice",), narrow: int = NARROW, bits: int = 12) -> DataFrame:
+    """Random but repeatable parts: in every group of ``by`` exactly int(val_share * n) rows are
+    ``val``, those whose hash of ``keys`` is least; the rest are ``train``. Keys name the rows.
+
+    The hash at which a group is cut is found by counting: the rows of each of 2**bits stretches of
+    hashes, then those of the stretch in which the cut lies, until it holds few rows, and only
+    these are ranked. So no task ranks more than ``narrow`` rows, whatever a group holds."""
+    named = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in keys])
+    rows = landed(rows.withColumn("_h", _hash_number(named)), "split")
+    cut = landed(rows.groupBy(*by).agg(F.floor(F.count("*") * F.lit(val_share)).cast("bigint").alias("_left"),
+                                       F.lit(0).cast("bigint").alias("_lo"), F.count("*").alias("_held")), "split-cut")
+    shift = 52
+    while shift > 0 and (cut.agg(F.max("_held")).first()[0] or 0) > narrow:
+        step = max(shift - bits, 0)
+        at = F.floor((F.col("_h") - F.col("_lo")) / F.lit(float(1 << step))).cast("bigint")
+        inside = (F.col("_h") >= F.col("_lo")) & (F.col("_h") < F.col("_lo") + F.lit(1 << shift))
+        counts = (join_groups(rows, cut, list(by)).filter(inside).groupBy(*by, "_left", "_lo", at.alias("_at"))
+                  .agg(F.count("*").alias("_held")))
+        upto = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)      # 2**bits rows
+        below = counts.withColumn("_below", F.coalesce(F.sum("_held").over(upto), F.lit(0)))
+        last = F.greatest(F.col("_left") - 1, F.lit(0))                     # the last one before the cut
+        hit = below.filter((F.col("_below") <= last) & (last < F.col("_below") + F.col("_held")))
+        cut = landed(hit.select(*by, (F.col("_left") - F.col("_below")).alias("_left"),
+                                (F.col("_lo") + F.col("_at") * F.lit(1 << step)).alias("_lo"), "_held"), "split-cut")
+        shift = step
+    j = join_groups(rows, cut.drop("_held"), list(by)).withColumn("_top", F.col("_lo") + F.lit(1 << shift))
+    close = (F.col("_h") >= F.col("_lo")) & (F.col("_h") < F.col("_top"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("_h", *keys))
+    near = j.filter(close).withColumn("part", F.when(rank <= F.col("_left"), "val").otherwise("train"))
+    far = j.filter(~close).withColumn("part", F.when(F.col("_h") < F.col("_lo"), "val").otherwise("train"))
+    return near.unionByName(far).drop("_h", "_lo", "_left", "_top")

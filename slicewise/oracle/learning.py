@@ -17,21 +17,27 @@ SELECT slice, 'p' || (i // 16) AS param, i AS idx, round(avg(CAST(embedding[i +
 FROM (SELECT CASE label % 3 WHEN 0 THEN 'eMBB' WHEN 1 THEN 'URLLC' ELSE 'mMTC' END AS slice, embedding,
              unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL""")
 oracle("random_split", """
-SELECT slice, CASE WHEN h % 100 < 85 THEN 'train' ELSE 'val' END AS part, count(*) AS n
-FROM (SELECT slice, CAST('0x' || substr(md5(concat_ws('|', scenario, gnb, slice, start)), 1, 8) AS BIGINT) AS h
+SELECT slice, CASE WHEN rank <= CAST(floor(n * 0.15) AS BIGINT) THEN 'val' ELSE 'train' END AS part, count(*) AS n,
+       CAST(sum(start) AS BIGINT) AS start_sum
+FROM (SELECT slice, start, count(*) OVER (PARTITION BY slice) AS n, row_number() OVER (PARTITION BY slice
+        ORDER BY CAST('0x' || substr(md5(concat_ws('|', scenario, gnb, slice, start)), 1, 13) AS BIGINT), scenario, gnb, start) AS rank
       FROM li_weights) GROUP BY ALL""")
+cte("sample_stretches", """
+SELECT *, sum(w) OVER (PARTITION BY slice ORDER BY start, scenario, gnb) - w AS lo,
+       row_number() OVER (PARTITION BY slice ORDER BY start, scenario, gnb) AS i, sum(w) OVER (PARTITION BY slice) AS total
+FROM (SELECT *, CAST(round(weight * 1e6) AS BIGINT) AS w FROM li_weights)""")
 oracle("weighted_sample", """
 SELECT scenario, gnb, slice, count(*) AS n_windows, round(sum(weight), 6) AS weight_sum,
-       CAST(sum(copies) AS BIGINT) AS n_drawn, count(*) FILTER (copies > 0) AS n_distinct
-FROM (SELECT *, len(list_filter(range(1, CAST(floor(lam + 12 * sqrt(lam) + 20) AS BIGINT) + 1),
-                                lambda i: u > list_sum(p[1:i]))) AS copies
-      FROM (SELECT *, list_transform(range(CAST(floor(lam + 12 * sqrt(lam) + 20) AS BIGINT) + 1),
-                                     lambda i: exp(i * ln(lam) - lam - lgamma(i + 1))) AS p,
-                   (CAST('0x' || substr(md5(concat_ws('|', '42', slice, scenario, gnb, start, 1)), 1, 13) AS BIGINT)
-                    + 0.5) / CAST(4503599627370496 AS DOUBLE) AS u
-            FROM (SELECT *, count(*) OVER (PARTITION BY slice) * weight / sum(weight) OVER (PARTITION BY slice) AS lam
-                  FROM li_weights)))
-GROUP BY scenario, gnb, slice HAVING sum(copies) > 0""")
+       CAST(sum(n) AS BIGINT) AS n_drawn, count(*) FILTER (n > 0) AS n_distinct, CAST(sum(numbers) AS BIGINT) AS draw_sum
+FROM (SELECT s.scenario, s.gnb, s.slice, s.start, any_value(s.weight) AS weight, count(d.i) AS n, coalesce(sum(d.i), 0) AS numbers
+      FROM sample_stretches s LEFT JOIN (
+        SELECT a.i, s.slice, s.scenario, s.gnb, s.start
+        FROM (SELECT slice, i, CAST(CAST('0x' || substr(md5(concat_ws('|', '42', slice, i)), 1, 13) AS BIGINT) % total AS HUGEINT) AS v
+              FROM sample_stretches) a
+        ASOF JOIN (SELECT * FROM sample_stretches WHERE w > 0) s ON a.slice = s.slice AND a.v >= s.lo) d
+        ON d.scenario = s.scenario AND d.gnb = s.gnb AND d.slice = s.slice AND d.start = s.start
+      GROUP BY s.scenario, s.gnb, s.slice, s.start)
+GROUP BY scenario, gnb, slice HAVING sum(n) > 0""")
 oracle("parameter_drift", """
 SELECT slice, gnb, l2, divergence, n_vectors, l2_mean FROM (
   SELECT slice, gnb, count(*) AS n_vectors, round(avg(d), 6) AS l2_mean

@@ -48,6 +48,10 @@ oracle("live_stream_scan", """
 SELECT scenario, gnb, slice, count(*) AS n_rows, CAST(max(tick) AS DOUBLE) AS last_time,
        round(avg(lat), 9) AS mean_lat, CAST(sum(b.packets_received) AS BIGINT) AS packets
 FROM kpi_rows JOIN kpi_buckets b USING (run, scenario, slice, gnb, tick) GROUP BY scenario, gnb, slice""")
+oracle("live_tail_scan", """
+SELECT scenario, gnb, slice, CAST(tick AS DOUBLE) AS simtime_s, lat AS avg_latency_ms, thr AS throughput_mbps,
+       b.packets_received AS pkt_count, loss AS pkt_loss_pct
+FROM kpi_rows JOIN kpi_buckets b USING (run, scenario, slice, gnb, tick)""")
 oracle("stream_tumbling_kpi", """
 SELECT scenario, gnb, slice, (tick // 15) * 15 AS period_start, count(*) AS n_rows,
        round(avg(lat), 6) AS lat, round(avg(thr), 6) AS thr

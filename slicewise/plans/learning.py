@@ -80,10 +80,10 @@ def forecast_huber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drawn windows per series against what their weights ask for."""
+    """Drawn windows per series against what their weights ask for; as many draws a slice as windows."""
     w = landed(W.window_weights(long_series(spark, sf_dir), SERIES), "weights")
     drawn = FD.weighted_sample(w).groupBy(*SERIES).agg(
-        F.count("*").alias("n_drawn"), F.countDistinct("start").alias("n_distinct"))
+        F.count("*").alias("n_drawn"), F.countDistinct("start").alias("n_distinct"), F.sum("draw").alias("draw_sum"))
     all_n = w.groupBy(*SERIES).agg(F.count("*").alias("n_windows"),
                                    r6(F.sum("weight")).alias("weight_sum"))
     return all_n.join(drawn, SERIES)
@@ -91,6 +91,7 @@ def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the parts, exact to the row, and which windows they hold."""
     w = W.window_weights(long_series(spark, sf_dir), SERIES)
     return (FD.split_parts(w, [*SERIES, "start"]).groupBy("slice", "part")
-            .agg(F.count("*").alias("n")))
+            .agg(F.count("*").alias("n"), F.sum("start").alias("start_sum")))

@@ -65,6 +65,19 @@ def live_stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.avg("avg_latency_ms"), 9).alias("mean_lat"), F.sum("pkt_count").alias("packets"))
 
 
+@query
+def live_tail_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metric file as its source writes it, row by row, followed while it grows; each time the
+    query looks, the last line is torn. Every row as it was read, in the batch that read it."""
+    rows = live(spark, sf_dir).orderBy("simtime_s", "scenario", "gnb", "slice")
+    line = F.concat_ws(",", *[F.col(c).cast("string") for c in rows.columns])
+    text = ",".join(rows.columns) + "\n" + "".join(r[0] + "\n" for r in rows.select(line).toLocalIterator())
+    body = text.encode()
+    at = [0, len(body) // 3 + 7, 2 * len(body) // 3 + 3, len(body)]
+    out = RP.follow(spark, [body[a:b] for a, b in zip(at, at[1:])], rows.schema, RP.to_files)
+    return spark.read.parquet(out).select(*SERIES, "simtime_s", "avg_latency_ms", "throughput_mbps", "pkt_count", "pkt_loss_pct")
+
+
 @query
 def stream_tumbling_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished periods only; a last set of files repeats old rows, which come too late."""

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.types import StructType
 
 from slicewise.session import work_dir
 from slicewise.sinks.tables import landed
+from slicewise.sources.tail import register_tail
 
 Sink = Callable[[DataFrame, str], DataStreamWriter]
 
@@ -65,6 +68,27 @@ def replay(spark: SparkSession, parts: Iterable[DataFrame], sink: Sink,
     return out
 
 
+def follow(spark: SparkSession, cuts: Iterable[bytes], schema: StructType, sink: Sink, label: str = "tail",
+           **options: str) -> str:
+    """Appends byte strings to one live file and runs the query over it after each, always from the
+    same checkpoint; the folder ``out`` is returned. The file is what a metric source writes."""
+    base = work_dir(spark, label)
+    out, checkpoint = f"{base}/out", f"{base}/checkpoint"
+    s = stream_session(spark)
+    register_tail(s)
+    store, inner = pafs.FileSystem.from_uri(base) if "://" in base or base.startswith("file:") else (pafs.LocalFileSystem(), base)
+    store.create_dir(inner)
+    for more in cuts:
+        live = f"{inner}/live.csv"
+        there = store.get_file_info(live).type == pafs.FileType.File
+        with (store.open_append_stream if there else store.open_output_stream)(live) as f:
+            f.write(more)
+        query = (sink(s.readStream.format("tail").schema(schema).options(**options).load(f"{base}/live.csv"), out)
+                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        query.awaitTermination()
+    return out
+
+
 def to_files(df: DataFrame, out: str, mode: str = "append") -> DataStreamWriter:
     return df.writeStream.outputMode(mode).format("parquet").option("path", out)
 

@@ -119,15 +119,29 @@ def test_fits_against_numpy(spark):
 
 def test_weighted_sample_follows_the_weights(spark):
     w = spark.range(4000).select(F.lit("eMBB").alias("slice"), F.col("id").alias("start"),
-                                 F.when(F.col("id") < 400, 10.0).otherwise(1.0).alias("weight"))
-    s = FD.weighted_sample(w)
-    n = s.count()
-    heavy = s.filter("start < 400").count() / n
-    assert n == pytest.approx(4000, rel=0.1)
-    assert heavy == pytest.approx(4000 / 7600, abs=0.05)
-    rep = FD.split_parts(w, ["slice", "start"])
-    assert rep.filter("part = 'train'").count() / 4000 == pytest.approx(0.85, abs=0.03)
-    assert rep.exceptAll(FD.split_parts(w.repartition(7), ["slice", "start"])).count() == 0
+                                 F.when(F.col("id") < 400, 10.0).when(F.col("id") == 3999, 0.0).otherwise(1.0).alias("weight"))
+    s = FD.weighted_sample(w).cache()
+    assert s.count() == 4000 and s.select("draw").distinct().count() == 4000
+    assert s.filter("start < 400").count() / 4000 == pytest.approx(4000 / 7599, abs=0.03)
+    assert s.filter("start = 3999").count() == 0
+    again = FD.weighted_sample(w.repartition(7))
+    assert s.select("draw", "start").exceptAll(again.select("draw", "start")).count() == 0
+    one = w.withColumn("weight", F.when(F.col("start") == 5, 1e9).otherwise(1e-9))       # all draws in one stretch
+    assert FD.weighted_sample(one).groupBy("start").count().collect() == [(5, 4000)]
+    assert FD.weighted_sample(w.limit(0)).collect() == []
+
+
+def test_split_is_exact_and_ranks_few_rows(spark):
+    w = spark.range(5000).select(F.when(F.col("id") < 4990, "eMBB").otherwise("mMTC").alias("slice"), F.col("id").alias("start"))
+    rep = FD.split_parts(w, ["slice", "start"]).cache()
+    count = lambda s, p: rep.filter(f"slice = '{s}' AND part = '{p}'").count()
+    assert [count("eMBB", "val"), count("eMBB", "train"), count("mMTC", "val"), count("mMTC", "train")] == [748, 4242, 1, 9]
+    for other in (FD.split_parts(w.repartition(7), ["slice", "start"]), FD.split_parts(w, ["slice", "start"], narrow=50, bits=4)):
+        assert rep.exceptAll(other).count() == 0 and other.count() == 5000
+    none = FD.split_parts(w, ["slice", "start"], val_share=0.0, narrow=50)
+    assert none.filter("part = 'val'").count() == 0 and none.count() == 5000
+    whole = FD.split_parts(w, ["slice", "start"], val_share=1.0, narrow=50)
+    assert whole.filter("part = 'val'").count() == 5000
 
 
 def test_huber_ignores_outliers(spark):
