@@ -1,9 +1,11 @@
 """Licence recognition by sentence rules.
 
-Text is cut into sentences, each sentence is normalised and mapped to a known licence-sentence
-identifier, and the sequence of identifiers is matched against ordered licence rules. A rule takes
-its sentences out of the sequence, so a weaker rule further down cannot claim them again. One
-projection of built-in functions: no shuffle, whole texts.
+Text is cut into sentences, each sentence is normalised and mapped to the identifiers of the known
+licence sentences in it, and the sequence of identifiers is matched against ordered licence rules.
+Lines that were wrapped are joined and comment marks go first: a sentence ends at a blank line, or
+at a full stop, question or exclamation mark with a blank behind it. A rule takes its sentences
+out of the sequence, so a weaker rule further down cannot claim them again. One projection of
+built-in functions: no shuffle, whole texts.
 """
 
 from __future__ import annotations
@@ -15,9 +17,10 @@ from slicewise.llm.common import ascii_lower
 
 #: Fixed values. A sentence without any of these is not looked at.
 KEYWORDS = (r"licen[cs]e|copyright|spdx|public domain|creative commons|cc by|cc0|redistribut|"
-            r"permission|warrant|software is provided|endorse|gnu ")
+            r"permission|warrant|software is provided|endorse|gnu |unencumbered software")
 
-#: Fixed values. Identifier of a sentence, and the pattern its normalised form holds.
+#: Fixed values. Identifier of a sentence, and the pattern its normalised form holds. Of identifiers
+#: that are alternatives (``family``) a sentence has the first that it holds.
 SENTENCES = [
     ("SPDX-Apache-2.0", r"spdx license identifier apache 2 0"),
     ("SPDX-MIT", r"spdx license identifier mit\b"),
@@ -54,9 +57,33 @@ SENTENCES = [
     ("CCBYSA", r"\bcc by sa\b|\battribution sharealike\b"),
     ("CCBY", r"\bcc by\b|\bcreative commons attribution\b"),
     ("PublicDomain", r"\b(?:in|into) the public domain\b"),
-    ("AllRights", r"\ball rights reserved\b"),
+    ("ISCPermission", r"\bpermission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted\b"),
+    ("Unlicense", r"\bfree and unencumbered software released into the public domain\b"),
+    ("EPLRef2", r"\beclipse public license,? (?:version |v) ?2 0\b"),
     ("Copyright", r"\bcopyright (?:c )?[12][0-9]{3}\b"),
+    ("AllRights", r"\ball rights reserved\b"),
 ]
+_GPL = ("AGPLRef", "LGPLRef", "GPLRef")
+
+
+def family(name: str) -> str:
+    """What the identifier is an alternative in; most stand alone."""
+    if name.startswith(_GPL):
+        return "GPLRef"
+    return next((f for f in ("SPDX", "CC") if name.startswith(f)), name)
+
+
+def families() -> dict[str, list[tuple[str, str]]]:
+    """The sentence patterns by family, in order."""
+    out: dict[str, list[tuple[str, str]]] = {}
+    for name, pattern in SENTENCES:
+        out.setdefault(family(name), []).append((name, pattern))
+    return out
+
+
+#: Fixed values. Marks of comments and quotations at the beginning of a line; the end of a sentence.
+COMMENT = r"\n[ \t\r]*(?:(?://+|/\*+|\*+/?|#+|;+|--+|>+|<!--+)[ \t\r]*)?"
+END = r"\n\n+|[.!?][\x22')]*[ \t\r]*\n|[.!?][\x22')]*[ \t\r]+"
 
 #: Fixed values. Rules in order; a sequence is written as ``|id|id|``.
 RULES = [
@@ -78,6 +105,9 @@ RULES = [
     ("CC-BY-NC", r"\|CCBYNC\|"),
     ("CC-BY-SA", r"\|CCBYSA\|"),
     ("CC-BY", r"\|CCBY\|"),
+    ("ISC", r"\|ISCPermission\|(?:MITWarranty\|)?"),
+    ("EPL-2.0", r"\|EPLRef2\|"),
+    ("Unlicense", r"\|(?:PublicDomain\|)?Unlicense\|"),
     ("public-domain", r"\|PublicDomain\|"),
     ("proprietary", r"\|(?:Copyright\|)?AllRights\|"),
 ]
@@ -86,17 +116,20 @@ UNKNOWN = "?"
 
 def _sentences(text: Column) -> Column:
     """Normalised sentences that hold a keyword: lower case, words of letters and digits only."""
-    flat = ascii_lower(text)
-    parts = F.split(F.regexp_replace(flat, r"[.!?;][ \t\r]*\n|[.!?;][ \t\r]+", "\n"), "\n")
+    lines = F.regexp_replace(F.concat(F.lit("\n"), ascii_lower(text)), COMMENT, "\n")
+    parts = F.split(F.regexp_replace(lines, END, "\u0001"), "\u0001")
     clean = F.transform(parts, lambda s: F.btrim(F.regexp_replace(s, r"[^\x{80}-\x{10FFFF}0-9a-z]+", " ")))
     return F.filter(clean, lambda s: s.rlike(KEYWORDS))
 
 
-def _identifier(sentence: Column) -> Column:
-    known = F.when(F.lit(False), F.lit(""))
-    for name, pattern in SENTENCES:
-        known = known.when(sentence.rlike(pattern), F.lit(name))
-    return known.otherwise(F.lit(UNKNOWN))
+def _identifiers(sentence: Column) -> Column:
+    each = []
+    for rules in families().values():
+        known = F.when(F.lit(False), F.lit(""))
+        for name, pattern in rules:
+            known = known.when(sentence.rlike(pattern), F.lit(name))
+        each.append(known)
+    return F.array_compact(F.array(*each))
 
 
 def scan_expression(text: Column) -> Column:
@@ -105,7 +138,9 @@ def scan_expression(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     none = F.array().cast("array<string>")
     likely = text.rlike(f"(?i){KEYWORDS.replace(' ', '[^0-9a-z]+')}")
-    ids = F.when(likely, F.transform(_sentences(text), _identifier)).otherwise(none)
+    of = lambda s: F.transform(F.array(_identifiers(s)), lambda i: F.when(
+        F.size(i) > 0, i).otherwise(F.array(F.lit(UNKNOWN))))[0]
+    ids = F.when(likely, F.flatten(F.transform(_sentences(text), of))).otherwise(none)
     rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern")) for n, p in RULES])
 
     def match(acc: Column, rule: Column) -> Column:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from slicewise.llm import mixing
 from slicewise.llm.common import ORACLES
-from slicewise.llm.license import KEYWORDS, RULES, SENTENCES
+from slicewise.llm.license import COMMENT, END, KEYWORDS, RULES, families
+from slicewise.llm.pii import IBAN, IBAN_CHARS
 
+_COUNTRY = ", ".join(f"('{c}', {n})" for n, names in IBAN_CHARS.items() for c in names.split())
 ORACLES["op10_pii"] = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+WITH country(code, chars) AS (VALUES %COUNTRY%),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 matched AS (
   SELECT rid, t, k.kind, k.pos,
          regexp_extract_all(t, '(?s)(.*?)(' || k.pattern || ')', 0) AS whole,
@@ -17,12 +20,10 @@ matched AS (
     (2, 'ip', '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'),
     (3, 'card', '[0-9](?:[ -]?[0-9])+'),
     (4, 'phone', '\+[0-9][ ().0-9-]+[0-9]'),
-    (5, 'iban', '[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?'),
     (6, 'short_card', '[0-9](?:[ -]?[0-9])+')) k(pos, kind, pattern)),
 found AS (
   SELECT *, CAST(list_sum(list_transform(whole[1:i], lambda x: length(x))) AS BIGINT) AS stop,
-         regexp_replace(hit, '[^0-9]', '', 'g') AS digits,
-         replace(hit, ' ', '')[5:] || replace(hit, ' ', '')[1:4] AS turned
+         regexp_replace(hit, '[^0-9]', '', 'g') AS digits
   FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i, unnest(hits) AS hit FROM matched)),
 checked AS (
   SELECT rid, t, kind, pos, stop - length(hit) AS start, stop,
@@ -30,7 +31,7 @@ checked AS (
            WHEN j % 2 = 1 THEN CAST(reverse(digits)[j] AS INTEGER)
            WHEN reverse(digits)[j] > '4' THEN CAST(reverse(digits)[j] AS INTEGER) * 2 - 9
            ELSE CAST(reverse(digits)[j] AS INTEGER) * 2 END)) % 10 = 0 AS luhn,
-         length(digits) AS n, hit, turned
+         length(digits) AS n, hit
   FROM found),
 near AS (
   SELECT *, lower(substr(t, greatest(start - 39, 1), start + 1 - greatest(start - 39, 1))
@@ -41,25 +42,42 @@ kept AS (
     WHEN 'ip' THEN len(list_filter(string_split(hit, '.'), lambda p: CAST(p AS DOUBLE) > 255)) = 0
     WHEN 'card' THEN n BETWEEN 16 AND 19 AND luhn
     WHEN 'phone' THEN n BETWEEN 8 AND 15
-    WHEN 'iban' THEN length(turned) BETWEEN 15 AND 34 AND list_reduce(
-        list_prepend(0, list_transform(string_split(turned, ''), lambda c: CASE
-            WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END)),
-        lambda a, v: CASE WHEN v > 9 THEN a * 100 + v ELSE a * 10 + v END % 97) = 1
     ELSE n BETWEEN 13 AND 15 AND luhn
          AND regexp_matches(around, 'card|visa|amex|credit|karte|carte|tarjeta')
          AND NOT regexp_matches(around, 'serial|isbn|order') END),
+begun AS (
+  SELECT rid, i, regexp_extract(substr(t, i, 60), '^%IBAN%') AS whole
+  FROM (SELECT rid, t, unnest(list_filter(range(1, length(t) - 2), lambda i:
+               regexp_matches(substr(t, i, 4), '^[A-Z]{2}[0-9]{2}$'))) AS i
+        FROM d WHERE regexp_matches(t, '[A-Z]{2}[0-9]{2}'))),
+sized AS (
+  SELECT rid, i - 1 AS start, CASE WHEN chars IS NULL THEN whole ELSE
+         coalesce(whole[1:list_filter(range(1, length(whole) + 1), lambda j: whole[j] <> ' ')[chars]], '') END AS hit
+  FROM begun LEFT JOIN country ON code = whole[1:2] WHERE whole <> ''),
+valid AS (
+  SELECT rid, start, start + length(hit) AS stop
+  FROM (SELECT *, replace(hit, ' ', '')[5:] || replace(hit, ' ', '')[1:4] AS turned FROM sized)
+  WHERE length(turned) BETWEEN 15 AND 34 AND list_reduce(
+    list_prepend(0, list_transform(string_split(turned, ''), lambda c: CASE
+        WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END)),
+    lambda a, v: CASE WHEN v > 9 THEN a * 100 + v ELSE a * 10 + v END % 97) = 1),
+every AS (
+  SELECT rid, kind, pos, start, stop FROM kept
+  UNION ALL
+  SELECT rid, 'iban', 5, start, stop FROM valid
+  QUALIFY start >= coalesce(max(stop) OVER (PARTITION BY rid ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)),
 per AS (
   SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
          count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY pos, start)
            FILTER (pos <= 4) AS base,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY pos, start) AS spans
-  FROM kept GROUP BY rid)
+  FROM every GROUP BY rid)
 SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip,
        coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN per USING (rid)
-"""
+""".replace("%COUNTRY%", _COUNTRY).replace("%IBAN%", IBAN)
 
 _WORDS = r"""list_filter(string_split(trim(regexp_replace(translate(coalesce(text, ''),
   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -88,7 +106,8 @@ FROM d LEFT JOIN p USING (rid) LEFT JOIN i USING (rid)
 
 def _license_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    cases = " ".join(f"WHEN regexp_matches(s, {quote(p)}) THEN {quote(n)}" for n, p in SENTENCES)
+    cases = ", ".join("CASE " + " ".join(f"WHEN regexp_matches(s, {quote(p)}) THEN {quote(n)}" for n, p in rules) + " END"
+                      for rules in families().values())
     steps, last = [], "r0"
     for k, (name, pattern) in enumerate(RULES, 1):
         hit = f"regexp_matches(seq, {quote(pattern)})"
@@ -101,11 +120,13 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text,
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 s AS (SELECT rid, i, trim(regexp_replace(p, '[^\x{{80}}-\x{{10FFFF}}0-9a-z]+', ' ', 'g'), ' ') AS s FROM (
     SELECT rid, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS p FROM (
-      SELECT rid, string_split(regexp_replace(t, '[.!?;][ \t\r]*\n|[.!?;][ \t\r]+', chr(10), 'g'),
-                               chr(10)) AS parts FROM d))),
-n AS (SELECT rid, i, CASE {cases} ELSE '?' END AS id FROM s
+      SELECT rid, string_split(regexp_replace(regexp_replace(chr(10) || t, {quote(COMMENT)}, chr(10), 'g'),
+                               {quote(END)}, chr(1), 'g'), chr(1)) AS parts FROM d))),
+m AS (SELECT rid, i, list_filter([{cases}], lambda x: x IS NOT NULL) AS found FROM s
       WHERE regexp_matches(s, {quote(KEYWORDS)})),
-g AS (SELECT rid, list(id ORDER BY i) AS ids FROM n GROUP BY rid),
+n AS (SELECT rid, i, unnest(CASE WHEN len(found) > 0 THEN found ELSE ['?'] END) AS id,
+             unnest(range(greatest(len(found), 1))) AS k FROM m),
+g AS (SELECT rid, list(id ORDER BY i, k) AS ids FROM n GROUP BY rid),
 r0 AS (SELECT rid, '|' || array_to_string(ids, '|') || '|' AS seq, []::VARCHAR[] AS names FROM g),
 {", ".join(steps)}
 SELECT doc_id, coalesce(len(list_filter(ids, lambda x: x <> '?')), 0)::BIGINT AS n_known,
@@ -119,9 +140,9 @@ FROM d LEFT JOIN g USING (rid) LEFT JOIN {last} USING (rid)
 ORACLES["op5_license"] = _license_sql()
 
 ORACLES["op3_topk"] = """
-WITH e AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+WITH e AS (SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
   FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
 p AS (SELECT q.vec_id AS query_id, x.vec_id,
         CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * x.v[i])) AS BIGINT) AS score
       FROM e q JOIN e x ON q.vec_id <> x.vec_id WHERE q.vec_id % 100 = 0),

@@ -80,5 +80,12 @@ def test_ibans_end_where_their_country_says(spark):
              (92, "BE68 5390 0754 7034 AT61 1904 3002 3457 3201")]
     got = {r.doc_id: r.spans for r in P.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     found = {i: [s for s in v.split(",") if s.startswith("iban")] for i, v in got.items()}
+    import duckdb
+    import pandas as pd
+
+    from slicewise.llm import oracle
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert {r[0]: r[-1] for r in con.execute(oracle.ORACLES["op10_pii"]).fetchall()} == got
     assert {i: found[i] for i in range(24)} == {i: [f"iban:2:{2 + len(ibans[i // 4])}"] for i in range(24)}
     assert (found[90], found[91], found[92]) == (["iban:15:44"], [], ["iban:0:19", "iban:20:44"])
