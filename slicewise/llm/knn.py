@@ -106,18 +106,21 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 10, pivots: int = PIVOTS
     the rows of ``data`` with another id, ties to the smaller id; all rows if there are fewer.
 
     Both inputs hold ``vec_id long`` and ``v array<bigint>`` of one length (see
-    ``integer_vectors``). Vectors of another length than the longest raise an error in the task.
-    Rows repeated with the same id count once in ``data``, and once as a query. Of equal vectors
+    ``integer_vectors``). An id names one vector on both sides: of several the least. Vectors of
+    another length than most of ``data`` have are left out, on both sides. Of equal vectors
     only those with the k + 1 smallest ids can be among the results, so the others stay behind
     before anything is sent; results are the same. Empty inputs give an empty result.
     """
     spark = data.sparkSession
     same = Window.partitionBy("v").orderBy("vec_id")
-    data = (data.groupBy("vec_id", "v").agg(F.lit(1).alias("one"))
+    data, queries = (df.groupBy("vec_id").agg(F.min("v").alias("v")) for df in (data, queries))
+    sizes = data.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    whole = F.size("v") == (sizes["d"] if sizes else 0)
+    data = (data.filter(whole)
             .withColumn("nth", F.row_number().over(same)).filter(F.col("nth") <= k + 1)
             .select("vec_id", "v"))
     data = landed(data, "knn-data")
-    queries = landed(queries.dropDuplicates(["vec_id"]).select("vec_id", "v"), "knn-queries")
+    queries = landed(queries.filter(whole), "knn-queries")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     top = data.agg(F.max(_norm2(F.col("v")))).first()[0]
     n_queries = queries.count()

@@ -47,3 +47,10 @@ def test_odd_vectors_and_repeated_rows(spark):
     assert sorted(map(tuple, got.collect())) == brute(
         {0: np.array([1024, 0]), 1: np.array([2048, 0]), 7: np.array([-1, 3072]), 8: np.array([2048 * 10 ** 9] * 2)}, [0, 1], 10)
     assert K.top_k(v.limit(0), v).collect() == [] and K.top_k(v, v.limit(0)).collect() == []
+
+
+def test_an_id_names_its_least_vector_and_other_lengths_stay_out(spark):
+    rows = [(100, [5, 1]), (100, [2, 9]), (1, [3, 3]), (1, [1, 7]), (2, [4, 4]), (3, [1, 2, 3]), (200, [1])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<bigint>")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in K.top_k(df.filter("vec_id % 100 = 0"), df).collect()]
+    assert sorted(got) == [(100, 1, 1, 2 * 1 + 9 * 7), (100, 2, 2, 2 * 4 + 9 * 4)]
