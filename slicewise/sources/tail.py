@@ -8,13 +8,18 @@ is read in byte ranges by many tasks. Restarted, the source goes on at the store
 from __future__ import annotations
 
 import csv
+import sys
 from collections.abc import Iterator
 
 import pyarrow.fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import DoubleType, IntegralType, StringType, StructType
 
+# the source travels as it is, also to the worker beside the driver, which has no shipped packages
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Bytes that a task reads, and that are looked at for the last line break at a time.
 RANGE, BLOCK = 16 << 20, 1 << 16
 

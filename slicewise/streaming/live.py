@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,6 +26,10 @@ from slicewise.operators import live as L
 from slicewise.operators.federated import federated_average
 from slicewise.sinks.documents import allocation_document
 
+# processors travel as they are: the worker that Spark starts beside the driver for them has no
+# packages that were shipped to executors
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 KEYS = ["scenario", "gnb", "slice"]
 EPOCH = 1704067200
 #: Watermark, and the seconds of event time after which the state of an ended series goes.

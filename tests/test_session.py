@@ -26,11 +26,15 @@ rows = s.createDataFrame([("S", "Macro", "eMBB", float(t), 5.0, 1.0, 1) for t in
     "scenario string, gnb string, slice string, simtime_s double, avg_latency_ms double, throughput_mbps double, pkt_count bigint")
 out = replay.replay(s, [rows], lambda x, o: replay.to_files(live.online_learning(x), o))
 print("PERIODS", s.read.parquet(out).count())
+from pyspark.sql.types import LongType, StructType
+out = replay.follow(s, [b"n\\n1\\n2", b"3\\n4\\n"], StructType().add("n", LongType()), replay.to_files)
+print("ROWS", sorted(r.n for r in s.read.parquet(out).collect()))
 s.stop()
 """
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=240,
                           env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
-    assert "PERIODS 13" in done.stdout, done.stderr[-2000:]
+    assert "PERIODS 11" in done.stdout, done.stderr[-2000:]            # those that end by 199 - 30
+    assert "ROWS [1, 4, 23]" in done.stdout, done.stderr[-2000:]
     assert list((tmp_path / "shared").glob("slicewise*")) == []
 
 
