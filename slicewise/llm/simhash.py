@@ -6,9 +6,6 @@ bucket meets only the buckets whose top bits differ in at most ``bits`` places.
 buckets is joined by walking the two subtries together from the root, adding up differing bits and
 dropping a pair of nodes as soon as the sum exceeds the budget. A task reports a spanning forest of
 its links, never all pairs of a dense group.
-
-A second form, for the pipeline, links texts by the exact similarity of their sets of shingles
-(``similar_classes``). Equal min-hashes propose pairs there; only counted shared shingles decide.
 """
 
 from __future__ import annotations
@@ -23,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slicewise.llm.common import row_key, small
+from slicewise.llm.common import row_key
 from slicewise.llm.components import components
 from slicewise.sinks.tables import landed
 
@@ -33,11 +30,6 @@ SHINGLE, BITS, SEED = 3, 3, 42
 #: the buckets, so buckets are as large as a task can well hold. At least ``TOP`` levels, so that
 #: small inputs too are spread over tasks.
 BUCKET, TOP = 32768, 3
-#: Of the links by similarity: words of a shingle, percent of all shingles of two texts that both
-#: hold, bands and min-hashes a band, and texts a chunk. A pair at exactly 80 percent shares no
-#: band with probability (1 - 0.8 ** 5) ** 20, which is 0.0004, and a closer pair more rarely.
-WORDS, PERCENT, BANDS, ROWS, CHUNK = 5, 80, 20, 5, 512
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Pairs of trie nodes, and of leaves, that are held at a time.
 FRONTIER, LEAVES = 1 << 20, 1 << 21
 
@@ -187,7 +179,7 @@ def _ordered_bits(fp: np.ndarray, order: list[int]) -> np.ndarray:
 
 
 def _join_units(order: list[int], bits: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         fp = rows["fp"].to_numpy(np.int64)
         first = rows["unit"].to_numpy() == key[0]
         if key[0] == key[1]:
@@ -237,7 +229,8 @@ def links(distinct: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFr
 
 
 def classes(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, key, fp, component_id`` for every row of ``docs``.
+    """``doc_id, key, fp, component_id, root`` for every row of ``docs``; ``root`` is a fingerprint
+    that names the component.
 
     component_id is the smallest doc_id reachable over links, the own included. Rows with null or
     wordless text have fingerprint 0 and are linked like any others; null doc_ids count for
@@ -251,7 +244,7 @@ def classes(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFr
     rooted = landed(distinct.join(roots, distinct.fp == roots.node, "left")
                     .select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(named, "root").select("fp", "component_id"), "fp")
+    return prints.join(rooted.join(named, "root").select("fp", "component_id", "root"), "fp")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -259,143 +252,13 @@ def report(docs: DataFrame) -> DataFrame:
                                 "component_id")
 
 
-def shingle_set(raw: bytes | None, shingle: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the different shingles of a UTF-8 text; of a shorter text its only one."""
-    words = raw.lower().split() if raw else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    runs = zip(*(words[k:] for k in range(shingle))) if len(words) >= shingle else [words]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, runs), repeat(SEED)), np.uint64))
-
-
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One number per band; two sets with a share s of common members agree in one with s ** ROWS."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for lo in range(0, len(hashes), 1 << 13):
-        part = hashes[lo:lo + (1 << 13), None] * _FACTORS
-        least = np.minimum(least, (part ^ (part >> np.uint64(32))).min(0))
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
-
-
-def _raw(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       row_key(F.col("doc_id"), F.col("text")).alias("key"),
-                       F.col("text").cast("binary").alias("raw"))
-
-
-def shingle_prints(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
-    """``doc_id, key, fp, bands`` for every row; ``fp`` names the set of shingles and is 0 for
-    texts without words, which have no bands."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [shingle_set(t, shingle) for t in b["raw"]]
-            fp = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) if len(x) else 0 for x in sets], np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "key": b["key"], "fp": fp.view(np.int64),
-                                "bands": [band_keys(x).view(np.int64) if len(x) else [] for x in sets]})
-
-    return _raw(docs).mapInPandas(run, "doc_id long, key string, fp long, bands array<long>")
-
-
-def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int = WORDS) -> DataFrame:
-    """``fp, members`` of the rows that ``wanted`` (``fp, key``, stored) names, each ``fp`` once."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"fp": b["fp"], "members": [shingle_set(t, shingle).view(np.int64) for t in b["raw"]]})
-
-    rows = _raw(docs).select("key", "raw").join(small(wanted, wanted.count() * 4), "key").select("fp", "raw")
-    # rows repeated as a whole have one key
-    return landed(rows.mapInPandas(run, "fp long, members array<long>"), "similar-sets").dropDuplicates(["fp"])
-
-
-def similar_pairs(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs of sets with at least ``percent`` of their union in common, each once."""
-    size = np.array([len(x) for x in sets])
-    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    who, rank = np.repeat(np.arange(len(sets)), size), np.cumsum(often > 1) - 1
-    held = often[code] > 1
-    who, code = who[held], rank[code[held]]
-    order = np.argsort(code, kind="stable")
-    who, code = who[order], code[order]
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
-        some = slice(*np.searchsorted(code, [lo, lo + 4096]))
-        block = np.zeros((len(sets), 4096), np.float32)
-        block[who[some], code[some] - lo] = 1
-        common += block @ block.T
-    return np.nonzero(np.triu(common.astype(np.int64) * (100 + percent) >= percent * (size[:, None] + size), 1))
-
-
-def _join_chunks(percent: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        fp = rows["fp"].to_numpy(np.int64)
-        up = forest(len(fp), iter([similar_pairs(list(rows["members"]), percent)]))
-        moved = np.flatnonzero(up != np.arange(len(fp)))
-        return pd.DataFrame({"a": fp[moved], "b": fp[up[moved]]})
-    return run
-
-
-def similar_links(docs: DataFrame, prints: DataFrame, distinct: DataFrame, percent: int = PERCENT,
-                  shingle: int = WORDS, chunk: int = CHUNK) -> DataFrame:
-    """Links ``a, b`` that connect the sets that share a band and are similar. All pairs of a band
-    count: first each set is compared with the band's least one, which joins dense groups; bands
-    that are still in parts are then compared as a whole, in pairs of chunks. Sets of shingles are
-    made only for the texts that share a band with others."""
-    keyed = prints.select("fp", F.explode("bands").alias("band"))
-    shared = landed(keyed.groupBy("band").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-                    .filter("lo != hi").select("band", "lo"), "similar-shared")
-    held = landed(keyed.join(shared, "band").distinct(), "similar-held")
-    wanted = landed(distinct.join(held.select("fp").distinct(), "fp").select("fp", "key"), "similar-wanted")
-    sets = landed(shingle_sets(docs, wanted, shingle), "similar-once")
-    pairs = landed(held.filter("fp != lo").select("fp", "lo").distinct(), "similar-pairs")
-    both = (pairs.join(sets.withColumnRenamed("members", "x"), "fp")
-            .join(sets.select(F.col("fp").alias("lo"), F.col("members").alias("y")), "lo"))
-    near = (F.size(F.array_intersect("x", "y")) * (100 + percent)) >= (F.size("x") + F.size("y")) * percent
-    first = landed(both.filter(near).select(F.col("fp").alias("a"), F.col("lo").alias("b")), "similar-first")
-    roots = landed(components(first), "similar-roots")
-    rest = landed(held.join(roots, held.fp == roots.node, "left")
-                  .select("fp", "band", F.coalesce("root", "fp").alias("root")), "similar-rest")
-    # of two sets both have been compared
-    parts = landed(rest.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
-                   .filter("lo != hi AND n > 2").select("band", F.ceil(F.col("n") / chunk).cast("int").alias("c")),
-                   "similar-parts")
-    units = (rest.join(parts, "band").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
-             .select("fp", "band", "mine", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
-             .select("fp", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
-    rows = (landed(units, "similar-units").join(sets, "fp")
-            .groupBy("band", "i", "j").applyInPandas(_join_chunks(percent), "a long, b long"))
-    return first.unionByName(rows)
-
-
-def similar_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = WORDS, chunk: int = CHUNK) -> DataFrame:
-    """As ``classes``, with links between texts that have at least ``percent`` of their shingles
-    in common; ``fp`` names the set of shingles. Texts without words form one class."""
-    prints = landed(shingle_prints(docs, shingle), "similar-prints")
-    # of texts with equal sets any may stand for them
-    distinct = landed(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("key").alias("key")), "similar-distinct")
-    roots = components(similar_links(docs, prints, distinct, percent, shingle, chunk))
-    rooted = landed(distinct.join(roots, distinct.fp == roots.node, "left")
-                    .select("fp", "least", F.coalesce("root", "fp").alias("root")), "similar-rooted")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "key", "fp").join(
-        rooted.join(named, "root").select("fp", "component_id", "root"), "fp")
-
-
 def keep_one(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest doc_id (null last;
-    among rows repeated with one doc_id, the one whose key is least; among equal rows any)."""
-    return _one_each(docs, landed(classes(docs, bits, shingle), "simhash-classes"), "fp")
-
-
-def keep_similar_one(docs: DataFrame, percent: int = PERCENT, shingle: int = WORDS, chunk: int = CHUNK) -> DataFrame:
-    """As ``keep_one``, with the components of ``similar_classes``."""
-    return _one_each(docs, landed(similar_classes(docs, percent, shingle, chunk), "similar-classes"), "root")
-
-
-def _one_each(docs: DataFrame, found: DataFrame, nameless: str) -> DataFrame:
+    among rows repeated with one doc_id, the one whose key is least; among equal rows any).
+    Texts that differ under one doc_id and are not linked are components of their own."""
+    found = landed(classes(docs, bits, shingle), "simhash-classes")
     stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # a component of null ids alone has no number: there ``nameless`` tells it
-    pick = stays.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col(nameless)).alias("x")
-                         ).agg(F.min("key").alias("key"), F.count("*").alias("n"))
+    pick = stays.groupBy("root").agg(F.min("key").alias("key"), F.count("*").alias("n"))
     held = docs.select(F.struct("*").alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("key"))
     kept = held.join(pick.select("key"), "key", "left_semi")
     again = landed(pick.filter(F.col("n") > 1).select("key"), "simhash-again")

@@ -96,5 +96,7 @@ def test_one_of_each_stays(spark):
     assert got.columns == df.columns
     assert sorted((r.doc_id, r.key) for r in got.collect()) == [(1, "b"), (7, "d"), (8, "f")]
     assert S.keep_one(df.limit(0)).collect() == []
+    twice = spark.createDataFrame([(1, text), (1, "other words here"), (2, text)], "doc_id long, text string")
+    assert sorted(r.text for r in S.keep_one(twice).collect()) == ["other words here", text]
     nobody = spark.createDataFrame([(None, "x y z"), (None, "x y z"), (None, None)], "doc_id long, text string")
     assert len(S.keep_one(nobody).collect()) == 2
