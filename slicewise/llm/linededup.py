@@ -1,7 +1,8 @@
 """Line deduplication: an edit-distance join by segments, all in DataFrame functions.
 
-Two lines are linked if at most ``k`` edits (insert, delete, replace one character) turn one into
-the other. Every line is cut into ``k + 1`` segments; a line within ``k`` edits holds one of them
+Two lines are linked if few edits (insert, delete, replace one character) turn one into the other:
+one for every ``per_edit`` characters of the shorter line, at most ``k``, so that shorter lines than
+``per_edit`` repeat only exactly. For the budget ``k`` of a length every line is cut into ``k + 1`` segments; a line within ``k`` edits holds one of them
 unchanged, at a position that the lengths bound to a few places. So each line gives ``k + 1`` index
 signatures for its own length, and probe signatures for the lengths ``len - k`` to ``len``.
 Signatures are hashes of (segment, its number, the length). Pass one only counts which signatures
@@ -21,7 +22,8 @@ from slicewise.llm.common import BROADCAST_ROWS, row_key, small
 from slicewise.llm.components import components
 from slicewise.sinks.tables import landed
 
-MAX_EDITS, MIN_CHARS = 2, 24
+#: Most edits between two lines of a class, and characters of the shorter line that allow one.
+MAX_EDITS, PER_EDIT = 2, 12
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -141,21 +143,41 @@ def _places(k: int) -> list[tuple[int, int, int]]:
             for off in range(max(-i, delta - (k - i)), min(i, delta + (k - i)) + 1)]
 
 
-def _signed(able: DataFrame, k: int, min_chars: int) -> DataFrame:
+def _budget(n: Column, k: int, per_edit: int) -> Column:
+    """Edits between two lines of which the shorter one has ``n`` characters."""
+    return F.least(F.lit(k), F.floor(n / per_edit).cast("int"))
+
+
+def _near(x: Column, y: Column, k: int, per_edit: int) -> Column:
+    """Whether ``x``, the shorter one or one of the same length, is within its budget of ``y``."""
+    out = F.when(F.lit(False), F.lit(False))
+    for e in range(k, 0, -1):
+        out = out.when(F.length(x) >= e * per_edit, within_edits(x, y, e))
+    return out.otherwise(F.lit(False))
+
+
+def _signed(able: DataFrame, k: int, per_edit: int) -> DataFrame:
     """``line, sig, own`` for every signature of every line: the hash of a piece of the line with
     the number of the segment and the length it is looked for at.
 
     The places are rows first and one expression works on each: one small loop, where an array
     of a dozen long expressions would be code too large to be compiled."""
-    place = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("d"), F.lit(o).alias("o"))
-                                for i, d, o in _places(k)])).alias("at")
-    # the last (length mod (k + 1)) of the k + 1 segments are one longer than the others
+    def places(e: int) -> Column:
+        return F.array(*[F.struct(F.lit(e).alias("e"), F.lit(i).alias("i"), F.lit(d).alias("d"), F.lit(o).alias("o"))
+                         for i, d, o in _places(e)])
+
+    # a line has the places of each budget that a line as long, or shorter by that budget, can have
+    n = F.col("n")
+    own = [F.when((n >= e * per_edit) & (F.lit(e == k) | (n < (e + 1) * per_edit + e)), places(e))
+           .otherwise(F.slice(places(e), 1, 0)) for e in range(1, k + 1)]
+    place = F.explode(F.concat(*own)).alias("at")
+    # the last (length mod (e + 1)) of the e + 1 segments are one longer than the others
     # four bytes a character, so that a piece is found without counting through the line
     wide = able.select("line", "n", F.encode("line", "UTF-32").alias("wide"))
-    cut = (wide.select("line", "n", "wide", place).select("line", "n", "wide", "at.i", "at.d", "at.o")
-           .withColumn("of", F.col("n") - F.col("d")).filter(F.col("of") >= min_chars)
-           .withColumn("size", F.expr(f"CAST(of DIV {k + 1} AS INT)"))
-           .withColumn("extra", F.greatest(F.col("i") - (k + 1) + F.pmod("of", F.lit(k + 1)), F.lit(-1)))
+    cut = (wide.select("line", "n", "wide", place).select("line", "n", "wide", "at.e", "at.i", "at.d", "at.o")
+           .withColumn("of", F.col("n") - F.col("d")).filter(F.col("e") == _budget(F.col("of"), k, per_edit))
+           .withColumn("size", F.expr("CAST(of DIV (e + 1) AS INT)"))
+           .withColumn("extra", F.greatest(F.col("i") - (F.col("e") + 1) + F.pmod("of", F.col("e") + 1), F.lit(-1)))
            .withColumn("start", F.col("i") * F.col("size") + F.greatest("extra", F.lit(0)) + 1 + F.col("o"))
            .withColumn("size", F.col("size") + (F.col("extra") >= 0).cast("int")))
     fits = cut.filter((F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("n")))
@@ -167,15 +189,16 @@ def _lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     # the key is made before lines are cut, so that no text travels along with its lines
     parts = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text)).alias("key"),
                         F.split(F.col(text), "\n").alias("parts"))
-    return parts.select("id", "key", F.posexplode("parts").alias("line_no", "line")).withColumn("n", F.length("line"))
+    return parts.select("id", "key", F.posexplode("parts").alias("line_no", "line")).withColumn("line", F.rtrim("line", F.lit("\r"))).withColumn("n", F.length("line"))
 
 
-def line_links(lines: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS,
+def line_links(lines: DataFrame, k: int = MAX_EDITS, per_edit: int = PER_EDIT,
                broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``a, b``: digests of every two different texts of ``lines`` (columns ``line``, ``n``) with
-    at least ``min_chars`` characters and at most ``k`` edits apart, each pair once."""
-    able = lines.filter(F.col("n") >= min_chars).select("line", "n")
-    signed = _signed(able, k, min_chars)
+    """``a, b``: digests of every two different texts of ``lines`` (columns ``line``, ``n``) that are
+    at most ``k`` edits and at most one for every ``per_edit`` characters of the shorter one apart,
+    each pair once."""
+    able = lines.filter((F.col("n") >= per_edit) & (F.btrim("line") != "")).select("line", "n")
+    signed = _signed(able, k, per_edit)
     shared = (signed.select("sig", "own", F.xxhash64("line").alias("id"))
               .groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("own").alias("own"))
               .filter((F.col("lo") != F.col("hi")) & (F.col("own") == 1)).select("sig"))
@@ -187,35 +210,37 @@ def line_links(lines: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS,
         narrow = signed.select("sig", F.xxhash64("line").alias("id")).join(shared, "sig", "left_semi")
         ids = landed(narrow.select("id").distinct(), "lines-ids")
         able = able.withColumn("id", F.xxhash64("line")).join(ids, "id", "left_semi").drop("id")
-        signed = _signed(landed(able.distinct(), "lines-able"), k, min_chars)
+        signed = _signed(landed(able.distinct(), "lines-able"), k, per_edit)
     held = landed(signed.join(small(shared, n, broadcast_rows), "sig", "left_semi").distinct(), "lines-held")
     left = held.filter("own = 1").select("sig", F.col("line").alias("x"))
     right = held.select("sig", F.col("line").alias("y")).distinct()
     # of two lines of one length either may be the one that probes
     ordered = (F.length("x") < F.length("y")) | ((F.length("x") == F.length("y")) & (F.col("x") != F.col("y")))
-    return (left.join(right, (left.sig == right.sig) & ordered & within_edits(F.col("x"), F.col("y"), k))
+    return (left.join(right, (left.sig == right.sig) & ordered & _near(F.col("x"), F.col("y"), k, per_edit))
             .select(F.md5(F.least("x", "y")).alias("a"), F.md5(F.greatest("x", "y")).alias("b")).distinct())
 
 
-def line_classes(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS,
+def line_classes(docs: DataFrame, k: int = MAX_EDITS, per_edit: int = PER_EDIT,
                  id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per line of every document: ``id, key, line_no`` (from 0), ``class_id``,
     ``n_links`` and ``kept``.
 
     class_id is the least digest among the lines connected to this one, n_links the number of
-    other texts within ``k`` edits, and ``kept`` marks the class's first line in the order of
-    (id, key, line_no), null ids last. Lines under ``min_chars`` characters recur for good reason:
-    they have no class and are kept. Null texts have no lines. Rows repeated as a whole have
-    the same position and stay or go together; other columns are not read.
+    other texts linked to this one (see ``line_links``), and ``kept`` marks the class's first line in
+    the order of (id, key, line_no), null ids last. Lines of any length have a class, except those
+    of spaces only, which separate paragraphs: they have none and are kept. Lines end at a line
+    feed; a carriage return before it is no part of the line. Null texts have no lines, an empty
+    table gives an empty one. Rows repeated as a whole have the same position and stay or go
+    together; other columns are not read.
     """
     lines = _lines(docs, id_col, text)
-    edges = landed(line_links(lines, k, min_chars), "line-links")
+    edges = landed(line_links(lines, k, per_edit), "line-links")
     roots = landed(components(edges), "line-roots")
     degree = edges.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(
         F.count("*").alias("n_links"))
     near = landed(roots.select(F.col("node").alias("digest"), "root").join(degree, "digest"), "line-near")
     near = small(near, near.count() * 4)
-    own = landed(lines.select("id", "key", "line_no", F.when(F.col("n") >= min_chars, F.md5("line")).alias("digest"))
+    own = landed(lines.select("id", "key", "line_no", F.when(F.btrim("line") != "", F.md5("line")).alias("digest"))
                  .join(near, "digest", "left")
                  .select("id", "key", "line_no", F.coalesce("root", "digest").alias("class_id"),
                          F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "line-own")
@@ -232,14 +257,15 @@ def line_classes(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """``line_classes`` without keys; a class is named by the least digest of its lines."""
     return line_classes(docs).select(F.col("id").alias("doc_id"), "line_no", "class_id", "n_links", "kept")
 
 
-def dedup_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, k: int = MAX_EDITS, per_edit: int = PER_EDIT) -> DataFrame:
     """``docs`` with every line gone that repeats an earlier one (see ``line_classes``), and
     without documents of which then only blanks remain. A column ``n_chars`` follows the text;
     documents that lose nothing stay as they are, null and empty texts too."""
-    gone = (line_classes(docs, k, min_chars).filter(~F.col("kept"))
+    gone = (line_classes(docs, k, per_edit).filter(~F.col("kept"))
             .groupBy("key").agg(F.collect_set("line_no").alias("gone")))
     held = docs.select(F.struct("*").alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("key"))
     parts = F.split("row.text", "\n")

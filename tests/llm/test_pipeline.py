@@ -37,21 +37,20 @@ def corpus(seed=4):
             lines.append(f"{line(lang)} {ITEM} {line(lang)}")
         rows.append((i, "\n".join(lines), lang, "big" if i % 3 else f"s{i % 5}"))
     rows += [(200, rows[0][1], "en", "big"), (201, rows[1][1] + " x", "en", "big"), (202, "123 !!", "en", "big"), (203, None, None, None),
-             (204, "short", "en", "big"), (205, rows[2][1].replace("a", "b", 1), "de", "big"), (206, "the and thing\nwith house", "en", "big"),
-             (207, "The and thing\n\nwith house", "en", "big")]
+             (204, "short", "en", "big"), (205, rows[2][1].replace("a", "b", 1), "de", "big"), (206, "the and thing with\nhouse river open", "en", "big"),
+             (207, "The and\nthing with house river\n\nopen", "en", "big")]
     return [(*r, len(r[1] or "")) for r in rows]
 
 
 def no_lines(rows):
-    root, _ = line_roots([(i, t) for i, t, *_ in rows], linededup.MAX_EDITS, linededup.MIN_CHARS)
+    root, _ = line_roots([(i, t) for i, t, *_ in rows], linededup.MAX_EDITS, linededup.PER_EDIT)
     seen, out = set(), []
     for r in sorted(rows):
         kept = []
         for x in r[1].split("\n"):
-            if len(x) < linededup.MIN_CHARS or root[x] not in seen:
+            if x not in root or root[x] not in seen:
                 kept.append(x)
-            if len(x) >= linededup.MIN_CHARS:
-                seen.add(root[x])
+            seen.add(root.get(x))
         text = "\n".join(kept)
         if text == r[1] or text.strip():
             out.append((r[0], text, r[2], r[3], len(text)))
