@@ -1,10 +1,13 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells (source, language, topic) with token counts. Cell weights are raked to
-target marginals of the three dimensions in turn until the rounds are over; the ratio of raked to
-natural weight is a document's calibrated probability, up to the share of tokens asked for. Only
-the table of cells is raked, as window sums over it: its size is the number of category
-combinations, not of documents.
+target marginals of the three dimensions in turn until they are met to a tolerance. No cell can
+give more than all its tokens: a cell that would have to is taken whole, and the others are raked
+to what then remains of the marginals. A target beyond all tokens of its category is cut to them
+first, and the rest goes to the other categories in proportion to their targets. A document's
+calibrated probability is its cell's weight over the weight of the whole cell. Only the table of
+cells is raked, as window sums over it: its size is the number of category combinations, not of
+documents.
 """
 
 from __future__ import annotations
@@ -18,10 +21,13 @@ from slicewise.llm.common import small
 from slicewise.sinks.tables import landed
 
 DIMS = ("source", "lang", "topic")
-#: Production parameters: rounds of raking, share of all tokens to sample, and the exponent that
-#: turns natural marginals into targets (1 keeps them, 0 makes all categories equal).
-ROUNDS, SHARE, SEED = 8, 0.5, "mix-1"
+#: Production parameters: share of all tokens to sample, and the exponent that turns natural
+#: marginals into targets (1 keeps them, 0 makes all categories equal).
+SHARE, SEED = 0.5, "mix-1"
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.8}
+#: Raking ends when no marginal is off by more than the tolerance; looked at after every block of
+#: rounds. The last number of rounds is for targets that contradict each other.
+TOLERANCE, BLOCK, ROUNDS = 1e-6, 2, 64
 NONE = "(none)"
 #: Fixed values. Marks of a text's topic, first match wins.
 TOPIC_MARKS = [("markup", ("%%%", "***", "&&&", "$$$", "###")), ("table", ("|",)), ("shout", ("!!",)),
@@ -58,52 +64,104 @@ def described(docs: DataFrame, topic: Column | None = None) -> DataFrame:
     return docs.select("doc_id", *_cell(topic), token_count(F.col("text")).alias("n_tokens"))
 
 
+def _target(cells: DataFrame, d: str, given: Mapping[str, float] | None, power: float, share: float | None) -> DataFrame:
+    """``cells`` with ``t_<d>``: the target of the row's category in dimension ``d``."""
+    total, by = Window.partitionBy(F.lit(0)), Window.partitionBy(d)
+    out = cells.withColumn("s", F.sum("tokens").over(by).cast("double"))
+    if given:
+        t = F.lit(0.0)
+        for name, weight in given.items():
+            t = F.when(F.col(d) == name, float(weight)).otherwise(t)
+    else:
+        t = F.pow(F.col("s"), F.lit(float(power)))
+    # each cell carries its part of the category, so that one sum adds all categories up
+    out = (out.withColumn("t", t).withColumn("part", F.col("tokens") / F.col("s"))
+           .withColumn("whole", F.sum(F.col("t") * F.col("part")).over(total))
+           .withColumn("t", F.when(F.col("whole") > 0, F.col("t") / F.col("whole")).otherwise(0.0)))
+    if share is None:
+        return out.withColumnRenamed("t", f"t_{d}").drop("s", "part", "whole")
+    # with the categories cut that can give least of their target, the others are raised by the
+    # factor that fills the sample; the right cut is the one with the largest factor
+    out = out.withColumn("most", F.col("s") / (F.sum("tokens").over(total) * share))
+    run = (Window.partitionBy(F.lit(0)).orderBy(F.when(F.col("t") > 0, F.col("most") / F.col("t")).asc_nulls_last(), *DIMS)
+           .rowsBetween(Window.unboundedPreceding, 0))
+    left = 1 - F.col("cut_t")
+    return (out.withColumn("cut", F.sum(F.col("most") * F.col("part")).over(run))
+            .withColumn("cut_t", F.sum(F.col("t") * F.col("part")).over(run))
+            .withColumn("up", F.greatest(F.lit(1.0), F.max(F.when(left > 1e-9, (1 - F.col("cut")) / left)).over(total)))
+            .withColumn(f"t_{d}", F.least("most", F.col("up") * F.col("t")))
+            .drop("s", "t", "part", "whole", "most", "cut", "cut_t", "up"))
+
+
+def _raked(cells: DataFrame, d: str) -> DataFrame:
+    """One step: ``u`` of the cells of a category is scaled so that least(u, cap) sums up to the
+    target if the same cells stay cut."""
+    by, t, u, cap = Window.partitionBy(d), F.col(f"t_{d}"), F.col("u"), F.col("cap")
+    cut, free = F.col("cut"), F.col("free")
+    return (cells.withColumn("cut", F.sum(F.when(u >= cap, cap).otherwise(0.0)).over(by))
+            .withColumn("free", F.sum(F.when(u >= cap, 0.0).otherwise(u)).over(by))
+            .withColumn("u", F.when((t > cut) & (free > 0), u * (t - cut) / free).when(t >= cut, u)
+                        .otherwise(F.least(u, cap) * t / (cut + free))).drop("cut", "free"))
+
+
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None,
-         temper: Mapping[str, float] = TEMPER, rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (the dimensions and ``tokens`` > 0) with ``weight``, the raked share of each cell.
+         temper: Mapping[str, float] = TEMPER, share: float | None = None, tolerance: float = TOLERANCE,
+         rounds: int = ROUNDS) -> DataFrame:
+    """``cells`` (the dimensions and ``tokens`` > 0) with ``weight``, the raked share of each cell,
+    and the target marginals ``t_<dimension>`` of its categories.
 
     ``targets`` gives a dimension's marginals by category (scaled to sum 1; categories that are
     not listed get nothing); a dimension without targets gets its natural marginal to the power
-    ``temper``. The rounds alternate over the dimensions, so the last one's marginals are met
-    exactly and the others as closely as the rounds allow.
+    ``temper``. With ``share`` a sample of that share of all tokens is to have these marginals: no
+    weight then exceeds what the whole cell is of the sample. Rounds go over the dimensions in turn
+    until every marginal is met to ``tolerance``. Targets that contradict each other, each within
+    reach alone, end after ``rounds`` with the last dimension met as far as its cells go.
     """
-    total = Window.partitionBy(F.lit(0))
-    out = cells.withColumn("weight", F.col("tokens").cast("double"))
+    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
+    out = cells.withColumn("u", F.col("tokens") / total).withColumn(
+        "cap", F.lit(float("inf")) if share is None else F.col("tokens") / (total * share))
     for d in DIMS:
-        by = Window.partitionBy(d)
-        if targets and d in targets:
-            want, whole = F.lit(0.0), sum(targets[d].values())
-            for name, share in targets[d].items():
-                want = F.when(F.col(d) == name, share / whole).otherwise(want)
-            out = out.withColumn(f"t_{d}", want)
-        else:
-            out = out.withColumn("s", F.sum("tokens").over(by).cast("double"))
-            part = F.pow(F.col("s"), F.lit(float(temper[d])))
-            # each cell carries its part of the category's power, so that one sum adds them up
-            out = (out.withColumn("whole", F.sum(part * F.col("tokens") / F.col("s")).over(total))
-                   .withColumn(f"t_{d}", part / F.col("whole")).drop("s", "whole"))
-    for _ in range(rounds):
-        for d in DIMS:
-            out = out.withColumn("sum", F.sum("weight").over(Window.partitionBy(d)))
-            out = out.withColumn("weight", F.when(F.col("sum") > 0, F.col("weight") * F.col(f"t_{d}") / F.col("sum")
-                                                  ).otherwise(0.0)).drop("sum")
-    return out.select(*DIMS, "tokens", "weight")
+        out = _target(out, d, (targets or {}).get(d), temper[d], share)
+    out = landed(out, "mix-start")
+    weight = F.least("u", "cap").alias("weight")
+    for done in range(0, rounds, BLOCK):
+        for _ in range(min(BLOCK, rounds - done)):
+            for d in DIMS:
+                out = _raked(out, d)
+        out = landed(out, "mix-raked")
+        off = out.select(*[F.abs(F.sum(weight).over(Window.partitionBy(d)) - F.col(f"t_{d}")).alias(d) for d in DIMS])
+        worst = off.agg(F.max(F.greatest(*DIMS)).alias("x")).first()["x"]
+        if worst is None or worst <= tolerance:
+            break
+    return out.select(*DIMS, "tokens", weight, *[f"t_{d}" for d in DIMS])
 
 
 def rates(parts: DataFrame, share: float = SHARE, **raking) -> DataFrame:
-    """Sampling probability ``p`` per cell: ``share`` times raked over natural share, at most 1.
-    Where it is cut at 1 the corpus has too little of the cell, and the sample holds all of it."""
+    """Per cell ``tokens``, the targets, ``ratio`` (weight of a token against its natural weight)
+    and the sampling probability ``p``, ``share`` times the ratio. Where p is 1 the sample holds
+    all of the cell."""
     cells = landed(parts.filter(F.col("n_tokens") > 0).groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")),
                    "mix-cells")
-    raked = rake(cells, **raking)
-    total = Window.partitionBy(F.lit(0))
-    natural = F.col("tokens") / F.sum("tokens").over(total)
-    wanted = F.col("weight") / F.sum("weight").over(total)
-    out = raked.withColumn("ratio", wanted / natural)
-    return landed(out.select(*DIMS, F.round("ratio", 9).alias("ratio"),
+    natural = F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(0)))
+    out = rake(cells, share=share, **raking).withColumn("ratio", F.col("weight") / natural)
+    return landed(out.select(*DIMS, "tokens", *[f"t_{d}" for d in DIMS], F.round("ratio", 9).alias("ratio"),
                              F.round(F.least(F.lit(1.0), F.col("ratio") * share), 9).alias("p")), "mix-rates")
 
 
+def balance(docs: DataFrame, topic: Column | None = None, share: float = SHARE, **raking) -> DataFrame:
+    """``dimension, category, natural, target, expected``: every marginal of the corpus, as asked
+    for (cut to what there is) and as expected of the sample, in shares of all its tokens."""
+    rate = rates(described(docs, topic), share, **raking)
+    sides = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("category"),
+                                         F.col(f"t_{d}").alias("target")) for d in DIMS])).alias("at")
+    total = Window.partitionBy("dimension")
+    by = (rate.select("tokens", "p", sides).groupBy("at.dimension", "at.category")
+          .agg(F.sum("tokens").alias("all"), F.max("at.target").alias("target"),
+               F.sum(F.col("tokens") * F.col("p")).alias("drawn")))
+    return by.select("dimension", "category", (F.col("all") / F.sum("all").over(total)).alias("natural"), "target",
+                     (F.col("drawn") / F.sum("drawn").over(total)).alias("expected"))
+
+
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
     """A number in [0, 1) from 52 bits of a hash of seed and id: the same in every run and retry."""
     text = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("-")))
@@ -120,7 +178,7 @@ def plan(docs: DataFrame, topic: Column | None = None, share: float = SHARE, **r
     """
     parts = landed(described(docs, topic), "mix-parts")
     rate = rates(parts, share, **raking)
-    out = parts.join(small(rate, rate.count() * 4), list(DIMS), "left")
+    out = parts.join(small(rate.select(*DIMS, "ratio", "p"), rate.count() * 4), list(DIMS), "left")
     some = F.col("n_tokens") > 0
     p = F.when(some, F.coalesce("p", F.lit(0.0))).otherwise(0.0)
     return out.select("doc_id", *DIMS, "n_tokens",
@@ -129,9 +187,9 @@ def plan(docs: DataFrame, topic: Column | None = None, share: float = SHARE, **r
 
 
 def sample(docs: DataFrame, topic: Column | None = None, share: float = SHARE, **raking) -> DataFrame:
-    """The rows of ``docs`` that are sampled, with all their columns."""
+    """The rows of ``docs`` that are sampled, with all their columns (cases as in ``plan``)."""
     rate = rates(landed(described(docs, topic), "mix-parts"), share, **raking)
     held = docs.select(F.struct("*").alias("row"), *_cell(topic), uniform(F.col("doc_id")).alias("u"),
                        token_count(F.col("text")).alias("n"))
-    return (held.join(small(rate, rate.count() * 4), list(DIMS))
+    return (held.join(small(rate.select(*DIMS, "p"), rate.count() * 4), list(DIMS))
             .filter((F.col("n") > 0) & (F.col("u") < F.col("p"))).select("row.*"))

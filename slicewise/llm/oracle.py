@@ -173,31 +173,46 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, turns_sha256, coalesce(loss_chars, 0
 
 
 def mixing_sql(docs: str = "documents", columns: str | None = None) -> str:
-    """Raking as a chain of window sums. ``columns``: return those of the sampled rows."""
+    """Raking as a recursion over window sums. ``columns``: return those of the sampled rows."""
     marks = " ".join("WHEN " + " OR ".join(f"contains(t, '{m}')" for m in ms) + f" THEN '{n}'"
                      for n, ms in mixing.TOPIC_MARKS)
-    steps, last = [], "c"
+    dims = ", ".join(mixing.DIMS)
+    goals, off, inner = [], [], "rake"
     for d in mixing.DIMS:
-        steps.append(f"""t_{d} AS (SELECT {d}, pow(s, {mixing.TEMPER[d]}) / sum(pow(s, {mixing.TEMPER[d]})) OVER () AS t
-  FROM (SELECT {d}, CAST(sum(tokens) AS DOUBLE) AS s FROM c GROUP BY {d}))""")
-    for r in range(mixing.ROUNDS):
-        for d in mixing.DIMS:
-            steps.append(f"""w{r}_{d} AS MATERIALIZED (SELECT {", ".join("l." + x for x in mixing.DIMS)}, tokens,
-  w * t / sum(w) OVER (PARTITION BY {d}) AS w FROM {last} l JOIN t_{d} USING ({d}))""")
-            last = f"w{r}_{d}"
+        goals.append(f"""s_{d} AS (SELECT {d}, CAST(sum(tokens) AS DOUBLE) AS s FROM c GROUP BY {d}),
+n_{d} AS (SELECT {d}, pow(s, {mixing.TEMPER[d]}) / sum(pow(s, {mixing.TEMPER[d]})) OVER () AS t,
+  s / (sum(s) OVER () * {mixing.SHARE}) AS most FROM s_{d}),
+f_{d} AS (SELECT *, sum(most) OVER o AS cut, 1 - sum(t) OVER o AS rest FROM n_{d}
+  WINDOW o AS (ORDER BY most / t, {d} ROWS UNBOUNDED PRECEDING)),
+t_{d} AS (SELECT {d}, least(most, t * greatest(1.0, max((1 - cut) / rest) FILTER (rest > 1e-9) OVER ())) AS t_{d} FROM f_{d})""")
+        where = f"WHERE n < {mixing.ROUNDS} AND NOT done" if inner == "rake" else ""
+        inner = f"""(SELECT * EXCLUDE (cut, rest) REPLACE (CASE WHEN t_{d} > cut AND rest > 0 THEN u * (t_{d} - cut) / rest
+    WHEN t_{d} >= cut THEN u ELSE least(u, cap) * t_{d} / (cut + rest) END AS u)
+  FROM (SELECT *, sum(CASE WHEN u >= cap THEN cap ELSE 0 END) OVER (PARTITION BY {d}) AS cut,
+    sum(CASE WHEN u >= cap THEN 0 ELSE u END) OVER (PARTITION BY {d}) AS rest FROM {inner} {where}))"""
+        off.append(f"abs(sum(least(u, cap)) OVER (PARTITION BY {d}) - t_{d})")
+    held = f"{dims}, tokens, cap, t_source, t_lang, t_topic, u"
+    goals.append(f"""rake AS (
+  SELECT 0 AS n, {dims}, tokens, tokens / (sum(tokens) OVER () * {mixing.SHARE}) AS cap, t_source, t_lang, t_topic,
+    tokens / sum(tokens) OVER () AS u, false AS done
+  FROM c JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic)
+  UNION ALL
+  SELECT n + 1 AS n, {held}, (n + 1) % {mixing.BLOCK} = 0 AND max(off) OVER () <= {mixing.TOLERANCE} AS done
+  FROM (SELECT n, {held}, greatest({", ".join(off)}) AS off FROM {inner}))""")
     final = "doc_id, source, lang, topic, n_tokens, ratio, p, u < p AS sampled"
     return f"""
-WITH d AS (SELECT *, coalesce(text, '') AS t FROM {docs}),
+WITH RECURSIVE d AS (SELECT *, coalesce(text, '') AS t FROM {docs}),
 p AS (SELECT d.* EXCLUDE (source, lang, t), d.source AS source0, d.lang AS lang0, coalesce(source, '{mixing.NONE}') AS source,
   coalesce(lang, '{mixing.NONE}') AS lang,
   CASE {marks} WHEN length(t) >= {mixing.LONG_CHARS} THEN 'long' ELSE 'short' END AS topic,
   CAST(len(regexp_extract_all(t, '[^\\x09-\\x0D\\x20]+')) AS BIGINT) AS n_tokens,
   CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '-')), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
   FROM d),
-c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) AS DOUBLE) AS w
+c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens
   FROM p WHERE n_tokens > 0 GROUP BY ALL),
-{", ".join(steps)},
-r AS (SELECT source, lang, topic, (w / sum(w) OVER ()) / (tokens / sum(tokens) OVER ()) AS x FROM {last}),
+{", ".join(goals)},
+r AS (SELECT source, lang, topic, least(u, cap) / (tokens / sum(tokens) OVER ()) AS x
+  FROM (SELECT * FROM rake WHERE n = (SELECT max(n) FROM rake))),
 o AS (SELECT p.*, CASE WHEN n_tokens > 0 THEN coalesce(round(x, 9), 0) ELSE 0.0::DOUBLE END AS ratio,
   CASE WHEN n_tokens > 0 THEN coalesce(round(least(1.0, x * {mixing.SHARE}), 9), 0) ELSE 0.0::DOUBLE END AS p
   FROM p LEFT JOIN r USING (source, lang, topic))

@@ -17,7 +17,7 @@ def test_raked_weights_meet_given_marginals(spark):
     cells = spark.createDataFrame([(s, g, t, 10 * (i + 1)) for i, (s, g, t) in enumerate(
         (s, g, t) for s in "ab" for g in ("en", "de") for t in ("x", "y"))], "source string, lang string, topic string, tokens long")
     want = {"source": {"a": 3, "b": 1}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"x": 0.2, "y": 0.8}}
-    raked = M.rake(cells, want, rounds=30)
+    raked = M.rake(cells, want, tolerance=1e-10)
     for d, shares in want.items():
         got = {r[d]: r.w for r in raked.groupBy(d).agg(F.sum("weight").alias("w")).collect()}
         assert got == pytest.approx({k: v / sum(shares.values()) for k, v in shares.items()}, abs=1e-9)
@@ -46,3 +46,22 @@ def test_expected_mix_follows_the_targets(spark):
         part[r.source] = part.get(r.source, 0) + r.n_tokens * r.p
     total = sum(part.values())
     assert len(part) == 8 and max(part.values()) / total == pytest.approx(1 / 8, rel=0.25)
+
+
+def test_cells_beyond_their_tokens_are_taken_whole(spark):
+    # "rare" is asked for at a third of the sample and has a tenth of the tokens
+    rows = [(i, "word " * 100, "en" if i % 3 else "de", "rare" if i % 10 == 0 else ("left" if i % 2 else "right")) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    goal = dict(targets={"source": {"rare": 1, "left": 1, "right": 1}}, temper={"source": 1.0, "lang": 0.0, "topic": 1.0})
+    planned = M.plan(df, share=0.5, **goal).collect()
+    assert all(r.p == 1 and r.sampled for r in planned if r.source == "rare")
+    assert sum(r.p * r.n_tokens for r in planned) == pytest.approx(15_000, rel=1e-5)
+    got = {(r.dimension, r.category): r for r in M.balance(df, share=0.5, **goal).collect()}
+    assert got["source", "rare"].target == pytest.approx(0.2) and got["source", "left"].target == pytest.approx(0.4)
+    assert got["lang", "de"].target == pytest.approx(0.5)
+    assert all(abs(r.expected - r.target) < 1e-3 * r.target for r in got.values())
+    assert M.balance(df.limit(0)).collect() == []
+
+
+def test_expected_mix_at_the_production_share(spark):
+    assert all(abs(r.expected - r.target) < 1e-3 * r.target for r in M.balance(docs(spark)).collect())

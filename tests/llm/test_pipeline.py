@@ -76,23 +76,42 @@ def mixed(rows):
     tokens = {}
     for i, c in cell.items():
         tokens[c] = tokens.get(c, 0) + n[i]
-    weight, whole = dict(tokens), sum(tokens.values())
+    whole = sum(tokens.values())
+    most = {c: v / (whole * mixing.SHARE) for c, v in tokens.items()}
     sums = lambda w, k: {x: sum(v for c, v in w.items() if c[k] == x) for x in {c[k] for c in w}}
     goal = []
     for k, d in enumerate(mixing.DIMS):
-        power = {x: v ** mixing.TEMPER[d] for x, v in sums(tokens, k).items()}
-        goal.append({x: v / sum(power.values()) for x, v in power.items()})
-    for _ in range(mixing.ROUNDS):
+        power, have = {x: v ** mixing.TEMPER[d] for x, v in sums(tokens, k).items()}, sums(most, k)
+        t, full = {x: v / sum(power.values()) for x, v in power.items()}, set()
+        while True:
+            up = (1 - sum(have[x] for x in full)) / sum(v for x, v in t.items() if x not in full)
+            more = {x for x in t if x not in full and t[x] * up > have[x]}
+            if not more:
+                break
+            full |= more
+        goal.append({x: have[x] if x in full else v * up for x, v in t.items()})
+    u, rounds = {c: v / whole for c, v in tokens.items()}, 0
+    while rounds < mixing.ROUNDS:
         for k in range(3):
-            have = sums(weight, k)
-            weight = {c: w * goal[k][c[k]] / have[c[k]] for c, w in weight.items()}
-    total = sum(weight.values())
+            for x, t in goal[k].items():
+                mine = [c for c in u if c[k] == x]
+                cut = sum(most[c] for c in mine if u[c] >= most[c])
+                free = sum(u[c] for c in mine if u[c] < most[c])
+                for c in mine:
+                    if t > cut and free:
+                        u[c] *= (t - cut) / free
+                    elif t < cut:
+                        u[c] = min(u[c], most[c]) * t / (cut + free)
+        rounds += 1
+        got = {c: min(v, most[c]) for c, v in u.items()}
+        if rounds % mixing.BLOCK == 0 and all(abs(v - goal[k][x]) <= mixing.TOLERANCE for k in range(3) for x, v in sums(got, k).items()):
+            break
     out = []
     for r in rows:
         c = cell[r[0]]
-        p = min(1.0, round(weight[c] / total / (tokens[c] / whole), 9) * mixing.SHARE)
-        u = int(hashlib.md5(f"{mixing.SEED}:{r[0]}".encode()).hexdigest()[:13], 16) / 2 ** 52
-        if u < p:
+        p = min(u[c], most[c]) / most[c]
+        drawn = int(hashlib.md5(f"{mixing.SEED}:{r[0]}".encode()).hexdigest()[:13], 16) / 2 ** 52
+        if drawn < p:
             out.append(r)
     return out
 
