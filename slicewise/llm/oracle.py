@@ -5,7 +5,7 @@ from __future__ import annotations
 from slicewise.llm import mixing
 from slicewise.llm.common import ORACLES
 from slicewise.llm.license import COMMENT, END, KEYWORDS, RULES, families
-from slicewise.llm.pii import IBAN, IBAN_CHARS
+from slicewise.llm.pii import ACCESS_KEY, CREDENTIAL, CREDENTIAL_NAME, IBAN, IBAN_CHARS
 
 _COUNTRY = ", ".join(f"('{c}', {n})" for n, names in IBAN_CHARS.items() for c in names.split())
 ORACLES["op10_pii"] = r"""
@@ -13,14 +13,16 @@ WITH country(code, chars) AS (VALUES %COUNTRY%),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 matched AS (
   SELECT rid, t, k.kind, k.pos,
-         regexp_extract_all(t, '(?s)(.*?)(' || k.pattern || ')', 0) AS whole,
-         regexp_extract_all(t, '(?s)(.*?)(' || k.pattern || ')', 2) AS hits
+         regexp_extract_all(t, '(?s)(.*?' || k.lead || ')(' || k.pattern || ')', 0) AS whole,
+         regexp_extract_all(t, '(?s)(.*?' || k.lead || ')(' || k.pattern || ')', 2) AS hits
   FROM d CROSS JOIN (VALUES
-    (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'),
-    (2, 'ip', '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'),
-    (3, 'card', '[0-9](?:[ -]?[0-9])+'),
-    (4, 'phone', '\+[0-9][ ().0-9-]+[0-9]'),
-    (6, 'short_card', '[0-9](?:[ -]?[0-9])+')) k(pos, kind, pattern)),
+    (1, 'email', '', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'),
+    (2, 'ip', '', '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'),
+    (3, 'card', '', '[0-9](?:[ -]?[0-9])+'),
+    (4, 'phone', '', '\+[0-9][ ().0-9-]+[0-9]'),
+    (6, 'short_card', '', '[0-9](?:[ -]?[0-9])+'),
+    (7, 'access_key', '', '%ACCESS_KEY%'),
+    (8, 'credential', '%CREDENTIAL_NAME%', '%CREDENTIAL%')) k(pos, kind, lead, pattern)),
 found AS (
   SELECT *, CAST(list_sum(list_transform(whole[1:i], lambda x: length(x))) AS BIGINT) AS stop,
          regexp_replace(hit, '[^0-9]', '', 'g') AS digits
@@ -42,6 +44,10 @@ kept AS (
     WHEN 'ip' THEN len(list_filter(string_split(hit, '.'), lambda p: CAST(p AS DOUBLE) > 255)) = 0
     WHEN 'card' THEN n BETWEEN 16 AND 19 AND luhn
     WHEN 'phone' THEN n BETWEEN 8 AND 15
+    WHEN 'access_key' THEN NOT regexp_matches(substr(t, start, least(start, 1)) || substr(t, stop + 1, 1), '[A-Za-z0-9]')
+         AND (regexp_matches(around, 'secret|credential|login') OR NOT regexp_matches(around, 'example|dummy|placeholder'))
+    WHEN 'credential' THEN regexp_matches(hit, '[A-Za-z]') AND n > 0
+         AND (regexp_matches(around, 'login|server|account|private') OR NOT regexp_matches(around, 'example|dummy|placeholder'))
     ELSE n BETWEEN 13 AND 15 AND luhn
          AND regexp_matches(around, 'card|visa|amex|credit|karte|carte|tarjeta')
          AND NOT regexp_matches(around, 'serial|isbn|order') END),
@@ -70,14 +76,16 @@ per AS (
   SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
          count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY pos, start)
-           FILTER (pos <= 4) AS base,
+           FILTER (pos <= 4) AS base, count(*) AS n_spans,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY pos, start) AS spans
   FROM every GROUP BY rid)
 SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip,
        coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       coalesce(spans, '') AS spans
 FROM d LEFT JOIN per USING (rid)
-""".replace("%COUNTRY%", _COUNTRY).replace("%IBAN%", IBAN)
+""".replace("%COUNTRY%", _COUNTRY).replace("%IBAN%", IBAN).replace("%ACCESS_KEY%", ACCESS_KEY).replace(
+    "%CREDENTIAL_NAME%", CREDENTIAL_NAME.replace("'", "''")).replace("%CREDENTIAL%", CREDENTIAL)
 
 _WORDS = r"""list_filter(string_split(trim(regexp_replace(translate(coalesce(text, ''),
   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
