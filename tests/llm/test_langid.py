@@ -1,5 +1,9 @@
+import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -59,3 +63,79 @@ def test_penalty_makes_weights_sparse_and_temperature_calibrates():
     logits = rng.normal(size=(2000, 3)) * 2
     y = np.array([rng.choice(3, p=G._softmax(z)) for z in logits])
     assert 0.85 < G.temperature(logits, y) < 1.15 and 3.4 < G.temperature(logits * 4, y) < 4.6
+
+
+MASK = (1 << 64) - 1
+
+
+def plain_features(text):
+    """All n-grams of the folded text as feature numbers, by strings and whole numbers."""
+    low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+    s = " " + re.sub(" +", " ", low).lstrip(" ") + " "
+    out = []
+    for n in G.ORDERS:
+        for i in range(len(s) - n + 1):
+            h = n
+            for c in s[i:i + n]:
+                h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 & MASK
+                h ^= h >> 29
+            out.append((h * 0x9E3779B97F4A7C15 & MASK) >> (64 - G.DIM_BITS))
+    return out
+
+
+def softmax(z):
+    e = [math.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
+def plain_ftrl(rows, k):
+    """One coordinate at a time, in dictionaries; the bias is the feature named None."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f, j):
+        l1 = 0.0 if f is None else G.L1
+        if abs(z[f, j]) <= l1:
+            return 0.0
+        return -(z[f, j] - math.copysign(l1, z[f, j])) / ((G.BETA + math.sqrt(n[f, j])) / G.ALPHA + G.L2)
+
+    for _ in range(G.EPOCHS):
+        for x, y in rows:
+            x = {**x, None: 1.0}
+            w = {(f, j): weight(f, j) for f in x for j in range(k)}
+            p = softmax([sum(v * w[f, j] for f, v in x.items()) for j in range(k)])
+            for f, v in x.items():
+                for j in range(k):
+                    g = v * (p[j] - (j == y))
+                    z[f, j] += g - (math.sqrt(n[f, j] + g * g) - math.sqrt(n[f, j])) / G.ALPHA * w[f, j]
+                    n[f, j] += g * g
+    return weight
+
+
+def test_model_and_predictions_equal_a_plain_version(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(STEMS[lang if rng.random() < 0.6 else "fr"]) for _ in range(rng.randrange(1, 8))), lang)
+            for i, lang in enumerate(rng.choices(sorted(STEMS), k=150))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = G.fit(df)
+
+    langs = sorted(STEMS)
+    train = sorted((hashlib.md5(f"+{i}\0+{t}".encode()).hexdigest(), t, langs.index(lang))
+                   for i, t, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1)
+    seen = Counter(f for _, t, _ in train for f in set(plain_features(t)))
+    idf = lambda f: math.log((1 + len(train)) / (1 + seen[f])) + 1
+
+    def vector(text):
+        c = Counter(plain_features(text))
+        return {f: m / sum(c.values()) * idf(f) * G.SCALE for f, m in c.items()}
+
+    data = [(vector(t), y) for _, t, y in train]
+    weight = plain_ftrl([r for k, r in enumerate(data) if k % 5], 3)
+    logits = lambda x: [sum(v * weight(f, j) for f, v in x.items()) + weight(None, j) for j in range(3)]
+    aside = [(logits(x), y) for k, (x, y) in enumerate(data) if k % 5 == 0]
+    loss = lambda t: -sum(math.log(max(softmax([v / t for v in z])[y], 1e-12)) for z, y in aside) / len(aside)
+    grid = [0.05 * 400 ** (k / 1000) for k in range(1001)]
+    assert model.langs == langs and loss(model.temperature) <= min(map(loss, grid)) + 1e-5
+    for r in G.report(df).collect():
+        p = softmax([v / model.temperature for v in logits(vector(rows[r.doc_id][1]))])
+        assert abs(r.score - max(p)) < 1e-3
+        assert r.lang_pred == langs[p.index(max(p))] or sorted(p)[-1] - sorted(p)[-2] < 1e-3
