@@ -1,7 +1,6 @@
 """Quality by an n-gram language model: interpolated modified Kneser-Ney over words, of order two.
 
-Counts come from every trusted document, without a vocabulary or count limit, and stay in tables
-sharded by the hash of the n-gram. For a pair (u, w)
+Counts come from every trusted document, without a vocabulary or count limit. For a pair (u, w)
 
     log P(w | u) = log beta(w) + log gamma(u) + [seen] * delta(u, w),
 
@@ -9,66 +8,137 @@ with beta the lower-order probability and gamma the weight that u leaves to it,
 was never seen has no mass of its own. So a document's score is one join of its words and pairs
 with one table of (hash, value), summed: no document, vocabulary or model is ever held in one
 place. A document is kept if its log-perplexity is at most its language's quantile.
+
+Words and pairs outweigh the text they come from, so the job is done in slices: a slice holds the
+words, and the pairs by their first word, of an equal share of all hashes. Each slice reads the
+text again, and its shuffles are dropped before the next; only sums by word and by document stay.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slicewise.llm.common import small
-from slicewise.sinks.tables import landed
+from slicewise.llm.common import BROADCAST_ROWS, small
+from slicewise.sinks.tables import landed, shuffles_dropped
 
 #: Production parameters: quantile of log-perplexity up to which documents stay, width of the
 #: bins in which quantiles are counted.
 QUANTILE, BIN = 0.95, 0.001
 START, END = "\u0001", "\u0002"
-_SEED_WORD = 7
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Slices in which pairs are counted and documents scored: the more, the less disk, the more reading.
+#: Fewer where a slice would have under SLICE_ROWS words and pairs.
+COUNT_SLICES, SCORE_SLICES, SLICE_ROWS = 2, 8, 4_000_000
+#: Shards of a slice, and the words and pairs of documents at which there are more. A document has
+#: a sum in each shard that it meets, so shards are no more than memory asks for: their documents
+#: stream, and only the model's values are held.
+SHARDS, SHARD_ROWS = 16, 8_000_000
+#: Bytes of text that a worker hashes at once, so that they stay in its cache, and documents whose
+#: words and pairs it sends together.
+PORTION_BYTES, BLOCK_DOCS = 1 << 20, 4096
+_MIX, _SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(7)
+_FOLD = np.arange(256, dtype=np.uint8)          # A-Z lower-cased, ASCII blanks alike
+_FOLD[65:91] += 32
+_FOLD[9:14] = 32
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _stir(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def _cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in one buffer, start and end of each word in it, and the number of words of each
+    text. A word is cut at ASCII blanks."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    whole = _FOLD[np.frombuffer(b" ".join(texts), np.uint8)]
+    buf = np.full(len(whole) + 9, 32, np.uint8)
+    buf[1:len(whole) + 1] = whole
+    blank = buf == 32
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    at, end = edge[::2], edge[1::2]
+    return buf, at, end, np.diff(np.searchsorted(at, np.cumsum(sizes + 1) + 1), prepend=0)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in order, eight bytes of all words at a time, and the
+    number of words of each text."""
+    buf, at, end, n = _cut(texts)
+    size = end - at
+    eight = np.ndarray(len(buf) - 7, "<u8", buf, strides=(1,))
+    h = _stir((size.astype(np.uint64) + _SEED) * _MIX)
+    h = _stir(h ^ (eight[at] & _MASK[np.minimum(size, 8)]))
+    more, done = np.flatnonzero(size > 8), 8
+    while len(more):
+        h[more] = _stir(h[more] ^ (eight[at[more] + done] & _MASK[np.minimum(size[more] - done, 8)]))
+        done += 8
+        more = more[size[more] > done]
+    return h, n
 
 
-def words(raw: bytes | None) -> list[bytes]:
-    """Words of a UTF-8 text: A-Z lower-cased, cut at ASCII blanks."""
-    return raw.lower().split() if raw else []
+def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    h = (u ^ (u >> np.uint64(31))) * _MIX + w
+    return (h ^ (h >> np.uint64(29))) * _MIX
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, _SEED_WORD)
+_START, _END = (word_hashes([x.encode()])[0][0] for x in (START, END))
 
 
-def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    h = (u ^ (u >> np.uint64(31))) * _MIX + w
-    return (h ^ (h >> np.uint64(29))) * _MIX
+def _pairs(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and second words of all pairs; a text of n words, its marks included, has n + 1."""
+    first = np.cumsum(n + 2) - (n + 2)
+    chain = np.empty(len(h) + 2 * len(n), np.uint64)
+    chain[np.arange(len(h)) + 2 * np.repeat(np.arange(len(n)), n) + 1] = h
+    chain[first], chain[first + n + 1] = _START, _END
+    return np.delete(chain, first + n + 1), np.delete(chain, first)
 
 
-_START, _END = word_hash(START.encode()), word_hash(END.encode())
+def _portions(texts: pd.Series) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts in runs of bounded size, each with the place of its first; null is empty."""
+    run, size = [], 0
+    for i, text in enumerate(texts):
+        if run and size + len(text or b"") > PORTION_BYTES:
+            yield i - len(run), run
+            run, size = [], 0
+        run.append(text or b"")
+        size += len(run[-1])
+    if run:
+        yield len(texts) - len(run), run
 
 
-def _chain(raw: bytes | None) -> np.ndarray:
-    """Hashes of the document's words between the start and the end mark."""
-    ws = words(raw)
-    h = np.empty(len(ws) + 2, np.uint64)
-    h[0], h[-1] = _START, _END
-    h[1:-1] = np.fromiter(map(xxhash.xxh64_intdigest, ws, repeat(_SEED_WORD)), np.uint64, len(ws))
-    return h
+def _in_slice(h: np.ndarray, k: int, of: int) -> np.ndarray:
+    return np.flatnonzero((h & np.uint64(0xFFFF)) * np.uint64(of) >> np.uint64(16) == np.uint64(k))
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """``u, w, c``: counts of word pairs over ``docs``, summed in each batch before they travel."""
+def _slice_is(h: Column, k: int, of: int) -> Column:
+    return F.shiftright(h.bitwiseAND(F.lit(0xFFFF)) * of, 16) == k
+
+
+def _shard(g: Column, shards: int) -> Column:
+    """Range of the hash, read as unsigned; its upper bits have no part in the slice."""
+    return F.shiftright(F.shiftrightunsigned(g, 40) * shards, 24).cast("int")
+
+
+def pair_counts(docs: DataFrame, k: int = 0, of: int = 1) -> DataFrame:
+    """``u, w, c``: counts over ``docs`` of the word pairs of slice ``k``, summed in each batch
+    before they travel."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            chains = [_chain(t) for t in b["raw"]]
-            if not chains:
+            found = []
+            for _, texts in _portions(b["raw"]):
+                u, w = _pairs(*word_hashes(texts))
+                mine = _in_slice(u, k, of)
+                found.append(np.stack([u[mine], w[mine]], 1))
+            if not found:
                 continue
-            uw = np.stack([np.concatenate([c[:-1] for c in chains]), np.concatenate([c[1:] for c in chains])], 1)
-            key = pair_hash(uw[:, 0], uw[:, 1])
-            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            uw = np.concatenate(found)
+            _, first, n = np.unique(pair_hash(uw[:, 0], uw[:, 1]), return_index=True, return_counts=True)
             yield pd.DataFrame({"u": uw[first, 0].view(np.int64), "w": uw[first, 1].view(np.int64), "c": n})
 
     rows = docs.select(F.col("text").cast("binary").alias("raw"))
@@ -89,87 +159,167 @@ def _pick(count: Column, d: list[float]) -> Column:
 
 
 class Model:
-    """``values``: table (g, v) with one row per known word and per seen pair; ``unknown``: log
-    probability of a word that was never seen; ``frame``: what every document's marks add."""
-
-    def __init__(self, values: DataFrame, unknown: float, frame: float):
-        self.values, self.unknown, self.frame = values, unknown, frame
-
-
-def train(trusted: DataFrame) -> Model | None:
+    """``words``: table ``h, total, left, n`` with one row per known word: how often it is followed,
+    the discounts it leaves and the number of kinds of words before it; ``d`` and ``beta`` complete
+    the probabilities; ``unknown``: log probability of a word that was never seen; ``frame``: what
+    every document's marks add."""
+
+    def __init__(self, trusted: DataFrame, words: DataFrame, d: list[float], beta: Column, unknown: float):
+        self.trusted, self.words, self.d, self.beta, self.unknown = trusted, words, d, beta, unknown
+        of = words.select("h", F.coalesce(F.log(F.col("left") / F.col("total")), F.lit(0.0)).alias("lg"),
+                          F.when(F.col("n") > 0, F.log(beta)).otherwise(unknown).alias("lb"))
+        marks = [int(x.view(np.int64)) for x in (_START, _END)]
+        edge = {r["h"]: r for r in of.filter(F.col("h").isin(marks)).collect()}
+        self.frame = edge[marks[0]]["lg"] + edge[marks[1]]["lb"]
+        self._single = of.filter(~F.col("h").isin(marks)).select(
+            F.col("h").alias("g"), (F.col("lg") + F.col("lb") - unknown).alias("v"))
+
+    def values(self, k: int = 0, of: int = 1) -> DataFrame:
+        """``g, v``: a row per known word and per seen pair of the slice."""
+        lead = self.words.filter(_slice_is(F.col("h"), k, of) & (F.col("total") > 0)).select(F.col("h").alias("u"), "left")
+        tail = self.words.filter("n > 0").select(F.col("h").alias("w"), self.beta.alias("beta"))
+        own = (F.col("c") - _pick(F.col("c"), self.d)) / (F.col("left") * F.col("beta"))
+        seen = pair_counts(self.trusted, k, of).join(lead, "u").join(tail, "w").select("u", "w", F.log1p(own).alias("v"))
+
+        def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                g = pair_hash(b["u"].to_numpy(np.int64).view(np.uint64), b["w"].to_numpy(np.int64).view(np.uint64))
+                yield pd.DataFrame({"g": g.view(np.int64), "v": b["v"]})
+
+        return self._single.filter(_slice_is(F.col("g"), k, of)).union(seen.mapInPandas(hashed, "g long, v double"))
+
+
+def _word_counts(trusted: DataFrame, slices: int) -> DataFrame:
+    """``h, total, n1 .. n4, kinds, n`` of each word: how often it is followed, by how many kinds of
+    words once to four times and at all, and the number of kinds before it."""
+    sums = ["total", "n1", "n2", "n3", "n4", "kinds", "n"]
+    parts = []
+    for k in range(slices):
+        both = pair_counts(trusted, k, slices).select(F.explode(F.array(
+            F.struct(F.col("u").alias("h"), F.col("c").alias("c")),
+            F.struct(F.col("w").alias("h"), F.lit(0).cast("long").alias("c")))).alias("x")).select("x.h", "x.c")
+        many = lambda cond, name: F.sum(cond.cast("long")).alias(name)
+        parts.append(landed(both.groupBy("h").agg(
+            F.sum("c").alias("total"), *(many(F.col("c") == i, f"n{i}") for i in (1, 2, 3, 4)),
+            many(F.col("c") > 0, "kinds"), many(F.col("c") == 0, "n")), "lm-part"))
+    return landed(reduce(DataFrame.union, parts).groupBy("h").agg(*(F.sum(c).alias(c) for c in sums)), "lm-words")
+
+
+def train(trusted: DataFrame, slices: int = 1) -> Model | None:
     """The model of all rows of ``trusted`` (column ``text``; null and empty texts count as
     documents without words). None if there is no row."""
-    pairs = landed(pair_counts(trusted), "lm-pairs")
-    at_most = lambda c: F.least(c, F.lit(5)).alias("k")
-    spread = {r["k"]: r["n"] for r in pairs.groupBy(at_most(F.col("c"))).agg(F.count("*").alias("n")).collect()}
-    if not spread:
+    words = _word_counts(trusted, slices)
+    spread = words.agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in (1, 2, 3, 4))).first()
+    if spread["n1"] is None:
         return None
-    d = _discounts([spread.get(k, 0) for k in (1, 2, 3, 4)])
-    before = landed(pairs.groupBy("u").agg(
-        F.sum("c").cast("double").alias("total"), F.sum(_pick(F.col("c"), d)).alias("left")
-    ).select("u", "total", F.log(F.col("left") / F.col("total")).alias("log_gamma")), "lm-before")
-    after = landed(pairs.groupBy("w").agg(F.count("*").alias("n")), "lm-after")
-    low = {r["k"]: r for r in after.groupBy(at_most(F.col("n"))).agg(
+    d = _discounts([spread[f"n{i}"] for i in (1, 2, 3, 4)])
+    low = {r["k"]: r for r in words.filter("n > 0").groupBy(F.least("n", F.lit(5)).alias("k")).agg(
         F.count("*").alias("words"), F.sum("n").alias("pairs")).collect()}
     d1 = _discounts([low[k]["words"] if k in low else 0 for k in (1, 2, 3, 4)])
     kinds, total = sum(r["words"] for r in low.values()), float(sum(r["pairs"] for r in low.values()))
     spare = sum(d1[min(k, 3) - 1] * r["words"] for k, r in low.items()) / total
     floor = spare / (kinds + 1)                      # one more kind: all words never seen
     beta = (F.col("n") - _pick(F.col("n"), d1)) / total + floor
-    after = after.select("w", F.log(beta).alias("log_beta"))
-    seen = (pairs.join(before, "u").join(after, "w")
-            .select("u", "w", "log_gamma", "log_beta",
-                    ((F.col("c") - _pick(F.col("c"), d)) / F.col("total")).alias("own")))
-    delta = F.log(F.exp(F.col("log_gamma") + F.col("log_beta")) + F.col("own")) - F.col("log_gamma") - F.col("log_beta")
+    left = F.col("n1") * d[0] + F.col("n2") * d[1] + (F.col("kinds") - F.col("n1") - F.col("n2")) * d[2]
+    words = words.select("h", "total", F.when(F.col("total") > 0, left).alias("left"), "n")
+    return Model(trusted, words, d, beta, float(np.log(floor)))
+
+
+def _doc_grams(docs: DataFrame, k: int, of: int, shards: int) -> DataFrame:
+    """Distinct words and pairs of each document in the slice, with their counts: one row per block
+    of documents and shard, as arrays sorted by hash."""
+    def grams(texts: list[bytes], first: int) -> tuple[np.ndarray, np.ndarray]:
+        h, n = word_hashes(texts)
+        u, w = _pairs(h, n)
+        lone, pair = _in_slice(h, k, of), _in_slice(u, k, of)
+        place = np.arange(first, first + len(n))
+        return (np.concatenate([h[lone], pair_hash(u[pair], w[pair])]),
+                np.concatenate([np.repeat(place, n)[lone], np.repeat(place, n + 1)[pair]]))
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            g = pair_hash(b["u"].to_numpy(np.int64).view(np.uint64), b["w"].to_numpy(np.int64).view(np.uint64))
-            yield pd.DataFrame({"g": g.view(np.int64), "v": b["v"]})
-
-    unknown = float(np.log(floor))
-    marks = [np.array([x], np.uint64).view(np.int64)[0].item() for x in (_START, _END)]
-    single = (before.select(F.col("u").alias("g"), "log_gamma")
-              .join(after.select(F.col("w").alias("g"), "log_beta"), "g", "full")
-              .select("g", F.coalesce("log_gamma", F.lit(0.0)).alias("lg"),
-                      F.coalesce("log_beta", F.lit(unknown)).alias("lb")))
-    edge = {r["g"]: r for r in single.filter(F.col("g").isin(marks)).collect()}
-    frame = edge[marks[0]]["lg"] + edge[marks[1]]["lb"]
-    word = single.filter(~F.col("g").isin(marks)).select("g", (F.col("lg") + F.col("lb") - unknown).alias("v"))
-    pair = seen.select("u", "w", delta.alias("v")).mapInPandas(hashed, "g long, v double")
-    return Model(landed(word.union(pair), "lm-values"), unknown, frame)
-
-
-def _doc_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Distinct words and pairs of each document with their counts; one row (g null) gives the
-    number of words."""
-    for b in batches:
-        doc, g, n, none = [], [], [], []
-        for key, raw in zip(b["doc"], b["raw"]):
-            c = _chain(raw)
-            grams, counts = np.unique(np.concatenate([c[1:-1], pair_hash(c[:-1], c[1:])]), return_counts=True)
-            doc.append(np.full(len(grams) + 1, key, np.int64))
-            g += [np.zeros(1, np.int64), grams.view(np.int64)]
-            n += [np.array([len(c) - 2]), counts]
-            mark = np.zeros(len(grams) + 1, bool)
-            mark[0] = True
-            none.append(mark)
-        if doc:
-            yield pd.DataFrame({"doc": np.concatenate(doc), "g": np.concatenate(g),
-                                "n": np.concatenate(n).astype(np.int32), "head": np.concatenate(none)})
-
-
-def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc, n_words, log_ppl`` per distinct (doc_id, text), named by a 64-bit hash."""
+            for x in range(0, len(b), BLOCK_DOCS):
+                names, texts = b["doc"].to_numpy(np.int64)[x:x + BLOCK_DOCS], b["raw"].iloc[x:x + BLOCK_DOCS]
+                g, doc = (np.concatenate(c) for c in zip(*(grams(t, first) for first, t in _portions(texts))))
+                order = np.argsort(g, kind="stable")
+                g, doc = g[order], doc[order]
+                new = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]))[:len(g)])
+                count = np.diff(new, append=len(g)).astype(np.int32)
+                g, doc = g[new], doc[new]
+                shard = (g >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)
+                edge = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[:len(g)]), len(g))
+                out = []
+                for i, j in zip(edge[:-1], edge[1:]):
+                    used, owner = np.unique(doc[i:j], return_inverse=True)
+                    out.append((int(shard[i]), names[used].tobytes(), owner.astype(np.uint16).tobytes(),
+                                g[i:j].tobytes(), count[i:j].tobytes()))
+                yield pd.DataFrame(out, columns=["shard", "docs", "owner", "grams", "n"])
+
     rows = docs.select(_doc(), F.col("text").cast("binary").alias("raw"))
-    grams = rows.mapInPandas(_doc_grams, "doc long, g long, n int, head boolean")
-    own = grams.filter(~F.col("head")).join(model.values, "g").select("doc", (F.col("n") * F.col("v")).alias("v"),
-                                                                      F.lit(None).cast("int").alias("n_words"))
-    heads = grams.filter("head").select("doc", F.lit(0.0).alias("v"), F.col("n").alias("n_words"))
-    both = own.union(heads).groupBy("doc").agg(F.sum("v").alias("v"), F.max("n_words").alias("n_words"),
-                                               F.count("n_words").alias("copies"))
-    score = F.col("v") / F.col("copies") + F.col("n_words") * model.unknown + model.frame
-    return both.select("doc", "n_words", (-score / (F.col("n_words") + 1)).alias("log_ppl"))
+    return rows.mapInPandas(run, "shard int, docs binary, owner binary, grams binary, n binary")
+
+
+def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``doc, v``: sums over the shards of a partition. Of each shard the model's values come first
+    and are held; its documents stream past them."""
+    shard, g, v, ready = None, [], [], False
+    for b in batches:
+        at, doc_side = b["shard"].to_numpy(), b["docs"].notna().to_numpy()
+        edge = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (doc_side[1:] != doc_side[:-1]))[:len(b)])
+        docs, sums = [], []
+        for x, y in zip(edge, np.append(edge[1:], len(b))):
+            if at[x] != shard:
+                shard, g, v, ready = at[x], [], [], False
+            if not doc_side[x]:
+                g.append(b["g"].to_numpy(np.int64)[x:y].view(np.uint64))
+                v.append(b["v"].to_numpy(float)[x:y])
+                continue
+            if not ready:
+                keys = np.concatenate([*g, np.zeros(0, np.uint64)])
+                order = np.argsort(keys)
+                keys, vals, ready = keys[order], np.concatenate([*v, np.zeros(0)])[order], True
+            for i in range(x, y if len(keys) else x):
+                own = np.frombuffer(b["grams"].iat[i], np.uint64)
+                spot = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                hit = np.flatnonzero(keys[spot] == own)
+                names = np.frombuffer(b["docs"].iat[i], np.int64)
+                add = np.bincount(np.frombuffer(b["owner"].iat[i], np.uint16)[hit],
+                                  np.frombuffer(b["n"].iat[i], np.int32)[hit] * vals[spot[hit]], len(names))
+                some = np.flatnonzero(add)
+                docs.append(names[some])
+                sums.append(add[some])
+        if docs:
+            yield pd.DataFrame({"doc": np.concatenate(docs), "v": np.concatenate(sums)})
+
+
+def _heads(docs: DataFrame) -> DataFrame:
+    """``doc, n_words, copies`` per distinct (doc_id, text)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for first, texts in _portions(b["raw"]):
+                n = _cut(texts)[3]
+                yield pd.DataFrame({"doc": b["doc"].to_numpy(np.int64)[first:first + len(n)], "n_words": n.astype(np.int32)})
+
+    rows = docs.select(_doc(), F.col("text").cast("binary").alias("raw")).mapInPandas(run, "doc long, n_words int")
+    return landed(rows.groupBy("doc").agg(F.max("n_words").alias("n_words"), F.count("*").alias("copies")), "lm-heads")
+
+
+def perplexities(docs: DataFrame, heads: DataFrame, model: Model, slices: int = 1, shards: int = 1) -> DataFrame:
+    """``doc, n_words, log_ppl`` per distinct (doc_id, text), named by a 64-bit hash; ``heads`` are
+    those of ``docs``."""
+    parts = []
+    for k in range(slices):
+        none = F.lit(None).cast("binary")
+        values = model.values(k, slices).select(_shard(F.col("g"), shards).alias("shard"), "g", "v",
+                                                *(none.alias(c) for c in ("docs", "owner", "grams", "n")))
+        rows = _doc_grams(docs, k, slices, shards).select("shard", F.lit(0).cast("long").alias("g"), F.lit(0.0).alias("v"),
+                                                          "docs", "owner", "grams", "n")
+        met = (values.union(rows).repartition(shards, "shard").sortWithinPartitions("shard", F.col("docs").isNotNull())
+               .mapInPandas(_meet, "doc long, v double"))
+        parts.append(landed(met.groupBy("doc").agg(F.sum("v").alias("v")), "lm-sums"))
+    sums = reduce(DataFrame.union, parts).groupBy("doc").agg(F.sum("v").alias("v"))
+    score = F.coalesce("v", F.lit(0.0)) / F.col("copies") + F.col("n_words") * model.unknown + model.frame
+    return heads.join(sums, "doc", "left").select("doc", "n_words", (-score / (F.col("n_words") + 1)).alias("log_ppl"))
 
 
 def _doc() -> Column:
@@ -199,15 +349,28 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     """
     good = (labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0))
             .select(F.col("doc_id").alias("id")).distinct())
+    with shuffles_dropped(docs.sparkSession):
+        return _judge(docs, good, quantile)
+
+
+def _judge(docs: DataFrame, good: DataFrame, quantile: float) -> DataFrame:
     good = landed(good, "lm-trusted")
-    near = small(good, good.count())
+    count = good.count()
+    near = small(good, count)
     base = docs.select("doc_id", "text", F.coalesce("lang", F.lit("(none)")).alias("lang"))
-    model = train(base.join(near, F.col("doc_id") == F.col("id"), "left_semi"))
+    trusted = base.join(near, F.col("doc_id") == F.col("id"), "left_semi").select("text")
+    if count > BROADCAST_ROWS:          # every slice would shuffle the text
+        trusted = landed(trusted, "lm-texts")
+    heads = _heads(base)
+    grams = heads.agg(F.sum((2 * F.col("n_words") + 1) * F.col("copies"))).first()[0] or 0
+    count_slices, slices = (min(most, 1 + grams // SLICE_ROWS) for most in (COUNT_SLICES, SCORE_SLICES))
+    model = train(trusted, count_slices)
     out = docs.select("doc_id", F.col("lang"), F.coalesce("lang", F.lit("(none)")).alias("_lang"), _doc())
     if model is None:
         return out.select("doc_id", "lang", F.lit(None).cast("int").alias("n_words"), F.lit(None).cast("double").alias(
             "log_ppl"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
-    scores = landed(perplexities(base, model), "lm-scores")
+    scores = landed(perplexities(base, heads, model, slices, max(SHARDS, 1 + grams // (slices * SHARD_ROWS))),
+                    "lm-scores")
     inside = near.select("id", F.lit(True).alias("inside"))
     known = landed(out.join(scores, "doc").join(inside, F.col("doc_id") == F.col("id"), "left")
                    .select("doc_id", "lang", F.col("_lang").alias("own"), "n_words",

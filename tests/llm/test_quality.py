@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 from slicewise.llm import quality as Q
+from slicewise.sinks.tables import shuffles_dropped
 
 
 def corpus(seed=5, n=60):
@@ -71,3 +72,45 @@ def test_without_trusted_documents_and_repeated_rows(spark):
     some = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     got = Q.judge(twice, some).orderBy("doc_id").collect()
     assert len(got) == 3 and got[0] == got[1] and got[0].log_ppl < got[2].log_ppl
+
+
+def test_slices_and_shards_give_the_same_scores(spark, monkeypatch):
+    rows = corpus(seed=9) + [(900, None, "en"), (901, "never seen " + "long" * 9, "en"), (902, "w1 w2\tW1\x0bw2 w1 w2", "de")]
+    docs = spark.createDataFrame(rows + rows[-3:], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int")
+    whole = sorted(map(tuple, Q.judge(docs, labels).collect()))
+    monkeypatch.setattr(Q, "SLICE_ROWS", 500)
+    monkeypatch.setattr(Q, "SHARD_ROWS", 20)
+    monkeypatch.setattr(Q, "SCORE_SLICES", 3)
+    assert sorted(map(tuple, Q.judge(docs, labels).collect())) == whole
+    want = plain_log_ppl([t for i, t, _ in rows if i < 60 and i % 2 == 0], [t for _, t, _ in rows])
+    got = {r[0]: r[3] for r in whole}
+    assert all(abs(got[i] - w) < 1e-5 for (i, _, _), w in zip(rows, want))
+
+
+def test_every_slice_holds_its_share_of_the_pairs(spark):
+    """Disk is bounded because no slice shuffles more than its share, and none is shuffled twice."""
+    docs = spark.createDataFrame([(" ".join(f"a{i * 7919 % 3001} b{i}" for i in range(2000)),)], "text string")
+    parts = [Q.pair_counts(docs, k, 8).collect() for k in range(8)]
+    pairs = [(r.u, r.w) for part in parts for r in part]
+    assert len(pairs) == len(set(pairs)) and sum(r.c for part in parts for r in part) == 4001
+    assert max(map(len, parts)) < 2 * len(pairs) / 8
+    whole = {(r.u, r.w): r.c for r in Q.pair_counts(docs).collect()}
+    assert whole == {(r.u, r.w): r.c for part in parts for r in part}
+
+
+def test_words_are_hashed_as_split_and_lowered():
+    texts = ["Ab\tcd  E\u00c9 \u00e9\x0b\x0cx\r\n", "", "  ", "x" * 8 + " " + "x" * 9 + " " + "X" * 17 + " a\x00 a", "ab"]
+    raws = [t.encode() for t in texts]
+    h, n = Q.word_hashes(raws)
+    words = [w for r in raws for w in r.lower().split()]
+    assert n.tolist() == [len(r.lower().split()) for r in raws] and len(h) == len(words)
+    assert len({(a, b) for a, b in zip(words, h.tolist())}) == len(set(words)) == len(set(h.tolist()))
+
+
+def test_shuffles_are_dropped_within_and_the_setting_comes_back(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    with shuffles_dropped(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key, None) == before
