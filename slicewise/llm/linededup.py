@@ -8,13 +8,12 @@ signatures for its own length, and probe signatures for the lengths ``len - k``
 Signatures are hashes of (segment, its number, the length). Pass one only counts which signatures
 are shared by different lines, one aggregate with map-side combine over hashes; pass two joins the
 few lines that hold such a signature, with the edit test inside the join, so no candidate pair
-ever becomes a row.
+ever becomes a row. Sketches of 64 bits go first there: a segment common to many lines brings all
+their pairs, and few of these need the distance.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,113 +25,11 @@ from slicewise.sinks.tables import landed
 MAX_EDITS, PER_EDIT = 2, 12
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _common(same: Callable[[Column], Column], limit: Column) -> Column:
-    """Largest n <= limit for which ``same(n)`` holds, by binary search; same(n) implies
-    same(n - 1), and same(0) holds."""
-    steps = F.sequence(F.ceil(F.log2(limit + 1.0)).cast("int"), F.lit(0), F.lit(-1))
-
-    def step(n: Column, j: Column) -> Column:
-        m = n + F.call_function("shiftleft", F.lit(1), j)
-        return F.when((m <= limit) & same(m), m).otherwise(n)
-
-    return F.aggregate(steps, F.lit(0), step)
-
-
-def _banded(a: Column, b: Column, k: int) -> Column:
-    """Whether len(a) <= len(b) <= len(a) + k and the edit distance is at most k: Hyyro's
-    bit-parallel recurrence over a band of 2k + 1 rows that moves down one row a column. Bit r of
-    a word is row i - k + r in column i; the score is followed along the band's lowest diagonal,
-    then along the last row."""
-    width = 2 * k + 1
-    full = (1 << width) - 1
-    m = F.length(a)
-    word = lambda c: c.bitwiseAND(F.lit(full).cast("long"))
-    bit = lambda v, s: F.call_function("shiftright", v, s).bitwiseAND(F.lit(1).cast("long"))
-
-    def column(acc: Column, i: Column) -> Column:
-        c = F.substring(b, i + 1, F.lit(1))
-        x = None
-        for r in range(width):
-            row = i - k + r
-            equal = F.when((row >= 0) & (row < m) & (F.substring(a, row + 1, F.lit(1)) == c),
-                           F.lit(1 << r).cast("long")).otherwise(F.lit(0).cast("long"))
-            x = equal if x is None else x + equal
-
-        def after_match(x: Column) -> Column:
-            vp, vn = acc["vp"], acc["vn"]
-            d0 = word((x.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(x).bitwiseOR(vn)
-
-            def after_diagonal(d0: Column) -> Column:
-                hp = vn.bitwiseOR(word(d0.bitwiseOR(vp)).bitwiseXOR(F.lit(full).cast("long")))
-                hn = d0.bitwiseAND(vp)
-
-                def after_rows(h: Column) -> Column:
-                    down = F.shiftright(d0, 1)
-                    last = (m - 1 - i + k).cast("int")            # bit of row m - 1 in this column
-                    lowest = 1 - bit(d0, F.lit(width - 1))
-                    along = bit(h["hp"], last) - bit(h["hn"], last)
-                    grown = F.when(i + k < m, lowest).when(last >= 0, along).otherwise(F.lit(0).cast("long"))
-                    return F.struct(
-                        h["hn"].bitwiseOR(word(down.bitwiseOR(h["hp"])).bitwiseXOR(F.lit(full).cast("long"))).alias("vp"),
-                        down.bitwiseAND(h["hp"]).alias("vn"),
-                        (acc["score"] + grown).alias("score"))
-
-                return _let(F.struct(hp.alias("hp"), hn.alias("hn")), after_rows)
-
-            return _let(d0, after_diagonal)
-
-        return _let(x, after_match)
-
-    # before the first column row r has distance r + 1: every step down costs one
-    start = F.struct(F.lit(full ^ ((1 << k) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"),
-                     F.least(F.lit(k), m).cast("long").alias("score"))
-    done = F.aggregate(F.sequence(F.lit(0), F.length(b) - 1), start, column, lambda acc: acc["score"])
-    return F.when(F.length(b) == 0, F.lit(True)).when(m == 0, F.length(b) <= k).otherwise(done <= k)
-
-
 def within_edits(a: Column, b: Column, k: int = MAX_EDITS) -> Column:
-    """Whether at most ``k`` edits turn ``a`` into ``b`` (either may be the longer).
-
-    Common ends are cut off first. What remains begins and ends with an edit, so of the rest cut
-    into k - 1 pieces one must occur in the other text; only then is the distance computed."""
-    def ends_cut(p: Column) -> Column:
-        a, b = p["a"], p["b"]
-        head = _common(lambda n: F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n), F.length(a))
-
-        def cut_tail(q: Column) -> Column:
-            ra, rb = q["a"], q["b"]
-            tail = _common(lambda n: F.substring(ra, F.length(ra) - n + 1, n)
-                           == F.substring(rb, F.length(rb) - n + 1, n), F.length(ra))
-            return _let(tail, lambda t: _let(F.struct(
-                F.substring(ra, F.lit(1), F.length(ra) - t).alias("a"),
-                F.substring(rb, F.lit(1), F.length(rb) - t).alias("b")), core))
-
-        return _let(head, lambda h: _let(F.struct(
-            F.substring(a, h + 1, F.length(a)).alias("a"),
-            F.substring(b, h + 1, F.length(b)).alias("b")), cut_tail))
-
-    def core(p: Column) -> Column:
-        a, b = p["a"], p["b"]
-        if k == 0:
-            return (F.length(a) == 0) & (F.length(b) == 0)
-        if k == 1:
-            likely = F.length(b) <= 1
-        else:
-            inner = F.greatest(F.length(a) - 2, F.lit(0))
-            likely = F.lit(False)
-            for x in range(k - 1):
-                lo, hi = F.floor(inner * x / (k - 1)).cast("int"), F.floor(inner * (x + 1) / (k - 1)).cast("int")
-                likely = likely | F.contains(b, F.substring(a, lo + 2, hi - lo))
-        return likely & _banded(a, b, k)
-
-    swap = F.length(a) > F.length(b)
-    ordered = F.struct(F.when(swap, b).otherwise(a).alias("a"), F.when(swap, a).otherwise(b).alias("b"))
-    return (F.abs(F.length(a) - F.length(b)) <= k) & _let(ordered, ends_cut)
+    """Whether at most ``k`` edits turn ``a`` into ``b`` (either may be the longer). The distance is
+    the compiled one within a band of 2k + 1: common segments bring many pairs, and a fold of
+    expressions over the characters of each would leave an object a step on the heap."""
+    return (F.abs(F.length(a) - F.length(b)) <= k) & (F.levenshtein(a, b, k) >= 0)
 
 
 def _places(k: int) -> list[tuple[int, int, int]]:
@@ -148,11 +45,23 @@ def _budget(n: Column, k: int, per_edit: int) -> Column:
     return F.least(F.lit(k), F.floor(n / per_edit).cast("int"))
 
 
-def _near(x: Column, y: Column, k: int, per_edit: int) -> Column:
-    """Whether ``x``, the shorter one or one of the same length, is within its budget of ``y``."""
+def _sketch(line: Column) -> Column:
+    """64 parities of the line's pairs of neighbouring characters, dealt by a hash. An edit removes and
+    adds at most two pairs each, so it changes four bits at most; other texts differ in about half."""
+    wide = F.encode(line, "UTF-32")
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(
+        F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(8))), F.lit(64)).cast("int"))
+    return F.when(F.length(line) > 1, F.aggregate(
+        F.sequence(F.lit(0), F.length(line) - 2), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseXOR(bit(i)))
+    ).otherwise(F.lit(0).cast("long"))
+
+
+def _near(x: Column, y: Column, sketches: Column, k: int, per_edit: int) -> Column:
+    """Whether ``x``, the shorter one or one of the same length, is within its budget of ``y``;
+    ``sketches``: in how many bits their sketches differ."""
     out = F.when(F.lit(False), F.lit(False))
     for e in range(k, 0, -1):
-        out = out.when(F.length(x) >= e * per_edit, within_edits(x, y, e))
+        out = out.when(F.length(x) >= e * per_edit, (sketches <= 4 * e) & within_edits(x, y, e))
     return out.otherwise(F.lit(False))
 
 
@@ -211,12 +120,15 @@ def line_links(lines: DataFrame, k: int = MAX_EDITS, per_edit: int = PER_EDIT,
         ids = landed(narrow.select("id").distinct(), "lines-ids")
         able = able.withColumn("id", F.xxhash64("line")).join(ids, "id", "left_semi").drop("id")
         signed = _signed(landed(able.distinct(), "lines-able"), k, per_edit)
-    held = landed(signed.join(small(shared, n, broadcast_rows), "sig", "left_semi").distinct(), "lines-held")
-    left = held.filter("own = 1").select("sig", F.col("line").alias("x"))
-    right = held.select("sig", F.col("line").alias("y")).distinct()
+    # a segment common to many lines brings all their pairs: a number made once a line tells most apart
+    held = landed(signed.join(small(shared, n, broadcast_rows), "sig", "left_semi").distinct()
+                  .withColumn("sketch", _sketch(F.col("line"))), "lines-held")
+    left = held.filter("own = 1").select("sig", F.col("line").alias("x"), F.col("sketch").alias("s"))
+    right = held.select("sig", F.col("line").alias("y"), F.col("sketch").alias("t")).distinct()
+    apart = F.bit_count(F.col("s").bitwiseXOR(F.col("t")))
     # of two lines of one length either may be the one that probes
     ordered = (F.length("x") < F.length("y")) | ((F.length("x") == F.length("y")) & (F.col("x") != F.col("y")))
-    return (left.join(right, (left.sig == right.sig) & ordered & _near(F.col("x"), F.col("y"), k, per_edit))
+    return (left.join(right, (left.sig == right.sig) & ordered & _near(F.col("x"), F.col("y"), apart, k, per_edit))
             .select(F.md5(F.least("x", "y")).alias("a"), F.md5(F.greatest("x", "y")).alias("b")).distinct())
 
 

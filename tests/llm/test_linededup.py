@@ -102,3 +102,29 @@ def test_edge_rows_and_clashing_columns(spark):
     assert got[1].text == rows[0][1] and got[3].text is None and got[4].text == ""
     assert got[6].text == "w" * 30_000 and got[6].n_chars == 30_000 and got[6].key == "l"
     assert L.dedup_lines(df.limit(0)).collect() == [] and df.columns == L.dedup_lines(df.limit(0)).columns
+
+
+def test_an_edit_changes_four_bits_of_a_sketch_at_most(spark):
+    rng, pairs = random.Random(4), []
+    for n in range(1500):
+        letters, edits = ("ab", "aé𝒳b c", "abcdefgh ")[n % 3], rng.randrange(0, 4)
+        a = "".join(rng.choice(letters) for _ in range(rng.randrange(0, 60)))
+        pairs.append((a, edited(rng, a, edits, letters), edits))
+    pairs += [("", "a", 1), ("a", "b", 1), ("ab", "a", 1)]
+    bits = F.bit_count(L._sketch(F.col("a")).bitwiseXOR(L._sketch(F.col("b"))))
+    got = spark.createDataFrame(pairs, "a string, b string, n int").select("a", "b", "n", bits.alias("bits")).collect()
+    assert [r for r in got if r.bits > 4 * r.n] == []
+
+
+def test_pairs_of_a_common_segment_are_told_apart_without_interpreted_folds(spark):
+    """Lines that share one segment and little else: the join's condition runs on every pair of them,
+    so it holds compiled functions only, and the sketches leave few pairs to the distance."""
+    rng = random.Random(6)
+    lines = ["read more here now: " + "".join(rng.choice("abcdefgh ") for _ in range(40)) for _ in range(400)]
+    lines += [x + "!" for x in lines[:5]]
+    df = spark.createDataFrame([(x, len(x)) for x in lines], "line string, n int")
+    links = L.line_links(df)
+    assert links.count() == 5
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    join = next(x for x in plan.split("\n") if "Join Inner" in x)
+    assert "levenshtein" in join and "bit_count" in join and "lambda" not in join
