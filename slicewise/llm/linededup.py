@@ -48,12 +48,15 @@ def _budget(n: Column, k: int, per_edit: int) -> Column:
 def _sketch(line: Column) -> Column:
     """64 parities of the line's pairs of neighbouring characters, dealt by a hash. An edit removes and
     adds at most two pairs each, so it changes four bits at most; other texts differ in about half."""
-    wide = F.encode(line, "UTF-32")
-    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(
-        F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(8))), F.lit(64)).cast("int"))
-    return F.when(F.length(line) > 1, F.aggregate(
-        F.sequence(F.lit(0), F.length(line) - 2), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseXOR(bit(i)))
-    ).otherwise(F.lit(0).cast("long"))
+    def parities(wide: Column) -> Column:
+        bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(
+            F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(8))), F.lit(64)).cast("int"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor(F.length(wide) / 4).cast("int") - 2), F.lit(0).cast("long"),
+                           lambda acc, i: acc.bitwiseXOR(bit(i)))
+
+    # the encoded line is an element of an array, else it would be made anew for every character
+    return F.when(F.length(line) > 1, F.transform(F.array(F.encode(line, "UTF-32")), parities)[0]
+                  ).otherwise(F.lit(0).cast("long"))
 
 
 def _near(x: Column, y: Column, sketches: Column, k: int, per_edit: int) -> Column:

@@ -114,6 +114,8 @@ def test_an_edit_changes_four_bits_of_a_sketch_at_most(spark):
     bits = F.bit_count(L._sketch(F.col("a")).bitwiseXOR(L._sketch(F.col("b"))))
     got = spark.createDataFrame(pairs, "a string, b string, n int").select("a", "b", "n", bits.alias("bits")).collect()
     assert [r for r in got if r.bits > 4 * r.n] == []
+    long = spark.createDataFrame([("x" * 400_000 + "y",)], "a string")      # a line is encoded once, not once a character
+    assert long.select(L._sketch(F.col("a")).alias("s")).first().s != 0
 
 
 def test_pairs_of_a_common_segment_are_told_apart_without_interpreted_folds(spark):
