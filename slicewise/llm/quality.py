@@ -11,12 +11,13 @@ place. A document is kept if its log-perplexity is at most its language's quanti
 
 Words and pairs outweigh the text they come from, so the job is done in slices: a slice holds the
 words, and the pairs by their first word, of an equal share of all hashes. Each slice reads the
-text again, and its shuffles are dropped before the next; only sums by word and by document stay.
+text again, and its shuffles are dropped before the next; only sums by word and by document stay. Pairs
+travel in blocks of arrays, cut by ranges of their hash, and are counted range by range.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slicewise.llm.common import BROADCAST_ROWS, small
-from slicewise.sinks.tables import landed, shuffles_dropped
+from slicewise.sinks.tables import batches_within, landed, shuffles_dropped
 
 #: Production parameters: quantile of log-perplexity up to which documents stay, width of the
 #: bins in which quantiles are counted.
@@ -41,11 +42,16 @@ SHARDS, SHARD_ROWS = 16, 8_000_000
 #: Bytes of text that a worker hashes at once, so that they stay in its cache, and documents whose
 #: words and pairs it sends together.
 PORTION_BYTES, BLOCK_DOCS = 1 << 20, 4096
+#: Bytes of a batch sent to a worker, pairs that it counts at once before they travel, and rows that
+#: it hands back at once.
+BATCH_BYTES, BLOCK_PAIRS, OUT_ROWS = 8 << 20, 1 << 20, 50_000
 _MIX, _SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(7)
 _FOLD = np.arange(256, dtype=np.uint8)          # A-Z lower-cased, ASCII blanks alike
 _FOLD[65:91] += 32
 _FOLD[9:14] = 32
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+BLOCK = ["shard", "docs", "owner", "grams", "n"]
+BLOCK_SCHEMA = "shard int, docs binary, owner binary, grams binary, n binary"
 
 
 def _stir(h: np.ndarray) -> np.ndarray:
@@ -120,29 +126,81 @@ def _slice_is(h: Column, k: int, of: int) -> Column:
     return F.shiftright(h.bitwiseAND(F.lit(0xFFFF)) * of, 16) == k
 
 
-def _shard(g: Column, shards: int) -> Column:
-    """Range of the hash, read as unsigned; its upper bits have no part in the slice."""
-    return F.shiftright(F.shiftrightunsigned(g, 40) * shards, 24).cast("int")
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Places at which a value of ``x`` begins that differs from the one before."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])[:len(x)])
 
 
-def pair_counts(docs: DataFrame, k: int = 0, of: int = 1) -> DataFrame:
-    """``u, w, c``: counts over ``docs`` of the word pairs of slice ``k``, summed in each batch
-    before they travel."""
+def _cuts(g: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
+    """Shard, begin and end of its part of the sorted hashes ``g``."""
+    shard = (g >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)
+    edge = np.append(_starts(shard), len(g))
+    return ((int(shard[i]), i, j) for i, j in zip(edge[:-1], edge[1:]))
+
+
+def _pair_blocks(docs: DataFrame, k: int, of: int, shards: int) -> DataFrame:
+    """The word pairs of slice ``k`` with their counts, summed over BLOCK_PAIRS or more before they
+    travel: then a row per shard, as arrays in order of the pairs' hashes."""
+    def summed(found: list[np.ndarray]) -> pd.DataFrame:
+        u, w = np.concatenate(found, 1)
+        g = pair_hash(u, w)
+        order = np.argsort(g)
+        g = g[order]
+        new = _starts(g)
+        u, w, c = u[order[new]], w[order[new]], np.diff(new, append=len(g)).astype(np.int32)
+        return pd.DataFrame([(x, u[i:j].tobytes(), w[i:j].tobytes(), c[i:j].tobytes())
+                             for x, i, j in _cuts(g[new], shards)], columns=["shard", "u", "w", "c"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, size = [], 0
         for b in batches:
-            found = []
             for _, texts in _portions(b["raw"]):
                 u, w = _pairs(*word_hashes(texts))
                 mine = _in_slice(u, k, of)
-                found.append(np.stack([u[mine], w[mine]], 1))
-            if not found:
-                continue
-            uw = np.concatenate(found)
-            _, first, n = np.unique(pair_hash(uw[:, 0], uw[:, 1]), return_index=True, return_counts=True)
-            yield pd.DataFrame({"u": uw[first, 0].view(np.int64), "w": uw[first, 1].view(np.int64), "c": n})
+                found.append(np.stack([u[mine], w[mine]]))
+                size += len(mine)
+                if size >= BLOCK_PAIRS:
+                    yield summed(found)
+                    found, size = [], 0
+        if size:
+            yield summed(found)
 
     rows = docs.select(F.col("text").cast("binary").alias("raw"))
-    return rows.mapInPandas(run, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
+    return rows.mapInPandas(run, "shard int, u binary, w binary, c binary")
+
+
+def _counted(docs: DataFrame, k: int, of: int, shards: int, sums: Callable[..., dict], schema: str) -> DataFrame:
+    """Rows of ``sums(u, w, c)``, called with the distinct pairs of each shard of slice ``k`` and
+    their counts over ``docs``."""
+    def merged(blocks: list[tuple[bytes, bytes, bytes]]) -> Iterator[pd.DataFrame]:
+        u, w, c = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*blocks), (np.uint64, np.uint64, np.int32)))
+        g = pair_hash(u, w)
+        order = np.argsort(g)
+        new = _starts(g[order])
+        out = pd.DataFrame(sums(u[order[new]], w[order[new]], np.add.reduceat(c[order].astype(np.int64), new)))
+        for i in range(0, len(out), OUT_ROWS):
+            yield out.iloc[i:i + OUT_ROWS]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, blocks = None, []
+        for b in batches:
+            for x, *block in zip(b["shard"], b["u"], b["w"], b["c"]):
+                if x != shard and blocks:
+                    yield from merged(blocks)
+                    blocks = []
+                shard = x
+                blocks.append(block)
+        if blocks:
+            yield from merged(blocks)
+
+    return (_pair_blocks(docs, k, of, shards).repartition(shards, "shard").sortWithinPartitions("shard")
+            .mapInPandas(run, schema))
+
+
+def pair_counts(docs: DataFrame, k: int = 0, of: int = 1, shards: int = SHARDS) -> DataFrame:
+    """``u, w, c``: counts over ``docs`` of the word pairs of slice ``k``."""
+    return _counted(docs, k, of, shards, lambda u, w, c: {"u": u.view(np.int64), "w": w.view(np.int64), "c": c},
+                    "u long, w long, c long")
 
 
 def _discounts(n: list[float]) -> list[float]:
@@ -174,41 +232,59 @@ class Model:
         self._single = of.filter(~F.col("h").isin(marks)).select(
             F.col("h").alias("g"), (F.col("lg") + F.col("lb") - unknown).alias("v"))
 
-    def values(self, k: int = 0, of: int = 1) -> DataFrame:
-        """``g, v``: a row per known word and per seen pair of the slice."""
+    def values(self, k: int = 0, of: int = 1, shards: int = 1) -> DataFrame:
+        """The value of each known word and each seen pair of the slice, in blocks as those of
+        ``_doc_grams``: ``n`` has the values, ``docs`` is null."""
         lead = self.words.filter(_slice_is(F.col("h"), k, of) & (F.col("total") > 0)).select(F.col("h").alias("u"), "left")
         tail = self.words.filter("n > 0").select(F.col("h").alias("w"), self.beta.alias("beta"))
         own = (F.col("c") - _pick(F.col("c"), self.d)) / (F.col("left") * F.col("beta"))
-        seen = pair_counts(self.trusted, k, of).join(lead, "u").join(tail, "w").select("u", "w", F.log1p(own).alias("v"))
+        seen = pair_counts(self.trusted, k, of, shards).join(lead, "u").join(tail, "w").select(
+            "u", "w", F.log1p(own).alias("v"), F.lit(True).alias("pair"))
+        lone = self._single.filter(_slice_is(F.col("g"), k, of)).select(
+            F.col("g").alias("u"), F.lit(0).cast("long").alias("w"), "v", F.lit(False).alias("pair"))
 
-        def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                g = pair_hash(b["u"].to_numpy(np.int64).view(np.uint64), b["w"].to_numpy(np.int64).view(np.uint64))
-                yield pd.DataFrame({"g": g.view(np.int64), "v": b["v"]})
+                u, w = (b[c].to_numpy(np.int64).view(np.uint64) for c in ("u", "w"))
+                g = np.where(b["pair"].to_numpy(bool), pair_hash(u, w), u)
+                order = np.argsort(g)
+                g, v = g[order], b["v"].to_numpy(float)[order]
+                yield pd.DataFrame([(x, None, None, g[i:j].tobytes(), v[i:j].tobytes()) for x, i, j in _cuts(g, shards)],
+                                   columns=BLOCK)
+
+        return lone.union(seen).mapInPandas(run, BLOCK_SCHEMA)
+
+
+_SUMS = ["total", "n1", "n2", "n3", "n4", "kinds", "n"]
 
-        return self._single.filter(_slice_is(F.col("g"), k, of)).union(seen.mapInPandas(hashed, "g long, v double"))
 
+def _word_sums(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
+    """``h`` and the sums of each word over some pairs."""
+    order = np.argsort(u)
+    led, c = u[order], c[order]
+    new = _starts(led)
+    kinds = np.diff(new, append=len(led))
+    tail, n = np.unique(w, return_counts=True)
+    ahead = [np.add.reduceat(x, new) for x in (c, *((c == i).astype(np.int64) for i in (1, 2, 3, 4)))] + [kinds]
+    none = np.zeros(len(tail), np.int64)
+    return {"h": np.concatenate([led[new], tail]).view(np.int64),
+            **{name: np.concatenate([x, none]) for name, x in zip(_SUMS, ahead)},
+            "n": np.concatenate([np.zeros(len(new), np.int64), n])}
 
-def _word_counts(trusted: DataFrame, slices: int) -> DataFrame:
+
+def _word_counts(trusted: DataFrame, slices: int, shards: int) -> DataFrame:
     """``h, total, n1 .. n4, kinds, n`` of each word: how often it is followed, by how many kinds of
     words once to four times and at all, and the number of kinds before it."""
-    sums = ["total", "n1", "n2", "n3", "n4", "kinds", "n"]
-    parts = []
-    for k in range(slices):
-        both = pair_counts(trusted, k, slices).select(F.explode(F.array(
-            F.struct(F.col("u").alias("h"), F.col("c").alias("c")),
-            F.struct(F.col("w").alias("h"), F.lit(0).cast("long").alias("c")))).alias("x")).select("x.h", "x.c")
-        many = lambda cond, name: F.sum(cond.cast("long")).alias(name)
-        parts.append(landed(both.groupBy("h").agg(
-            F.sum("c").alias("total"), *(many(F.col("c") == i, f"n{i}") for i in (1, 2, 3, 4)),
-            many(F.col("c") > 0, "kinds"), many(F.col("c") == 0, "n")), "lm-part"))
-    return landed(reduce(DataFrame.union, parts).groupBy("h").agg(*(F.sum(c).alias(c) for c in sums)), "lm-words")
+    add = lambda rows: rows.groupBy("h").agg(*(F.sum(c).alias(c) for c in _SUMS))
+    schema = ", ".join(f"{c} long" for c in ["h", *_SUMS])
+    parts = [landed(add(_counted(trusted, k, slices, shards, _word_sums, schema)), "lm-part") for k in range(slices)]
+    return landed(add(reduce(DataFrame.union, parts)), "lm-words")
 
 
-def train(trusted: DataFrame, slices: int = 1) -> Model | None:
+def train(trusted: DataFrame, slices: int = 1, shards: int = SHARDS) -> Model | None:
     """The model of all rows of ``trusted`` (column ``text``; null and empty texts count as
     documents without words). None if there is no row."""
-    words = _word_counts(trusted, slices)
+    words = _word_counts(trusted, slices, shards)
     spread = words.agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in (1, 2, 3, 4))).first()
     if spread["n1"] is None:
         return None
@@ -246,17 +322,16 @@ def _doc_grams(docs: DataFrame, k: int, of: int, shards: int) -> DataFrame:
                 new = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]))[:len(g)])
                 count = np.diff(new, append=len(g)).astype(np.int32)
                 g, doc = g[new], doc[new]
-                shard = (g >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)
-                edge = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[:len(g)]), len(g))
                 out = []
-                for i, j in zip(edge[:-1], edge[1:]):
-                    used, owner = np.unique(doc[i:j], return_inverse=True)
-                    out.append((int(shard[i]), names[used].tobytes(), owner.astype(np.uint16).tobytes(),
-                                g[i:j].tobytes(), count[i:j].tobytes()))
-                yield pd.DataFrame(out, columns=["shard", "docs", "owner", "grams", "n"])
+                for where, i, j in _cuts(g, shards):
+                    seen = np.zeros(len(names), bool)
+                    seen[doc[i:j]] = True
+                    owner = (np.cumsum(seen) - 1).astype(np.uint16)[doc[i:j]]
+                    out.append((where, names[seen].tobytes(), owner.tobytes(), g[i:j].tobytes(), count[i:j].tobytes()))
+                yield pd.DataFrame(out, columns=BLOCK)
 
     rows = docs.select(_doc(), F.col("text").cast("binary").alias("raw"))
-    return rows.mapInPandas(run, "shard int, docs binary, owner binary, grams binary, n binary")
+    return rows.mapInPandas(run, BLOCK_SCHEMA)
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,30 +339,29 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     and are held; its documents stream past them."""
     shard, g, v, ready = None, [], [], False
     for b in batches:
-        at, doc_side = b["shard"].to_numpy(), b["docs"].notna().to_numpy()
-        edge = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (doc_side[1:] != doc_side[:-1]))[:len(b)])
         docs, sums = [], []
-        for x, y in zip(edge, np.append(edge[1:], len(b))):
-            if at[x] != shard:
-                shard, g, v, ready = at[x], [], [], False
-            if not doc_side[x]:
-                g.append(b["g"].to_numpy(np.int64)[x:y].view(np.uint64))
-                v.append(b["v"].to_numpy(float)[x:y])
+        for at, names, owner, grams, n in zip(*(b[c] for c in BLOCK)):
+            if at != shard:
+                shard, g, v, ready = at, [], [], False
+            if names is None:
+                g.append(np.frombuffer(grams, np.uint64))
+                v.append(np.frombuffer(n, float))
                 continue
             if not ready:
                 keys = np.concatenate([*g, np.zeros(0, np.uint64)])
                 order = np.argsort(keys)
                 keys, vals, ready = keys[order], np.concatenate([*v, np.zeros(0)])[order], True
-            for i in range(x, y if len(keys) else x):
-                own = np.frombuffer(b["grams"].iat[i], np.uint64)
-                spot = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                hit = np.flatnonzero(keys[spot] == own)
-                names = np.frombuffer(b["docs"].iat[i], np.int64)
-                add = np.bincount(np.frombuffer(b["owner"].iat[i], np.uint16)[hit],
-                                  np.frombuffer(b["n"].iat[i], np.int32)[hit] * vals[spot[hit]], len(names))
-                some = np.flatnonzero(add)
-                docs.append(names[some])
-                sums.append(add[some])
+                g, v = [], []
+            if not len(keys):
+                continue
+            own, names = np.frombuffer(grams, np.uint64), np.frombuffer(names, np.int64)
+            spot = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            hit = np.flatnonzero(keys[spot] == own)
+            add = np.bincount(np.frombuffer(owner, np.uint16)[hit],
+                              np.frombuffer(n, np.int32)[hit] * vals[spot[hit]], len(names))
+            some = np.flatnonzero(add)
+            docs.append(names[some])
+            sums.append(add[some])
         if docs:
             yield pd.DataFrame({"doc": np.concatenate(docs), "v": np.concatenate(sums)})
 
@@ -309,12 +383,7 @@ def perplexities(docs: DataFrame, heads: DataFrame, model: Model, slices: int =
     those of ``docs``."""
     parts = []
     for k in range(slices):
-        none = F.lit(None).cast("binary")
-        values = model.values(k, slices).select(_shard(F.col("g"), shards).alias("shard"), "g", "v",
-                                                *(none.alias(c) for c in ("docs", "owner", "grams", "n")))
-        rows = _doc_grams(docs, k, slices, shards).select("shard", F.lit(0).cast("long").alias("g"), F.lit(0.0).alias("v"),
-                                                          "docs", "owner", "grams", "n")
-        met = (values.union(rows).repartition(shards, "shard").sortWithinPartitions("shard", F.col("docs").isNotNull())
+        met = (model.values(k, slices, shards).union(_doc_grams(docs, k, slices, shards)).repartition(shards, "shard").sortWithinPartitions("shard", F.col("docs").isNotNull())
                .mapInPandas(_meet, "doc long, v double"))
         parts.append(landed(met.groupBy("doc").agg(F.sum("v").alias("v")), "lm-sums"))
     sums = reduce(DataFrame.union, parts).groupBy("doc").agg(F.sum("v").alias("v"))
@@ -349,7 +418,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     """
     good = (labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0))
             .select(F.col("doc_id").alias("id")).distinct())
-    with shuffles_dropped(docs.sparkSession):
+    with shuffles_dropped(docs.sparkSession), batches_within(docs.sparkSession, BATCH_BYTES):
         return _judge(docs, good, quantile)
 
 
@@ -364,13 +433,13 @@ def _judge(docs: DataFrame, good: DataFrame, quantile: float) -> DataFrame:
     heads = _heads(base)
     grams = heads.agg(F.sum((2 * F.col("n_words") + 1) * F.col("copies"))).first()[0] or 0
     count_slices, slices = (min(most, 1 + grams // SLICE_ROWS) for most in (COUNT_SLICES, SCORE_SLICES))
-    model = train(trusted, count_slices)
+    shards = max(SHARDS, 1 + grams // (slices * SHARD_ROWS))
+    model = train(trusted, count_slices, max(SHARDS, slices * shards // count_slices))
     out = docs.select("doc_id", F.col("lang"), F.coalesce("lang", F.lit("(none)")).alias("_lang"), _doc())
     if model is None:
         return out.select("doc_id", "lang", F.lit(None).cast("int").alias("n_words"), F.lit(None).cast("double").alias(
             "log_ppl"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
-    scores = landed(perplexities(base, heads, model, slices, max(SHARDS, 1 + grams // (slices * SHARD_ROWS))),
-                    "lm-scores")
+    scores = landed(perplexities(base, heads, model, slices, shards), "lm-scores")
     inside = near.select("id", F.lit(True).alias("inside"))
     known = landed(out.join(scores, "doc").join(inside, F.col("doc_id") == F.col("id"), "left")
                    .select("doc_id", "lang", F.col("_lang").alias("own"), "n_words",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,12 +24,9 @@ def landed(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Within it the shuffle files of a query are removed when the query ends, instead of when the
-    driver happens to collect its garbage. For jobs of several steps that land their results."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
@@ -37,3 +34,15 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(key)
         else:
             spark.conf.set(key, before)
+
+
+def shuffles_dropped(spark: SparkSession) -> AbstractContextManager[None]:
+    """Within it the shuffle files of a query are removed when the query ends, instead of when the
+    driver happens to collect its garbage. For jobs of several steps that land their results."""
+    return _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def batches_within(spark: SparkSession, n_bytes: int) -> AbstractContextManager[None]:
+    """Within it the batches that go to Python workers are closed at ``n_bytes``, however many rows
+    that is. For steps that land their results and hold several copies of a batch of long texts."""
+    return _set(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))

@@ -3,7 +3,7 @@ import random
 from collections import Counter
 
 from slicewise.llm import quality as Q
-from slicewise.sinks.tables import shuffles_dropped
+from slicewise.sinks.tables import batches_within, shuffles_dropped
 
 
 def corpus(seed=5, n=60):
@@ -114,3 +114,48 @@ def test_shuffles_are_dropped_within_and_the_setting_comes_back(spark):
     with shuffles_dropped(spark):
         assert spark.conf.get(key) == "true"
     assert spark.conf.get(key, None) == before
+
+
+def test_pairs_travel_in_blocks_and_are_counted_exactly(spark, monkeypatch):
+    """No pair is a row of a shuffle: rows between tasks are bounded by batches and shards."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["the", *(f"w{i}" for i in range(400))], [200] + [1] * 400, k=50)) for _ in range(300)]
+    docs = spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string").repartition(3)
+    plan = Q.pair_counts(docs, 0, 1, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+    assert Q._pair_blocks(docs, 0, 1, 7).count() <= 3 * 7
+    chains = [[Q._START, *Q.word_hashes([(t or "").encode()])[0], Q._END] for t in [*texts, None, ""]]
+    want = Counter((int(u), int(w)) for chain in chains for u, w in zip(chain, chain[1:]))
+    unsigned = lambda x: x % (1 << 64)
+    for shards, block in ((1, 1 << 20), (7, 1 << 20), (7, 1)):
+        monkeypatch.setattr(Q, "BLOCK_PAIRS", block)
+        with batches_within(spark, 3000):
+            got = Q.pair_counts(docs, 0, 1, shards).collect()
+        assert len(got) == len(want) and {(unsigned(r.u), unsigned(r.w)): r.c for r in got} == want
+
+
+def test_long_texts_reach_the_workers_in_bounded_batches(spark):
+    docs = spark.createDataFrame([("x" * 1000,)] * 200, "text string").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield b.assign(n=len(b))[["n"]]
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    with batches_within(spark, 20_000):
+        assert max(r.n for r in docs.mapInPandas(sizes, "n long").collect()) <= 25
+    assert spark.conf.get(key, None) == before
+
+
+def test_word_sums_equal_a_plain_count(spark):
+    texts = ["a b a b a c", "b a", "", "a a a a a a"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    name = {int(Q.word_hashes([w.encode()])[0][0]): w for w in ("a", "b", "c", Q.START, Q.END)}
+    pairs = Counter(p for t in texts for p in zip([Q.START, *t.split()], [*t.split(), Q.END]))
+    for slices, shards in ((1, 1), (3, 5)):
+        got = {name[r.h % (1 << 64)]: tuple(r)[1:] for r in Q._word_counts(docs, slices, shards).collect()}
+        assert len(got) == 5
+        for word, sums in got.items():
+            led = [c for (u, _), c in pairs.items() if u == word]
+            assert sums == (sum(led), *(led.count(i) for i in (1, 2, 3, 4)), len(led), sum(w == word for _, w in pairs))
